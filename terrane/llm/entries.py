@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, pii, secrets
+from . import bpe, langid, packing, pii, secrets
 from .common import documents
 
 QUERIES = {
     "op1_secret_scan": lambda spark, d: secrets.report(documents(spark, d)),
+    "op2_language_id": lambda spark, d: langid.report(documents(spark, d)),
     "op7_pii": lambda spark, d: pii.report(documents(spark, d)),
     "op8_best_fit_packing": lambda spark, d: packing.pack(documents(spark, d)),
     "op10_bpe_encode_decode": lambda spark, d: bpe.digests(documents(spark, d)),
