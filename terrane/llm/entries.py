@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, packing, pii, secrets
+from . import bpe, langid, packing, pii, secrets, toxicity
 from .common import documents
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_language_id": lambda spark, d: langid.report(documents(spark, d)),
     "op7_pii": lambda spark, d: pii.report(documents(spark, d)),
     "op8_best_fit_packing": lambda spark, d: packing.pack(documents(spark, d)),
+    "op9_toxicity": lambda spark, d: toxicity.report(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
     "op10_bpe_encode_decode": lambda spark, d: bpe.digests(documents(spark, d)),
 }
 
