@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, packing, pii, secrets, toxicity
+from . import bpe, jaccard, langid, packing, pii, secrets, toxicity
 from .common import documents
 
 QUERIES = {
     "op1_secret_scan": lambda spark, d: secrets.report(documents(spark, d)),
     "op2_language_id": lambda spark, d: langid.report(documents(spark, d)),
+    "op3_ngram_jaccard": lambda spark, d: jaccard.report(documents(spark, d)),
     "op7_pii": lambda spark, d: pii.report(documents(spark, d)),
     "op8_best_fit_packing": lambda spark, d: packing.pack(documents(spark, d)),
     "op9_toxicity": lambda spark, d: toxicity.report(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
