@@ -77,3 +77,14 @@ def small(df: DataFrame, most_rows: int) -> DataFrame:
 def id_hash_mod(column_name: str, divisor: int):
     """crc32 of the id written as text, modulo ``divisor``; null where the id is null."""
     return F.pmod(F.crc32(F.col(column_name).cast("string").cast("binary")), F.lit(divisor))
+
+
+#: Columns that operators know by name; all others are renamed while an operator works.
+KNOWN = ("doc_id", "text", "n_chars")
+
+
+def shielded(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with every unknown column under a name that clashes with no operator's, and the way back."""
+    inner = [c if c in KNOWN else f"__{i}" for i, c in enumerate(docs.columns)]
+    names = list(docs.columns)
+    return docs.toDF(*inner), lambda df: df.select(*(F.col(a).alias(b) for a, b in zip(inner, names, strict=True)))

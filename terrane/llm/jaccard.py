@@ -219,9 +219,10 @@ def report(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that share a component with an earlier row: of each component the row with
     the smallest id stays (the first of them, if it repeats). Texts without words stay."""
+    docs, back = common.shielded(docs)
     groups = common.stage(cluster(docs).where("n_shingles > 0"))
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("n"), F.col("node").cast("string")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc_row"))
     kept = groups.groupBy(group.alias("g")).agg(first.alias("k")).select(F.col("k.doc_row").alias("doc_row"))
     gone = common.small(common.stage(groups.join(kept, "doc_row", "left_anti").select("doc_row")), 2_000_000)
-    return docs.withColumn("doc_row", F.monotonically_increasing_id()).join(gone, "doc_row", "left_anti").select(*docs.columns)
+    return back(docs.withColumn("doc_row", F.monotonically_increasing_id()).join(gone, "doc_row", "left_anti"))

@@ -134,6 +134,7 @@ def report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span's text replaced by ``[kind]``. Spans are a function of the text, so they are
     joined back by its digest; overlapping spans are replaced as one. n_chars, if there, is counted anew."""
+    docs, back = common.shielded(docs)
     hits = find(docs).where(F.size("spans") > 0).groupBy("text_key").agg(F.first("spans").alias("redact_spans"))
     hits = common.small(common.stage(hits), 200_000)
     keyed = docs.withColumn("text_key", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
@@ -149,4 +150,4 @@ def redact(docs: DataFrame) -> DataFrame:
     out = keyed.join(hits, "text_key", "left").withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("redact_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+    return back(out)
