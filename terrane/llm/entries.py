@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, langid, packing, pii, repeats, secrets, toxicity
+from . import bpe, fingerprint, jaccard, langid, packing, pii, repeats, secrets, toxicity
 from .common import documents
 
 QUERIES = {
     "op1_secret_scan": lambda spark, d: secrets.report(documents(spark, d)),
     "op2_language_id": lambda spark, d: langid.report(documents(spark, d)),
     "op3_ngram_jaccard": lambda spark, d: jaccard.report(documents(spark, d)),
+    "op4_document_fingerprint": lambda spark, d: fingerprint.report(documents(spark, d)),
     "op6_suffix_array_dedup": lambda spark, d: repeats.report(documents(spark, d)),
     "op7_pii": lambda spark, d: pii.report(documents(spark, d)),
     "op8_best_fit_packing": lambda spark, d: packing.pack(documents(spark, d)),
