@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, jaccard, langid, packing, pii, repeats, secrets, toxicity
+import corpus_pipeline
+
+from . import ann, bpe, fingerprint, jaccard, langid, packing, pii, repeats, secrets, toxicity
 from .common import documents
 
 QUERIES = {
@@ -10,10 +12,12 @@ QUERIES = {
     "op2_language_id": lambda spark, d: langid.report(documents(spark, d)),
     "op3_ngram_jaccard": lambda spark, d: jaccard.report(documents(spark, d)),
     "op4_document_fingerprint": lambda spark, d: fingerprint.report(documents(spark, d)),
+    "op5_nearest_neighbours": lambda spark, d: ann.report(spark.read.parquet(f"{d}/embeddings.parquet")),
     "op6_suffix_array_dedup": lambda spark, d: repeats.report(documents(spark, d)),
     "op7_pii": lambda spark, d: pii.report(documents(spark, d)),
     "op8_best_fit_packing": lambda spark, d: packing.pack(documents(spark, d)),
     "op9_toxicity": lambda spark, d: toxicity.report(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
+    "pipeline": corpus_pipeline.run,
     "op10_bpe_encode_decode": lambda spark, d: bpe.digests(documents(spark, d)),
 }
 
