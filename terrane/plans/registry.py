@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from . import core
+
+QUERIES: dict = {**core.QUERIES}
+ORACLE: dict[str, str] = {**core.ORACLE}
