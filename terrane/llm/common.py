@@ -49,9 +49,17 @@ def arrow_pass(df: DataFrame, ddl: dict[str, str], each: Callable[[pa.RecordBatc
                 out = each(part)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
+    light_batches(df.sparkSession)
     return df.mapInArrow(run, ", ".join(f"`{k}` {v}" for k, v in ddl.items()))
 
 
+def light_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Fewer rows to an Arrow batch, unless the session says otherwise: texts are long, and a batch is held several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def pieces_of(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``most`` bytes, so that Python never holds much text at once."""
     rows = max(1, min(batch.num_rows, most * max(1, batch.num_rows) // max(1, batch.nbytes)))

@@ -9,10 +9,10 @@ A tile is what one shingle and one band of sizes hold; linked sets lie in the sa
 Signatures are parity bitmaps: the bits that differ bound the symmetric difference from below, so
 ``(|A| + |B| - differing bits) / 2`` bounds the overlap from above. What passes is decided on the sorted sets.
 
-First each node of a tile is compared with one centre of the tile, which costs a pair for each listing and joins
-most of each group of near copies. Then only nodes of one tile that are still in different components are
-compared with each other. So all links between components are found, and a group of near copies is never
-spelt out as pairs.
+In each of ``ROUNDS`` rounds a node is compared with at most two centres of its tiles that are in other components
+than its own, which soon joins most of each group of near copies. Then only nodes of one tile that are still in
+different components are compared, all of them. So no two linked sets stay apart, and a group of near copies is
+never spelt out as pairs.
 
 The hash stands for the shingle: two different shingles of one pair meet with chance 2**-64. A text without words
 is linked with nothing. Null text counts as empty. Rows are kept one for one, repeated rows and ids
@@ -37,9 +37,11 @@ NUM, DEN = 80, 100
 #: Shingles that the order knows as frequent: at most 8 MB to every task.
 HOT = 1 << 19
 #: A block of this many shingles is counted in a task before what repeats in it is passed on.
-BLOCK = 4_000_000
+BLOCK = 1_500_000
 #: Times that a shingle must occur in a block to be passed on.
-REPEATS = 3
+REPEATS = 2
+#: Rounds of comparisons with centres.
+ROUNDS = 3
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -157,17 +159,14 @@ def _may_link(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """node, shingles of the wanted nodes, from one text of each."""
     keys = common.small(common.stage(nodes.join(wanted, "node", "left_semi").select("text_key")), 1_000_000)
-    chosen = docs.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")).join(keys, "text_key", "left_semi")
+    chosen = docs.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")).join(keys, "text_key", "left_semi").dropDuplicates(["text_key"])
     each = lambda b: (lambda s: {"node": [xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in s], "shingles": s})([shingle_set(t, words) for t in common.texts(b)])
-    return common.arrow_pass(chosen, {"node": "long", "shingles": "array<long>"}, each).dropDuplicates(["node"])
+    return common.arrow_pass(chosen, {"node": "long", "shingles": "array<long>"}, each)
 
 
-def linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int = WORDS) -> DataFrame:
+def linked(nodes: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) that reach the threshold, by the intersection of their sorted sets."""
     pairs = common.stage(_may_link(nodes, pairs))
-    if not pairs.limit(1).count():
-        return pairs
-    sets = common.stage(_sets(docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), words))
     a, b = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
 
     def each(batch: pa.RecordBatch) -> dict:
@@ -184,27 +183,46 @@ def linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int = WOR
     return common.arrow_pass(pairs.join(a, "a").join(b, "b"), {"a": "long", "b": "long"}, each)
 
 
-def cluster(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, doc_row, n_shingles, component_id for every row of ``docs``."""
+def _split(listed: DataFrame, label: DataFrame | None) -> DataFrame:
+    """The listings of tiles whose nodes are in different components, with label."""
+    named = listed.withColumn("label", F.col("node")) if label is None else listed.drop("label").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    tiles = named.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("shingle")
+    return common.stage(named.join(tiles, "shingle", "left_semi"))
+
+
+def _stars(listed: DataFrame, turn: int) -> DataFrame:
+    """At most two pairs for each node: with centres of its tiles that are in other components."""
+    salt = F.xxhash64("shingle", F.lit(turn))
+    mark = F.col("node").bitwiseXOR(salt)
+    centres = listed.groupBy("shingle", "band").agg(F.min(mark).alias("mark"), F.min_by("label", mark).alias("c_label"))
+    met = listed.join(centres, ["shingle", "band"]).where("label != c_label").select("node", F.col("mark").bitwiseXOR(salt).alias("centre"))
+    few = met.groupBy("node").agg(F.min("centre").alias("low"), F.max("centre").alias("high"))
+    return few.select("node", F.explode(F.array("low", "high")).alias("centre")).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+
+
+def _rest(listed: DataFrame) -> DataFrame:
+    """All pairs of one tile and neighbouring bands whose nodes are in different components."""
+    one = listed.select("shingle", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
+    two = listed.select("shingle", "band", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
+    near = (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & (DEN * F.least("n_a", "n_b") >= NUM * F.greatest("n_a", "n_b"))
+    return one.join(two, ["shingle", "band"]).where(near).select("a", "b").distinct()
+
+
+def cluster(docs: DataFrame, words: int = WORDS, rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, doc_row, n_shingles, component_id, node for every row of ``docs``."""
     sketched = common.stage(sketches(docs, frequent_shingles(docs, words), words))
     nodes = common.stage(sketched.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("low_id"), F.first("n").alias("n"), F.first("text_key").alias("text_key"), F.first("bits").alias("bits")))
     listed = common.stage(listings(sketched))
-    mark = F.col("node").bitwiseXOR(F.col("shingle"))
-    centres = listed.groupBy("shingle", "band").agg(F.min(mark).alias("mark"))
-    first = listed.join(centres, ["shingle", "band"]).select("node", F.col("mark").bitwiseXOR(F.col("shingle")).alias("centre")).where("node != centre")
-    first = common.stage(first.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
-    links = common.stage(linked(docs, nodes, first, words))
-    label = components(links)
-    named = listed.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    split = named.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("shingle")
-    named = common.stage(named.join(split, "shingle", "left_semi"))
-    one = named.select("shingle", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-    two = named.select("shingle", "band", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-    near = (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & (DEN * F.least("n_a", "n_b") >= NUM * F.greatest("n_a", "n_b"))
-    second = one.join(two, ["shingle", "band"]).where(near).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    more = common.stage(linked(docs, nodes, common.stage(second), words))
-    if more.limit(1).count():
-        label = components(links.unionByName(more))
+    sets = common.stage(_sets(docs, nodes, listed.select("node").distinct(), words))
+    links, label = None, None
+    for turn in range(rounds + 1):
+        listed = _split(listed, label)
+        pairs = _stars(listed, turn) if turn < rounds else _rest(listed)
+        more = common.stage(linked(nodes, sets, pairs))
+        if more.limit(1).count():
+            links = more if links is None else common.stage(links.unionByName(more))
+            label = components(links)
+    label = label if label is not None else nodes.select("node", F.col("node").alias("label"))
     named = nodes.join(label, "node", "left").select("node", "low_id", F.coalesce("label", "node").alias("label"))
     lowest = named.groupBy("label").agg(F.min("low_id").alias("component_id"))
     by_node = named.join(lowest, "label").select("node", "component_id")
