@@ -9,7 +9,7 @@ window, to the full depth: windows that fall into one class are repeated. So no
 and a unique text costs one key for each seventy bytes.
 
 Which windows are repeated is decided by 128-bit hashes of their whole 200 bytes. A block with more than
-``HOT`` suffixes is refined by Spark, one row for a window, instead of in one task. Texts that occur twice are repeated throughout
+``HOT`` suffixes is not gathered: each of its windows is a row of its own, and Spark sorts them into classes. Texts that occur twice are repeated throughout
 if they hold 200 bytes, and take part in the merge once for each shard. Null text counts as empty. Rows are kept
 one for one, repeated rows and ids included. Empty table: no rows.
 """
@@ -36,7 +36,7 @@ HOT_BLOCKS = 1 << 20
 #: Bits of the filter of repeated blocks: 16 for each, at most so many (64 MB).
 FILTER_BITS = 1 << 29
 #: Bytes of text in one shard.
-SHARD = 6 << 20
+SHARD = 2 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -92,6 +92,7 @@ def _keys(texts: list[bytes], text: np.ndarray, suffix: np.ndarray, depth: int)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
+    common.light_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     return docs.withColumns({"k1": F.xxhash64(text), "k2": F.xxhash64(F.lit(7), text), "bytes": text.cast("binary")})
 
@@ -132,9 +133,23 @@ def _filter(blocks: DataFrame, most_bits: int = FILTER_BITS) -> np.ndarray:
 
 
 def _suffixes(keyed: DataFrame, bitmap: np.ndarray, hot: np.ndarray, span: int, depth: int) -> DataFrame:
-    """The suffixes of blocks with several: key, k1, k2, start (of the first window), around (the bytes its windows cover). Those of ``hot`` blocks
-    come with hot = true."""
+    """The suffixes of blocks with several: key, k1, k2, start (of the first window), around (the bytes its windows cover). For those of
+    ``hot`` blocks a row for each window: its hash as key, and as ``around`` its digest."""
     shared = keyed.sparkSession.sparkContext.broadcast((bitmap, hot))
+    names = ["key", "k1", "k2", "start", "around"]
+
+    def rows(ids, texts, text, first, last, keys):
+        id_ = np.array(ids, np.int64).reshape(-1, 2)[text]
+        around = [texts[t][a : b + span] for t, a, b in zip(text.tolist(), first.tolist(), last.tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(id_[:, 0]), pa.array(id_[:, 1]), pa.array(first), pa.array(around, pa.binary())], names)
+
+    def windows(ids, texts, text, first, last):
+        n = last - first + 1
+        text, start = np.repeat(text, n), np.concatenate([np.arange(a, b + 1) for a, b in zip(first.tolist(), last.tolist(), strict=True)])
+        digests = [xxhash.xxh3_128_digest(texts[t][a : a + span]) for t, a in zip(text.tolist(), start.tolist(), strict=True)]
+        keys = np.frombuffer(b"".join(digests), "<i8")[::2]
+        id_ = np.array(ids, np.int64).reshape(-1, 2)[text]
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(id_[:, 0]), pa.array(id_[:, 1]), pa.array(start), pa.array(digests, pa.binary())], names)
 
     def lists(batches):
         bitmap, hot = shared.value
@@ -145,14 +160,14 @@ def _suffixes(keyed: DataFrame, bitmap: np.ndarray, hot: np.ndarray, span: int,
                     text, suffix, first, last = picked(texts, span, depth)
                     keys = _keys(texts, text, suffix, depth)
                     bit = keys & low
-                    keep = np.flatnonzero((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
-                    text, first, last, keys = text[keep], first[keep], last[keep], keys[keep]
-                    around = [texts[t][a : b + span] for t, a, b in zip(text.tolist(), first.tolist(), last.tolist(), strict=True)]
-                    id_ = np.array(ids, np.int64).reshape(-1, 2)[text]
-                    is_hot = np.isin(keys, hot)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(id_[:, 0]), pa.array(id_[:, 1]), pa.array(first), pa.array(around, pa.binary()), pa.array(is_hot)], ["key", "k1", "k2", "start", "around", "hot"])
+                    keep = ((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
+                    large = keep & np.isin(keys, hot)
+                    keep &= ~large
+                    yield rows(ids, texts, text[keep], first[keep], last[keep], keys[keep])
+                    if large.any():
+                        yield windows(ids, texts, text[large], first[large], last[large])
 
-    return keyed.select("k1", "k2", "bytes").mapInArrow(lists, "key long, k1 long, k2 long, start long, around binary, hot boolean")
+    return keyed.select("k1", "k2", "bytes").mapInArrow(lists, "key long, k1 long, k2 long, start long, around binary")
 
 
 def _runs(flags: np.ndarray, start: int, span: int) -> list[tuple[int, int]]:
@@ -162,7 +177,7 @@ def _runs(flags: np.ndarray, start: int, span: int) -> list[tuple[int, int]]:
 
 def refined(block: list[tuple[int, int, int, bytes]], span: int = SPAN) -> list[tuple[int, int, int, int]]:
     """(k1, k2, start, end) of the repeated ranges of a block of (k1, k2, start, around)."""
-    members = {m[:3]: m[3] for m in block}  # a text that several shards hold counts once here
+    members = {m[:3]: m[3] for m in block if len(m[3]) >= span}  # a text that several shards hold counts once here
     if len(members) < 2:
         return []
     by_bytes = defaultdict(int)
@@ -187,46 +202,35 @@ def refined(block: list[tuple[int, int, int, bytes]], span: int = SPAN) -> list[
 
 
 def _ranges_of_blocks(suffixes: DataFrame, span: int) -> DataFrame:
-    """k1, k2, start, end. Blocks arrive sorted by key, one after another."""
+    """k1, k2, start, end. Blocks arrive sorted by key, one after another; a class of single windows is passed through
+    without being held."""
 
     def merge(batches):
-        key, block, out = None, [], []
+        key, block, out, alone = None, [], [], True
         for batch in batches:
             columns = [common.column(batch, c).to_pylist() for c in ("key", "k1", "k2", "start", "around")]
             for k, *member in zip(*columns, strict=True):
                 if k != key:
                     out += refined(block, span)
-                    key, block = k, []
-                block.append(tuple(member))
-            if len(out) > 10_000:
-                yield _table(out)
-                out = []
+                    key, block, alone = k, [], True
+                if block and len(member[3]) == 16 and block[0][3] == member[3]:
+                    if tuple(member) != block[0]:
+                        out += [(*m[:3], m[2] + span) for m in ([block[0], member] if alone else [member])]
+                        alone = False
+                else:
+                    block.append(tuple(member))
+                if len(out) > 10_000:
+                    yield _table(out)
+                    out = []
         yield _table(out + refined(block, span))
 
-    cold = suffixes.where("not hot").drop("hot").repartition("key").sortWithinPartitions("key")
-    return cold.mapInArrow(merge, "k1 long, k2 long, start long, end long")
+    return suffixes.repartition("key").sortWithinPartitions("key").mapInArrow(merge, "k1 long, k2 long, start long, end long")
 
 
 def _table(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["k1", "k2", "start", "end"])
 
 
-def _ranges_of_hot_blocks(suffixes: DataFrame, span: int) -> DataFrame:
-    """As above for blocks too large for one task: one row for each window, counted by Spark."""
-    names = ["h1", "h2", "k1", "k2", "start"]
-
-    def windows(batches):
-        for batch in batches:
-            for k1, k2, start, around in zip(*(common.column(batch, c).to_pylist() for c in ("k1", "k2", "start", "around")), strict=True):
-                n = len(around) - span + 1
-                h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(around[i : i + span]) for i in range(n)), "<i8").reshape(n, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(np.full(n, k1)), pa.array(np.full(n, k2)), pa.array(np.arange(start, start + n))], names)
-
-    rows = suffixes.where("hot").mapInArrow(windows, "h1 long, h2 long, k1 long, k2 long, start long").distinct()
-    often = rows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
-    return rows.join(often, ["h1", "h2"], "left_semi").select("k1", "k2", "start", (F.col("start") + span).alias("end"))
-
-
 def repeated(docs: DataFrame, span: int = SPAN, depth: int = DEPTH, hot: int = HOT) -> DataFrame:
     """k1, k2 (a text's key), copies, starts, ends: the repeated ranges of every text that has any, not yet joined, and how
     many rows hold the text."""
@@ -234,10 +238,7 @@ def repeated(docs: DataFrame, span: int = SPAN, depth: int = DEPTH, hot: int = H
     blocks = common.stage(_blocks(keyed, span, depth))
     large = blocks.where(F.col("n") > hot).orderBy(F.desc("n"), "key").limit(HOT_BLOCKS).select("key").toPandas()["key"].to_numpy(np.int64)
     suffixes = _suffixes(keyed, _filter(blocks), large, span, depth)
-    ranges = _ranges_of_blocks(suffixes, span)
-    if len(large):
-        ranges = ranges.unionByName(_ranges_of_hot_blocks(suffixes, span))
-    ranges = ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("r"))
+    ranges = _ranges_of_blocks(suffixes, span).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("r"))
     copies = keyed.select("k1", "k2").groupBy("k1", "k2").agg(F.count("*").alias("copies")).where("copies > 1")
     both = ranges.join(copies, ["k1", "k2"], "full")
     return both.select("k1", "k2", F.coalesce("copies", F.lit(1)).alias("copies"), F.col("r.start").alias("starts"), F.col("r.end").alias("ends"))
@@ -257,7 +258,7 @@ def merged(starts: list[int] | None, ends: list[int] | None, copies: int, length
 
 
 def _with_ranges(docs: DataFrame, span: int) -> DataFrame:
-    found = common.small(common.stage(repeated(docs, span)), 20_000)
+    found = common.stage(repeated(docs, span))
     return _keyed(docs).join(found, ["k1", "k2"], "left")
 
 
