@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import core
+from . import core, series
 
-QUERIES: dict = {**core.QUERIES}
-ORACLE: dict[str, str] = {**core.ORACLE}
+QUERIES: dict = {**core.QUERIES, **series.QUERIES}
+ORACLE: dict[str, str] = {**core.ORACLE, **series.ORACLE}
