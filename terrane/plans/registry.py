@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import core, series
+from . import core, data, series
 
-QUERIES: dict = {**core.QUERIES, **series.QUERIES}
-ORACLE: dict[str, str] = {**core.ORACLE, **series.ORACLE}
+QUERIES: dict = {**core.QUERIES, **series.QUERIES, **data.QUERIES}
+ORACLE: dict[str, str] = {**core.ORACLE, **series.ORACLE, **data.ORACLE}
