@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import core, data, series
+from . import core, data, labels, series
 
-QUERIES: dict = {**core.QUERIES, **series.QUERIES, **data.QUERIES}
-ORACLE: dict[str, str] = {**core.ORACLE, **series.ORACLE, **data.ORACLE}
+QUERIES: dict = {**core.QUERIES, **series.QUERIES, **data.QUERIES, **labels.QUERIES}
+ORACLE: dict[str, str] = {**core.ORACLE, **series.ORACLE, **data.ORACLE, **labels.ORACLE}
