@@ -34,6 +34,7 @@ def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and read it back: a cut in the lineage that
     survives lost executors."""
     spark = df.sparkSession
+    light_batches(spark)
     path = f"{shared_dir(spark)}/terrane-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -60,7 +61,7 @@ def light_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(name, str(rows))
 
 
-def pieces_of(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces_of(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``most`` bytes, so that Python never holds much text at once."""
     rows = max(1, min(batch.num_rows, most * max(1, batch.num_rows) // max(1, batch.nbytes)))
     for at in range(0, batch.num_rows, rows):
