@@ -7,16 +7,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-W = Window.partitionBy("security_id").orderBy("session")
+
+def by_session():
+    """A security's rows in the order of sessions."""
+    return Window.partitionBy("security_id").orderBy("session")
 
 
 def frame(n: int):
     """The last n rows, this one included."""
-    return W.rowsBetween(-(n - 1), 0)
+    return by_session().rowsBetween(-(n - 1), 0)
 
 
 def true_range(bars: DataFrame) -> DataFrame:
-    last = F.lag("close").over(W)
+    last = F.lag("close").over(by_session())
     return bars.withColumn("tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - last), F.abs(F.col("low") - last)))
 
 
@@ -58,5 +61,5 @@ def wilder_atr(bars: DataFrame, n: int = 20) -> DataFrame:
 
 def triples(bars: DataFrame) -> DataFrame:
     """security_id, session, k, h, l, c: high, low and close over the close before; the first session has none."""
-    last = F.lag("close").over(W)
+    last = F.lag("close").over(by_session())
     return bars.select("security_id", "session", "k", *((F.col(x) / last).alias(x[0]) for x in ("high", "low", "close"))).where(F.col("c").isNotNull())

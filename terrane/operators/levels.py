@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ladder import ladder_steps, rungs_within, short_number
 from ..params import DEFAULT, Params
-from .indicators import W
+from .indicators import by_session
 
 COLUMNS = ("security_id", "as_of", "spot", "atr", "level", "lower", "upper", "source", "family", "timeframe", "formed_at", "available_at", "k_atr", "confirm_sessions", "atr_at_formation", "step", "rank")
 
@@ -16,7 +16,7 @@ def swings(bars: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """security_id, t, side, level, formed_at, atr_at_formation, k_atr, confirm_sessions, available_at, seen_at: confirmed swings, once
     for each k. ``bars`` has k and atr. ``seen_at`` is the session number from which a reader can know the swing."""
     w, most = p.swing_window, p.confirm_most
-    around, after = W.rowsBetween(-w, w), W.rowsBetween(1, most)
+    around, after = by_session().rowsBetween(-w, w), by_session().rowsBetween(1, most)
     found = bars.withColumns({
         "full": F.count("*").over(around) == 2 * w + 1, "is_high": F.col("high") >= F.max("high").over(around), "is_low": F.col("low") <= F.min("low").over(around),
         "ahead": F.collect_list(F.struct("low", "high", "available_at")).over(after),

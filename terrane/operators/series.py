@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .indicators import W, frame
+from .indicators import by_session, frame
 
 
 def resample(bars: DataFrame, period: str) -> DataFrame:
@@ -22,7 +22,7 @@ def vwap(bars: DataFrame, period: str) -> DataFrame:
 
 def prior_extremes(bars: DataFrame, periods: tuple[str, ...] = ("week", "month", "quarter")) -> DataFrame:
     """``bars`` with the last session's, the last full periods', the 52-week and the year-to-date high and low."""
-    out = bars.withColumns({"prior_high_day": F.lag("high").over(W), "prior_low_day": F.lag("low").over(W)})
+    out = bars.withColumns({"prior_high_day": F.lag("high").over(by_session()), "prior_low_day": F.lag("low").over(by_session())})
     for p in periods:
         w = Window.partitionBy("security_id").orderBy("period")
         agg = resample(bars, p).select("security_id", F.col("period").alias(f"_{p}"), F.lag("high").over(w).alias(f"prior_high_{p}"), F.lag("low").over(w).alias(f"prior_low_{p}"))
@@ -34,7 +34,7 @@ def prior_extremes(bars: DataFrame, periods: tuple[str, ...] = ("week", "month",
 def gaps(bars: DataFrame) -> DataFrame:
     """security_id, session, kind, edge, filled_at: gap edges, and the first later session that trades back to the edge (null while open).
     The first session after t with low <= edge is found by counting sessions: a search among later rows in one window."""
-    last_high, last_low = F.lag("high").over(W), F.lag("low").over(W)
+    last_high, last_low = F.lag("high").over(by_session()), F.lag("low").over(by_session())
     g = bars.withColumn("g", F.when(F.col("low") > last_high, F.struct(F.lit("up").alias("kind"), last_high.alias("edge"))).when(F.col("high") < last_low, F.struct(F.lit("down").alias("kind"), last_low.alias("edge"))))
     found = g.where("g is not null").select("security_id", "session", "k", "g.kind", "g.edge")
     later = bars.select(F.col("security_id").alias("s2"), F.col("session").alias("later"), "high", "low")
@@ -53,7 +53,7 @@ def bands(bars: DataFrame) -> DataFrame:
 def volatility(bars: DataFrame) -> DataFrame:
     """Log returns over 1, 5, 20 sessions and volatilities: close to close, high-low range, open-high-low-close, drift-free."""
     ln = lambda a, b: F.log(F.col(a) / F.col(b))
-    out = bars.withColumns({f"ret_{n}": F.log(F.col("close") / F.lag("close", n).over(W)) for n in (1, 5, 20)})
+    out = bars.withColumns({f"ret_{n}": F.log(F.col("close") / F.lag("close", n).over(by_session())) for n in (1, 5, 20)})
     hl = ln("high", "low")
     terms = {"parkinson": hl * hl / F.lit(4 * 0.6931471805599453), "garman_klass": 0.5 * hl * hl - F.lit(2 * 0.6931471805599453 - 1) * ln("close", "open") * ln("close", "open"), "rogers_satchell": ln("high", "close") * ln("high", "open") + ln("low", "close") * ln("low", "open")}
     out = out.withColumn("sigma20", F.stddev_samp("ret_1").over(frame(20)))
@@ -62,12 +62,12 @@ def volatility(bars: DataFrame) -> DataFrame:
 
 def momentum(bars: DataFrame) -> DataFrame:
     """ROC10, stochastic %K14, OBV, drawdown from the running high, run length of equal signs."""
-    change = F.col("close") - F.lag("close").over(W)
-    run = W.rowsBetween(Window.unboundedPreceding, 0)
+    change = F.col("close") - F.lag("close").over(by_session())
+    run = by_session().rowsBetween(Window.unboundedPreceding, 0)
     low, high = F.min("low").over(frame(14)), F.max("high").over(frame(14))
     out = bars.withColumn("sign", F.coalesce(F.signum(change), F.lit(0.0)))
-    out = out.withColumns({"roc10": F.col("close") / F.lag("close", 10).over(W) - 1, "stochastic14": (F.col("close") - low) / F.nullif(high - low, F.lit(0.0)), "obv": F.sum(F.col("sign") * F.col("volume")).over(run), "drawdown": F.col("close") / F.max("close").over(run) - 1})
-    new = F.sum(F.when(F.col("sign") == F.lag("sign").over(W), 0).otherwise(1)).over(run)
+    out = out.withColumns({"roc10": F.col("close") / F.lag("close", 10).over(by_session()) - 1, "stochastic14": (F.col("close") - low) / F.nullif(high - low, F.lit(0.0)), "obv": F.sum(F.col("sign") * F.col("volume")).over(run), "drawdown": F.col("close") / F.max("close").over(run) - 1})
+    new = F.sum(F.when(F.col("sign") == F.lag("sign").over(by_session()), 0).otherwise(1)).over(run)
     out = out.withColumn("run_id", new)
     return out.withColumn("run_length", F.row_number().over(Window.partitionBy("security_id", "run_id").orderBy("session"))).drop("run_id", "sign")
 
@@ -79,7 +79,7 @@ def market(bars: DataFrame) -> DataFrame:
 
 def regimes(index: DataFrame) -> DataFrame:
     """session, trend_z, vol_rank, regime from an index series (one row a session)."""
-    out = index.withColumn("ret", F.log(F.col("close") / F.lag("close").over(W)))
+    out = index.withColumn("ret", F.log(F.col("close") / F.lag("close").over(by_session())))
     out = out.withColumns({"sigma": F.stddev_samp("ret").over(frame(20)), "sma": F.when(F.count("*").over(frame(200)) == 200, F.avg("close").over(frame(200)))})
     out = out.withColumn("trend_z", (F.col("close") / F.col("sma") - 1) / F.nullif(F.col("sigma") * F.sqrt(F.lit(20.0)), F.lit(0.0)))
     past = F.collect_list("sigma").over(frame(756))
@@ -91,15 +91,15 @@ def regimes(index: DataFrame) -> DataFrame:
 
 def relative_strength(bars: DataFrame, index: DataFrame, days: tuple[int, ...] = (1, 5, 20)) -> DataFrame:
     """security_id, session, rs_n: return minus the index's return over n sessions."""
-    back = lambda df, name: df.select("security_id", "session", *((F.col("close") / F.lag("close", n).over(W) - 1).alias(f"{name}_{n}") for n in days))
+    back = lambda df, name: df.select("security_id", "session", *((F.col("close") / F.lag("close", n).over(by_session()) - 1).alias(f"{name}_{n}") for n in days))
     both = back(bars, "own").join(F.broadcast(back(index, "mkt").drop("security_id")), "session")
     return both.select("security_id", "session", *((F.col(f"own_{n}") - F.col(f"mkt_{n}")).alias(f"rs_{n}") for n in days))
 
 
 def factors(bars: DataFrame, index: DataFrame, n: int = 60) -> DataFrame:
     """security_id, session, beta, corr over n sessions against the index, and the rank of the 20-session return among the session's securities."""
-    mine = bars.select("security_id", "session", F.log(F.col("close") / F.lag("close").over(W)).alias("x"), F.log(F.col("close") / F.lag("close", 20).over(W)).alias("mom"))
-    idx = index.select("session", F.log(F.col("close") / F.lag("close").over(W)).alias("y"))
+    mine = bars.select("security_id", "session", F.log(F.col("close") / F.lag("close").over(by_session())).alias("x"), F.log(F.col("close") / F.lag("close", 20).over(by_session())).alias("mom"))
+    idx = index.select("session", F.log(F.col("close") / F.lag("close").over(by_session())).alias("y"))
     both = mine.join(F.broadcast(idx), "session").where("x is not null and y is not null")
     rank = F.percent_rank().over(Window.partitionBy("session").orderBy("mom"))
     f = frame(n)
@@ -108,7 +108,7 @@ def factors(bars: DataFrame, index: DataFrame, n: int = 60) -> DataFrame:
 
 def breadth(bars: DataFrame, n: int = 50) -> DataFrame:
     """session, share of securities above their n-session mean, dispersion of returns."""
-    one = bars.withColumns({"above": F.when(F.count("*").over(frame(n)) == n, (F.col("close") > F.round(F.avg("close").over(frame(n)), 9)).cast("double")), "ret": F.log(F.col("close") / F.lag("close").over(W))})
+    one = bars.withColumns({"above": F.when(F.count("*").over(frame(n)) == n, (F.col("close") > F.round(F.avg("close").over(frame(n)), 9)).cast("double")), "ret": F.log(F.col("close") / F.lag("close").over(by_session()))})
     return one.groupBy("session").agg(F.avg("above").alias("breadth"), F.stddev_pop("ret").alias("dispersion"), F.count("*").alias("n"))
 
 
@@ -128,7 +128,7 @@ def envelope(close: Column, sigma: Column, k: float, horizon: int = 5) -> Column
 def trading_spread(bars: DataFrame) -> DataFrame:
     """security_id, session, spread: the high-low estimator of two sessions, floored at 0."""
     h, l = F.col("high"), F.col("low")  # noqa: E741
-    h1, l1 = F.lag("high").over(W), F.lag("low").over(W)
+    h1, l1 = F.lag("high").over(by_session()), F.lag("low").over(by_session())
     sq = lambda x: x * x
     beta, gamma = sq(F.log(h / l)) + sq(F.log(h1 / l1)), sq(F.log(F.greatest(h, h1) / F.least(l, l1)))
     root = F.sqrt(F.lit(2.0))
@@ -138,8 +138,8 @@ def trading_spread(bars: DataFrame) -> DataFrame:
 
 def drawdown_metrics(bars: DataFrame, per_year: float = 252.0) -> DataFrame:
     """security_id and the figures of holding it: sharpe, sortino, max_drawdown, hit_rate, profit_factor."""
-    run = W.rowsBetween(Window.unboundedPreceding, 0)
-    one = bars.withColumns({"ret": F.col("close") / F.lag("close").over(W) - 1, "dd": F.col("close") / F.max("close").over(run) - 1})
+    run = by_session().rowsBetween(Window.unboundedPreceding, 0)
+    one = bars.withColumns({"ret": F.col("close") / F.lag("close").over(by_session()) - 1, "dd": F.col("close") / F.max("close").over(run) - 1})
     r = F.col("ret")
     return one.groupBy("security_id").agg(
         (F.avg(r) / F.stddev_samp(r) * F.sqrt(F.lit(per_year))).alias("sharpe"), (F.avg(r) / F.sqrt(F.avg(F.pow(F.when(r.isNotNull(), F.least(r, F.lit(0.0))), 2))) * F.sqrt(F.lit(per_year))).alias("sortino"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .indicators import W
+from .indicators import by_session
 
 
 def action_gain() -> F.Column:
@@ -74,8 +74,8 @@ def calendar_mismatch(bars: DataFrame, calendar: DataFrame) -> DataFrame:
 def quality(bars: DataFrame, window: int = 252) -> DataFrame:
     """security_id, session, score and its parts over the trailing window: valid ranges, no missing value, positive prices, positive volume, no jump, no stale
     price; low < open, close < high counts as valid. Weights sum to 1."""
-    w = W.rowsBetween(-(window - 1), 0)
-    last = F.lag("close").over(W)
+    w = by_session().rowsBetween(-(window - 1), 0)
+    last = F.lag("close").over(by_session())
     parts = {
         "c_ohlc": (0.25, (F.col("low") <= F.least("open", "close")) & (F.greatest("open", "close") <= F.col("high"))), "c_missing": (0.2, F.col("open").isNotNull() & F.col("close").isNotNull()),
         "c_positive": (0.15, F.col("low") > 0), "c_volume": (0.15, F.col("volume") > 0), "c_jump": (0.15, F.coalesce(F.abs(F.col("close") / last - 1) <= 0.01, F.lit(True))), "c_stale": (0.1, F.coalesce(F.col("close") != last, F.lit(True))),
@@ -104,7 +104,7 @@ def coverage_by_year(members: DataFrame, bars: DataFrame) -> DataFrame:
 def split_state(bars: DataFrame, splits: DataFrame) -> DataFrame:
     """security_id, ex_date, ratio, state: whether the price series already holds the split. The step of log price over the ex-date is compared
     with no step and with the split's own."""
-    step = bars.select("security_id", "session", F.log(F.col("close") / F.lag("close").over(W)).alias("step"))
+    step = bars.select("security_id", "session", F.log(F.col("close") / F.lag("close").over(by_session())).alias("step"))
     both = splits.join(step, (splits.security_id == step.security_id) & (splits.ex_date == step.session), "left").select(splits.security_id, "ex_date", "ratio", "step")
     near0, near1 = F.abs("step"), F.abs(F.col("step") + F.log("ratio"))
     return both.withColumn("state", F.when(F.col("step").isNull(), "unknown").when(near0 < 0.25 * F.abs(F.log("ratio")), "applied").when(near1 < 0.25 * F.abs(F.log("ratio")), "not_applied").otherwise("ambiguous"))

@@ -132,10 +132,9 @@ register("agg_5_run_summary", _runs, query("SELECT s.security_id, s.as_of, s.as_
 register("win_1_true_range", lambda s, d: indicators.true_range(bars(s, d)).select("security_id", "session", "tr"), query("SELECT security_id, session, round(tr, 6) AS tr FROM ranged", "ranged"))
 register("win_2_wilder_atr", lambda s, d: ranged(s, d).select("security_id", "session", "atr"), query("SELECT security_id, session, round(atr, 6) AS atr FROM atrs", "atrs"))
 register("win_3_atr_at_as_of", lambda s, d: state_of(ranged(s, d)).where("atr is not null").select("security_id", "as_of", "atr"), query("SELECT security_id, as_of, round(atr, 6) AS atr FROM state WHERE atr IS NOT NULL", "state"))
-W3 = indicators.W.rowsBetween(-3, 3)
 register(
     "win_4_swing_test",
-    lambda s, d: bars(s, d).withColumns({"hh": F.max("high").over(W3), "ll": F.min("low").over(W3), "c": F.count("*").over(W3)}).where("c = 7 and (high >= hh or low <= ll)").select("security_id", "session", (F.col("high") >= F.col("hh")).alias("is_high"), (F.col("low") <= F.col("ll")).alias("is_low")),
+    lambda s, d: (lambda w: bars(s, d).withColumns({"hh": F.max("high").over(w), "ll": F.min("low").over(w), "c": F.count("*").over(w)}))(indicators.by_session().rowsBetween(-3, 3)).where("c = 7 and (high >= hh or low <= ll)").select("security_id", "session", (F.col("high") >= F.col("hh")).alias("is_high"), (F.col("low") <= F.col("ll")).alias("is_low")),
     query("SELECT security_id, session, high >= hh AS is_high, low <= ll AS is_low FROM swing_bars WHERE c = 7 AND (high >= hh OR low <= ll)", "swing_bars"),
 )
 SW = ["security_id", "t", "side", "level", "formed_at", "k_atr", "confirm_sessions"]
