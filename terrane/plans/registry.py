@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import core, data, labels, series, stream
+from . import core, data, features, labels, series, stream
 
-QUERIES: dict = {**core.QUERIES, **series.QUERIES, **data.QUERIES, **labels.QUERIES, **stream.QUERIES}
-ORACLE: dict[str, str] = {**core.ORACLE, **series.ORACLE, **data.ORACLE, **labels.ORACLE, **stream.ORACLE}
+QUERIES: dict = {**core.QUERIES, **series.QUERIES, **data.QUERIES, **labels.QUERIES, **stream.QUERIES, **features.QUERIES}
+ORACLE: dict[str, str] = {**core.ORACLE, **series.ORACLE, **data.ORACLE, **labels.ORACLE, **stream.ORACLE, **features.ORACLE}
