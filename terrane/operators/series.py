@@ -80,7 +80,7 @@ def market(bars: DataFrame) -> DataFrame:
 def regimes(index: DataFrame) -> DataFrame:
     """session, trend_z, vol_rank, regime from an index series (one row a session)."""
     out = index.withColumn("ret", F.log(F.col("close") / F.lag("close").over(by_session())))
-    out = out.withColumns({"sigma": F.stddev_samp("ret").over(frame(20)), "sma": F.when(F.count("*").over(frame(200)) == 200, F.avg("close").over(frame(200)))})
+    out = out.withColumns({"sigma": F.round(F.stddev_samp("ret").over(frame(20)), 12), "sma": F.when(F.count("*").over(frame(200)) == 200, F.avg("close").over(frame(200)))})
     out = out.withColumn("trend_z", (F.col("close") / F.col("sma") - 1) / F.nullif(F.col("sigma") * F.sqrt(F.lit(20.0)), F.lit(0.0)))
     past = F.collect_list("sigma").over(frame(756))
     out = out.withColumn("vol_rank", F.try_divide(F.size(F.filter(past, lambda x: x <= F.col("sigma"))), F.size(past)))

@@ -62,7 +62,7 @@ def density_clusters(candidates: DataFrame, eps: float = DEFAULT.density_eps, wi
     """``candidates`` with cluster by single linkage: gaps over eps ATRs part them; a cluster wider than ``widest`` ATRs is split once at
     its widest gap (the lowest of equals)."""
     order = Window.partitionBy(*KEY).orderBy("level", "source")
-    gap = (F.col("level") - F.lag("level").over(order)) / F.col("atr")
+    gap = F.round((F.col("level") - F.lag("level").over(order)) / F.col("atr"), 9)
     one = candidates.withColumn("gap", gap).withColumn("island", F.sum(F.when(F.col("gap") > eps, 1).otherwise(0)).over(order))
     inside = Window.partitionBy(*KEY, "island")
     row = F.row_number().over(inside.orderBy("level", "source"))

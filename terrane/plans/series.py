@@ -51,7 +51,7 @@ register(
 )
 register(
     "win_18_regimes", lambda s, d: S.regimes(S.market(bars(s, d))),
-    query(f"SELECT session, round(trend_z, 6) AS trend_z, round(vol_rank, 6) AS vol_rank, CASE WHEN vol_rank >= 0.9 THEN 'high_vol' WHEN trend_z > 1 THEN 'bull' WHEN trend_z < -1 THEN 'bear' WHEN abs(trend_z) <= 0.25 THEN 'range' WHEN trend_z > 0 THEN 'weak_bull' WHEN trend_z IS NOT NULL THEN 'weak_bear' END AS regime FROM (SELECT session, (close / sma - 1) / nullif(sigma * sqrt(20.0), 0) AS trend_z, CASE WHEN sigma IS NOT NULL THEN len(list_filter(past, lambda x: x <= sigma))::DOUBLE / len(list_filter(past, lambda x: x IS NOT NULL)) WHEN len(list_filter(past, lambda x: x IS NOT NULL)) > 0 THEN 0.0 END AS vol_rank FROM (SELECT session, close, sigma, CASE WHEN count(*) OVER {win(200)} = 200 THEN avg(close) OVER {win(200)} END AS sma, list(sigma) OVER {win(756)} AS past FROM (SELECT *, stddev_samp(ret) OVER {win(20)} AS sigma FROM (SELECT *, ln(close / lag(close) OVER {O}) AS ret FROM idx))))", "bars", extra={"idx": INDEX}),
+    query(f"SELECT session, round(trend_z, 6) AS trend_z, round(vol_rank, 6) AS vol_rank, CASE WHEN vol_rank >= 0.9 THEN 'high_vol' WHEN trend_z > 1 THEN 'bull' WHEN trend_z < -1 THEN 'bear' WHEN abs(trend_z) <= 0.25 THEN 'range' WHEN trend_z > 0 THEN 'weak_bull' WHEN trend_z IS NOT NULL THEN 'weak_bear' END AS regime FROM (SELECT session, (close / sma - 1) / nullif(sigma * sqrt(20.0), 0) AS trend_z, CASE WHEN sigma IS NOT NULL THEN len(list_filter(past, lambda x: x <= sigma))::DOUBLE / len(list_filter(past, lambda x: x IS NOT NULL)) WHEN len(list_filter(past, lambda x: x IS NOT NULL)) > 0 THEN 0.0 END AS vol_rank FROM (SELECT session, close, sigma, CASE WHEN count(*) OVER {win(200)} = 200 THEN avg(close) OVER {win(200)} END AS sma, list(sigma) OVER {win(756)} AS past FROM (SELECT *, round(stddev_samp(ret) OVER {win(20)}, 12) AS sigma FROM (SELECT *, ln(close / lag(close) OVER {O}) AS ret FROM idx))))", "bars", extra={"idx": INDEX}),
 )
 register("jon_17_relative_strength", lambda s, d: S.relative_strength(bars(s, d), S.market(bars(s, d))), query("SELECT b.security_id, b.session, " + ", ".join(f"round(b.r{n} - i.r{n}, 6) AS rs_{n}" for n in (1, 5, 20)) + " FROM (SELECT *, " + ", ".join(f"close / lag(close, {n}) OVER {O} - 1 AS r{n}" for n in (1, 5, 20)) + " FROM bars) b JOIN (SELECT *, " + ", ".join(f"close / lag(close, {n}) OVER {O} - 1 AS r{n}" for n in (1, 5, 20)) + " FROM idx) i USING (session)", "bars", extra={"idx": INDEX}))
 register(
