@@ -158,16 +158,32 @@ def _may_link(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """node, shingles of the wanted nodes, from one text of each."""
+    """node, shingles of the wanted nodes, from one text of each. Copies are left out within each task before anything is shuffled."""
     keys = common.small(common.stage(nodes.join(wanted, "node", "left_semi").select("text_key")), 1_000_000)
-    chosen = docs.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")).join(keys, "text_key", "left_semi").dropDuplicates(["text_key"])
-    each = lambda b: (lambda s: {"node": [xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in s], "shingles": s})([shingle_set(t, words) for t in common.texts(b)])
-    return common.arrow_pass(chosen, {"node": "long", "shingles": "array<long>"}, each)
+    chosen = docs.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")).join(keys, "text_key", "left_semi")
+
+    def run(batches):
+        seen = set()
+        for batch in batches:
+            for part in common.pieces_of(batch):
+                new = {}
+                for key, text in zip(common.column(part, "text_key").to_pylist(), common.texts(part), strict=True):
+                    if key not in seen:
+                        seen.add(key)
+                        new[key] = shingle_set(text, words)
+                node = [xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in new.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([*new.values()], pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return chosen.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
-def linked(nodes: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that reach the threshold, by the intersection of their sorted sets."""
+def linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int = WORDS) -> DataFrame:
+    """The pairs (a, b) that reach the threshold, by the intersection of their sorted sets. Only the sets of pairs that the bounds let pass
+    are made."""
     pairs = common.stage(_may_link(nodes, pairs))
+    if not pairs.limit(1).count():
+        return pairs
+    sets = common.stage(_sets(docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), words))
     a, b = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
 
     def each(batch: pa.RecordBatch) -> dict:
@@ -214,12 +230,11 @@ def cluster(docs: DataFrame, words: int = WORDS, rounds: int = ROUNDS) -> DataFr
     sketched = common.stage(sketches(docs, frequent_shingles(docs, words), words))
     nodes = common.stage(sketched.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("low_id"), F.first("n").alias("n"), F.first("text_key").alias("text_key"), F.first("bits").alias("bits")))
     listed = common.stage(listings(sketched))
-    sets = common.stage(_sets(docs, nodes, listed.select("node").distinct(), words))
     links, label = None, None
     for turn in range(rounds + 1):
         listed = _split(listed, label)
         pairs = _stars(listed, turn) if turn < rounds else _rest(listed)
-        more = common.stage(linked(nodes, sets, pairs))
+        more = common.stage(linked(docs, nodes, pairs, words))
         if more.limit(1).count():
             links = more if links is None else common.stage(links.unionByName(more))
             label = components(links)
