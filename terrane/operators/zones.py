@@ -65,11 +65,10 @@ def density_clusters(candidates: DataFrame, eps: float = DEFAULT.density_eps, wi
     gap = F.round((F.col("level") - F.lag("level").over(order)) / F.col("atr"), 9)
     one = candidates.withColumn("gap", gap).withColumn("island", F.sum(F.when(F.col("gap") > eps, 1).otherwise(0)).over(order))
     inside = Window.partitionBy(*KEY, "island")
-    row = F.row_number().over(inside.orderBy("level", "source"))
-    one = one.withColumn("pos", row).withColumn("span", (F.max("level").over(inside) - F.min("level").over(inside)) / F.col("atr"))
-    widest_gap = F.max(F.when(F.col("pos") > 1, F.struct(F.col("gap"), -F.col("pos")))).over(inside)
-    one = one.withColumn("cut", F.when(F.col("span") > widest, -widest_gap["col2"]))
-    return one.withColumn("cluster", F.col("island") * 2 + F.when(F.col("pos") >= F.col("cut"), 1).otherwise(0)).drop("gap", "pos", "span", "cut", "island")
+    one = one.withColumn("least", F.min("level").over(inside)).withColumn("span", (F.max("level").over(inside) - F.col("least")) / F.col("atr"))
+    widest_gap = F.max(F.when(F.col("level") > F.col("least"), F.struct("gap", (-F.col("level")).alias("below")))).over(inside)
+    one = one.withColumn("cut", F.when(F.col("span") > widest, -widest_gap["below"]))
+    return one.withColumn("cluster", F.col("island") * 2 + F.when(F.col("level") >= F.col("cut"), 1).otherwise(0)).drop("gap", "least", "span", "cut", "island")
 
 
 def deduped(candidates: DataFrame, within: float = 0.05) -> DataFrame:

@@ -94,5 +94,5 @@ register("srt_3_publish_rank", lambda s, d: L.published(_publishable(s, d)).sele
 register("set_3_deduped_levels", lambda s, d: Z.deduped(candidates(s, d)).select("security_id", "as_of", "source", "level", "n"), query("SELECT security_id, as_of, source, round(avg(level), 6) AS level, count(*) AS n FROM (SELECT *, sum(far) OVER (PARTITION BY security_id, as_of, source ORDER BY level ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, coalesce((level - lag(level) OVER (PARTITION BY security_id, as_of, source ORDER BY level)) / atr > 0.05, false)::INT AS far FROM cand)) GROUP BY security_id, as_of, source, island", "cand"))
 register(
     "cmp_2_density_clusters", lambda s, d: Z.density_clusters(candidates(s, d)).groupBy("security_id", "as_of", "cluster").agg(F.count("*").alias("n"), F.min("level").alias("low"), F.max("level").alias("high")).drop("cluster"),
-    query("SELECT security_id, as_of, n, round(low, 6) AS low, round(high, 6) AS high FROM (SELECT security_id, as_of, island, half, count(*) AS n, min(level) AS low, max(level) AS high FROM (SELECT *, CASE WHEN span > 1 AND pos >= cut THEN 1 ELSE 0 END AS half FROM (SELECT *, (max(level) OVER i - min(level) OVER i) / atr AS span, arg_max(pos, (gap, -pos)) FILTER (pos > 1) OVER i AS cut FROM (SELECT *, row_number() OVER (PARTITION BY security_id, as_of, island ORDER BY level, source) AS pos FROM (SELECT *, sum((coalesce(gap, 0) > 0.25)::INT) OVER (PARTITION BY security_id, as_of ORDER BY level, source ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, round((level - lag(level) OVER (PARTITION BY security_id, as_of ORDER BY level, source)) / atr, 9) AS gap FROM cand))) WINDOW i AS (PARTITION BY security_id, as_of, island))) GROUP BY ALL)", "cand"),
+    query("SELECT security_id, as_of, n, round(low, 6) AS low, round(high, 6) AS high FROM (SELECT security_id, as_of, island, half, count(*) AS n, min(level) AS low, max(level) AS high FROM (SELECT *, CASE WHEN (hi - lo) / atr > 1 AND level >= cut THEN 1 ELSE 0 END AS half FROM (SELECT *, arg_max(level, (gap, -level)) FILTER (level > lo) OVER (PARTITION BY security_id, as_of, island) AS cut FROM (SELECT *, min(level) OVER i AS lo, max(level) OVER i AS hi FROM (SELECT *, sum((coalesce(gap, 0) > 0.25)::INT) OVER (PARTITION BY security_id, as_of ORDER BY level, source) AS island FROM (SELECT *, round((level - lag(level) OVER (PARTITION BY security_id, as_of ORDER BY level, source)) / atr, 9) AS gap FROM cand)) WINDOW i AS (PARTITION BY security_id, as_of, island)))) GROUP BY ALL)", "cand"),
 )
