@@ -100,18 +100,18 @@ def adaptive_intervals(errors: DataFrame, alpha: float = 0.1, gamma: float = 0.0
 def isotonic(preds: DataFrame, stratum: str, p: str, y: str) -> DataFrame:
     """stratum, p, fitted: pool-adjacent-violators over the mean outcome of each distinct forecast (counted in Spark first, rounded to 3 decimals, so a stratum's group has at
     most 1001 rows)."""
-    counted = preds.groupBy(stratum, F.round(p, 3).alias("p")).agg(F.count("*").alias("n"), F.sum(y).alias("s"))
+    counted = preds.groupBy(stratum, F.round(p, 3).alias("_p")).agg(F.count("*").alias("_n"), F.sum(y).alias("_s"))
 
     def pav(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("p")
+        pdf = pdf.sort_values("_p")
         blocks: list[list[float]] = []
-        for n, s in zip(pdf["n"], pdf["s"], strict=True):
+        for n, s in zip(pdf["_n"], pdf["_s"], strict=True):
             blocks.append([float(n), float(s), 1])
             while len(blocks) > 1 and blocks[-2][1] / blocks[-2][0] > blocks[-1][1] / blocks[-1][0]:
                 n2, s2, c2 = blocks.pop()
                 blocks[-1] = [blocks[-1][0] + n2, blocks[-1][1] + s2, blocks[-1][2] + c2]
         fitted = [s / n for n, s, c in blocks for _ in range(int(c))]
-        return pd.DataFrame({"stratum": pdf[stratum].to_numpy(), "p": pdf["p"].to_numpy(), "fitted": fitted})
+        return pd.DataFrame({"stratum": pdf[stratum].to_numpy(), "p": pdf["_p"].to_numpy(), "fitted": fitted})
 
     return counted.groupBy(stratum).applyInPandas(pav, "stratum long, p double, fitted double")
 
