@@ -140,7 +140,7 @@ register(
 SW = ["security_id", "t", "side", "level", "formed_at", "k_atr", "confirm_sessions"]
 register("win_5_swing_confirmation", lambda s, d: levels.swings(ranged(s, d)).select(*SW, "seen_at"), query(f"SELECT security_id, t, side, {R('level')}, formed_at, k_atr, confirm_sessions, seen_at FROM swings", "swings"))
 register("win_6_swing_available_at", lambda s, d: levels.swings(ranged(s, d)).select("security_id", "t", "side", "k_atr", "available_at"), query("SELECT s.security_id, s.t, s.side, s.k_atr, b.available_at FROM swings s JOIN bars b ON b.security_id = s.security_id AND b.k = s.t + s.confirm_sessions", "swings"))
-register("win_7_bar_triples", lambda s, d: indicators.triples(bars(s, d)), query("SELECT security_id, session, k, round(h, 9) AS h, round(l, 9) AS l, round(c, 9) AS c FROM triples", "triples"), 9)
+register("win_7_bar_triples", lambda s, d: indicators.triples(bars(s, d)), query("SELECT security_id, session, k, round(h, 12) AS h, round(l, 12) AS l, round(c, 12) AS c FROM triples", "triples"), 12)
 
 
 def _walks(s, d) -> DataFrame:
@@ -155,7 +155,7 @@ register(
     lambda s, d: zones_and_state(s, d)[2].select("security_id", "as_of", "zone_id", F.row_number().over(Window.partitionBy("security_id", "as_of").orderBy(F.abs("distance_atr"), F.desc("side"), "center")).alias("rank")),
     query("SELECT security_id, as_of, zone_id, row_number() OVER (PARTITION BY security_id, as_of ORDER BY abs(distance_atr), side DESC, center) AS rank FROM zones", "zones"),
 )
-register("srt_5_last_500", lambda s, d: indicators.triples(bars(s, d)).withColumn("n", F.row_number().over(Window.partitionBy("security_id").orderBy(F.desc("k")))).where("n <= 500").drop("n"), query("SELECT security_id, session, k, round(h, 9) AS h, round(l, 9) AS l, round(c, 9) AS c FROM triples QUALIFY row_number() OVER (PARTITION BY security_id ORDER BY k DESC) <= 500", "triples"), 9)
+register("srt_5_last_500", lambda s, d: indicators.triples(bars(s, d)).withColumn("n", F.row_number().over(Window.partitionBy("security_id").orderBy(F.desc("k")))).where("n <= 500").drop("n"), query("SELECT security_id, session, k, round(h, 12) AS h, round(l, 12) AS l, round(c, 12) AS c FROM triples QUALIFY row_number() OVER (PARTITION BY security_id ORDER BY k DESC) <= 500", "triples"), 12)
 register("set_1_all_candidates", lambda s, d: candidates(s, d).select(*CAND), query(f"SELECT security_id, as_of, {R('level', 'lower', 'upper')}, source, family FROM cand", "cand"))
 register("set_2_rungs_once", lambda s, d: candidates(s, d).where("family = 'B'").select("security_id", "as_of", "level", "step", "rank"), query("SELECT security_id, as_of, round(level, 6) AS level, step, rank::BIGINT AS rank FROM rungs", "rungs"))
 register(

@@ -11,7 +11,7 @@ def value(x):
     if isinstance(x, bool):
         return x
     if isinstance(x, float):
-        return None if math.isnan(x) else round(x, 9) + 0.0
+        return None if math.isnan(x) else round(x, 12) + 0.0
     if isinstance(x, datetime.datetime):
         return x.replace(tzinfo=None)
     if isinstance(x, (list, tuple)):
