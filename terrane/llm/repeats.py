@@ -37,9 +37,27 @@ HOT_BLOCKS = 1 << 20
 FILTER_BITS = 1 << 29
 #: Bytes of text in one shard.
 SHARD = 2 << 20
+#: Windows whose suffixes are picked at once. Places within such a stretch are packed in the low 24 bits of the hashes.
+STRETCH = 1 << 22
 _PLACE = np.uint64((1 << 24) - 1)
 
 
+def _least(raw: bytes, at: int, n: int, width: int) -> np.ndarray:
+    """For each of ``n`` places from ``at`` on: of the ``width`` places from there on, the one whose eight bytes hash lowest."""
+    n += width - 1
+    if n > int(_PLACE) + 1:
+        raise ValueError(f"{n} places do not fit into the low 24 bits")
+    value = np.ndarray((n,), "<u8", raw, at, strides=(1,)) * np.uint64(0x9E3779B97F4A7C15)
+    value = (value ^ (value >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    value = (value & ~_PLACE) | np.arange(n, dtype=np.uint64)
+    done = 1
+    while done < width:  # value[i]: the least of the ``done`` places from i on
+        step = min(done, width - done)
+        value = np.minimum(value[:-step], value[step:])
+        done += step
+    return (value & _PLACE).astype(np.int64) + at
+
+
 def picked(texts: list[bytes], span: int = SPAN, depth: int = DEPTH) -> tuple[np.ndarray, ...]:
     """Of a shard: (text number, suffix start, first window start, last window start) of every picked suffix,
     starts counted within the text."""
@@ -50,22 +68,21 @@ def picked(texts: list[bytes], span: int = SPAN, depth: int = DEPTH) -> tuple[np
         return nothing, nothing, nothing, nothing
     raw = b"".join(texts[i] for i in use) + bytes(8)
     n = len(raw) - 8
-    value = np.ndarray((n,), "<u8", raw, strides=(1,)) * np.uint64(0x9E3779B97F4A7C15)
-    value = (value ^ (value >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    value = (value & ~_PLACE) | np.arange(n, dtype=np.uint64)
-    width, done = span - depth + 1, 1
-    while done < width:  # value[i]: the least of the ``done`` places from i on
-        step = min(done, width - done)
-        value = np.minimum(value[:-step], value[step:])
-        done += step
     starts = np.concatenate([[0], np.cumsum(lengths[use])])
     valid = np.zeros(n, bool)
     for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
         valid[a : b - span + 1] = True
-    window = np.flatnonzero(valid)
-    suffix = (value[window] & _PLACE).astype(np.int64)
-    new = np.flatnonzero(np.concatenate([[True], (np.diff(suffix) != 0) | (np.diff(window) != 1)]))
-    first, last, suffix = window[new], window[np.append(new[1:], len(window)) - 1], suffix[new]
+    runs = []
+    for at in range(0, n - span + 1, STRETCH):
+        count = min(STRETCH, n - span + 1 - at)
+        window = np.flatnonzero(valid[at : at + count])
+        if len(window):
+            suffix, window = _least(raw, at, count, span - depth + 1)[window], window + at
+            new = np.flatnonzero(np.concatenate([[True], (np.diff(suffix) != 0) | (np.diff(window) != 1)]))
+            runs.append((window[new], window[np.append(new[1:], len(window)) - 1], suffix[new]))
+    first, last, suffix = (np.concatenate(x) for x in zip(*runs, strict=True))
+    new = np.flatnonzero(np.concatenate([[True], (suffix[1:] != suffix[:-1]) | (first[1:] != last[:-1] + 1)]))  # runs cut by a stretch's end are one
+    first, last, suffix = first[new], last[np.append(new[1:], len(last)) - 1], suffix[new]
     text = np.searchsorted(starts, suffix, "right") - 1
     base = starts[text]
     return use[text], suffix - base, first - base, last - base

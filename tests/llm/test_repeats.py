@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from terrane.llm import repeats
@@ -66,5 +67,21 @@ def test_cut(spark):
     assert got[4].text == "" and got[5].text is None and got[2].copies == 4
 
 
+def test_text_longer_than_places_have_bits(spark):
+    letters = np.random.default_rng(3).integers(97, 123, 18_000_000, np.uint8).tobytes().decode()
+    early, late = letters[1_000_000:1_000_400], letters[17_000_000:17_000_300]
+    rows = [(1, letters), (2, "<" + early + ">"), (3, "<" + late + ">")]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in repeats.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {1: (18_000_000, 700, 2), 2: (402, 400, 1), 3: (302, 300, 1)}
+
+
+@pytest.mark.parametrize("stretch", [137, 4096])
+def test_stretches_pick_the_same(monkeypatch, stretch):
+    texts = [(t or "").encode() for _, t in made(2)]
+    whole = repeats.picked(texts)
+    monkeypatch.setattr(repeats, "STRETCH", stretch)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, repeats.picked(texts), strict=True))
+
+
 def test_empty(spark):
     assert repeats.report(spark.createDataFrame([], "doc_id long, text string")).collect() == []
