@@ -5,8 +5,9 @@ short access identifiers and account names, short or keyless secrets, and endpoi
 where complementary parts lie in its scope: the document, within ``REACH`` code points. An access identifier
 and a secret near each other are linked; an endpoint is reported if both lie near it.
 
-Spark joins parts by (document row, stretch of ``REACH`` code points), each part being listed under its own
-stretch and the identifiers also under the two beside it, so no document's parts are paired all with all.
+Spark joins parts by (document row, stretch of ``REACH`` code points), each part being listed under every
+stretch that it covers and the identifiers also under the two beside these, so no document's parts are paired
+all with all, and parts of any length meet.
 
 Null text counts as empty: no spans. Rows are kept one for one, repeated rows and ids included. Empty table:
 no rows. Positions count code points, ends are exclusive.
@@ -34,7 +35,8 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASSIGN_LEAST = 12
 
-# The weak patterns, whose group "v" is the part. All need a separator or a digit nearby.
+# The weak patterns, whose group "v" is the part. All but the access prefixes and keyless secrets need a separator.
+PREFIXES = ("akia", "asia", "ghp_", "sk_")
 WEAK_ACCESS = re.compile(r"""(?:AKIA|ASIA|ghp_|sk_)(?P<v>[A-Za-z0-9]{6,})|\b(?:user(?:name)?|login|client_?id|access_?key(?:_?id)?|account)["']?\x20*[:=]\x20*["']?(?P<w>[A-Za-z0-9_.@+-]{3,})""", re.A | re.I)
 WEAK_SECRET = re.compile(r"""\b(?:pass(?:word|wd|phrase)?|pwd|secret|token|api_?key|auth|credential|private_?key|secret_?access_?key)["']?\x20*[:=]\x20*["']?(?P<v>[^\s"',;]{6,})""", re.A | re.I)
 KEYLESS = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
@@ -55,8 +57,11 @@ def strong(text: str) -> list[tuple[int, int, str]]:
 def weak(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """(start, end, kind) of parts that count only together, clear of the base spans."""
     out = []
-    if ":" in text or "=" in text:
+    separated = ":" in text or "=" in text
+    low = "" if separated else text.lower()
+    if separated or any(p in low for p in PREFIXES):
         out += [(*m.span("w" if m["w"] else "v"), "weak_access") for m in WEAK_ACCESS.finditer(text)]
+    if separated:
         out += [(*m.span("v"), "weak_secret") for m in WEAK_SECRET.finditer(text)]
         out += [(*m.span(), "endpoint") for m in ENDPOINT.finditer(text)]
     out += [(*m.span(), "weak_secret") for m in KEYLESS.finditer(text) if _mixed(m[0])]
@@ -94,19 +99,24 @@ def _zipped(name: str):
     return F.arrays_zip(*(F.col(f"{name}_{x}").alias(x) for x in ("start", "end", "kind")))
 
 
+def _stretches(start: str, end: str, reach: int, more: int = 0):
+    """Every stretch that start to end - 1 covers, and ``more`` on both sides."""
+    return F.explode(F.sequence(F.floor(F.col(start) / reach) - more, F.floor((F.col(end) - 1) / reach) + more)).alias("stretch")
+
+
 def link(scanned: DataFrame, reach: int = REACH) -> DataFrame:
     """The weak parts whose complement lies in their scope: doc_row, start, end, kind."""
     parts = scanned.where(F.size("weak_start") > 0).select("doc_row", F.explode(F.concat(_zipped("base"), _zipped("weak"))).alias("p")).select("doc_row", "p.*")
     role = F.when(F.col("kind").isin("access", "weak_access"), "id").when(F.col("kind") == "endpoint", "place").otherwise("secret")
-    parts = parts.withColumn("role", role).withColumn("stretch", F.floor(F.col("start") / reach))
-    ids = parts.where("role = 'id'").select("doc_row", F.col("start").alias("i_start"), F.col("end").alias("i_end"), F.col("kind").alias("i_kind"), F.explode(F.sequence(F.col("stretch") - 1, F.floor((F.col("end") - 1) / reach) + 1)).alias("stretch"))
-    secrets = parts.where("role = 'secret'").select("doc_row", "stretch", "start", "end", "kind")
+    parts = parts.withColumn("role", role)
+    ids = parts.where("role = 'id'").select("doc_row", F.col("start").alias("i_start"), F.col("end").alias("i_end"), F.col("kind").alias("i_kind"), _stretches("start", "end", reach, 1))
+    secrets = parts.where("role = 'secret'").select("doc_row", _stretches("start", "end", reach), "start", "end", "kind")
     near = (F.col("start") < F.col("i_end") + reach) & (F.col("i_start") < F.col("end") + reach)
     pairs = ids.join(secrets, ["doc_row", "stretch"]).where(near & ((F.col("start") >= F.col("i_end")) | (F.col("i_start") >= F.col("end"))))
     found = pairs.select("doc_row", F.explode(F.array(F.struct(F.col("i_start").alias("start"), F.col("i_end").alias("end"), F.col("i_kind").alias("kind")), F.struct("start", "end", "kind"))).alias("p")).select("doc_row", "p.*")
     credentials = pairs.select("doc_row", F.least("i_start", "start").alias("c_start"), F.greatest("i_end", "end").alias("c_end")).distinct()
-    credentials = credentials.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("c_start") / reach) - 1, F.floor((F.col("c_end") - 1) / reach) + 1)))
-    places = parts.where("role = 'place'").join(credentials, ["doc_row", "stretch"]).where((F.col("start") < F.col("c_end") + reach) & (F.col("c_start") < F.col("end") + reach))
+    credentials = credentials.select("*", _stretches("c_start", "c_end", reach, 1))
+    places = parts.where("role = 'place'").select("*", _stretches("start", "end", reach)).join(credentials, ["doc_row", "stretch"]).where((F.col("start") < F.col("c_end") + reach) & (F.col("c_start") < F.col("end") + reach))
     found = found.unionByName(places.select("doc_row", "start", "end", "kind"))
     return found.where(F.col("kind").isin("weak_access", "weak_secret", "endpoint")).distinct()
 

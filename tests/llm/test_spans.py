@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from terrane.llm import pii, secrets
@@ -40,6 +41,46 @@ def test_weak_parts_need_their_complement(spark):
     assert got[8] == got[9] == got[10] == got[11] == ""
 
 
+def plain_links(text, reach=secrets.REACH):
+    """The linked weak parts, all parts compared with all."""
+    base = secrets.strong(text)
+    parts = base + secrets.weak(text, base)
+    near = lambda a, b: a[0] < b[1] + reach and b[0] < a[1] + reach
+    ids, places = ([p for p in parts if p[2] in k] for k in (("access", "weak_access"), ("endpoint",)))
+    found = set()
+    for i in ids:
+        for s in (p for p in parts if p not in ids and p not in places):
+            if near(i, s) and (s[0] >= i[1] or i[0] >= s[1]):
+                whole = (min(i[0], s[0]), max(i[1], s[1]))
+                found |= {i, s} | {p for p in places if near(p, whole)}
+    return {p for p in found if p[2] in ("weak_access", "weak_secret", "endpoint")}
+
+
+def linked(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scanned = secrets.scan(docs).persist()
+    ids = {r.doc_row: r.doc_id for r in scanned.select("doc_row", "doc_id").collect()}
+    out = [set() for _ in texts]
+    for r in secrets.link(scanned).collect():
+        out[ids[r.doc_row]].add((r.start, r.end, r.kind))
+    return out
+
+
+def test_links_of_long_parts(spark):
+    r = random.Random(4)
+    long = lambda: "".join(r.choices("abcXYZ019", k=r.choice([9, 150, 420, 900, 3000])))
+    made = [lambda: "password=" + long(), lambda: "pwd = " + long()[:30] + "!" + long(), lambda: "user: al" + str(r.randint(100, 999)), lambda: "login: " + long(), lambda: "https://db.example.com/" + long(), lambda: "host: h1", lambda: "ASIAQ" + long()]
+    texts = ["".join(r.choice(made)() + " " * r.choice([1, 5, 190, 199, 200, 201, 400]) for _ in range(r.randint(2, 6))) for _ in range(150)]
+    texts.append("password=" + "a1" * 246 + "a; user=alice")
+    want = [plain_links(t) for t in texts]
+    assert linked(spark, texts) == want and (secrets.REACH, want[-1]) == (200, {(509, 514, "weak_access")})
+
+
+def test_access_prefixes_need_no_separator(spark):
+    text = "ASIAQWERTY123456,aB3dE6gH9jK2mN5pQ8sT1vW4"
+    assert linked(spark, [text, "nothing here", text.replace(",", " ")]) == [{(4, 16, "weak_access"), (17, 41, "weak_secret")}, set(), {(4, 16, "weak_access"), (17, 41, "weak_secret")}]
+
+
 def test_redact(spark):
     docs = spark.createDataFrame([(i, t, 5, 9) for i, t in enumerate(TEXTS)], "doc_id long, text string, n_chars long, start long")
     got = {r.doc_id: r for r in secrets.redact(docs).collect()}
