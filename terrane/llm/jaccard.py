@@ -226,7 +226,8 @@ def _rest(listed: DataFrame) -> DataFrame:
 
 
 def cluster(docs: DataFrame, words: int = WORDS, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, doc_row, n_shingles, component_id, node for every row of ``docs``."""
+    """doc_id, doc_row, n_shingles, component_id, node, label for every row of ``docs``. The label tells components apart, which
+    the smallest id does not where ids repeat or are null."""
     sketched = common.stage(sketches(docs, frequent_shingles(docs, words), words))
     nodes = common.stage(sketched.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("low_id"), F.first("n").alias("n"), F.first("text_key").alias("text_key"), F.first("bits").alias("bits")))
     listed = common.stage(listings(sketched))
@@ -241,9 +242,9 @@ def cluster(docs: DataFrame, words: int = WORDS, rounds: int = ROUNDS) -> DataFr
     label = label if label is not None else nodes.select("node", F.col("node").alias("label"))
     named = nodes.join(label, "node", "left").select("node", "low_id", F.coalesce("label", "node").alias("label"))
     lowest = named.groupBy("label").agg(F.min("low_id").alias("component_id"))
-    by_node = named.join(lowest, "label").select("node", "component_id")
+    by_node = named.join(lowest, "label").select("node", "component_id", "label")
     rows = sketched.select("doc_id", "doc_row", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"))
-    return rows.join(by_node, "node", "left").select("doc_id", "doc_row", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "node")
+    return rows.join(by_node, "node", "left").select("doc_id", "doc_row", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "node", "label")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -255,8 +256,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     the smallest id stays (the first of them, if it repeats). Texts without words stay."""
     docs, back = common.shielded(docs)
     groups = common.stage(cluster(docs).where("n_shingles > 0"))
-    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("n"), F.col("node").cast("string")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc_row"))
-    kept = groups.groupBy(group.alias("g")).agg(first.alias("k")).select(F.col("k.doc_row").alias("doc_row"))
+    kept = groups.groupBy("label").agg(first.alias("k")).select(F.col("k.doc_row").alias("doc_row"))
     gone = common.small(common.stage(groups.join(kept, "doc_row", "left_anti").select("doc_row")), 2_000_000)
     return back(docs.withColumn("doc_row", F.monotonically_increasing_id()).join(gone, "doc_row", "left_anti"))

@@ -74,6 +74,15 @@ def test_keep_one(spark):
     assert sorted(((r.doc_id, r.text) for r in jaccard.keep_one(docs).collect()), key=str) == sorted([(5, "a b c d e f"), (9, None), (9, None), (2, "x y")], key=str)
 
 
+def test_keep_one_tells_components_apart(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join([*words[:-1], x]) for x in ("x", "y", "z")]
+    rows = [(1, "a b c d e f"), (1, "g h i j k l"), (1, "g h i j k l"), (4, "g h i j k l"), (1, "m n o p q r"), *((None, t) for t in near)]
+    got = Counter((r.doc_id, r.text) for r in jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    alike = [(d, t) for d, t in got if t in near]
+    assert len(alike) == 1 and got == Counter([rows[0], rows[1], rows[4], alike[0]])
+
+
 def test_empty(spark):
     assert jaccard.report(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
