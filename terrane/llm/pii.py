@@ -1,12 +1,13 @@
 """Operator 7: personal data, by base patterns and by bootstrapped contextual extraction.
 
-The base patterns (email, ip, card, phone) seed the search. Each seed's left context - the word before it,
-and the two words before it, with the seed's shape - is a lexical pattern; so is the left context of every
-other token that looks like an identifier. Spark keeps the graph of patterns and instances as counted edges
-and scores it in rounds: a pattern is as good as the mean score of its distinct instances, shrunk towards
-nought while these are few; an instance is as good as one minus the product of its patterns' failings;
-seeds stay at 1. Instances that are no seeds are reported as kind ``found`` at places where a pattern of
-high confidence stands before them.
+The base patterns (email, ip, card, phone) seed the search. The words beside a seed - the one and the two before
+it, the one and the two after it, without the seed's shape, and the word before it with that shape - are its
+lexical patterns; so are those of every other token that looks like an identifier. Spark keeps the graph of
+patterns and instances as counted edges and scores it in rounds: a pattern is as good as the mean score of its
+distinct instances, shrunk towards nought while these are few; an instance is, to a pattern, as good as one minus
+the product of the failings of its better patterns at other words, so that no pattern vouches for itself; seeds
+stay at 1. Instances that are no seeds are reported as kind ``found`` at places where a pattern of high
+confidence stands beside them. As words alone make a pattern, confidence passes to shapes that no seed has.
 
 Only the edges go through the rounds: their number follows the identifiers in the text, not its length, and
 a pattern that is very frequent (a hot key) is one row after counting. Null text counts as empty: no spans.
@@ -29,6 +30,8 @@ ROUNDS = 3
 #: A pattern's confidence is sum of scores / (distinct instances + SHRINK); it is trusted from TRUST on.
 SHRINK = 2.0
 TRUST = 0.8
+#: A pattern speaks for an instance from this confidence on.
+VOICE = 0.5
 
 # The base patterns.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -37,9 +40,10 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _DIGIT = re.compile("[0-9]").search
-#: What looks like an identifier: a token with at least five digits, or letters and digits mixed, or an @.
-_TOKEN = re.compile(r"[A-Za-z0-9@][A-Za-z0-9@._/-]*[0-9@][A-Za-z0-9@._/-]*")
+#: What looks like an identifier: groups of digits with at least five in all, or letters and digits mixed, or an @.
+_TOKEN = re.compile(r"(?<![A-Za-z0-9@+])(?:\+?\(?[0-9]+(?:[\x20()./-]{1,3}[0-9]+)*(?![._/+-]?[A-Za-z0-9@])|\+?[A-Za-z0-9@][A-Za-z0-9@._/+-]*(?:(?<=[0-9@])|[0-9@])[A-Za-z0-9@._/+-]*)")
 _LEFT = re.compile(r"(?:([^\W\d_]{2,24})[^\w\n]{1,3})?([^\W\d_]{2,24})[^\w\n]{1,4}\Z")
+_RIGHT = re.compile(r"[^\w\n]{1,4}([^\W\d_]{2,24})(?!\w)(?:[^\w\n]{1,3}([^\W\d_]{2,24})(?!\w))?")
 
 
 def luhn(digits: str) -> bool:
@@ -70,26 +74,38 @@ def shape(token: str) -> str:
     return re.sub(r"9{5,}", "9+", re.sub(r"a{4,}", "a+", re.sub(r"[A-Za-z]", "a", re.sub(r"[0-9]", "9", token))))
 
 
-def left_patterns(text: str, start: int, form: str) -> list[str]:
-    m = _LEFT.search(text, max(0, start - 64), start)
-    if not m:
-        return []
-    return [f"{m[2].lower()} <{form}>", *([f"{m[1].lower()} {m[2].lower()} <{form}>"] if m[1] else [])]
+def contexts(text: str, start: int, end: int, form: str) -> list[str]:
+    """The lexical patterns of a place, as side:word or side:word:more. What is alike up to the word is one group."""
+    out = []
+    if m := _LEFT.search(text, max(0, start - 64), start):
+        word = f"l:{m[2].lower()}"
+        out += [word, f"{word}:<{form}>", *([f"{word}:{m[1].lower()}"] if m[1] else [])]
+    if m := _RIGHT.match(text, end, end + 64):
+        word = f"r:{m[1].lower()}"
+        out += [word, *([f"{word}:{m[2].lower()}"] if m[2] else [])]
+    return out
+
+
+def identifier(token: str) -> bool:
+    digits = sum(c in "0123456789" for c in token)
+    return digits >= 5 or "@" in token or (digits > 0 and any(c.isalpha() for c in token))
 
 
 def occurrences(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str, bool, str]]:
-    """(start, end, instance, seed?, patterns joined by tabs) of seeds and of other identifier-like tokens."""
+    """(start, end, instance, seed?, patterns joined by tabs) of seeds and, between them, of other identifier-like tokens."""
     if not base and not _DIGIT(text) and "@" not in text:
         return []
     out, taken = [], sorted(base)
     for s, e, _ in taken:
-        out.append((s, e, text[s:e], True, "\t".join(left_patterns(text, s, shape(text[s:e])))))
-    for m in _TOKEN.finditer(text):
-        s, e = m.span()
-        token = m[0].rstrip("./-")
-        e = s + len(token)
-        if (sum(c.isdigit() for c in token) >= 5 or "@" in token) and not any(s < b and a < e for a, b, _ in taken):
-            out.append((s, e, token, False, "\t".join(left_patterns(text, s, shape(token)))))
+        out.append((s, e, text[s:e], True, "\t".join(contexts(text, s, e, shape(text[s:e])))))
+    at = 0
+    for a, b, _ in [*taken, (len(text), len(text), "")]:
+        for m in _TOKEN.finditer(text, at, a) if at < a else ():
+            token = m[0].rstrip("./-")
+            s, e = m.start(), m.start() + len(token)
+            if identifier(token) and not (m.end() == a < len(text) and text[a].isalnum() and text[a - 1].isalnum()):
+                out.append((s, e, token, False, "\t".join(contexts(text, s, e, shape(token)))))
+        at = max(at, b)
     return out
 
 
@@ -119,13 +135,18 @@ def patterns(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """pattern, confidence: the graph's patterns after the last round."""
     edges = seen(scanned).where("patterns != ''").select("instance", "seed", F.explode(F.split("patterns", "\t")).alias("pattern"))
     edges = common.stage(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
-    scores = edges.select("pattern", "instance", F.col("seed").cast("double").alias("score"))
+    scores = edges.select("pattern", F.col("seed").cast("double").alias("score"))
+    confidence = lambda: scores.groupBy("pattern").agg((F.sum("score") / (F.count("*") + SHRINK)).alias("confidence"))
+    word = F.substring_index("pattern", ":", 2).alias("word")
     for _ in range(rounds):
-        confidence = scores.groupBy("pattern").agg((F.sum("score") / (F.count("*") + SHRINK)).alias("confidence"))
-        failing = edges.join(confidence, "pattern").groupBy("instance").agg(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))).alias("failing"))
-        scores = edges.join(failing, "instance").select("pattern", "instance", F.when(F.col("seed") == 1, 1.0).otherwise(1 - F.exp("failing")).alias("score"))
-        scores = common.stage(scores)
-    return scores.groupBy("pattern").agg((F.sum("score") / (F.count("*") + SHRINK)).alias("confidence"))
+        speaks = confidence().where(F.col("confidence") >= VOICE)
+        words = edges.where("seed = 0").join(speaks, "pattern").groupBy("instance", word).agg(F.log1p(-F.least(F.max("confidence"), F.lit(0.999))).alias("own"))
+        words = common.stage(words)
+        whole = words.groupBy("instance").agg(F.sum("own").alias("all"))
+        told = edges.select("*", word).join(whole, "instance", "left").join(words, ["instance", "word"], "left")
+        others = 1 - F.exp(F.coalesce("all", F.lit(0.0)) - F.coalesce("own", F.lit(0.0)))
+        scores = common.stage(told.select("pattern", F.when(F.col("seed") == 1, 1.0).otherwise(others).alias("score")))
+    return confidence()
 
 
 def discovered(scanned: DataFrame, rounds: int = ROUNDS, trust: float = TRUST) -> DataFrame:

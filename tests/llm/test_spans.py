@@ -122,6 +122,26 @@ def test_context_discovers_what_no_pattern_knows(spark):
     assert got[200] == "found:16:32" and got[201] == ""
 
 
+def test_context_discovers_shapes_that_no_seed_has(spark):
+    phones = [f"please call phone +1 (2{k % 90 + 10}) 555-{1000 + k} today" for k in range(200)]
+    badges = [f"please call phone EMP-{100 + k}x today" for k in range(15)] + [f"a badge EMP-{100 + k}x opened" for k in range(15)]
+    new = ["201-555-1001", "+201 55", "201 555 1001", "(201) 555 1001", "Q7", "AB12-99/C", "x@y"]
+    rows = [*phones, *badges, *(f"please call phone {n} today" for n in new), "a badge EMP-999y opened", "nobody wrote 201-555-1001 here", "nobody wrote EMP-101x here"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: [t for t in r.spans.split(",") if t.startswith("found")] for r in pii.report(docs).collect()}
+    at = len(phones) + len(badges)
+    assert [got[at + i] for i in range(len(new))] == [[f"found:18:{18 + len(n)}"] for n in new]
+    assert got[at + len(new)] == ["found:8:16"] and got[at + len(new) + 1] == got[at + len(new) + 2] == []
+    once = {r.doc_id for r in pii.find(docs, rounds=0).where("size(spans) > size(base)").collect()}
+    assert at + len(new) not in once
+
+
+def test_tokens_between_seeds():
+    find = lambda t: [(o[2], o[3]) for o in pii.occurrences(t, pii.base_spans(t))]
+    assert find("12-34ab56 and 2021 5a, 1.2.3.4 EMP-7x") == [("1.2.3.4", True), ("12-34ab56", False), ("5a", False), ("EMP-7x", False)]
+    assert find("ids 3, 44 and plain words") == []
+
+
 def test_empty_tables(spark):
     empty = table(spark, TEXTS).limit(0)
     assert secrets.report(empty).collect() == [] and pii.report(empty).collect() == []
