@@ -1,7 +1,8 @@
 """Operator 2: language of every document, and of the spans of a text that mixes languages.
 
 Training counts hashed character n-grams of words by language over a bounded sample of the labelled rows
-(``SAMPLE`` rows of each language expected, chosen by a hash of the row, spread over all of them). The script
+(``SAMPLE`` rows of each language expected, chosen by a hash of the row, spread over all of them). A run of
+letters is cut where its script changes and into words of at most ``LONGEST`` characters, so all of it is read. The script
 of a word narrows its candidates to the languages that were seen with that script; a naive Bayes score for
 each candidate follows from its n-grams. Viterbi with a switching penalty turns the scores of a text's words
 into spans of one language each. The document's language is the one whose spans hold the most letters; its
@@ -24,22 +25,53 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Labelled rows of each language to learn from, in expectation. At most ``LANGUAGES`` languages, the most frequent.
+#: Labelled rows of each language to learn from, in expectation. All languages there are.
 SAMPLE = 1500
-LANGUAGES = 64
-#: Buckets of the n-gram table: it holds BUCKETS * languages float32 numbers (16 MB at most by default).
+#: Buckets of the n-gram table: it holds BUCKETS * languages float32 numbers (16 MB for 64 languages).
 BUCKETS = 1 << 16
+#: Characters of a word; longer runs of letters are several words.
+LONGEST = 40
 #: Nats that a change of language costs, and the most that one word can say for a language.
 SWITCH = 12.0
 CLIP = 6.0
-#: Distinct words whose scores a task keeps.
+#: Distinct words whose scores a task keeps, and that it scores at once, for up to ``USUAL`` languages; fewer for more.
 KEPT = 200_000
+ONCE = 20_000
+USUAL = 64
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: First code point of each script range; words are told apart by their first letter's range.
 SCRIPTS = (0x0, 0x250, 0x370, 0x400, 0x530, 0x590, 0x600, 0x700, 0x900, 0x980, 0xA00, 0xA80, 0xB80, 0xC00, 0xE00, 0xE80, 0x10A0, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x3040, 0x3100, 0x3400, 0xA000, 0xAC00, 0xD7B0)
 
 
+#: Ranges whose letters stand in one word, by the range that they are joined to; signs that may stand in any word.
+JOINED = {0x250: 0x0, 0x1E00: 0x0, 0x1F00: 0x370, 0xAC00: 0x1100}
+ANY = "\u02b0-\u02ff\u3005-\u3007"
+
+
+def _pieces(most: int = LONGEST) -> re.Pattern:
+    """Matches up to ``most`` letters of one script. What it finds in a run of letters, joined, is the run."""
+    classes: dict[int, str] = {}
+    for first, after in zip(SCRIPTS, (*SCRIPTS[1:], 0x110000), strict=True):
+        at = JOINED.get(first, first)
+        classes[at] = classes.get(at, ANY) + f"{re.escape(chr(first))}-{re.escape(chr(after - 1))}"
+    return re.compile("|".join(f"[{c}]{{1,{most}}}" for c in classes.values()))
+
+
+_PIECE = _pieces()
+
+
+def split(runs: list[str]) -> list[str]:
+    """The words that runs of letters are cut into."""
+    out = []
+    for run in runs:
+        if len(run) <= LONGEST and run.isascii():
+            out.append(run)
+        else:
+            out += _PIECE.findall(run)
+    return out
+
+
 def script(word: str) -> int:
     return int(np.searchsorted(SCRIPTS, ord(word[0]), "right"))
 
@@ -48,7 +80,7 @@ def grams(words: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
     """For n = 2, 3, 4: the bucket of the n-gram that starts at each character of the joined words, ``-1``
     where it would leave its word; and where each word starts. Words are lower-cased, marked at both ends
     and hashed as a whole in the place of their first character's one-gram."""
-    marked = [f"<{w[:40].lower()}>" for w in words]
+    marked = [f"<{w.lower()}>" for w in words]
     codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     lengths = np.fromiter(map(len, marked), np.int64, len(marked))
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
@@ -104,11 +136,12 @@ class Model:
 
     def learn(self, found: set[str]) -> None:
         """Score the words that are not in the table yet; it starts afresh when it holds ``KEPT`` words."""
+        kept, once = (max(1, x * USUAL // max(USUAL, len(self.langs))) for x in (KEPT, ONCE))
         new = [w for w in found if w not in self.words]
-        if len(self.words) + len(new) > KEPT:
+        if len(self.words) + len(new) > kept:
             self.words, self.rows, new = {}, self.rows[:0], list(found)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+        for at in range(0, len(new), once):
+            part = new[at : at + once]
             self.words.update(zip(part, range(len(self.rows), len(self.rows) + len(part)), strict=True))
             self.rows = np.vstack([self.rows, self.score(part)])
 
@@ -147,23 +180,23 @@ class Model:
 
     def label(self, text: str) -> list[tuple[int, int, str]]:
         """Spans of a text as (start, end, language)."""
-        found = list(_WORD.finditer(text))
+        found = [(m.start() + p.start(), m.start() + p.end()) for m in _WORD.finditer(text) for p in _PIECE.finditer(m[0])]
         if not found or not self.langs:
             return []
-        words = [m[0] for m in found]
+        words = [text[a:b] for a, b in found]
         self.learn(set(words))
         path = self.states(self.emissions(words))
         cuts = np.flatnonzero(np.diff(path)) + 1
-        return [(found[a].start(), found[b - 1].end(), self.langs[path[a]]) for a, b in zip([0, *cuts], [*cuts, len(path)], strict=True)]
+        return [(found[a][0], found[b - 1][1], self.langs[path[a]]) for a, b in zip([0, *cuts], [*cuts, len(path)], strict=True)]
 
     def verdicts(self, texts: list[str]) -> list[tuple[str, float]]:
         """(language, score) of each text."""
-        split = [_WORD.findall(t) for t in texts]
         if not self.langs:
             return [("und", 0.0)] * len(texts)
-        self.learn(set().union(*split))
+        parts = [split(_WORD.findall(t)) for t in texts]
+        self.learn(set().union(*parts))
         out = []
-        for words in split:
+        for words in parts:
             e = self.emissions(words)
             out.append(self._verdict(words, e, self.states(e)) if words else ("und", 0.0))
         return out
@@ -181,7 +214,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Counts in Spark; the driver gets one table of fixed size."""
     common.light_batches(docs.sparkSession)
     rows = training_rows(docs)
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
         return Model([], np.zeros((0, BUCKETS)), np.zeros((0, len(SCRIPTS) + 1)))
@@ -194,7 +227,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
         for batch in batches:
             for lang, text in zip(common.column(batch, "lang").to_pylist(), common.texts(batch), strict=True):
                 row = total.setdefault(lang, np.zeros(width, np.int64))
-                words = list(set(_WORD.findall(text)))
+                words = list(set(split(_WORD.findall(text))))
                 if words:
                     scripts = np.searchsorted(SCRIPTS, [ord(w[0]) for w in words], "right")
                     cells = np.concatenate([b[b >= 0] for b in grams(words)[0]] + [BUCKETS + scripts])

@@ -58,3 +58,24 @@ def test_scripts_narrow_the_candidates(spark):
     m = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     e = m.score(["слово", "word"])
     assert e[0].tolist() == [-langid.CLIP, 0.0] and e[1].tolist() == [0.0, -langid.CLIP]
+
+
+def test_runs_are_read_to_their_end(spark):
+    rows = [(i, ("слово и текст", "word and text", "你好世界中文", "これはほんです")[i % 4], ("ru", "en", "zh", "ja")[i % 4]) for i in range(80)]
+    m = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert m.label("word" * 60 + "你好世界" * 120) == [(0, 240, "en"), (240, 720, "zh")]
+    assert m.verdicts(["word" * 10 + "слово" * 40])[0][0] == "ru" and m.verdicts(["你好世界" + "これはほん" * 20])[0][0] == "ja"
+
+
+def test_pieces_are_the_whole_run():
+    run = "Việtngữ" + "п" * 95 + "x𠀀𠀁한국어"
+    got = langid.split([run, "plain", "b" * 81, "п\u02bcять"])
+    assert got == ["Việtngữ", "п" * 40, "п" * 40, "п" * 15, "x", "𠀀𠀁", "한국어", "plain", "b" * 40, "b" * 40, "b", "п\u02bcять"]
+
+
+def test_all_languages_are_learned(spark):
+    names = [f"l{i:02d}" for i in range(70)]
+    own = [chr(97 + i % 26) * 3 + chr(97 + i // 26) * 3 for i in range(70)]
+    rows = [(k * 70 + i, f"{own[i]} {own[i]}z", names[i]) for k in range(6) for i in range(70)]
+    m = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert m.langs == names and [v[0] for v in m.verdicts([f"{w} {w}z" for w in own])] == names
