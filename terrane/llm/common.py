@@ -54,11 +54,12 @@ def arrow_pass(df: DataFrame, ddl: dict[str, str], each: Callable[[pa.RecordBatc
     return df.mapInArrow(run, ", ".join(f"`{k}` {v}" for k, v in ddl.items()))
 
 
-def light_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Fewer rows to an Arrow batch, unless the session says otherwise: texts are long, and a batch is held several times over."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name, "10000") == "10000":
-        spark.conf.set(name, str(rows))
+def light_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
+    """Fewer rows and bytes to an Arrow batch, unless the session says otherwise: texts are long, and a batch is held several times over."""
+    for name, value in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, str(value))
 
 
 def pieces_of(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -1,18 +1,20 @@
 """Operator 3: exact n-gram Jaccard join, with components.
 
-A document's set holds 64-bit hashes of its distinct shingles; documents with the same set are one node. Two
-sets can only reach the threshold if they share one of the first ``n - ceil(0.8 n) + 1`` shingles of any
-fixed order, so each node is listed under these. The order puts the shingles that very many documents
-share last (by counts over all documents), so a common passage lists nobody but those made of little else.
-
-A tile is what one shingle and one band of sizes hold; linked sets lie in the same or neighbouring bands.
-Signatures are parity bitmaps: the bits that differ bound the symmetric difference from below, so
-``(|A| + |B| - differing bits) / 2`` bounds the overlap from above. What passes is decided on the sorted sets.
-
-In each of ``ROUNDS`` rounds a node is compared with at most two centres of its tiles that are in other components
-than its own, which soon joins most of each group of near copies. Then only nodes of one tile that are still in
-different components are compared, all of them. So no two linked sets stay apart, and a group of near copies is
-never spelt out as pairs.
+A document's set holds 64-bit hashes of its distinct shingles; documents with the same set are one node. A pair
+that reaches the threshold shares ``NUM * (n_a + n_b) / (NUM + DEN)`` shingles or more. In any fixed order of the
+shingles, its first shared one then stands at a place ``pos`` in both sets with ``n - pos`` no less than that, so a node
+need only be listed under its first ``n - ceil(0.8 n) + 1``. The order puts the shingles that very many documents share
+last (by counts over all documents), so a common passage lists nobody but those made of little else.
+
+A tile is what one shingle lists, in bands of sizes; linked sets lie in the same or neighbouring bands. Signatures are
+parity bitmaps: the bits that differ bound the symmetric difference from below, so ``(|A| + |B| - differing bits) / 2``
+bounds the overlap from above. What passes is decided on the sorted sets.
+
+A group of near copies is never spelt out as pairs. In each of ``ROUNDS`` rounds a node is compared with at most two centres
+of its tiles that are in other components than its own. The centre is the node with the fewest shingles before the tile's own:
+rarer ones are what tells a copy from the text that it was made from, so the centre is what most of the group is close to.
+Then nodes of one tile that are still in different components, and whose places and sizes let them reach the threshold, are
+compared, all of them: no two linked sets stay apart.
 
 The hash stands for the shingle: two different shingles of one pair meet with chance 2**-64. A text without words
 is linked with nothing. Null text counts as empty. Rows are kept one for one, repeated rows and ids
@@ -40,8 +42,10 @@ HOT = 1 << 19
 BLOCK = 1_500_000
 #: Times that a shingle must occur in a block to be passed on.
 REPEATS = 2
-#: Rounds of comparisons with centres.
+#: Rounds of comparisons with centres, at most.
 ROUNDS = 3
+#: Listings of one shingle that one task looks through for a second node.
+TILE = 1_000_000
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -73,8 +77,8 @@ def _counted(block: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(value[keep]), pa.array(n[keep].astype(np.int64))], ["shingle", "n"])
 
 
-def frequent_shingles(docs: DataFrame, words: int = WORDS, most: int = HOT) -> np.ndarray:
-    """Frequent shingles, the most frequent last, at most ``most``. Sets of a block with the same smallest
+def frequent_shingles(docs: DataFrame, words: int = WORDS, most: int = HOT) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles, the most frequent last, at most ``most``, and their counts. Sets of a block with the same smallest
     shingles (copies) count once. Any result gives right links: it only orders the search."""
 
     def count(batches):
@@ -95,7 +99,7 @@ def frequent_shingles(docs: DataFrame, words: int = WORDS, most: int = HOT) -> n
     common.light_batches(docs.sparkSession)
     counted = docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "shingle").limit(most).toPandas().sort_values(["n", "shingle"])
-    return top["shingle"].to_numpy(np.int64)
+    return top["shingle"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -107,41 +111,64 @@ def signature(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
-def sketches(docs: DataFrame, frequent: np.ndarray, words: int = WORDS) -> DataFrame:
-    """A row for each document: doc_id, doc_row, text_key, n, node, bits, prefix."""
-    ranked = np.argsort(frequent, kind="stable")
-    shared = docs.sparkSession.sparkContext.broadcast((frequent[ranked], ranked))
+def sketches(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: int = WORDS) -> DataFrame:
+    """A row for each document: doc_id, doc_row, text_key, n, node; and bits, prefix, slot of the first document with its set in a
+    task, null for the others. ``slot`` spreads the listings of shingles with over ``TILE`` of them; null: there are none."""
+    shingles, counts = frequent
+    ranked = np.argsort(shingles, kind="stable")
+    heavy = {int(k): int(n) // TILE + 1 for k, n in zip(shingles[counts > TILE], counts[counts > TILE], strict=True)}
+    shared = docs.sparkSession.sparkContext.broadcast((shingles[ranked], ranked.astype(np.int32), heavy))
+
+    def run(batches):
+        hot, rank, heavy = shared.value
+        seen = set()
+        for batch in batches:
+            for part in common.pieces_of(batch):
+                out = {"n": [], "node": [], "bits": [], "prefix": [], "slot": []}
+                for text in common.texts(part):
+                    s = shingle_set(text, words)
+                    n = len(s)
+                    node = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+                    out["n"].append(n)
+                    out["node"].append(node)
+                    if not n or node in seen:
+                        for c in ("bits", "prefix", "slot"):
+                            out[c].append(None)
+                        continue
+                    seen.add(node)
+                    order = _ordered(s, hot, rank)[: n - (NUM * n + DEN - 1) // DEN + 1]
+                    slots = [heavy.get(x, 0) for x in order.tolist()] if heavy else ()
+                    out["bits"].append(signature(s))
+                    out["prefix"].append(order)
+                    out["slot"].append([x and 1 + node % x for x in slots] if any(slots) else None)
+                yield pa.RecordBatch.from_arrays([*(common.column(part, c) for c in ("doc_id", "doc_row", "text_key")), *(pa.array(v, common.ARROW[ddl[c]]) for c, v in out.items())], [*ddl])
+
+    ddl = {"doc_id": "long", "doc_row": "long", "text_key": "long", "n": "long", "node": "long", "bits": "array<long>", "prefix": "array<long>", "slot": "array<long>"}
+    common.light_batches(docs.sparkSession)
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("doc_row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
+    return rows.mapInArrow(run, ", ".join(f"{k} {v}" for k, v in ddl.items()))
 
-    def each(batch: pa.RecordBatch) -> dict:
-        hot, rank = shared.value
-        out = {"n": [], "node": [], "bits": [], "prefix": []}
-        for text in common.texts(batch):
-            s = shingle_set(text, words)
-            n = len(s)
-            out["n"].append(n)
-            out["node"].append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
-            out["bits"].append(signature(s) if n else [])
-            size = n - (NUM * n + DEN - 1) // DEN + 1 if n else 0
-            order = s
-            if len(hot) and n:
-                at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-                is_hot = hot[at] == s
-                if is_hot.any():
-                    late = s[is_hot]
-                    order = np.concatenate([s[~is_hot], late[np.argsort(rank[at[is_hot]], kind="stable")]])
-            out["prefix"].append(order[:size])
-        return {c: common.column(batch, c) for c in ("doc_id", "doc_row", "text_key")} | out
-
-    rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")).withColumn("doc_row", F.monotonically_increasing_id())
-    return common.arrow_pass(rows, {"doc_id": "long", "doc_row": "long", "text_key": "long", "n": "long", "node": "long", "bits": "array<long>", "prefix": "array<long>"}, each)
+
+def _ordered(s: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The set with its frequent shingles last, by rank."""
+    if not len(hot):
+        return s
+    at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
+    is_hot = hot[at] == s
+    if not is_hot.any():
+        return s
+    late = s[is_hot]
+    return np.concatenate([s[~is_hot], late[np.argsort(rank[at[is_hot]], kind="stable")]])
 
 
 def listings(sketched: DataFrame) -> DataFrame:
-    """shingle, node, n, band: the listings of shingles that list two nodes or more. Both branches read the same shuffle."""
-    listed = sketched.where("n > 0").select("node", "n", F.explode("prefix").alias("shingle")).repartition("shingle")
-    tiles = listed.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("shingle")
+    """shingle, node, n, pos, band: the listings of shingles that list two nodes or more. Both branches read the same shuffle, in
+    which a shingle with very many listings is spread over its slots."""
+    listed = sketched.where("prefix is not null").select("node", "n", "slot", F.posexplode("prefix").alias("pos", "shingle"))
+    listed = listed.withColumn("slot", F.coalesce(F.get("slot", F.col("pos")), F.lit(0).cast("long"))).repartition("shingle", "slot")
+    tiles = listed.groupBy("shingle", "slot").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high or slot > 0").select("shingle", "slot")
     band = F.floor(F.log("n") / F.log(F.lit(DEN / NUM))).cast("int")
-    return listed.join(tiles, "shingle", "left_semi").distinct().withColumn("band", band)
+    return listed.join(tiles, ["shingle", "slot"], "left_semi").distinct().drop("slot").withColumn("band", band)
 
 
 def _may_link(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -207,38 +234,54 @@ def _split(listed: DataFrame, label: DataFrame | None) -> DataFrame:
     return common.stage(named.join(tiles, "shingle", "left_semi"))
 
 
+def _reach():
+    """Whether the places of a shared shingle in sets a and b leave room for the overlap that the threshold asks for. If it is the first
+    one that they share, all that they share lies from there on. It holds for the first, so each linked pair passes in one tile at least."""
+    return NUM * (F.col("n_a") + F.col("n_b")) <= (NUM + DEN) * F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+
+
+def _side(listed: DataFrame, side: str) -> DataFrame:
+    return listed.select("shingle", "band", *(F.col(c).alias(f"{c}_{side}" if c != "node" else side) for c in ("node", "n", "pos", "label")))
+
+
 def _stars(listed: DataFrame, turn: int) -> DataFrame:
-    """At most two pairs for each node: with centres of its tiles that are in other components."""
-    salt = F.xxhash64("shingle", F.lit(turn))
-    mark = F.col("node").bitwiseXOR(salt)
-    centres = listed.groupBy("shingle", "band").agg(F.min(mark).alias("mark"), F.min_by("label", mark).alias("c_label"))
-    met = listed.join(centres, ["shingle", "band"]).where("label != c_label").select("node", F.col("mark").bitwiseXOR(salt).alias("centre"))
-    few = met.groupBy("node").agg(F.min("centre").alias("low"), F.max("centre").alias("high"))
-    return few.select("node", F.explode(F.array("low", "high")).alias("centre")).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    """At most two pairs for each node: with the centres of its tiles that are in other components. The first turn stays within a band; the third and
+    later ones take centres as they come."""
+    first = F.col("pos") if turn < 2 else F.xxhash64("node", F.lit(turn))
+    best = F.min(F.struct(first.alias("first"), F.xxhash64("node", F.lit(turn)).alias("mark"), "node", "n", "pos", "label")).alias("c")
+    centres = listed.groupBy("shingle", "band").agg(best).select("shingle", "band", *(F.col(f"c.{c}").alias(c) for c in ("node", "n", "pos", "label")))
+    centres = _side(centres, "b")
+    if turn:
+        centres = centres.withColumn("band", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)))
+    met = _side(listed, "a").join(centres, ["shingle", "band"]).where((F.col("label_a") != F.col("label_b")) & _reach())
+    near, any_ = F.min(F.struct("pos_b", "b")).getField("b"), F.min(F.struct(F.xxhash64("b", F.lit(turn)).alias("mark"), "b")).getField("b")
+    return met.groupBy("a").agg(near.alias("near"), any_.alias("any")).select("a", F.explode(F.array_distinct(F.array("near", "any"))).alias("b"))
 
 
 def _rest(listed: DataFrame) -> DataFrame:
-    """All pairs of one tile and neighbouring bands whose nodes are in different components."""
-    one = listed.select("shingle", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-    two = listed.select("shingle", "band", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-    near = (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & (DEN * F.least("n_a", "n_b") >= NUM * F.greatest("n_a", "n_b"))
-    return one.join(two, ["shingle", "band"]).where(near).select("a", "b").distinct()
+    """All pairs of one tile and neighbouring bands whose nodes are in different components and whose places let them reach the threshold."""
+    one = _side(listed, "a").withColumn("band", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)))
+    met = one.join(_side(listed, "b"), ["shingle", "band"]).where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & _reach())
+    return met.select("a", "b").distinct()
 
 
 def cluster(docs: DataFrame, words: int = WORDS, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, doc_row, n_shingles, component_id, node, label for every row of ``docs``. The label tells components apart, which
     the smallest id does not where ids repeat or are null."""
     sketched = common.stage(sketches(docs, frequent_shingles(docs, words), words))
-    nodes = common.stage(sketched.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("low_id"), F.first("n").alias("n"), F.first("text_key").alias("text_key"), F.first("bits").alias("bits")))
+    facts = (F.first("n").alias("n"), F.first("text_key").alias("text_key"), F.first("bits", ignorenulls=True).alias("bits"))
+    nodes = common.stage(sketched.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("low_id"), *facts))
     listed = common.stage(listings(sketched))
-    links, label = None, None
-    for turn in range(rounds + 1):
+    links, label, turn = None, None, 0
+    while turn <= rounds:
         listed = _split(listed, label)
-        pairs = _stars(listed, turn) if turn < rounds else _rest(listed)
-        more = common.stage(linked(docs, nodes, pairs, words))
+        more = common.stage(linked(docs, nodes, _stars(listed, turn) if turn < rounds else _rest(listed), words))
         if more.limit(1).count():
             links = more if links is None else common.stage(links.unionByName(more))
             label = components(links)
+            turn += 1
+        else:  # centres that link nothing have done what they can
+            turn = rounds if turn < rounds else rounds + 1
     label = label if label is not None else nodes.select("node", F.col("node").alias("label"))
     named = nodes.join(label, "node", "left").select("node", "low_id", F.coalesce("label", "node").alias("label"))
     lowest = named.groupBy("label").agg(F.min("low_id").alias("component_id"))
