@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +10,6 @@ from ..params import DEFAULT
 from ..sources.derived import bars
 from .sql import query
 
-FEW_PATHS = replace(DEFAULT, paths=100)
-
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t in ("int", "smallint") else F.col(c) for c, t in df.dtypes))
@@ -41,10 +37,10 @@ def zones_and_state(spark, d):
     return series, state, zones.zones(levels.candidates(series, state))
 
 
-def touched(spark, d, p=FEW_PATHS) -> DataFrame:
+def touched(spark, d) -> DataFrame:
     series, state, found = zones_and_state(spark, d)
     z = found.join(state.select("security_id", "as_of", "k"), ["security_id", "as_of"])
-    p_ = touch.touch_probabilities(z, indicators.triples(series), p)
+    p_ = touch.touch_probabilities(z, indicators.triples(series))
     return found.select("security_id", "as_of", "zone_id", "side", "lower", "upper", "center").join(p_, ["security_id", "as_of", "zone_id"])
 
 
@@ -116,9 +112,10 @@ def _assigned(s, d) -> DataFrame:
 register("jon_6_candidates_with_zone", _assigned, query(f"SELECT m.security_id, m.as_of, {R('level')}, round(m.lower, 6) AS lower, round(m.upper, 6) AS upper, source, family, coalesce(z.zone_id, '') AS zone_id FROM members m LEFT JOIN (SELECT security_id, as_of, cluster, zone_id FROM zones) z USING (security_id, as_of, cluster)", "zones"))
 register("agg_1_zone_geometry", lambda s, d: zones.geometry(zones.clustered(candidates(s, d))).select("security_id", "as_of", "center", "lower", "upper", "side", "width_atr", "distance_atr"), query(f"SELECT security_id, as_of, {R('center', 'lower', 'upper')}, side, {R('width_atr', 'distance_atr')} FROM geometry", "geometry"))
 register("agg_2_zone_sources", lambda s, d: zones.geometry(zones.clustered(candidates(s, d))).select("security_id", "as_of", "center", "n_sources", "n_families", "sources"), query("SELECT security_id, as_of, round(center, 6) AS center, n_sources, n_families, sources FROM geometry", "geometry"))
-TOUCH = "SELECT z.security_id, z.as_of, z.zone_id, {} FROM zones z JOIN (SELECT z.security_id, z.as_of, z.zone_id, w.path, bool_or(w.low <= z.upper AND w.high >= z.lower) AS hit, min(w.low) < z.lower AS below, max(w.high) > z.upper AS above FROM zones z JOIN walked w USING (security_id, as_of) GROUP BY z.security_id, z.as_of, z.zone_id, w.path, z.lower, z.upper) h USING (security_id, as_of, zone_id) GROUP BY ALL"
-register("agg_3_p_touch", lambda s, d: touched(s, d).select("security_id", "as_of", "zone_id", "p_touch"), query(TOUCH.format("round(avg(hit::INT), 6) AS p_touch"), "zones", "walked"))
-register("agg_4_p_outside", lambda s, d: touched(s, d).select("security_id", "as_of", "zone_id", "p_low_below", "p_high_above"), query(TOUCH.format("round(avg(below::INT), 6) AS p_low_below, round(avg(above::INT), 6) AS p_high_above"), "zones", "walked"))
+_hit = " OR ".join(f"(l{n} <= z.upper AND h{n} >= z.lower)" for n in range(1, 6))
+TOUCH = f"SELECT security_id, as_of, zone_id, {{}} FROM (SELECT z.security_id, z.as_of, z.zone_id, z.side, z.lower, z.upper, z.center, avg(({_hit})::INT) AS p_touch, avg((least(l1, l2, l3, l4, l5) < z.lower)::INT) AS p_low_below, avg((greatest(h1, h2, h3, h4, h5) > z.upper)::INT) AS p_high_above FROM zones z JOIN walked w USING (security_id, as_of) GROUP BY ALL)"
+register("agg_3_p_touch", lambda s, d: touched(s, d).select("security_id", "as_of", "zone_id", "p_touch"), query(TOUCH.format(R("p_touch")), "zones", "walked"))
+register("agg_4_p_outside", lambda s, d: touched(s, d).select("security_id", "as_of", "zone_id", "p_low_below", "p_high_above"), query(TOUCH.format(R("p_low_below", "p_high_above")), "zones", "walked"))
 
 
 def _runs(s, d) -> DataFrame:
@@ -145,10 +142,10 @@ register("win_7_bar_triples", lambda s, d: indicators.triples(bars(s, d)), query
 
 def _walks(s, d) -> DataFrame:
     series = ranged(s, d)
-    return touch.paths(state_of(series), indicators.triples(series), replace(DEFAULT, paths=10))
+    return touch.path_steps(state_of(series), indicators.triples(series))
 
 
-register("win_8_paths", _walks, query(f"SELECT security_id, as_of, path, step, {R('high', 'low', 'close')} FROM walked", "walked", paths=10))
+register("win_8_paths", _walks, query("SELECT security_id, as_of, step, round(max(high), 6) AS high, round(min(low), 6) AS low, round(avg(close), 6) AS close FROM (SELECT security_id, as_of, unnest([1, 2, 3, 4, 5])::BIGINT AS step, unnest([h1, h2, h3, h4, h5]) AS high, unnest([l1, l2, l3, l4, l5]) AS low, unnest([c1, c2, c3, c4, c5]) AS close FROM walked) GROUP BY ALL", "walked"))
 register("srt_1_nearest_zones", lambda s, d: zones_and_state(s, d)[2].select(*ZONE), query(f"SELECT security_id, as_of, zone_id, side, {R('lower', 'upper', 'center', 'distance_atr', 'width_atr')}, n_sources, n_families, sources FROM zones", "zones"))
 register(
     "srt_2_zone_order",
@@ -169,4 +166,4 @@ register(
 register("fn_3_round_candidates", lambda s, d: candidates(s, d).where("family = 'B'").select(*CAND, "rank"), query(f"SELECT security_id, as_of, {R('level')}, round(level - 0.1 * atr, 6) AS lower, round(level + 0.1 * atr, 6) AS upper, 'round_' || regexp_replace(printf('%.6f', step), '\\.?0+$', '') AS source, 'B' AS family, rank::BIGINT AS rank FROM rungs", "rungs"))
 register("fn_4_swing_columns", lambda s, d: levels.swings(ranged(s, d)).select("security_id", "formed_at", F.concat(F.lit("swing_"), "side", F.lit("_k"), levels.short_number(F.col("k_atr"))).alias("source"), "atr_at_formation"), query("SELECT security_id, formed_at, 'swing_' || side || '_k' || regexp_replace(printf('%.6f', k_atr), '\\.?0+$', '') AS source, round(atr_at_formation, 6) AS atr_at_formation FROM swings", "swings"))
 register("cmp_1_clusters", lambda s, d: zones.clustered(candidates(s, d)).select("security_id", "as_of", "level", "source", "cluster"), query("SELECT security_id, as_of, round(level, 6) AS level, source, cluster FROM members", "members"))
-register("cmp_3_zone_touch_probability", touched, query(TOUCH.replace("z.zone_id, {}", "z.zone_id, z.side, round(z.lower, 6) AS lower, round(z.upper, 6) AS upper, round(z.center, 6) AS center, {}", 1).format("round(avg(hit::INT), 6) AS p_touch, round(avg(below::INT), 6) AS p_low_below, round(avg(above::INT), 6) AS p_high_above"), "zones", "walked"))
+register("cmp_3_zone_touch_probability", touched, query(TOUCH.format("side, " + R("lower", "upper", "center", "p_touch", "p_low_below", "p_high_above")), "zones", "walked"))

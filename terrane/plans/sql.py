@@ -2,6 +2,18 @@
 
 from __future__ import annotations
 
+from ..operators.touch import MIX
+from ..params import DEFAULT
+
+
+def _mixed(x: str) -> str:
+    """``operators.touch.mixed`` as SQL."""
+    for times, plus, shift in MIX:
+        x = f"((({x}) * {times} + {plus}) & 2147483647)"
+        x = f"xor({x}, {x} >> {shift})"
+    return x
+
+
 CTES = {
     "ticks": """SELECT n_regionkey::BIGINT AS security_id, CAST(l_shipdate AS DATE) AS session, l_quantity, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_discount,
   (CAST(round(l_discount*100) AS BIGINT) - 5) * 4 AS step FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey""",
@@ -25,7 +37,7 @@ CTES = {
   SELECT s.security_id, s.t, s.side, s.level, s.session AS formed_at, s.atr AS atr_at_formation, kk AS k_atr, min(b.k) - s.t AS confirm_sessions
   FROM swing_sides s CROSS JOIN (VALUES (0.5::DOUBLE), (1.0), (1.5), (2.0)) v(kk) JOIN bars b ON b.security_id = s.security_id AND b.k BETWEEN s.t + 1 AND s.t + 20
   WHERE CASE WHEN s.side = 'high' THEN s.level - b.low ELSE b.high - s.level END >= kk * s.atr GROUP BY s.security_id, s.t, s.side, s.level, s.session, s.atr, kk)""",
-    "swing_cand": """SELECT t.security_id, t.as_of, t.spot, t.atr, s.level, s.level - 0.1 * t.atr AS lower, s.level + 0.1 * t.atr AS upper, 'swing_' || s.side || '_k' || regexp_replace(printf('%.6f', s.k_atr), '\\.?0+$', '') AS source, 'A' AS family
+    "swing_cand": """SELECT t.security_id, t.as_of, t.spot, t.atr, s.level, s.level - 0.1 * t.atr AS lower, s.level + 0.1 * t.atr AS upper, 'swing_' || s.side || '_k' || regexp_replace(printf('%.6f', s.k_atr), '\\.?0+$', '') AS source, 'A' AS family, s.formed_at
   FROM state t JOIN swings s ON s.security_id = t.security_id AND s.seen_at <= t.k AND abs(s.level - t.spot) <= 6 * t.atr""",
     "ladder": """SELECT *, e / 10 AS step, 0 AS rank FROM (SELECT *, pow(10.0::DOUBLE, floor(log10(spot))) AS e FROM state WHERE atr IS NOT NULL)
   UNION ALL SELECT *, e / 20, 1 FROM (SELECT *, pow(10.0::DOUBLE, floor(log10(spot))) AS e FROM state WHERE atr IS NOT NULL)
@@ -33,7 +45,7 @@ CTES = {
   UNION ALL SELECT *, e / 100 / 2, 3 FROM (SELECT *, pow(10.0::DOUBLE, floor(log10(spot))) AS e FROM state WHERE atr IS NOT NULL)""",
     "rungs": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY security_id, as_of, level ORDER BY rank) AS first FROM (
   SELECT security_id, as_of, spot, atr, step, rank, round(unnest(range(ceil((spot - 3 * atr) / step - 1e-9)::BIGINT, floor((spot + 3 * atr) / step + 1e-9)::BIGINT + 1)) * step, 6) AS level FROM ladder) WHERE level > 0) WHERE first = 1""",
-    "round_cand": """SELECT security_id, as_of, spot, atr, level, level - 0.1 * atr AS lower, level + 0.1 * atr AS upper, 'round_' || regexp_replace(printf('%.6f', step), '\\.?0+$', '') AS source, 'B' AS family FROM rungs""",
+    "round_cand": """SELECT security_id, as_of, spot, atr, level, level - 0.1 * atr AS lower, level + 0.1 * atr AS upper, 'round_' || regexp_replace(printf('%.6f', step), '\\.?0+$', '') AS source, 'B' AS family, CAST(NULL AS DATE) AS formed_at FROM rungs""",
     "cand": """SELECT *, row_number() OVER (PARTITION BY security_id, as_of ORDER BY level, source, lower) AS i FROM (SELECT * FROM swing_cand UNION ALL SELECT * FROM round_cand)""",
     "folded": """SELECT security_id, as_of, i, level AS first, 1::BIGINT AS cluster FROM cand WHERE i = 1
   UNION ALL SELECT c.security_id, c.as_of, c.i, CASE WHEN (c.level - f.first) / c.atr > 0.5 THEN c.level ELSE f.first END, f.cluster + CASE WHEN (c.level - f.first) / c.atr > 0.5 THEN 1 ELSE 0 END
@@ -45,21 +57,21 @@ CTES = {
     "zones": """SELECT *, printf('%d-%s-P0-%02d', security_id, CASE side WHEN 'support' THEN 'S' ELSE 'R' END, n) AS zone_id FROM (
   SELECT *, row_number() OVER (PARTITION BY security_id, as_of, side ORDER BY abs(distance_atr), center) AS n FROM geometry) WHERE n <= 4""",
     "triples": "SELECT security_id, session, k, high / pc AS h, low / pc AS l, close / pc AS c FROM ranged WHERE k > 1",
-    "path_rows": """SELECT *, greatest(k - 500, 1) + 1 + ('0x' || substr(md5('0|' || security_id || '|' || as_of || '|' || path || '|' || step), 1, 8))::BIGINT % least(500, k - 1) AS pick
-  FROM (SELECT security_id, as_of, k, spot FROM state WHERE k > 1) CROSS JOIN (SELECT unnest(range({paths})) AS path) CROSS JOIN (SELECT unnest(range(1, 6)) AS step)""",
-    "walked": """SELECT security_id, as_of, k, path, 1::BIGINT AS step, spot * t.h AS high, spot * t.l AS low, spot * t.c AS close FROM (SELECT p.*, t.h, t.l, t.c FROM path_rows p JOIN triples t ON t.security_id = p.security_id AND t.k = p.pick WHERE step = 1) t
-  UNION ALL SELECT w.security_id, w.as_of, w.k, w.path, w.step + 1, w.close * t.h, w.close * t.l, w.close * t.c
-  FROM walked w JOIN path_rows p ON p.security_id = w.security_id AND p.as_of = w.as_of AND p.path = w.path AND p.step = w.step + 1 JOIN triples t ON t.security_id = p.security_id AND t.k = p.pick""",
+    "cells": f"SELECT path, {', '.join(f'max(x) FILTER (step = {n}) AS x{n}' for n in range(1, 6))} FROM (SELECT path, step, {_mixed('path * 8 + step')} AS x FROM (SELECT unnest(range({DEFAULT.paths})) AS path) CROSS JOIN (SELECT unnest(range(1, 6)) AS step)) GROUP BY path",
+    "picks": f"""SELECT security_id, as_of, spot, path, {', '.join(f"greatest(k - 500, 1) + 1 + {_mixed(f'xor(x{n}, base)')} % least(500, k - 1) AS p{n}" for n in range(1, 6))}
+  FROM (SELECT *, ('0x' || substr(md5('0|' || security_id || '|' || as_of), 1, 8))::BIGINT % 2147483648 AS base FROM state WHERE k > 1) CROSS JOIN cells""",
+    "walked": f"""SELECT p.security_id, p.as_of, p.path, {', '.join(f"spot * {''.join(f't{i}.c * ' for i in range(1, n))}t{n}.{x} AS {x}{n}" for n in range(1, 6) for x in 'hlc')}
+  FROM picks p {' '.join(f'JOIN triples t{n} ON t{n}.security_id = p.security_id AND t{n}.k = p.p{n}' for n in range(1, 6))}""",
 }
 
 NEEDS = {
     "priced": ["ticks"], "bars": ["priced"], "ranged": ["bars"], "wilder": ["ranged"], "atrs": ["wilder"], "state": ["atrs"], "swing_bars": ["atrs"], "swing_sides": ["swing_bars"],
     "swings": ["swing_sides", "bars"], "swing_cand": ["state", "swings"], "ladder": ["state"], "rungs": ["ladder"], "round_cand": ["rungs"], "cand": ["swing_cand", "round_cand"], "folded": ["cand"],
-    "members": ["folded"], "geometry": ["members"], "zones": ["geometry"], "triples": ["ranged"], "path_rows": ["state"], "walked": ["path_rows", "triples"],
+    "members": ["folded"], "geometry": ["members"], "zones": ["geometry"], "triples": ["ranged"], "picks": ["state", "cells"], "walked": ["picks", "triples"],
 }
 
 
-def query(select: str, *ctes: str, extra: dict[str, str] | None = None, paths: int = 100) -> str:
+def query(select: str, *ctes: str, extra: dict[str, str] | None = None) -> str:
     """``WITH RECURSIVE`` the named expressions and all that they need, then ``select``."""
     order: list[str] = []
 
@@ -71,5 +83,5 @@ def query(select: str, *ctes: str, extra: dict[str, str] | None = None, paths: i
 
     for name in ctes:
         add(name)
-    parts = [f"{n} AS ({CTES[n].replace('{paths}', str(paths))})" for n in order] + [f"{k} AS ({v})" for k, v in (extra or {}).items()]
+    parts = [f"{n} AS ({CTES[n]})" for n in order] + [f"{k} AS ({v})" for k, v in (extra or {}).items()]
     return f"WITH RECURSIVE {', '.join(parts)} {select}" if parts else select
