@@ -12,20 +12,20 @@ from .indicators import by_session, frame
 
 def reactions_by_regime(labels: DataFrame, regimes: DataFrame) -> DataFrame:
     """regime, side, n, touch_rate, hold_rate: labels joined with the regime of their as_of; the regimes are one row a session."""
-    both = labels.join(F.broadcast(regimes.select(F.col("session").alias("as_of"), "regime")), "as_of")
+    both = labels.join(regimes.select(F.col("session").alias("as_of"), "regime"), "as_of")
     return both.groupBy("regime", "side").agg(F.count("*").alias("n"), F.avg("y_touch").alias("touch_rate"), F.avg("y_hold").alias("hold_rate"))
 
 
 def base_currency(bars: DataFrame, fx: DataFrame) -> DataFrame:
     """security_id, session, ret: (1 + r) * (1 + f) - 1 with the currency's return of the same session."""
     r = bars.select("security_id", "session", (F.col("close") / F.lag("close").over(by_session()) - 1).alias("r"))
-    f = F.broadcast(fx.select("session", (F.col("close") / F.lag("close").over(by_session()) - 1).alias("f")))
+    f = fx.select("session", (F.col("close") / F.lag("close").over(by_session()) - 1).alias("f"))
     return r.join(f, "session").select("security_id", "session", ((1 + F.col("r")) * (1 + F.col("f")) - 1).alias("ret"))
 
 
 def option_stamps(options: DataFrame, calendar: DataFrame, lag_minutes: int = 30) -> DataFrame:
     """Option rows of known sessions with available_at: the session's close plus a lag."""
-    c = F.broadcast(calendar.select("session", "close_ts"))
+    c = calendar.select("session", "close_ts")
     return options.join(c, "session").withColumn("available_at", F.col("close_ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(lag_minutes))).drop("close_ts")
 
 
@@ -45,11 +45,14 @@ def invalidated(weight: Column, event_score: Column, lower: Column, upper: Colum
     return weight * (1 - event_score), lower - more, upper + more
 
 
-def recency_center(members: DataFrame, half_life: float = 252.0) -> DataFrame:
-    """security_id, as_of, cluster, center: mean level weighted by exp(-age / half_life), levels without a date counting as new."""
+def recency_center(members: DataFrame, half_life: float = 252.0, q: float = 0.5) -> DataFrame:
+    """security_id, as_of, cluster, center, lower, upper, redundancy: the mean level weighted by exp(-age / half_life), levels without a date counting as new; edges ``q``
+    ATRs apart around it; and the share of the cluster's candidates that repeat a source which it already has."""
     age = F.coalesce(F.datediff("as_of", "formed_at"), F.lit(0))
     w = F.exp(-age / half_life)
-    return members.groupBy("security_id", "as_of", "cluster").agg((F.sum(F.col("level") * w) / F.sum(w)).alias("center"))
+    one = members.groupBy("security_id", "as_of", "atr", "cluster").agg((F.sum(F.col("level") * w) / F.sum(w)).alias("center"), (1 - F.count_distinct("source") / F.count("*")).alias("redundancy"))
+    half = q * F.col("atr") / 2
+    return one.select("security_id", "as_of", "cluster", "center", (F.col("center") - half).alias("lower"), (F.col("center") + half).alias("upper"), "redundancy")
 
 
 def approach(bars: DataFrame) -> DataFrame:
@@ -74,6 +77,9 @@ def weekly_scores(preds: DataFrame, bins: int = 10) -> DataFrame:
     return preds.groupBy("as_of", F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg("y").alias("mean_y"))
 
 
-def feature_matrix(groups: list[DataFrame], keys: tuple[str, ...] = ("security_id", "session")) -> DataFrame:
-    """Feature groups joined on their key; every group is one row a key, so nothing is multiplied."""
-    return reduce(lambda a, b: a.join(b, list(keys), "left"), groups)
+def feature_matrix(zones: DataFrame, by_zone: list[DataFrame], by_security: list[DataFrame], by_session: list[DataFrame]) -> DataFrame:
+    """``zones`` with the feature groups of the zone itself, of its security at as_of, and of the market at as_of. Every group is one row for each of its keys, so nothing is multiplied."""
+    at = lambda df: df.withColumnRenamed("session", "as_of")
+    out = reduce(lambda a, b: a.join(b, ["security_id", "as_of", "zone_id"], "left"), by_zone, zones)
+    out = reduce(lambda a, b: a.join(at(b), ["security_id", "as_of"], "left"), by_security, out)
+    return reduce(lambda a, b: a.join(at(b), "as_of", "left"), by_session, out)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,15 +24,36 @@ def volume_profile(bars: DataFrame, period: str = "quarter", bin_size: float = 0
     return spread.groupBy("security_id", "period", "bin").agg(F.sum("v").alias("volume"))
 
 
+def volume_nodes(profile: DataFrame, reach: int = 3) -> DataFrame:
+    """security_id, period, bin, smooth, node: the profile's bins, empty ones between included, smoothed with a normal weight of one bin (cut off after ``reach`` bins), of which the local maxima with at
+    least 1.5 times the median (HVN) and the local minima with at most half of it (LVN) stay. Plateaus count once, at their lower end; the outermost bins have one neighbour."""
+    span = profile.groupBy("security_id", "period").agg(F.min("bin").alias("a"), F.max("bin").alias("b")).select("security_id", "period", F.explode(F.sequence("a", "b")).alias("bin"))
+    full = span.join(profile, ["security_id", "period", "bin"], "left").withColumn("volume", F.coalesce("volume", F.lit(0.0)))
+    order = Window.partitionBy("security_id", "period").orderBy("bin")
+    near = F.collect_list(F.struct("bin", "volume")).over(order.rowsBetween(-reach, reach))
+    weight = lambda x: F.exp(-F.pow((x["bin"] - F.col("bin")).cast("double"), 2) / 2)
+    total = sum(math.exp(-(i**2) / 2) for i in range(-reach, reach + 1))
+    one = full.withColumn("near", near).withColumn("smooth", F.round(F.aggregate("near", F.lit(0.0), lambda t, x: t + x["volume"] * weight(x)) / total, 6))
+    middle = one.groupBy("security_id", "period").agg(F.percentile("smooth", F.lit(0.5)).alias("median"))
+    below, above = F.lag("smooth").over(order), F.lead("smooth").over(order)
+    peak = (F.coalesce(F.col("smooth") > below, F.lit(True))) & (F.coalesce(F.col("smooth") >= above, F.lit(True)))
+    dip = (F.coalesce(F.col("smooth") < below, F.lit(True))) & (F.coalesce(F.col("smooth") <= above, F.lit(True)))
+    one = one.withColumns({"peak": peak, "dip": dip}).join(middle, ["security_id", "period"])
+    node = F.when(F.col("peak") & (F.col("smooth") >= F.round(1.5 * F.col("median"), 6)), "HVN").when(F.col("dip") & (F.col("smooth") <= F.round(0.5 * F.col("median"), 6)), "LVN")
+    return one.withColumn("node", node).where("node is not null").select("security_id", "period", "bin", "smooth", "node")
+
+
 def profile_features(profile: DataFrame, bin_size: float = 0.25) -> DataFrame:
-    """security_id, period, poc (the price of the fullest bin, the lower of equals), total, share of the fullest bin, mean, skew."""
+    """security_id, period, poc (the price of the fullest bin, the lower of equals), total, share of the fullest bin, mean, skew, kurtosis, and the numbers of high and low volume nodes."""
     price = (F.col("bin") + 0.5) * bin_size
     one = profile.withColumn("price", price)
     w = Window.partitionBy("security_id", "period")
     one = one.withColumns({"total": F.sum("volume").over(w), "mean": F.sum(F.col("price") * F.col("volume")).over(w) / F.sum("volume").over(w)})
     d = F.col("price") - F.col("mean")
     m = lambda k: F.sum(F.col("volume") / F.col("total") * F.pow(d, k))
-    return one.groupBy("security_id", "period").agg(F.max_by("price", F.struct(F.round("volume", 6), -F.col("bin"))).alias("poc"), F.max("total").alias("total"), (F.max("volume") / F.max("total")).alias("concentration"), F.max("mean").alias("mean"), (m(3) / F.nullif(F.pow(m(2), 1.5), F.lit(0.0))).alias("skew"))
+    moments = one.groupBy("security_id", "period").agg(F.max_by("price", F.struct(F.round("volume", 6), -F.col("bin"))).alias("poc"), F.max("total").alias("total"), (F.max("volume") / F.max("total")).alias("concentration"), F.max("mean").alias("mean"), (m(3) / F.nullif(F.pow(m(2), 1.5), F.lit(0.0))).alias("skew"), (m(4) / F.nullif(F.pow(m(2), 2), F.lit(0.0))).alias("kurtosis"))
+    nodes = volume_nodes(profile).groupBy("security_id", "period").agg(*(F.sum((F.col("node") == n).cast("long")).alias(f"n_{n.lower()}") for n in ("HVN", "LVN")))
+    return moments.join(nodes, ["security_id", "period"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_hvn", "n_lvn")})
 
 
 def value_area(profile: DataFrame, share: float = 0.7) -> DataFrame:
@@ -54,33 +77,38 @@ def value_area(profile: DataFrame, share: float = 0.7) -> DataFrame:
     return profile.groupBy("security_id", "period").applyInPandas(grow, "security_id long, period date, val long, vah long")
 
 
-def path_quantiles(paths: DataFrame) -> DataFrame:
-    """security_id, as_of and the 5, 50 and 95 % points of each path's high, low and last close."""
-    one = paths.groupBy("security_id", "as_of", "path").agg(F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "step").alias("close"))
-    q = lambda c, x: F.percentile(c, F.lit(x)).alias(f"{c}_q{int(x * 100):02d}")
-    return one.groupBy("security_id", "as_of").agg(*(q(c, x) for c in ("high", "low", "close") for x in (0.05, 0.5, 0.95)))
+#: Days without an outcome after which a zone is retired.
+UNMATCHED = 84
+
+
+def next_state(state: str, breaks: int, outcome: str, days: float) -> str:
+    """The state after an outcome (touch, hold, break) that comes ``days`` after the last one; ``breaks`` counts those before. UNTESTED becomes TESTED on a touch; a hold confirms; a break flips
+    the zone, and a second one retires it, as do ``UNMATCHED`` days without an outcome. A flipped zone stays so until then."""
+    if state == "RETIRED" or days > UNMATCHED:
+        return "RETIRED"
+    if outcome == "break":
+        return "RETIRED" if breaks else "FLIPPED"
+    if state == "FLIPPED":
+        return state
+    return "CONFIRMED" if outcome == "hold" else "TESTED" if state == "UNTESTED" else state
 
 
 def zone_states(touches: DataFrame) -> DataFrame:
-    """Zone states over dated outcomes (zone, at, outcome = touch, hold, break): a fold in the order of time, in Arrow groups of one zone. UNTESTED -> TESTED on touch; hold
-    confirms; a break flips the zone; a second break retires it."""
+    """zone, ts, n, state, touches, holds, breaks after each dated outcome (zone, ts, n, outcome): ``next_state`` in the order of time, then n, in groups of one zone. Outcomes of a
+    retired zone do not count."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, n = "UNTESTED", {"touch": 0, "hold": 0, "break": 0}
+        state, count, last = "UNTESTED", {"touch": 0, "hold": 0, "break": 0}, None
         rows = []
-        for r in pdf.sort_values("at").itertuples():
-            if state != "RETIRED":
-                n[r.outcome] += 1
-                if r.outcome == "break":
-                    state = "RETIRED" if n["break"] > 1 else "FLIPPED"
-                elif r.outcome == "hold":
-                    state = "CONFIRMED" if state != "FLIPPED" else "FLIPPED"
-                elif state == "UNTESTED":
-                    state = "TESTED"
-            rows.append((r.zone, r.at, state, n["touch"], n["hold"], n["break"]))
-        return pd.DataFrame(rows, columns=["zone", "at", "state", "touches", "holds", "breaks"])
+        for r in pdf.sort_values(["ts", "n"]).itertuples():
+            days = (r.ts - last).total_seconds() / 86400 if last is not None else 0.0
+            live = state != "RETIRED" and days <= UNMATCHED
+            state, last = next_state(state, count["break"], r.outcome, days), r.ts
+            count[r.outcome] += live
+            rows.append((r.zone, r.ts, r.n, state, count["touch"], count["hold"], count["break"]))
+        return pd.DataFrame(rows, columns=["zone", "ts", "n", "state", "touches", "holds", "breaks"])
 
-    return touches.groupBy("zone").applyInPandas(fold, "zone long, at timestamp, state string, touches long, holds long, breaks long")
+    return touches.groupBy("zone").applyInPandas(fold, "zone long, ts timestamp, n long, state string, touches long, holds long, breaks long")
 
 
 def adaptive_intervals(errors: DataFrame, alpha: float = 0.1, gamma: float = 0.02, start: float = 0.1) -> DataFrame:
@@ -97,10 +125,16 @@ def adaptive_intervals(errors: DataFrame, alpha: float = 0.1, gamma: float = 0.0
     return errors.groupBy("security_id").applyInPandas(run, "security_id long, session date, alpha double")
 
 
-def isotonic(preds: DataFrame, stratum: str, p: str, y: str) -> DataFrame:
-    """stratum, p, fitted: pool-adjacent-violators over the mean outcome of each distinct forecast (counted in Spark first, rounded to 3 decimals, so a stratum's group has at
-    most 1001 rows)."""
-    counted = preds.groupBy(stratum, F.round(p, 3).alias("_p")).agg(F.count("*").alias("_n"), F.sum(y).alias("_s"))
+def isotonic(preds: DataFrame, strata: list[str], p: str, y: str, least: int = 500) -> DataFrame:
+    """The strata, p, level, fitted: isotonic fits of the outcome on the forecast (rounded to 3 decimals) in each stratum, where it has ``least`` rows or more; otherwise in the
+    stratum without its last column, and so on down to all rows (level 0, whatever their number). ``level``: how many columns the fit used.
+
+    Outcomes are counted by forecast for all levels in one pass, so a fit's group has at most 1001 rows: pool adjacent violators."""
+    counted = preds.where(F.col(p).isNotNull()).rollup(F.round(p, 3).alias("_p"), *strata).agg(F.count("*").alias("_n"), F.sum(y).alias("_s"), F.grouping_id().alias("_g")).where("_p is not null")
+    level = sum((F.when(F.col("_g").bitwiseAND(1 << i) == 0, 1).otherwise(0) for i in range(len(strata))), F.lit(0))
+    counted = counted.withColumn("level", level)
+    whole = Window.partitionBy("level", *strata)
+    enough = counted.withColumn("_all", F.sum("_n").over(whole)).where((F.col("_all") >= least) | (F.col("level") == 0)).drop("_g", "_all")
 
     def pav(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_p")
@@ -110,10 +144,16 @@ def isotonic(preds: DataFrame, stratum: str, p: str, y: str) -> DataFrame:
             while len(blocks) > 1 and blocks[-2][1] / blocks[-2][0] > blocks[-1][1] / blocks[-1][0]:
                 n2, s2, c2 = blocks.pop()
                 blocks[-1] = [blocks[-1][0] + n2, blocks[-1][1] + s2, blocks[-1][2] + c2]
-        fitted = [s / n for n, s, c in blocks for _ in range(int(c))]
-        return pd.DataFrame({"stratum": pdf[stratum].to_numpy(), "p": pdf["_p"].to_numpy(), "fitted": fitted})
+        return pdf.assign(fitted=[s / n for n, s, c in blocks for _ in range(int(c))])
 
-    return counted.groupBy(stratum).applyInPandas(pav, "stratum long, p double, fitted double")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in enough.schema) + ", fitted double"
+    fits = enough.groupBy("level", *strata).applyInPandas(pav, schema)
+    out = counted.where(F.col("level") == len(strata)).select(*strata, "_p")
+    for k in range(len(strata), -1, -1):
+        mine = fits.where(F.col("level") == k).select(*strata[:k], "_p", F.col("fitted").alias(f"_f{k}"))
+        out = out.join(mine, [*strata[:k], "_p"], "left")
+    found = [F.when(F.col(f"_f{k}").isNotNull(), F.lit(k)) for k in range(len(strata), -1, -1)]
+    return out.select(*strata, F.col("_p").alias("p"), F.coalesce(*found).alias("level"), F.coalesce(*(F.col(f"_f{k}") for k in range(len(strata), -1, -1))).alias("fitted"))
 
 
 def sequences(bars: DataFrame, n: int = 120) -> DataFrame:
@@ -122,17 +162,25 @@ def sequences(bars: DataFrame, n: int = 120) -> DataFrame:
     return bars.where("atr is not null").withColumn("steps", F.collect_list(item).over(by_session().rowsBetween(-(n - 1), 0))).where(F.size("steps") == n).select("security_id", F.col("session").alias("as_of"), "steps")
 
 
-def folds(rows: DataFrame, n: int = 5) -> DataFrame:
-    """``rows`` with fold (all rows of a security and date together) and weight 1 / rows of that security and date."""
-    w = Window.partitionBy("security_id", "as_of")
-    key = F.md5(F.concat_ws("|", "security_id", "as_of").cast("binary"))
-    return rows.withColumns({"fold": F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % n, "weight": 1 / F.count("*").over(w)})
+def folds(rows: DataFrame, horizon: int = 7, embargo: int = 5) -> DataFrame:
+    """Walk-forward folds: ``rows`` once for each fold (a year after the first) that uses them, with fold, role and weight.
+
+    A fold validates on the rows of its year and trains on all earlier ones but those that ``purged`` takes out. All zones of one security and date have the
+    same role; their weights, 1 / their number, sum to 1."""
+    years = F.broadcast(rows.agg(F.year(F.min("as_of")).alias("first"), F.year(F.max("as_of")).alias("last")))  # one row
+    used = rows.withColumn("weight", 1 / F.count("*").over(Window.partitionBy("security_id", "as_of"))).crossJoin(years)
+    used = used.withColumn("fold", F.explode(F.filter(F.sequence(F.year("as_of"), F.col("last")), lambda y: y > F.col("first")))).drop("first", "last")
+    windows = used.where(F.year("as_of") == F.col("fold")).groupBy("fold").agg(F.min("as_of").alias("start"), F.max("as_of").alias("end"))
+    train = purged(used.where(F.year("as_of") < F.col("fold")), windows, horizon, embargo).withColumn("role", F.lit("train"))
+    return train.unionByName(used.where(F.year("as_of") == F.col("fold")).withColumn("role", F.lit("validate")))
 
 
-def purged(train: DataFrame, windows: DataFrame, embargo: int = 5) -> DataFrame:
-    """Training rows whose label window (as_of + 7 days) does not touch a validation window (start, end), embargo included. The windows are few."""
-    w = F.broadcast(windows)
-    return train.join(w, (F.date_add("as_of", 7) >= F.col("start")) & (F.col("as_of") <= F.date_add("end", embargo)), "left_anti")
+def purged(train: DataFrame, windows: DataFrame, horizon: int = 7, embargo: int = 5) -> DataFrame:
+    """The rows of ``train`` whose label window (as_of to ``horizon`` days after it) does not touch the validation window (start, end) of their fold, ``embargo`` days on either side
+    included. One window a fold."""
+    w = windows.withColumnRenamed("fold", "_fold")
+    touch = (F.col("fold") == F.col("_fold")) & (F.date_add("as_of", horizon + embargo) >= F.col("start")) & (F.col("as_of") <= F.date_add("end", embargo))
+    return train.join(w, touch, "left_anti")
 
 
 def confidence(p: dict) -> F.Column:
@@ -176,12 +224,17 @@ def grounded(texts: DataFrame, facts: str) -> DataFrame:
 
 
 def text_features(rows: DataFrame, asof: DataFrame, half_life: float = 30.0) -> DataFrame:
-    """key, as_of, value: the confidence-weighted mean of each document, decayed with its age, summed over the documents known by as_of's date; joined on the key, which
-    has few documents."""
+    """key, as_of, value, days_since: the confidence-weighted mean of each day's documents, decayed with its age and averaged over the days up to as_of; and the days since
+    the last one. Days and questions are put in one order: with weights that grow from the key's first day on instead of shrinking from as_of back, running sums
+    serve every as_of. A key's days may span up to 900 half-lives."""
     one = rows.groupBy("key", "day").agg((F.sum(F.col("value") * F.col("conf")) / F.nullif(F.sum("conf"), F.lit(0.0))).alias("v"))
-    age = F.datediff("as_of", "day")
-    pairs = asof.join(one, "key").where(age >= 0)
-    return pairs.groupBy("key", "as_of").agg((F.sum(F.col("v") * F.exp(-age * 0.6931471805599453 / half_life)) / F.sum(F.exp(-age * 0.6931471805599453 / half_life))).alias("value"))
+    both = one.select("key", F.col("day").alias("at"), F.lit(0).alias("ask"), "v").unionByName(asof.select("key", F.col("as_of").alias("at"), F.lit(1).alias("ask"), F.lit(None).cast("double").alias("v")))
+    w = Window.partitionBy("key").orderBy("at", "ask")
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    day = F.when(F.col("ask") == 0, F.col("at"))
+    grown = F.when(F.col("v").isNotNull(), F.exp(F.datediff("at", F.min("at").over(Window.partitionBy("key"))) * (0.6931471805599453 / half_life)))
+    both = both.withColumn("grown", grown).withColumns({"value": F.sum(F.col("v") * F.col("grown")).over(run) / F.sum("grown").over(run), "last": F.last(day, True).over(run)})
+    return both.where("ask = 1").select("key", F.col("at").alias("as_of"), "value", F.datediff("at", "last").cast("long").alias("days_since"))
 
 
 def zone_history(labels: DataFrame) -> DataFrame:

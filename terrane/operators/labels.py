@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ladder import draw
+from ..functions.quantiles import quantiles
 from ..params import DEFAULT, Params
 
 KEY = ("security_id", "as_of", "zone_id")
@@ -65,11 +66,13 @@ def placebos(zones: DataFrame, n: int = 5, jitter: float = 0.1, seed: int = 0) -
 
 def match_zones(zones: DataFrame, weeks: int = 12, within: float = DEFAULT.identity_match) -> DataFrame:
     """zone -> the earlier zone of the same security and side that it continues: centers within ``within`` ATRs, in the last ``weeks`` weeks; the nearest in
-    sources (Jaccard), then in price, then the latest."""
+    sources (Jaccard), then in price, then the latest. Joined by stretches of ``weeks`` weeks and the one before."""
+    stretch = F.floor(F.datediff("as_of", F.lit("1970-01-01").cast("date")) / (7 * weeks))
     z = zones.select("security_id", "as_of", "zone_id", "side", "center", "atr", F.split("sources", ",").alias("s"))
-    old = z.select("security_id", F.col("as_of").alias("prior_as_of"), F.col("zone_id").alias("prior_zone"), "side", F.col("center").alias("prior_center"), F.col("s").alias("ps"))
+    old = z.select("security_id", stretch.alias("stretch"), F.col("as_of").alias("prior_as_of"), F.col("zone_id").alias("prior_zone"), "side", F.col("center").alias("prior_center"), F.col("s").alias("ps"))
     gap = F.datediff("as_of", "prior_as_of")
-    pairs = z.join(old, ["security_id", "side"]).where((gap > 0) & (gap <= 7 * weeks) & (F.abs(F.col("center") - F.col("prior_center")) <= within * F.col("atr")))
+    z = z.withColumn("stretch", F.explode(F.array(stretch, stretch - 1)))
+    pairs = z.join(old, ["security_id", "side", "stretch"]).where((gap > 0) & (gap <= 7 * weeks) & (F.abs(F.col("center") - F.col("prior_center")) <= within * F.col("atr")))
     jaccard = F.size(F.array_intersect("s", "ps")) / F.size(F.array_union("s", "ps"))
     pairs = pairs.withColumn("jaccard", F.round(jaccard, 9)).where("jaccard > 0")
     w = Window.partitionBy("security_id", "as_of", "zone_id").orderBy(F.desc("jaccard"), F.round(F.abs(F.col("center") - F.col("prior_center")), 9), F.desc("prior_as_of"), "prior_zone")
@@ -77,29 +80,42 @@ def match_zones(zones: DataFrame, weeks: int = 12, within: float = DEFAULT.ident
 
 
 def reaction_table(labelled: DataFrame) -> DataFrame:
-    """Hold rates by family set and distance bucket, and coarser by bucket alone and over all: grouping sets in one pass."""
-    return labelled.where("y_touch = 1").rollup("bucket", "n_families").agg(F.count("*").alias("n"), F.avg(F.col("y_hold").cast("double")).alias("hold_rate"))
-
-
-def historical_frequency(labelled: DataFrame, alpha: float = 5.0, least: int = 50) -> DataFrame:
-    """bucket, n_families, rate: smoothed towards the overall rate; where a cell has fewer than ``least`` rows, the bucket's rate."""
-    cells = labelled.where("y_touch = 1").groupBy("bucket", "n_families").agg(F.count("*").alias("n"), F.sum("y_hold").alias("h"))
-    wide = Window.partitionBy("bucket")
-    rows = cells.withColumns({"bn": F.sum("n").over(wide), "bh": F.sum("h").over(wide)})
-    base = rows.agg((F.sum("h") / F.sum("n")).alias("base"))
-    smooth = lambda h, n: (F.col(h) + alpha * F.col("base")) / (F.col(n) + alpha)
-    return rows.crossJoin(F.broadcast(base)).select("bucket", "n_families", "n", F.when(F.col("n") >= least, smooth("h", "n")).otherwise(smooth("bh", "bn")).alias("rate"))
-
-
-def calibration(preds: DataFrame, p: str, y: str, bins: int = 10) -> DataFrame:
-    """brier, log_loss, ece over ``bins`` bins of equal mass. The bins' edges are exact percentiles, so no task sorts all rows."""
-    q = [i / bins for i in range(1, bins)]
-    edges = F.broadcast(preds.agg(F.percentile(p, F.array(*(F.lit(x) for x in q))).alias("edges")))
+    """Hold rates by distance bucket, number of families and regime, and coarser from the right: grouping sets in one pass."""
+    return labelled.where("y_touch = 1").rollup("bucket", "n_families", "regime").agg(F.count("*").alias("n"), F.avg(F.col("y_hold").cast("double")).alias("hold_rate"), F.grouping_id().alias("coarse"))
+
+
+def matched_control(real: DataFrame, placebo: DataFrame) -> DataFrame:
+    """``reaction_table`` of real zones beside that of placebos, and lift: how much more often real zones hold."""
+    keys = ["bucket", "n_families", "regime", "coarse"]
+    b = reaction_table(placebo).select(*(F.col(c).alias(f"_{c}") for c in keys), F.col("n").alias("n_placebo"), F.col("hold_rate").alias("placebo_rate"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
+    return reaction_table(real).join(b, same, "left").select("bucket", "n_families", "regime", "coarse", "n", "hold_rate", "n_placebo", "placebo_rate", (F.col("hold_rate") - F.col("placebo_rate")).alias("lift"))
+
+
+def historical_frequency(labelled: DataFrame, alpha: float = 5.0, least: int = 200) -> DataFrame:
+    """bucket, n_families, regime, n, level, rate: the hold rate of the cell, smoothed towards the overall rate; where it has fewer than ``least`` touches that of the bucket and families, and where
+    these have fewer, of the bucket. ``level`` 3 to 1 tells which."""
+    cells = labelled.where("y_touch = 1").groupBy("bucket", "n_families", "regime").agg(F.count("*").alias("n3"), F.sum("y_hold").alias("h3"))
+    sums = {f"{x}{k}": F.sum(f"{x}3").over(Window.partitionBy(*keys)) for k, keys in ((2, ("bucket", "n_families")), (1, ("bucket",))) for x in "nh"}
+    rows = cells.withColumns(sums)
+    base = F.broadcast(rows.agg((F.sum("h3") / F.sum("n3")).alias("base")))  # one row
+    smooth = lambda k: (F.col(f"h{k}") + alpha * F.col("base")) / (F.col(f"n{k}") + alpha)
+    pick = lambda f: F.when(F.col("n3") >= least, f(3)).when(F.col("n2") >= least, f(2)).otherwise(f(1))
+    return rows.crossJoin(base).select("bucket", "n_families", "regime", F.col("n3").alias("n"), pick(F.lit).alias("level"), pick(smooth).alias("rate"))
+
+
+def calibration(preds: DataFrame, p: str, y: str, stratum: str, bins: int = 10) -> DataFrame:
+    """The stratum (null: all rows), n, brier, log_loss, ece and slope. ece: over ``bins`` bins of equal mass, whose edges are exact quantiles of all rows; slope: of the outcome on the
+    forecast, 1 if forecasts are neither too bold nor too timid."""
+    edges = F.broadcast(quantiles(preds, p, [i / bins for i in range(1, bins)]))  # one row
     clipped = F.least(F.greatest(F.col(p), F.lit(1e-6)), F.lit(1 - 1e-6))
     rows = preds.crossJoin(edges).withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col(p))))
-    one = rows.groupBy("bin").agg(F.count("*").alias("n"), F.avg(p).alias("mp"), F.avg(y).alias("my"), F.sum(F.pow(F.col(p) - F.col(y), 2)).alias("b"), F.sum(-(F.col(y) * F.log(clipped) + (1 - F.col(y)) * F.log(1 - clipped))).alias("ll"))
-    total = F.sum("n")
-    return one.agg(total.alias("n"), (F.sum("b") / total).alias("brier"), (F.sum("ll") / total).alias("log_loss"), (F.sum(F.col("n") * F.abs(F.col("mp") - F.col("my"))) / total).alias("ece"))
+    sums = {"n": F.count("*"), "sp": F.sum(p), "sy": F.sum(y), "spp": F.sum(F.col(p) * F.col(p)), "spy": F.sum(F.col(p) * F.col(y)), "b": F.sum(F.pow(F.col(p) - F.col(y), 2)), "ll": F.sum(-(F.col(y) * F.log(clipped) + (1 - F.col(y)) * F.log(1 - clipped)))}
+    each = rows.groupBy(stratum, "bin").agg(*(v.alias(k) for k, v in sums.items()))
+    whole = each.groupBy("bin").agg(*(F.sum(k).alias(k) for k in sums)).withColumn(stratum, F.lit(None).cast(preds.schema[stratum].dataType))
+    t = {k: F.sum(k) for k in sums}
+    spread = F.nullif(t["spp"] - t["sp"] * t["sp"] / t["n"], F.lit(0.0))
+    return each.unionByName(whole).groupBy(stratum).agg(t["n"].alias("n"), (t["b"] / t["n"]).alias("brier"), (t["ll"] / t["n"]).alias("log_loss"), (F.sum(F.abs(F.col("sp") - F.col("sy"))) / t["n"]).alias("ece"), ((t["spy"] - t["sp"] * t["sy"] / t["n"]) / spread).alias("slope"))
 
 
 def fdr(tests: DataFrame, p: str, group: str) -> DataFrame:
@@ -110,7 +126,7 @@ def fdr(tests: DataFrame, p: str, group: str) -> DataFrame:
     return rows.withColumn("q", F.least(F.min(F.col(p) * F.col("m") / F.col("rank")).over(down), F.lit(1.0)))
 
 
-def cluster_bootstrap(rows: DataFrame, cluster: list[str], value: str, times: int = 200, seed: int = 0) -> DataFrame:
+def cluster_bootstrap(rows: DataFrame, cluster: list[str], value: str, times: int = 2000, seed: int = 0) -> DataFrame:
     """mean, low, high (95 %) of ``value`` by resampling clusters. Clusters are summed first; each gets a weight for each resample from a hash: a Poisson(1) draw."""
     sums = rows.groupBy(*cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
     u = draw(F.lit(str(seed)), [F.col(c).cast("string") for c in cluster] + [F.col("b").cast("string")], F.lit(1_000_000)) / 1_000_000
@@ -122,31 +138,35 @@ def cluster_bootstrap(rows: DataFrame, cluster: list[str], value: str, times: in
     return sums.agg((F.sum("s") / F.sum("n")).alias("mean")).crossJoin(ci)
 
 
-def drift(ref: DataFrame, cur: DataFrame, value: str, bins: int = 10) -> DataFrame:
-    """psi over bins of equal mass of the reference, and ks: the largest distance of the two distribution functions."""
-    q = [i / bins for i in range(1, bins)]
-    edges = F.broadcast(ref.agg(F.percentile(value, F.array(*(F.lit(x) for x in q))).alias("edges")))
+def drift(ref: DataFrame, cur: DataFrame, value: str, bins: int = 10, amber: float = 0.1, red: float = 0.25) -> DataFrame:
+    """psi over bins of equal mass of the reference; of the two distribution functions the largest distance (ks) and the area between them (w1); and the level that psi stands for."""
+    edges = F.broadcast(quantiles(ref, value, [i / bins for i in range(1, bins)]))
     both = ref.select(F.col(value).alias("v"), F.lit(1).alias("r"), F.lit(0).alias("c")).unionAll(cur.select(F.col(value).alias("v"), F.lit(0).alias("r"), F.lit(1).alias("c")))
     share = both.crossJoin(edges).withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("v")))).groupBy("bin").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
     tot = share.agg(F.sum("r").alias("tr"), F.sum("c").alias("tc"))
     a, b = F.greatest(F.col("r") / F.col("tr"), F.lit(1e-6)), F.greatest(F.col("c") / F.col("tc"), F.lit(1e-6))
     psi = share.crossJoin(F.broadcast(tot)).agg(F.sum((b - a) * F.log(b / a)).alias("psi"))
     # Running sums in two steps: over a bounded number of stretches of the values, and within each stretch.
-    fine = F.broadcast(ref.agg(F.percentile(value, F.array(*(F.lit(i / 256) for i in range(1, 256)))).alias("fine")))
+    fine = F.broadcast(ref.agg(F.percentile_approx(value, F.array(*(F.lit(i / 256) for i in range(1, 256)))).alias("fine")))
     steps = both.groupBy("v").agg(F.sum("r").alias("r"), F.sum("c").alias("c")).crossJoin(fine).withColumn("part", F.size(F.filter("fine", lambda e: e < F.col("v")))).drop("fine")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = steps.groupBy("part").agg(F.sum("r").alias("pr"), F.sum("c").alias("pc")).select("part", F.coalesce(F.sum("pr").over(before), F.lit(0)).alias("br"), F.coalesce(F.sum("pc").over(before), F.lit(0)).alias("bc"))
     run = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    cdf = steps.join(F.broadcast(base), "part").crossJoin(F.broadcast(tot)).withColumn("d", F.abs((F.col("br") + F.sum("r").over(run)) / F.col("tr") - (F.col("bc") + F.sum("c").over(run)) / F.col("tc")))
-    return psi.crossJoin(cdf.agg(F.max("d").alias("ks")))
+    starts = steps.groupBy("part").agg(F.min("v").alias("v0")).select("part", F.lead("v0").over(Window.orderBy("part")).alias("next_part"))
+    cdf = steps.join(F.broadcast(base), "part").join(F.broadcast(starts), "part").crossJoin(F.broadcast(tot))  # at most 256 parts, one row of totals
+    cdf = cdf.withColumn("d", F.abs((F.col("br") + F.sum("r").over(run)) / F.col("tr") - (F.col("bc") + F.sum("c").over(run)) / F.col("tc"))).withColumn("after", F.coalesce(F.lead("v").over(Window.partitionBy("part").orderBy("v")), "next_part", "v"))
+    level = F.when(F.col("psi") > red, "red").when(F.col("psi") > amber, "amber").otherwise("green")
+    return psi.crossJoin(cdf.agg(F.max("d").alias("ks"), F.sum(F.col("d") * (F.col("after") - F.col("v"))).alias("w1"))).withColumn("level", level)
 
 
 def published(zones: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Zones good enough to show, ranked: the best two of each side, a third and fourth only if within a tenth of the second."""
+    """Zones good enough to show, ranked by p_touch * p_hold * reaction * confidence: the best two of each side, a third and fourth only if within a tenth of the second. A data
+    quality under the lower limit (``dq``, of a security and date) suppresses all of its zones; ``event_risk`` above its limit suppresses the zone."""
     t = p.publish
-    ok = zones.where((F.col("p_touch") >= t["p_touch"]) & (F.col("p_hold") >= t["p_hold"]) & (F.col("confidence") >= t["confidence"]) & (F.col("dq") >= t["dq"]))
+    ok = zones.where((F.col("p_touch") >= t["p_touch"]) & (F.col("p_hold") >= t["p_hold"]) & (F.col("confidence") >= t["confidence"]) & (F.col("event_risk") <= t["event_risk"]) & (F.col("dq") >= t["dq"]))
+    bad = zones.where(F.col("dq") < t["suppress"]).select("security_id", "as_of").distinct()
+    ok = ok.join(bad, ["security_id", "as_of"], "left_anti").withColumn("score", F.col("p_touch") * F.col("p_hold") * F.col("reaction") * F.col("confidence"))
     w = Window.partitionBy("security_id", "as_of", "side").orderBy(F.desc(F.round("score", 9)), "zone_id")
-    ok = ok.withColumn("score", F.col("p_touch") * F.col("p_hold") * F.col("confidence"))
     full = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ok = ok.withColumns({"rank": F.row_number().over(w), "second": F.nth_value("score", 2).over(full)})
-    return ok.where((F.col("rank") <= 2) | ((F.col("rank") <= 4) & (F.col("score") >= 0.9 * F.col("second")))).drop("second")
+    return ok.where((F.col("rank") <= 2) | ((F.col("rank") <= 4) & (F.round("score", 9) >= F.round(0.9 * F.col("second"), 9)))).drop("second")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ladder import ladder_steps, rungs_within, short_number
@@ -29,10 +29,21 @@ def swings(bars: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return one.select("security_id", F.col("k").alias("t"), "side", "level", F.col("session").alias("formed_at"), F.col("atr").alias("atr_at_formation"), "k_atr", F.col("m").cast("long").alias("confirm_sessions"), F.col("ahead")[F.col("m") - 1]["available_at"].alias("available_at"), (F.col("k") + F.greatest("m", F.lit(w))).cast("long").alias("seen_at"))
 
 
+#: Width of a band of prices, as a step of asinh(price): a twentieth of a price.
+BAND = 0.05
+
+
+def band(price: Column) -> Column:
+    return F.floor(F.asinh(price) / BAND)
+
+
 def swing_candidates(found: DataFrame, state: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """The swings known at each as_of, within reach of spot. ``state``: security_id, as_of, k, spot, atr."""
+    """The swings known at each as_of, within reach of spot. ``state``: security_id, as_of, k, spot, atr. Joined by bands of prices, so an as_of meets the swings of the
+    bands in its reach, not all of the security's."""
     s = state.select("security_id", "as_of", F.col("k").alias("now_k"), "spot", "atr").where("atr is not null")
-    pairs = s.join(found, "security_id").where((F.col("seen_at") <= F.col("now_k")) & (F.abs(F.col("level") - F.col("spot")) <= p.swing_keep * F.col("atr")))
+    reach = p.swing_keep * F.col("atr")
+    s = s.withColumn("band", F.explode(F.sequence(band(F.col("spot") - reach), band(F.col("spot") + reach))))
+    pairs = s.join(found.withColumn("band", band(F.col("level"))), ["security_id", "band"]).where((F.col("seen_at") <= F.col("now_k")) & (F.abs(F.col("level") - F.col("spot")) <= p.swing_keep * F.col("atr")))
     half = p.half_width * F.col("atr")
     out = pairs.withColumns({"lower": F.col("level") - half, "upper": F.col("level") + half, "source": F.concat(F.lit("swing_"), "side", F.lit("_k"), short_number(F.col("k_atr"))), "family": F.lit("A"), "timeframe": F.lit("1D"), "step": F.lit(None).cast("double"), "rank": F.lit(None).cast("long")})
     return out.select(*COLUMNS)

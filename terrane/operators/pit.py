@@ -56,10 +56,26 @@ def stamp_available(bars: DataFrame, calendar: DataFrame, fallback: str = "20:00
     return out.withColumn("known", F.col("_close").isNotNull()).withColumn("available_at", at).drop("_close")
 
 
+def latest_known(facts: DataFrame, asof: DataFrame, keys: list[str], time: str, known: str, at: str, columns: list[str]) -> DataFrame:
+    """``asof`` with the time and columns of the latest fact that was known by then: of the facts with ``known`` at or before ``at``, the one with the largest ``time``
+    (of equals, the largest columns). Facts in the order in which they became known and questions share one order, along which the maximum runs."""
+    kept = F.struct(time, *columns)
+    one = facts.select(*keys, F.col(known).cast(asof.schema[at].dataType).alias(at), F.lit(0).alias("_ask"), kept.alias("_fact"))
+    two = asof.select(*keys, at, F.lit(1).alias("_ask"), F.lit(None).cast(one.schema["_fact"].dataType).alias("_fact"))
+    w = Window.partitionBy(*keys).orderBy(at, "_ask").rowsBetween(Window.unboundedPreceding, 0)
+    out = one.unionByName(two).withColumn("_fact", F.max("_fact").over(w)).where("_ask = 1")
+    return out.select(*keys, at, *(F.col(f"_fact.{c}").alias(c) for c in (time, *columns)))
+
+
 def next_sessions(calendar: DataFrame, asof: DataFrame, n: int) -> DataFrame:
-    """as_of, step, session: the n sessions strictly after each as_of."""
-    numbered = calendar.select("session").distinct().withColumn("ordinal", F.row_number().over(Window.orderBy("session")).cast("long"))
-    days = asof.select("as_of").distinct().withColumn("key", F.lit(0))
-    found = asof_latest(numbered.withColumn("key", F.lit(0)), days, ["key"], "session", "as_of", ["ordinal"])
-    steps = found.select("as_of", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("step"), F.coalesce("ordinal", F.lit(0)).alias("o"))
-    return steps.withColumn("ordinal", F.col("o") + F.col("step")).join(F.broadcast(numbered), "ordinal").select("as_of", F.col("step").cast("long").alias("step"), "session")
+    """as_of, step, session: the n sessions strictly after each as_of. Sessions are numbered year by year, after a running sum over the years."""
+    days = calendar.select("session").distinct().withColumn("year", F.year("session"))
+    before = Window.orderBy("year").rowsBetween(Window.unboundedPreceding, -1)
+    asked = asof.select(F.col("as_of").alias("session")).distinct().withColumn("year", F.year("session"))
+    years = days.groupBy("year").agg(F.count("*").alias("c")).unionByName(asked.select("year", F.lit(0).cast("long").alias("c"))).groupBy("year").agg(F.sum("c").alias("c"))
+    years = years.select("year", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"))
+    both = days.withColumn("ask", F.lit(0)).unionByName(asked.withColumn("ask", F.lit(1))).join(years, "year")
+    inside = Window.partitionBy("year").orderBy("session", "ask").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("ordinal", F.col("base") + F.sum(1 - F.col("ask")).over(inside))
+    steps = both.where("ask = 1").select(F.col("session").alias("as_of"), "ordinal", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("step")).withColumn("ordinal", F.col("ordinal") + F.col("step"))
+    return steps.join(both.where("ask = 0").select("ordinal", "session"), "ordinal").select("as_of", F.col("step").cast("long").alias("step"), "session")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .indicators import by_session, frame
+from .indicators import by_session, frame, smoothed
 
 
 def resample(bars: DataFrame, period: str) -> DataFrame:
@@ -31,47 +33,88 @@ def prior_extremes(bars: DataFrame, periods: tuple[str, ...] = ("week", "month",
     return out.withColumns({"high_252": F.max("high").over(frame(252)), "low_252": F.min("low").over(frame(252)), "high_ytd": F.max("high").over(ytd), "low_ytd": F.min("low").over(ytd)})
 
 
-def gaps(bars: DataFrame) -> DataFrame:
+def gaps(bars: DataFrame, block: int = 64) -> DataFrame:
     """security_id, session, kind, edge, filled_at: gap edges, and the first later session that trades back to the edge (null while open).
-    The first session after t with low <= edge is found by counting sessions: a search among later rows in one window."""
+    ``bars`` has k. A gap is compared with the extremes of later blocks of ``block`` sessions, and only then with the sessions of its own and of the first
+    block that reaches it."""
     last_high, last_low = F.lag("high").over(by_session()), F.lag("low").over(by_session())
     g = bars.withColumn("g", F.when(F.col("low") > last_high, F.struct(F.lit("up").alias("kind"), last_high.alias("edge"))).when(F.col("high") < last_low, F.struct(F.lit("down").alias("kind"), last_low.alias("edge"))))
-    found = g.where("g is not null").select("security_id", "session", "k", "g.kind", "g.edge")
-    later = bars.select(F.col("security_id").alias("s2"), F.col("session").alias("later"), "high", "low")
-    hit = F.when(F.col("kind") == "up", F.col("low") <= F.col("edge")).otherwise(F.col("high") >= F.col("edge"))
-    filled = found.join(later, (F.col("security_id") == F.col("s2")) & (F.col("later") > F.col("session")) & hit).groupBy("security_id", "session").agg(F.min("later").alias("filled_at"))
-    return found.join(filled, ["security_id", "session"], "left").drop("k")
-
-
-def bands(bars: DataFrame) -> DataFrame:
-    """SMA 20, 50, 200 and Bollinger (20, 2) bands; null until the window is full."""
+    found = g.where("g is not null").select("security_id", "session", "k", "g.kind", "g.edge", F.floor(F.col("k") / block).alias("block"))
+    reached = F.when(F.col("kind") == "up", F.col("low") <= F.col("edge")).otherwise(F.col("high") >= F.col("edge"))
+    later = bars.select("security_id", F.floor(F.col("k") / block).alias("at"), F.col("session").alias("later"), F.col("k").alias("later_k"), "high", "low")
+    blocks = later.groupBy("security_id", "at").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    first = found.join(blocks, "security_id").where((F.col("at") > F.col("block")) & reached).groupBy("security_id", "session").agg(F.min("at").alias("at"))
+    first = first.unionByName(found.select("security_id", "session", F.col("block").alias("at")))
+    filled = found.join(first, ["security_id", "session"]).join(later, ["security_id", "at"]).where((F.col("later_k") > F.col("k")) & reached).groupBy("security_id", "session").agg(F.min("later").alias("filled_at"))
+    return found.join(filled, ["security_id", "session"], "left").drop("k", "block")
+
+
+def bands(ranged: DataFrame) -> DataFrame:
+    """SMA 20, 50, 200, Bollinger (20, 2) and Keltner (20, 1.5 ATRs around the exponential mean) bands; simple means are null until their window is full."""
     full = lambda n, x: F.when(F.count("*").over(frame(n)) == n, x)
     mean, dev = F.avg("close").over(frame(20)), F.stddev_pop("close").over(frame(20))
-    return bars.withColumns({"sma20": full(20, mean), "sma50": full(50, F.avg("close").over(frame(50))), "sma200": full(200, F.avg("close").over(frame(200))), "boll_up": full(20, mean + 2 * dev), "boll_low": full(20, mean - 2 * dev)})
+    out = smoothed(ranged, "close", "ema20", 20, weight=2 / 21, seeded=False)
+    out = out.withColumns({"sma20": full(20, mean), "sma50": full(50, F.avg("close").over(frame(50))), "sma200": full(200, F.avg("close").over(frame(200))), "boll_up": full(20, mean + 2 * dev), "boll_low": full(20, mean - 2 * dev)})
+    return out.withColumns({"keltner_up": F.col("ema20") + 1.5 * F.col("atr"), "keltner_low": F.col("ema20") - 1.5 * F.col("atr")})
 
 
 def volatility(bars: DataFrame) -> DataFrame:
-    """Log returns over 1, 5, 20 sessions and volatilities: close to close, high-low range, open-high-low-close, drift-free."""
+    """Log returns over 1 to 60 sessions and volatilities: close to close over 5, 20, 60, high-low range, open-high-low-close, drift-free; and the share of the last three years (756
+    sessions) whose 20-session volatility was no higher."""
     ln = lambda a, b: F.log(F.col(a) / F.col(b))
-    out = bars.withColumns({f"ret_{n}": F.log(F.col("close") / F.lag("close", n).over(by_session())) for n in (1, 5, 20)})
+    out = bars.withColumns({f"ret_{n}": F.log(F.col("close") / F.lag("close", n).over(by_session())) for n in (1, 2, 5, 10, 20, 60)})
     hl = ln("high", "low")
     terms = {"parkinson": hl * hl / F.lit(4 * 0.6931471805599453), "garman_klass": 0.5 * hl * hl - F.lit(2 * 0.6931471805599453 - 1) * ln("close", "open") * ln("close", "open"), "rogers_satchell": ln("high", "close") * ln("high", "open") + ln("low", "close") * ln("low", "open")}
-    out = out.withColumn("sigma20", F.stddev_samp("ret_1").over(frame(20)))
-    return out.withColumns({f"{k}20": F.sqrt(F.greatest(F.avg(v).over(frame(20)), F.lit(0.0))) for k, v in terms.items()})
+    out = out.withColumns({f"sigma{n}": F.stddev_samp("ret_1").over(frame(n)) for n in (5, 20, 60)})
+    out = out.withColumns({f"{k}20": F.sqrt(F.greatest(F.avg(v).over(frame(20)), F.lit(0.0))) for k, v in terms.items()})
+    past = F.collect_list(F.round("sigma20", 12)).over(frame(756))
+    share = F.try_divide(F.size(F.filter(past, lambda x: x <= F.round("sigma20", 12))), F.size(past))
+    return out.withColumn("vol_pctile", F.when(F.col("sigma20").isNotNull(), share))
 
 
 def momentum(bars: DataFrame) -> DataFrame:
-    """ROC10, stochastic %K14, OBV, drawdown from the running high, run length of equal signs."""
+    """ROC10, stochastic %K14, OBV and its slope over 20 sessions in mean volumes, drawdown from the running high, run length of equal signs."""
     change = F.col("close") - F.lag("close").over(by_session())
     run = by_session().rowsBetween(Window.unboundedPreceding, 0)
     low, high = F.min("low").over(frame(14)), F.max("high").over(frame(14))
     out = bars.withColumn("sign", F.coalesce(F.signum(change), F.lit(0.0)))
     out = out.withColumns({"roc10": F.col("close") / F.lag("close", 10).over(by_session()) - 1, "stochastic14": (F.col("close") - low) / F.nullif(high - low, F.lit(0.0)), "obv": F.sum(F.col("sign") * F.col("volume")).over(run), "drawdown": F.col("close") / F.max("close").over(run) - 1})
+    out = out.withColumn("obv_slope", (F.col("obv") - F.lag("obv", 20).over(by_session())) / F.nullif(F.sum("volume").over(frame(20)), F.lit(0.0)))
     new = F.sum(F.when(F.col("sign") == F.lag("sign").over(by_session()), 0).otherwise(1)).over(run)
     out = out.withColumn("run_id", new)
     return out.withColumn("run_length", F.row_number().over(Window.partitionBy("security_id", "run_id").orderBy("session"))).drop("run_id", "sign")
 
 
+def trend(bars: DataFrame, n: int = 14) -> DataFrame:
+    """security_id, session, rsi14, macd_hist, adx14: the recurrences, in one pass over each security. Wilder means are the mean of the first n values, then ((n - 1) * mean + value) / n; values
+    begin with the second session. Null until the first mean; RSI also without any change. MACD: exponential means of 12 and 26, signal of 9, from the first close on."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("session")
+        h, l, c = (pdf[x].to_numpy(float) for x in ("high", "low", "close"))  # noqa: E741
+        rsi, hist, adx = [None] * len(c), [0.0] * len(c), [None] * len(c)
+        means, strength, fast, slow, signal = np.zeros(5), 0.0, c[0], c[0], 0.0
+        for i in range(1, len(c)):
+            fast, slow = fast + (c[i] - fast) * 2 / 13, slow + (c[i] - slow) * 2 / 27
+            signal += (fast - slow - signal) * 2 / 10
+            hist[i] = fast - slow - signal
+            change, up, down = c[i] - c[i - 1], h[i] - h[i - 1], l[i - 1] - l[i]
+            new = np.array([max(change, 0.0), max(-change, 0.0), max(h[i] - l[i], abs(h[i] - c[i - 1]), abs(l[i] - c[i - 1])), up if up > down and up > 0 else 0.0, down if down > up and down > 0 else 0.0])
+            means = means + new / n if i <= n else ((n - 1) * means + new) / n
+            if i >= n:
+                gain, loss, _, plus, minus = means
+                if gain + loss > 0:
+                    rsi[i] = 100 * gain / (gain + loss)
+                dx = 100 * abs(plus - minus) / (plus + minus) if plus + minus > 0 else 0.0
+                strength = strength + dx / n if i < 2 * n else ((n - 1) * strength + dx) / n
+                if i >= 2 * n - 1:
+                    adx[i] = strength
+        return pdf[["security_id", "session"]].assign(**{k: pd.Series(v, index=pdf.index, dtype=object) for k, v in (("rsi14", rsi), ("macd_hist", hist), ("adx14", adx))})
+
+    rows = bars.select("security_id", "session", "high", "low", "close")
+    return rows.groupBy("security_id").applyInPandas(run, "security_id long, session date, rsi14 double, macd_hist double, adx14 double")
+
+
 def market(bars: DataFrame) -> DataFrame:
     """session, close of an equal-weighted index of all securities (mean close), as one security 0 with k."""
     return bars.groupBy("session").agg(F.avg("close").alias("close"), F.count("*").alias("n")).withColumn("security_id", F.lit(0).cast("long"))
@@ -89,21 +132,27 @@ def regimes(index: DataFrame) -> DataFrame:
     return out.withColumn("regime", F.when(F.col("vol_rank") >= 0.9, "high_vol").when(z.isNotNull(), weak)).select("session", "trend_z", "vol_rank", "regime")
 
 
-def relative_strength(bars: DataFrame, index: DataFrame, days: tuple[int, ...] = (1, 5, 20)) -> DataFrame:
+def relative_strength(bars: DataFrame, index: DataFrame, days: tuple[int, ...] = (1, 5, 20, 60, 120)) -> DataFrame:
     """security_id, session, rs_n: return minus the index's return over n sessions."""
     back = lambda df, name: df.select("security_id", "session", *((F.col("close") / F.lag("close", n).over(by_session()) - 1).alias(f"{name}_{n}") for n in days))
-    both = back(bars, "own").join(F.broadcast(back(index, "mkt").drop("security_id")), "session")
+    both = back(bars, "own").join(back(index, "mkt").drop("security_id"), "session")
     return both.select("security_id", "session", *((F.col(f"own_{n}") - F.col(f"mkt_{n}")).alias(f"rs_{n}") for n in days))
 
 
 def factors(bars: DataFrame, index: DataFrame, n: int = 60) -> DataFrame:
-    """security_id, session, beta, corr over n sessions against the index, and the rank of the 20-session return among the session's securities."""
-    mine = bars.select("security_id", "session", F.log(F.col("close") / F.lag("close").over(by_session())).alias("x"), F.log(F.col("close") / F.lag("close", 20).over(by_session())).alias("mom"))
+    """security_id, session, beta, corr and idiosyncratic volatility over n sessions against the index, and ranks among the session's securities: of the 20-session return, of low
+    volatility (n sessions) and of traded value (mean of 20)."""
+    value = F.avg(F.col("close") * F.col("volume")).over(frame(20))
+    mine = bars.select("security_id", "session", F.log(F.col("close") / F.lag("close").over(by_session())).alias("x"), F.log(F.col("close") / F.lag("close", 20).over(by_session())).alias("mom"), F.round(value, 6).alias("adv"))
     idx = index.select("session", F.log(F.col("close") / F.lag("close").over(by_session())).alias("y"))
-    both = mine.join(F.broadcast(idx), "session").where("x is not null and y is not null")
-    rank = F.percent_rank().over(Window.partitionBy("session").orderBy("mom"))
+    both = mine.join(idx, "session").where("x is not null and y is not null")
+    rank = lambda c: F.percent_rank().over(Window.partitionBy("session").orderBy(c))
     f = frame(n)
-    return both.withColumns({"beta": F.covar_pop("x", "y").over(f) / F.nullif(F.var_pop("y").over(f), F.lit(0.0)), "corr": F.corr("x", "y").over(f), "mom_rank": F.when(F.col("mom").isNotNull(), rank)}).select("security_id", "session", "beta", "corr", "mom_rank")
+    spread = F.var_pop("y").over(f)
+    own = F.sqrt(F.greatest(F.var_pop("x").over(f) - F.pow(F.covar_pop("x", "y").over(f), 2) / F.nullif(spread, F.lit(0.0)), F.lit(0.0)))
+    out = both.withColumns({"beta": F.covar_pop("x", "y").over(f) / F.nullif(spread, F.lit(0.0)), "corr": F.corr("x", "y").over(f), "idio_vol": own, "calm": -F.round(F.stddev_pop("x").over(f), 9)})
+    out = out.withColumns({"mom_rank": F.when(F.col("mom").isNotNull(), rank("mom")), "low_vol_rank": rank("calm"), "liquidity_rank": rank("adv")})
+    return out.select("security_id", "session", "beta", "corr", "idio_vol", "mom_rank", "low_vol_rank", "liquidity_rank")
 
 
 def breadth(bars: DataFrame, n: int = 50) -> DataFrame:

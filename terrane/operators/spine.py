@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import pit
 from .indicators import by_session
 
 
@@ -28,14 +29,16 @@ def adjust_asof(bars: DataFrame, actions: DataFrame, as_of, kinds: tuple[str, ..
 
 
 def members_at(membership: DataFrame, dates: DataFrame) -> DataFrame:
-    """index_id, security_id, as_of: members at each date, start inclusive, end exclusive or open. Membership is a small dimension."""
+    """index_id, security_id, as_of: members at each date, start inclusive, end exclusive or open. Joined by the years that a membership touches."""
+    last = F.broadcast(dates.agg(F.max("as_of").alias("last")))  # one row
     end = F.coalesce("end", F.lit("9999-12-31").cast("date"))
-    return dates.join(F.broadcast(membership), (F.col("start") <= F.col("as_of")) & (F.col("as_of") < end)).select("index_id", "security_id", "as_of")
+    spans = membership.crossJoin(last).where(F.col("start") <= F.col("last")).withColumn("year", F.explode(F.sequence(F.year("start"), F.greatest(F.year("start"), F.year(F.least(end, "last"))))))
+    return dates.withColumn("year", F.year("as_of")).join(spans, "year").where((F.col("start") <= F.col("as_of")) & (F.col("as_of") < end)).select("index_id", "security_id", "as_of")
 
 
 def resolve_symbols(rows: DataFrame, symbols: DataFrame) -> DataFrame:
     """``rows`` (source, symbol, session) with the security that the symbol named on that day; null if none."""
-    s = F.broadcast(symbols.select(F.col("source").alias("_s"), F.col("symbol").alias("_y"), "security_id", "start", "end"))
+    s = symbols.select(F.col("source").alias("_s"), F.col("symbol").alias("_y"), "security_id", "start", "end")
     end = F.coalesce("end", F.lit("9999-12-31").cast("date"))
     return rows.join(s, (F.col("source") == F.col("_s")) & (F.col("symbol") == F.col("_y")) & (F.col("start") <= F.col("session")) & (F.col("session") < end), "left").select(*rows.columns, "security_id")
 
@@ -64,9 +67,10 @@ def incremental(old: DataFrame, new: DataFrame, overlap: int = 40, tolerance: fl
 
 
 def calendar_mismatch(bars: DataFrame, calendar: DataFrame) -> DataFrame:
-    """security_id, session, kind: sessions within a security's life without a bar, and bars that are on no session."""
+    """security_id, session, kind: sessions within a security's life without a bar, and bars that are on no session. Lives and sessions are joined by year."""
     life = bars.groupBy("security_id").agg(F.min("session").alias("a"), F.max("session").alias("b"))
-    wanted = F.broadcast(calendar.select("session")).join(life, F.col("session").between(F.col("a"), F.col("b"))).select("security_id", "session")
+    life = life.withColumn("year", F.explode(F.sequence(F.year("a"), F.year("b"))))
+    wanted = calendar.select("session", F.year("session").alias("year")).join(life, "year").where(F.col("session").between(F.col("a"), F.col("b"))).select("security_id", "session")
     have = bars.select("security_id", "session")
     return wanted.subtract(have).withColumn("kind", F.lit("no_bar")).unionByName(have.join(calendar.select("session"), "session", "left_anti").select("security_id", "session").withColumn("kind", F.lit("no_session")))
 
@@ -112,7 +116,7 @@ def split_state(bars: DataFrame, splits: DataFrame) -> DataFrame:
 
 def tick_size(prices: DataFrame, bands: DataFrame) -> DataFrame:
     """``prices`` (market, price) with the tick of the band lo <= price < hi; 0.01 where there is none."""
-    b = F.broadcast(bands.select(F.col("market").alias("_m"), "lo", "hi", "tick"))
+    b = bands.select(F.col("market").alias("_m"), "lo", "hi", "tick")
     return prices.join(b, (F.col("market") == F.col("_m")) & (F.col("price") >= F.col("lo")) & (F.col("price") < F.col("hi")), "left").select(*prices.columns, F.coalesce("tick", F.lit(0.01)).alias("tick"))
 
 
@@ -120,7 +124,7 @@ def open_sessions(calendar: DataFrame, closures: DataFrame) -> DataFrame:
     """The calendar without full closures; half days stay and are flagged."""
     full = closures.where("kind = 'full'").select("session")
     half = closures.where("kind = 'half'").select("session", F.lit(True).alias("half_day"))
-    return calendar.join(F.broadcast(full), "session", "left_anti").join(F.broadcast(half), "session", "left").withColumn("half_day", F.coalesce("half_day", F.lit(False)))
+    return calendar.join(full, "session", "left_anti").join(half, "session", "left").withColumn("half_day", F.coalesce("half_day", F.lit(False)))
 
 
 def load_status(audit: DataFrame, now) -> DataFrame:
@@ -131,10 +135,26 @@ def load_status(audit: DataFrame, now) -> DataFrame:
 
 
 def event_context(events: DataFrame, asof: DataFrame) -> DataFrame:
-    """security_id, as_of, days_since, days_to: distance to the event before and after, of events known by as_of. Events and questions are put in one order."""
-    one = events.select("security_id", F.col("event_date").alias("at"), F.lit(0).alias("ask"))
-    two = asof.select("security_id", F.col("as_of").alias("at"), F.lit(1).alias("ask"))
-    w = Window.partitionBy("security_id").orderBy("at", "ask")
-    day = F.when(F.col("ask") == 0, F.col("at"))
-    both = one.unionByName(two).withColumns({"last": F.last(day, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "next": F.first(day, True).over(w.rowsBetween(1, Window.unboundedFollowing))})
-    return both.where("ask = 1").select("security_id", F.col("at").alias("as_of"), F.datediff("at", "last").cast("long").alias("days_since"), F.datediff("next", "at").cast("long").alias("days_to"))
+    """security_id, as_of, days_since, days_to: distance to the last event at or before as_of and to the next one after it, of events (security_id, event_date, available_at)
+    that were known by as_of; null if there is none.
+
+    An event counts as past from the day on which it has both happened and become known: a running maximum. It is upcoming from the day on which it becomes
+    known to the day before it happens, and is listed under the months between, which are few."""
+    e = events.select("security_id", "event_date", F.to_date("available_at").alias("known"))
+    past = e.withColumn("at", F.greatest("event_date", "known"))
+    since = pit.latest_known(past, asof, ["security_id"], "event_date", "at", "as_of", []).select("security_id", "as_of", F.datediff("as_of", "event_date").cast("long").alias("days_since"))
+    month = lambda c: F.trunc(c, "month")
+    ahead = e.where("known < event_date").withColumn("month", F.explode(F.sequence(month("known"), month("event_date"), F.expr("interval 1 month"))))
+    met = asof.select("security_id", "as_of", month("as_of").alias("month")).join(ahead, ["security_id", "month"]).where((F.col("known") <= F.col("as_of")) & (F.col("as_of") < F.col("event_date")))
+    to = met.groupBy("security_id", "as_of").agg(F.min(F.datediff("event_date", "as_of")).cast("long").alias("days_to"))
+    return since.join(to, ["security_id", "as_of"], "left")
+
+
+def traded_prices(bars: DataFrame, splits: DataFrame, fetched) -> DataFrame:
+    """security_id, session, raw_close, raw_volume: prices as they were traded, from a series that was rescaled for every split up to ``fetched``: times the ratios of the splits
+    (security_id, ex_date, ratio) after the session. Splits and sessions share one descending order, along which the product runs."""
+    w = Window.partitionBy("security_id").orderBy(F.desc("at"), "is_split").rowsBetween(Window.unboundedPreceding, 0)
+    one = bars.select("security_id", F.col("session").alias("at"), F.lit(0).alias("is_split"), "close", "volume", F.lit(None).cast("double").alias("ratio"))
+    two = splits.where(F.col("ex_date") <= fetched).select("security_id", F.col("ex_date").alias("at"), F.lit(1).alias("is_split"), F.lit(None).cast("double").alias("close"), F.lit(None).cast("double").alias("volume"), F.col("ratio").cast("double").alias("ratio"))
+    both = one.unionByName(two).withColumn("times", F.exp(F.sum(F.coalesce(F.log("ratio"), F.lit(0.0))).over(w)))
+    return both.where("is_split = 0").select("security_id", F.col("at").alias("session"), (F.col("close") * F.col("times")).alias("raw_close"), (F.col("volume") / F.col("times")).alias("raw_volume"))

@@ -40,7 +40,7 @@ def weekly(spark, d):
     return pit.week_ends(bars(spark, d))
 
 
-register("fn_11_action_gains", lambda s, d: bars(s, d).where("k % 100 = 1").select("security_id", "session", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(r).cast("double").alias("ratio"), F.lit(a).cast("double").alias("amount"), F.lit(o).cast("double").alias("offer")) for k, r, a, o in (("split", 2, 0, 0), ("bonus", 0.25, 0, 0), ("dividend", 0, 1.5, 0), ("rights", 0.2, 0, 150), ("spinoff", 0, 20, 0))))).alias("x"), F.col("close").alias("close_before")).select("security_id", "session", "close_before", "x.*").select("security_id", "session", "kind", D.action_gain().alias("gain")), query("SELECT security_id, session, unnest(['split','bonus','dividend','rights','spinoff']) AS kind, round(unnest([0.5, 1 / 1.25, 1 - 1.5 / close, (close + 0.2 * 150) / 1.2 / close, 1 - 20 / close]), 6) AS gain FROM bars WHERE k % 100 = 1", "bars"))
+register("fn_11_action_gains", lambda s, d: bars(s, d).select("security_id", "session", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(r).cast("double").alias("ratio"), F.lit(a).cast("double").alias("amount"), F.lit(o).cast("double").alias("offer")) for k, r, a, o in (("split", 2, 0, 0), ("bonus", 0.25, 0, 0), ("dividend", 0, 1.5, 0), ("rights", 0.2, 0, 150), ("spinoff", 0, 20, 0))))).alias("x"), F.col("close").alias("close_before")).select("security_id", "session", "close_before", "x.*").select("security_id", "session", "kind", D.action_gain().alias("gain")), query("SELECT security_id, session, unnest(['split','bonus','dividend','rights','spinoff']) AS kind, round(unnest([0.5, 1 / 1.25, 1 - 1.5 / close, (close + 0.2 * 150) / 1.2 / close, 1 - 20 / close]), 6) AS gain FROM bars", "bars"))
 _adj = query("SELECT b.security_id, b.session, round(close, 6) AS close, round(coalesce(exp(sum(ln(g))), 1), 6) AS factor, round(close * coalesce(exp(sum(ln(g))), 1), 6) AS adjusted FROM bars b LEFT JOIN (SELECT *, {g} AS g FROM acts WHERE ex_date <= DATE '1996-12-31' AND available_at <= DATE '1996-12-31') a ON a.security_id = b.security_id AND a.ex_date > b.session GROUP BY b.security_id, b.session, close".replace("{g}", GAIN), "bars", extra={"acts": ACTIONS})
 register("jon_7_adjusted_asof", lambda s, d: D.adjust_asof(bars(s, d), actions(s), F.lit("1996-12-31").cast("date")), _adj)
 register("win_14_adjustment_factor", lambda s, d: D.adjust_asof(bars(s, d), actions(s), F.lit("1996-12-31").cast("date")).select("security_id", "session", "factor"), f"SELECT security_id, session, factor FROM ({_adj})")
@@ -51,12 +51,14 @@ RECON = "SELECT a.security_id, a.session, a.close AS close_a, b.close AS close_b
 register("jon_15_reconciled", lambda s, d: D.reconcile(bars(s, d), _b2(s, d)), query(f"SELECT security_id, session, {R('close_a', 'close_b')}, status FROM ({RECON})", "bars"))
 register("agg_20_pass_rates", lambda s, d: D.recon_summary(D.reconcile(bars(s, d), _b2(s, d))), query(f"SELECT security_id, count(*) AS n, round(avg((status = 'pass')::INT), 6) AS pass_rate FROM ({RECON}) GROUP BY ROLLUP (security_id)", "bars"))
 register(
-    "jon_16_latest_known", lambda s, d: pit.asof_latest(bars(s, d).where("k % 9 = 0").select("security_id", "session", F.col("close").alias("value")), weekly(s, d), ["security_id"], "session", "as_of", ["value"]),
-    query("SELECT s.security_id, s.as_of, round(arg_max(b.close, b.session), 6) AS value FROM state s LEFT JOIN bars b ON b.security_id = s.security_id AND b.session <= s.as_of AND b.k % 9 = 0 GROUP BY ALL", "state"),
+    # Figures of a session become known 3 to 30 days later, not always in order.
+    "jon_16_latest_known", lambda s, d: pit.latest_known(bars(s, d).select("security_id", "session", F.date_add("session", (3 + F.col("k") * 7 % 28).cast("int")).alias("known"), F.col("close").alias("value")), weekly(s, d), ["security_id"], "session", "known", "as_of", ["value"]),
+    query("SELECT s.security_id, s.as_of, max(b.session) AS session, round(arg_max(b.close, b.session), 6) AS value FROM state s LEFT JOIN bars b ON b.security_id = s.security_id AND b.session + (3 + b.k * 7 % 28)::INT <= s.as_of GROUP BY ALL", "state"),
 )
 register(
-    "jon_19_event_context", lambda s, d: D.event_context(bars(s, d).where("k % 63 = 0").select("security_id", F.col("session").alias("event_date")), weekly(s, d)),
-    query("SELECT s.security_id, s.as_of, s.as_of - max(b.session) FILTER (b.session <= s.as_of) AS days_since, min(b.session) FILTER (b.session > s.as_of) - s.as_of AS days_to FROM state s LEFT JOIN bars b ON b.security_id = s.security_id AND b.k % 63 = 0 GROUP BY s.security_id, s.as_of", "state"),
+    # The first session of each month is an event, announced up to 60 days ahead or known up to 9 days late.
+    "jon_19_event_context", lambda s, d: D.event_context(bars(s, d).groupBy("security_id", F.trunc("session", "month").alias("m")).agg(F.min("session").alias("event_date")).select("security_id", "event_date", F.date_sub("event_date", (F.month("event_date") * 7 % 70 - 9).cast("int")).alias("available_at")), weekly(s, d)),
+    query("SELECT s.security_id, s.as_of, s.as_of - max(e.day) FILTER (e.day <= s.as_of) AS days_since, min(e.day) FILTER (e.day > s.as_of) - s.as_of AS days_to FROM state s LEFT JOIN (SELECT security_id, min(session) AS day, min(session) - (month(min(session)) * 7 % 70 - 9)::INT AS known FROM bars GROUP BY security_id, date_trunc('month', session)) e ON e.security_id = s.security_id AND e.known <= s.as_of GROUP BY s.security_id, s.as_of", "state"),
 )
 CLOSURES = "SELECT * FROM (VALUES (DATE '1995-07-04', 'full'), (DATE '1996-07-04', 'full'), (DATE '1995-11-24', 'half'), (DATE '1996-12-24', 'half')) t(session, kind)"
 register("jon_20_open_sessions", lambda s, d: D.open_sessions(_calendar(s, d), table(s, CLOSURES)), f"WITH cal AS ({CALENDAR}), clo AS ({CLOSURES}) SELECT c.session, c.close_ts, coalesce(h.kind = 'half', false) AS half_day FROM cal c LEFT JOIN clo h USING (session) WHERE h.kind IS DISTINCT FROM 'full'")
