@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import core, data, evaluate, features, labels, series, stream
+from . import core, data, evaluate, features, files, labels, series, shapes, stream
 
-QUERIES: dict = {**core.QUERIES, **series.QUERIES, **data.QUERIES, **labels.QUERIES, **stream.QUERIES, **features.QUERIES, **evaluate.QUERIES}
-ORACLE: dict[str, str] = {**core.ORACLE, **series.ORACLE, **data.ORACLE, **labels.ORACLE, **stream.ORACLE, **features.ORACLE, **evaluate.ORACLE}
+QUERIES: dict = {**core.QUERIES, **series.QUERIES, **data.QUERIES, **labels.QUERIES, **stream.QUERIES, **features.QUERIES, **evaluate.QUERIES, **shapes.QUERIES, **files.QUERIES}
+ORACLE: dict[str, str] = {**core.ORACLE, **series.ORACLE, **data.ORACLE, **labels.ORACLE, **stream.ORACLE, **features.ORACLE, **evaluate.ORACLE, **shapes.ORACLE, **files.ORACLE}

@@ -12,6 +12,11 @@ def write_lake(df: DataFrame, path: str, partitions: tuple[str, ...] = ("market"
     spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 
+def read_lake(spark: SparkSession, path: str, markets: list[str], first: int, last: int) -> DataFrame:
+    """The lake's rows of some markets and years; the other partitions are not read."""
+    return spark.read.parquet(path).where(F.col("market").isin(markets) & F.col("year").between(first, last))
+
+
 def dump(tables: dict[str, DataFrame], path: str, kind: str = "csv") -> None:
     """One folder for each table."""
     for name, df in tables.items():

@@ -31,12 +31,19 @@ def alerts(ticks: DataFrame, zones: DataFrame, late: str = "10 minutes") -> Data
 
 
 def route_restated(stream: DataFrame, known: DataFrame, good: str, aside: str, checkpoint: str, tolerance: float = 1e-6):
-    """Start a query that appends new bars to ``good`` and bars that contradict a known one to ``aside``."""
+    """Start a query that writes new bars to ``good``, and bars that contradict a known one or have no close to ``aside``. Each batch overwrites the folder of its own number, so one that is
+    run again after a failure leaves no row twice."""
 
     def each(batch: DataFrame, number: int) -> None:
-        both = batch.join(known.select("key", "start", F.col("close").alias("known_close")), ["key", "start"], "left").persist()
-        both.where("known_close is null").drop("known_close").write.mode("append").parquet(good)
-        both.where(F.abs(F.col("close") - F.col("known_close")) > tolerance * F.abs("known_close")).write.mode("append").parquet(aside)
+        both = batch.join(known.select("key", "start", F.col("close").alias("known_close"), F.lit(True).alias("is_known")), ["key", "start"], "left").persist()
+        odd = F.col("close").isNull() | F.coalesce(F.abs(F.col("close") - F.col("known_close")) > tolerance * F.abs("known_close"), F.lit(False))
+        for path, rows in ((good, both.where(~odd & F.col("is_known").isNull())), (aside, both.where(odd))):
+            rows.drop("known_close", "is_known").write.mode("overwrite").parquet(f"{path}/batch={number}")
         both.unpersist()
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def too_late(query) -> int:
+    """How many rows a streaming query has left out so far because they came after the watermark."""
+    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])

@@ -1,12 +1,16 @@
 """Operators without SQL, on small hand-made tables."""
 
 import datetime
+import math
+import statistics
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from terrane.functions.ladder import draw, ladder_steps, rungs_within, short_number
-from terrane.operators import features, indicators, labels, touch
+from terrane.functions.ladder import ladder_steps, rungs_within, short_number
+from terrane.functions.quantiles import quantiles
+from terrane.operators import features, fits, indicators, labels, shapes, spine, touch
 from terrane.plans.core import candidates
 from terrane.operators import zones
 
@@ -18,10 +22,37 @@ def test_ladder(spark):
     assert row.s == [10.0, 5.0, 1.0, 0.5] and row.r == [175.0, 180.0, 185.0, 190.0] and [row[f"n{i}"] for i in range(5)] == ["10", "0.5", "0.05", "1.5", "2"]
 
 
-def test_draws_are_the_same_in_numpy_and_sql(spark):
-    mine = touch.draws(0, 3, DAY, 4, 2, 97)
-    cols = [draw(F.lit("0"), [F.lit("3"), F.lit(str(DAY)), F.lit(str(p)), F.lit(str(s))], F.lit(97)) for p in range(4) for s in (1, 2)]
-    assert list(spark.range(1).select(*(c.alias(f"c{i}") for i, c in enumerate(cols))).head()) == mine.ravel().tolist()
+def test_draws_cover_all_rows_evenly():
+    numbers = touch.cells(10_000, 5)
+    assert len(np.unique(numbers)) == numbers.size and np.array_equal(numbers[:7], touch.cells(7, 5))
+    for m in (2, 97, 500):
+        for start in ((0, 3, DAY), (0, 4, DAY)):
+            seen = np.bincount(touch.draws(*start, numbers, m).ravel(), minlength=m)
+            assert ((seen - numbers.size / m) ** 2 / (numbers.size / m)).sum() < m + 6 * (2 * m) ** 0.5  # chi squared
+    one, two = touch.draws(0, 3, DAY, numbers, 100), touch.draws(0, 4, DAY, numbers, 100)
+    assert abs(np.corrcoef(one.ravel(), two.ravel())[0, 1]) < 0.02 and abs(np.corrcoef(one.T)[~np.eye(5, dtype=bool)]).max() < 0.04
+
+
+def test_touch_probabilities_against_each_path(spark):
+    """All 10,000 paths walked one by one in plain Python."""
+    rng = np.random.default_rng(1)
+    h, l, c = 1 + rng.random(30) / 50, 1 - rng.random(30) / 50, 1 + (rng.random(30) - 0.5) / 50
+    triples = spark.createDataFrame([(1, k + 2, float(h[k]), float(l[k]), float(c[k])) for k in range(30)], "security_id long, k long, h double, l double, c double")
+    zones = [(1, DAY, 31, 50.0, "a", 50.4, 51.0), (1, DAY, 31, 50.0, "b", 48.0, 49.0), (1, DAY, 31, 50.0, "far", 90.0, 91.0)]
+    frame = spark.createDataFrame(zones, "security_id long, as_of date, k long, spot double, zone_id string, lower double, upper double")
+    index = touch.draws(0, 1, DAY, touch.cells(10_000, 5), 30).tolist()
+    want = {z[4]: [0, 0, 0] for z in zones}
+    for path in index:
+        now, bars = 50.0, []
+        for i in path:
+            bars.append((now * h[i], now * l[i]))
+            now *= c[i]
+        for *_, name, lower, upper in zones:
+            want[name][0] += any(lo <= upper and hi >= lower for hi, lo in bars)
+            want[name][1] += min(lo for _, lo in bars) < lower
+            want[name][2] += max(hi for hi, _ in bars) > upper
+    got = {r.zone_id: [round(x * 10_000) for x in (r.p_touch, r.p_low_below, r.p_high_above)] for r in touch.touch_probabilities(frame, triples).collect()}
+    assert got == want and 0 < got["a"][0] < 10_000
 
 
 def test_path_steps():
@@ -43,22 +74,89 @@ def test_value_area(spark):
 
 
 def test_isotonic_is_the_pooled_mean(spark):
-    rows = [(1, 0.1, 1.0), (1, 0.2, 0.0), (1, 0.3, 1.0), (1, 0.4, 1.0)]
-    got = features.isotonic(spark.createDataFrame(rows, "s long, p double, y double"), "s", "p", "y").orderBy("p").collect()
-    assert [r.fitted for r in got] == [0.5, 0.5, 1.0, 1.0]
+    rows = [(1, 0.1, 1.0), (1, 0.2, 0.0), (1, 0.3, 1.0), (1, 0.4, 1.0), (2, 0.2, 1.0)]
+    got = features.isotonic(spark.createDataFrame(rows, "s long, p double, y double"), ["s"], "p", "y", least=3).orderBy("s", "p").collect()
+    assert [(r.s, r.level, r.fitted) for r in got] == [(1, 1, 0.5), (1, 1, 0.5), (1, 1, 1.0), (1, 1, 1.0), (2, 0, 2 / 3)]
 
 
 def test_zone_states(spark):
-    at = lambda i: datetime.datetime(2026, 1, 1 + i)
-    rows = [(1, at(i), o) for i, o in enumerate(["touch", "hold", "break", "hold", "break", "touch"])]
-    got = features.zone_states(spark.createDataFrame(rows, "zone long, at timestamp, outcome string")).orderBy("at").collect()
-    assert [r.state for r in got] == ["TESTED", "CONFIRMED", "FLIPPED", "FLIPPED", "RETIRED", "RETIRED"] and got[-1].touches == 1
+    ts = lambda i: datetime.datetime(2026, 1, 1) + datetime.timedelta(i)
+    rows = [(1, ts(i), 0, o) for i, o in enumerate(["touch", "hold", "break", "hold", "break", "touch"])] + [(2, ts(0), 0, "hold"), (2, ts(80), 0, "touch"), (2, ts(170), 0, "touch"), (2, ts(171), 0, "break")]
+    got = features.zone_states(spark.createDataFrame(rows, "zone long, ts timestamp, n long, outcome string")).orderBy("zone", "ts").collect()
+    assert [r.state for r in got] == ["TESTED", "CONFIRMED", "FLIPPED", "FLIPPED", "RETIRED", "RETIRED", "CONFIRMED", "CONFIRMED", "RETIRED", "RETIRED"]
+    assert (got[5].touches, got[5].holds, got[5].breaks) == (1, 2, 2) and (got[9].touches, got[9].holds, got[9].breaks) == (1, 1, 0)
 
 
 def test_published(spark):
-    rows = [(1, DAY, f"z{i}", "support", 0.9, s, 0.9, 0.9) for i, s in enumerate((0.9, 0.8, 0.75, 0.66))] + [(1, DAY, "r", "resistance", 0.5, 0.9, 0.9, 0.9)]
-    got = labels.published(spark.createDataFrame(rows, "security_id long, as_of date, zone_id string, side string, p_touch double, p_hold double, confidence double, dq double"))
-    assert sorted(r.zone_id for r in got.collect()) == ["z0", "z1", "z2"]
+    names = "security_id long, as_of date, zone_id string, side string, p_touch double, p_hold double, confidence double, dq double, reaction double, event_risk double"
+    rows = [(1, DAY, f"z{i}", "support", 0.9, s, 0.9, 0.9, 1.0, 0.1) for i, s in enumerate((0.9, 0.8, 0.75, 0.66))]
+    rows += [(1, DAY, "r", "resistance", 0.5, 0.9, 0.9, 0.9, 1.0, 0.1), (1, DAY, "e", "resistance", 0.9, 0.9, 0.9, 0.9, 1.0, 0.8), (2, DAY, "q", "support", 0.9, 0.9, 0.9, 0.9, 1.0, 0.1), (2, DAY, "low", "support", 0.9, 0.9, 0.9, 0.6, 1.0, 0.1)]
+    assert sorted(r.zone_id for r in labels.published(spark.createDataFrame(rows, names)).collect()) == ["z0", "z1", "z2"]
+
+
+@pytest.mark.parametrize("rows", [1, 7, 30_000])
+def test_quantiles_are_exact(spark, rows):
+    rng = np.random.default_rng(rows)
+    values = np.concatenate([np.round(rng.normal(size=rows), 2), np.full(rows // 3, 0.25)])
+    at = [0.0, 0.1, 0.5, 0.9, 0.999, 1.0]
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "v double").repartition(3)
+    assert np.allclose(quantiles(df, "v", at).head().edges, np.quantile(values, at), atol=1e-12)
+
+
+def test_quantiles_of_nothing(spark):
+    assert quantiles(spark.createDataFrame([], "v double"), "v", [0.5]).head().edges == []
+
+
+def test_folds_train_on_the_past_alone(spark):
+    day = lambda y, m, d: datetime.date(y, m, d)
+    rows = [(1, day(2020, 6, 1), "a"), (1, day(2020, 6, 1), "b"), (1, day(2020, 12, 28), "c"), (1, day(2021, 1, 4), "d"), (1, day(2022, 3, 1), "e")]
+    got = {(r.zone_id, r.fold, r.role, r.weight) for r in features.folds(spark.createDataFrame(rows, "security_id long, as_of date, zone_id string")).collect()}
+    assert got == {("a", 2021, "train", 0.5), ("b", 2021, "train", 0.5), ("d", 2021, "validate", 1.0), ("a", 2022, "train", 0.5), ("b", 2022, "train", 0.5), ("c", 2022, "train", 1.0), ("d", 2022, "train", 1.0), ("e", 2022, "validate", 1.0)}
+
+
+def test_events_nobody_had_announced_are_not_seen(spark):
+    day = lambda m, d: datetime.date(2026, m, d)
+    events = [(1, day(1, 10), day(1, 12)), (1, day(3, 1), day(2, 10)), (1, day(2, 20), day(2, 25)), (1, day(6, 1), day(1, 1))]
+    asked = [(1, day(1, 11)), (1, day(1, 12)), (1, day(2, 9)), (1, day(2, 10)), (1, day(2, 22)), (1, day(3, 1)), (1, day(6, 1)), (2, day(1, 1))]
+    got = spine.event_context(spark.createDataFrame(events, "security_id long, event_date date, available_at date"), spark.createDataFrame(asked, "security_id long, as_of date"))
+    plain = []
+    for s, t in asked:
+        known = [e for i, e, a in events if i == s and a <= t]
+        plain.append((s, t, min(((t - e).days for e in known if e <= t), default=None), min(((e - t).days for e in known if e > t), default=None)))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(plain)
+
+
+def test_first_outside_against_a_scan(spark):
+    rng = np.random.default_rng(2)
+    price = np.round(100 + np.cumsum(rng.normal(size=300)), 2)
+    bars = spark.createDataFrame([(1, DAY + datetime.timedelta(i), i + 1, float(p)) for i, p in enumerate(price)], "security_id long, session date, k long, close double")
+    rows = bars.select("security_id", "session", "k", (F.col("close") - 4).alias("floor"), (F.col("close") + 4).alias("ceiling"))
+    want = {}
+    for i, p in enumerate(price):
+        lo, hi = float(p) - 4, float(p) + 4
+        want[i + 1] = next((DAY + datetime.timedelta(int(j)) for j in range(i + 1, 300) if price[j] < lo or price[j] > hi), None)
+    assert {r.k: r.reached_at for r in shapes.first_outside(rows, bars, "close", "close", 16).collect()} == want
+
+
+def test_deflated_sharpe(spark):
+    normal = statistics.NormalDist()
+    found = spark.createDataFrame([(1, 250, 0.1, -0.5, 4.0)], "security_id long, n long, sharpe double, skew double, kurtosis double")
+    trials = [0.01, 0.05, -0.02, 0.08]
+    r = fits.deflated_sharpe(found, spark.createDataFrame([(x,) for x in trials], "sharpe double")).head()
+    best = statistics.stdev(trials) * ((1 - 0.5772) * normal.inv_cdf(0.75) + 0.5772 * normal.inv_cdf(1 - 1 / (4 * math.e)))
+    want = normal.cdf((0.1 - best) * 249**0.5 / (1 + 0.5 * 0.1 + 3 / 4 * 0.01) ** 0.5)
+    assert abs(r.expected_best - best) < 1e-12 and abs(r.deflated - want) < 1e-12
+
+
+def test_outcome_models_learn_on_train_rows_alone(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1200, 2))
+    y = (x[:, 0] * x[:, 1] + 0.3 * x[:, 0] > 0).astype(int)  # trees can say it, a line cannot
+    rows = [(DAY + datetime.timedelta(i % 400), float(a), float(b), int(c) if i % 400 < 300 else None) for i, ((a, b), c) in enumerate(zip(x, y, strict=True))]
+    got = fits.outcome_models(spark.createDataFrame(rows + [(DAY, None, 0.0, 1)], "as_of date, a double, b double, y long"), ["a", "b"], "y", "as_of < date '2026-10-01'").collect()
+    new = [(r, int(r.a * r.b + 0.3 * r.a > 0)) for r in got if r.y is None]
+    right = lambda c: np.mean([(r[c] >= 0.5) == bool(t) for r, t in new])
+    assert len(got) == 1200 and len(new) == 300 and right("p_trees") > 0.85 and right("p") > 0.85 and right("p") > right("p_linear")
 
 
 def test_zones_do_not_depend_on_partitions(spark, sf):

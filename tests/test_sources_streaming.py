@@ -1,12 +1,15 @@
 import datetime
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from terrane.operators import pit
+from terrane.operators import features, pit
 from terrane.plans.stream import ticks
 from terrane.sources import lake, vendors
 from terrane.streaming import bars as stream
+from terrane.streaming import states
 
 FILES = {
     "stooq/A/2026-01-02.csv": ("stooq", "Date,Open,High,Low,Close,Volume\n2026-01-01,1,2,0.5,1.5,10\n2026-01-02,1,2,0.5,,10\n2026-01-01,1,2,0.5,1.7,11\n"),
@@ -89,15 +92,50 @@ def test_stream_bars_are_the_closed_batch_bars(spark, sf, tmp_path):
 
 
 def test_stream_alerts(spark, sf, tmp_path):
-    zones = spark.sql("select 'click' as key, 'c' as zone_id, 0.0D as lower, 1000.0D as upper")
-    _, out = run_stream(spark, sf, tmp_path, lambda live: stream.alerts(live, zones))
-    assert out.count() >= 1
+    zones = spark.sql("select * from values ('click', 'c', 0.0D, 1000.0D), ('view', 'low', -5.0D, -1.0D), ('error', 'e', 0.0D, 1000.0D) t(key, zone_id, lower, upper)")
+    table, out = run_stream(spark, sf, tmp_path, lambda live: stream.alerts(live, zones))
+    got = [(r.key, r.zone_id, r.ts) for r in out.collect()]
+    seen = {k: {r.ts for r in table.where(F.col("key") == k).collect()} for k in ("click", "error")}
+    assert sorted(g[:2] for g in got) == [("click", "c"), ("error", "e")] and all(t in seen[k] for k, _, t in got)
 
 
 def test_restated_bars_go_aside(spark, tmp_path):
-    new = spark.sql("select 'k' as key, x as start, y as close from values (1, 1.0D), (2, 2.5D), (3, 3.0D) t(x, y)")
+    new = spark.sql("select 'k' as key, x as start, y as close from values (1, 1.0D), (2, 2.5D), (3, 3.0D), (4, null) t(x, y)")
     new.write.parquet(f"{tmp_path}/in")
     known = spark.sql("select 'k' as key, x as start, y as close from values (1, 1.0D), (2, 2.0D) t(x, y)")
-    live = spark.readStream.schema(new.schema).parquet(f"{tmp_path}/in")
-    stream.route_restated(live, known, f"{tmp_path}/good", f"{tmp_path}/aside", f"{tmp_path}/ck").awaitTermination(60)
-    assert [r.start for r in spark.read.parquet(f"{tmp_path}/good").collect()] == [3] and [r.start for r in spark.read.parquet(f"{tmp_path}/aside").collect()] == [2]
+    for turn in range(2):  # the second time as after a failure: the batch is run again
+        live = spark.readStream.schema(new.schema).parquet(f"{tmp_path}/in")
+        stream.route_restated(live, known, f"{tmp_path}/good", f"{tmp_path}/aside", f"{tmp_path}/ck{turn}").awaitTermination(60)
+        assert [r.start for r in spark.read.parquet(f"{tmp_path}/good").collect()] == [3] and sorted(r.start for r in spark.read.parquet(f"{tmp_path}/aside").collect()) == [2, 4]
+
+
+def in_parts(spark, rows, schema, folder):
+    for part in rows:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(0.05)  # files are read in the order of their times
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def test_zone_states_online_are_those_of_the_batch(spark, tmp_path):
+    r = random.Random(3)
+    day = lambda i: datetime.datetime(2026, 1, 1) + datetime.timedelta(i)
+    rows = [(r.randint(1, 6), day(i), i, r.choice(["touch", "hold", "hold", "break"])) for i in range(60)] + [(9, day(0), 100, "hold"), (1, day(200), 101, "touch")]
+    rows.sort(key=lambda x: x[1])
+    schema = "zone long, ts timestamp, n long, outcome string"
+    live = states.zone_states(in_parts(spark, [rows[:20], rows[20:21], rows[21:61], rows[61:]], schema, f"{tmp_path}/in"))
+    q = live.writeStream.format("memory").queryName("zones").outputMode("append").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    got = spark.sql("select * from zones").collect()
+    want = features.zone_states(spark.createDataFrame(rows, schema)).collect()
+    assert sorted(tuple(x) for x in got if x.n is not None) == sorted(tuple(x) for x in want)
+    over = {x.zone: x for x in got if x.n is None}
+    assert 9 in over and over[9].state == "RETIRED" and over[9].ts == day(84)
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    t = lambda h: datetime.datetime(2026, 1, 1, h)
+    parts = [[("k", t(1), 1.0, 1.0, 1)], [("k", t(9), 2.0, 1.0, 2)], [("k", t(10), 3.0, 1.0, 3)], [("k", t(2), 3.0, 1.0, 4), ("k", t(11), 3.0, 1.0, 5)]]
+    live = in_parts(spark, parts, "key string, ts timestamp, price double, volume double, seq long", f"{tmp_path}/in")
+    q = stream.bars(live, "1 hour").writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert stream.too_late(q) == 1 and t(2) not in {r.start for r in spark.sql("select * from late").collect()}
