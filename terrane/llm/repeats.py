@@ -4,12 +4,14 @@ Every window of ``SPAN`` bytes picks one of the suffixes that start in it (the o
 first of equals), so equal windows pick the suffix at the same place, and about one suffix in seventy is
 picked. A shard (one slice of the scan) lists its picked suffixes; the lists of all shards are interleaved by
 the suffixes' first ``DEPTH`` bytes. Blocks with one suffix are settled and never looked at again. In a block
-with more, each suffix brings the bytes around it that its windows cover, and the block is refined, window by
-window, to the full depth: windows that fall into one class are repeated. So no suffix is sorted twice,
-and a unique text costs one key for each seventy bytes.
+with more, each suffix has a surrounding: the bytes that the windows which picked it cover. Equal surroundings are one from the
+shard on, with a mark if several suffixes have it, and the distinct ones of a block are refined, window by window, to the full depth:
+windows that fall into one class are repeated, and so are all windows of a surrounding that several have. Where a surrounding
+has repeated windows goes back to its suffixes by a join. So no suffix is sorted twice, and a unique text costs one key for each
+seventy bytes.
 
 Which windows are repeated is decided by 128-bit hashes of their whole 200 bytes. A block with more than
-``HOT`` suffixes is not gathered: each of its windows is a row of its own, and Spark sorts them into classes. Texts that occur twice are repeated throughout
+``HOT`` distinct surroundings is not gathered: its windows become rows, which Spark sorts into classes. Texts that occur twice are repeated throughout
 if they hold 200 bytes, and take part in the merge once for each shard. Null text counts as empty. Rows are kept
 one for one, repeated rows and ids included. Empty table: no rows.
 """
@@ -17,7 +19,6 @@ one for one, repeated rows and ids included. Empty table: no rows.
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,12 @@ from . import common
 
 SPAN = 200
 DEPTH = 64
-#: Suffixes of one block that one task refines; larger blocks are refined by Spark.
+#: Distinct surroundings of one block that one task refines; larger blocks are refined by Spark.
 HOT = 50_000
-#: At most so many such blocks are told to the tasks (8 MB).
-HOT_BLOCKS = 1 << 20
+#: Surroundings that a task remembers, so as to pass each on once.
+KEPT = 200_000
+#: Rows of flags that are broadcast; more are joined by a shuffle.
+SMALL = 200_000
 #: Bits of the filter of repeated blocks: 16 for each, at most so many (64 MB).
 FILTER_BITS = 1 << 29
 #: Bytes of text in one shard.
@@ -128,8 +131,7 @@ def _blocks(keyed: DataFrame, span: int, depth: int) -> DataFrame:
 
 
 def _filter(blocks: DataFrame, most_bits: int = FILTER_BITS) -> np.ndarray:
-    """A bitmap of the blocks' keys, of bounded size: a key whose bit is clear is no block with several suffixes. Built in Spark,
-    2**17 bits to a row."""
+    """A bitmap of the column ``key``, of bounded size: a key whose bit is clear is not there. Built in Spark, 2**17 bits to a row."""
     bits = 1 << 17
     want = 16 * blocks.count()
     while bits < want and bits < most_bits:
@@ -149,113 +151,161 @@ def _filter(blocks: DataFrame, most_bits: int = FILTER_BITS) -> np.ndarray:
     return out
 
 
-def _suffixes(keyed: DataFrame, bitmap: np.ndarray, hot: np.ndarray, span: int, depth: int) -> DataFrame:
-    """The suffixes of blocks with several: key, k1, k2, start (of the first window), around (the bytes its windows cover). For those of
-    ``hot`` blocks a row for each window: its hash as key, and as ``around`` its digest."""
-    shared = keyed.sparkSession.sparkContext.broadcast((bitmap, hot))
-    names = ["key", "k1", "k2", "start", "around"]
+def _has(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    bit = keys & (len(bitmap) * 8 - 1)
+    return ((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
 
-    def rows(ids, texts, text, first, last, keys):
-        id_ = np.array(ids, np.int64).reshape(-1, 2)[text]
-        around = [texts[t][a : b + span] for t, a, b in zip(text.tolist(), first.tolist(), last.tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(id_[:, 0]), pa.array(id_[:, 1]), pa.array(first), pa.array(around, pa.binary())], names)
 
-    def windows(ids, texts, text, first, last):
-        n = last - first + 1
-        text, start = np.repeat(text, n), np.concatenate([np.arange(a, b + 1) for a, b in zip(first.tolist(), last.tolist(), strict=True)])
-        digests = [xxhash.xxh3_128_digest(texts[t][a : a + span]) for t, a in zip(text.tolist(), start.tolist(), strict=True)]
-        keys = np.frombuffer(b"".join(digests), "<i8")[::2]
-        id_ = np.array(ids, np.int64).reshape(-1, 2)[text]
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(id_[:, 0]), pa.array(id_[:, 1]), pa.array(start), pa.array(digests, pa.binary())], names)
+def _found(batches, bitmap: np.ndarray, span: int, depth: int):
+    """Of each shard, the suffixes whose blocks may have several: (key, k1, k2, start of the first window, surroundings, their digests as
+    rows of two numbers)."""
+    for batch in batches:
+        for part in common.pieces_of(batch):
+            for ids, texts in _shards(part):
+                text, suffix, first, last = picked(texts, span, depth)
+                keys = _keys(texts, text, suffix, depth)
+                keep = _has(bitmap, keys)
+                text, first, last = text[keep], first[keep], last[keep]
+                around = [texts[t][a : b + span] for t, a, b in zip(text.tolist(), first.tolist(), last.tolist(), strict=True)]
+                digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, around)), "<i8").reshape(-1, 2)
+                id_ = np.array(ids, np.int64).reshape(-1, 2)[text]
+                yield keys[keep], id_[:, 0], id_[:, 1], first, around, digests
 
-    def lists(batches):
-        bitmap, hot = shared.value
-        low = len(bitmap) * 8 - 1
-        for batch in batches:
-            for part in common.pieces_of(batch):
-                for ids, texts in _shards(part):
-                    text, suffix, first, last = picked(texts, span, depth)
-                    keys = _keys(texts, text, suffix, depth)
-                    bit = keys & low
-                    keep = ((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
-                    large = keep & np.isin(keys, hot)
-                    keep &= ~large
-                    yield rows(ids, texts, text[keep], first[keep], last[keep], keys[keep])
-                    if large.any():
-                        yield windows(ids, texts, text[large], first[large], last[large])
 
-    return keyed.select("k1", "k2", "bytes").mapInArrow(lists, "key long, k1 long, k2 long, start long, around binary")
+def _surroundings(keyed: DataFrame, bitmap: np.ndarray, span: int, depth: int) -> DataFrame:
+    """key, d1, d2, around, many. A task passes a surrounding on once, and once more without its bytes, with ``many`` set, if another suffix of
+    the task has it, too. k1, k2, start tell which suffix a row stands for."""
+    shared = keyed.sparkSession.sparkContext.broadcast(bitmap)
 
-
-def _runs(flags: np.ndarray, start: int, span: int) -> list[tuple[int, int]]:
+    def lists(batches):
+        seen: dict[tuple[int, int], tuple[int, int, int] | None] = {}
+        for key, k1, k2, start, around, digests in _found(batches, shared.value, span, depth):
+            if len(seen) > KEPT:
+                seen = {}
+            at, once = [], []
+            for i, (d, member) in enumerate(zip(zip(*digests.T.tolist(), strict=True), zip(k1.tolist(), k2.tolist(), start.tolist(), strict=True), strict=True)):
+                if d not in seen:
+                    seen[d] = member
+                    at.append(i)
+                    once.append(True)
+                elif seen[d] is not None and seen[d] != member:
+                    seen[d] = None
+                    at.append(i)
+                    once.append(False)
+            columns = [key[at], digests[at, 0], digests[at, 1], k1[at], k2[at], start[at]]
+            own = pa.array([around[i] if o else None for i, o in zip(at, once, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), own], ["key", "d1", "d2", "k1", "k2", "start", "around"])
+
+    return keyed.select("k1", "k2", "bytes").mapInArrow(lists, "key long, d1 long, d2 long, k1 long, k2 long, start long, around binary")
+
+
+def _runs(flags: np.ndarray, span: int) -> tuple[list[int], list[int]]:
     edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-    return [(start + a, start + b - 1 + span) for a, b in edge.reshape(-1, 2).tolist()]
-
-
-def refined(block: list[tuple[int, int, int, bytes]], span: int = SPAN) -> list[tuple[int, int, int, int]]:
-    """(k1, k2, start, end) of the repeated ranges of a block of (k1, k2, start, around)."""
-    members = {m[:3]: m[3] for m in block if len(m[3]) >= span}  # a text that several shards hold counts once here
-    if len(members) < 2:
-        return []
-    by_bytes = defaultdict(int)
-    for around in members.values():
-        by_bytes[around] += 1
-    flags: dict[bytes, np.ndarray] = {}
-    if len(by_bytes) > 1:
-        seen: dict[bytes, tuple[bytes, int]] = {}
+    return edge[::2].tolist(), (edge[1::2] - 1 + span).tolist()
+
+
+def refined(block: list[tuple[bytes, bool]], span: int = SPAN) -> list[tuple[list[int], list[int]]]:
+    """(starts, ends) of the repeated ranges in each of a block's distinct surroundings (bytes, whether several suffixes have it)."""
+    flags = [np.full(len(around) - span + 1, many, bool) for around, many in block]
+    if len(block) > 1:
+        seen: dict[bytes, tuple[int, int]] = {}
         digest = xxhash.xxh3_128_digest
-        for around in by_bytes:
-            own = flags[around] = np.zeros(len(around) - span + 1, bool)
-            for i in range(len(own)):
-                other = seen.setdefault(digest(around[i : i + span]), (around, i))
-                if other[0] is not around or other[1] != i:
-                    own[i] = True
-                    flags[other[0]][other[1]] = True
-    out = []
-    for (k1, k2, start), around in members.items():
-        mine = np.ones(len(around) - span + 1, bool) if by_bytes[around] > 1 else flags[around]
-        out += [(k1, k2, a, b) for a, b in _runs(mine, start, span)]
-    return out
+        for n, (around, _) in enumerate(block):
+            for i in range(len(flags[n])):
+                other = seen.setdefault(digest(around[i : i + span]), (n, i))
+                if other != (n, i):
+                    flags[n][i] = flags[other[0]][other[1]] = True
+    return [_runs(f, span) for f in flags]
 
 
-def _ranges_of_blocks(suffixes: DataFrame, span: int) -> DataFrame:
-    """k1, k2, start, end. Blocks arrive sorted by key, one after another; a class of single windows is passed through
-    without being held."""
+def _settled(surroundings: DataFrame, span: int, hot: int) -> DataFrame:
+    """d1, d2, starts, ends of the surroundings with repeated windows; with ``around`` and ``many`` instead, those of blocks with
+    more than ``hot``, which are still open. Blocks arrive sorted, one after another."""
+    names = ["d1", "d2", "starts", "ends", "around", "many"]
 
     def merge(batches):
-        key, block, out, alone = None, [], [], True
+        out: list[tuple] = []
+        block: list[list] = []  # [d1, d2, first suffix, bytes, many]
+        key, open_ = None, False
+
+        def settle():
+            if open_:
+                out.extend((d1, d2, None, None, around, many) for d1, d2, _, around, many in block)
+            elif len(block) > 1 or block and block[0][4]:
+                found = refined([(around, many) for *_, around, many in block], span)
+                out.extend((d1, d2, *f, None, None) for (d1, d2, *_), f in zip(block, found, strict=True) if f[0])
+            block.clear()
+
         for batch in batches:
-            columns = [common.column(batch, c).to_pylist() for c in ("key", "k1", "k2", "start", "around")]
-            for k, *member in zip(*columns, strict=True):
+            columns = [common.column(batch, c).to_pylist() for c in ("key", "d1", "d2", "k1", "k2", "start", "around")]
+            for k, d1, d2, *member, around in zip(*columns, strict=True):
                 if k != key:
-                    out += refined(block, span)
-                    key, block, alone = k, [], True
-                if block and len(member[3]) == 16 and block[0][3] == member[3]:
-                    if tuple(member) != block[0]:
-                        out += [(*m[:3], m[2] + span) for m in ([block[0], member] if alone else [member])]
-                        alone = False
+                    settle()
+                    key, open_ = k, False
+                if block and block[-1][0] == d1 and block[-1][1] == d2:
+                    block[-1][3] = block[-1][3] or around
+                    block[-1][4] |= block[-1][2] != member
                 else:
-                    block.append(tuple(member))
-                if len(out) > 10_000:
+                    open_ = open_ or len(block) > hot
+                    if open_:
+                        settle()
+                    block.append([d1, d2, member, around, False])
+                if len(out) > 5000:
                     yield _table(out)
                     out = []
-        yield _table(out + refined(block, span))
+        settle()
+        yield _table(out)
 
-    return suffixes.repartition("key").sortWithinPartitions("key").mapInArrow(merge, "k1 long, k2 long, start long, end long")
+    def _table(rows: list[tuple]) -> pa.RecordBatch:
+        types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.bool_()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
+    return surroundings.repartition("key").sortWithinPartitions("key", "d1", "d2").mapInArrow(merge, "d1 long, d2 long, starts array<int>, ends array<int>, around binary, many boolean")
+
+
+def _by_windows(still: DataFrame, span: int) -> DataFrame:
+    """d1, d2, starts, ends of open surroundings: each of their windows is a row, and rows with one digest are a class."""
+
+    def windows(batches):
+        for batch in batches:
+            around = common.column(batch, "around").to_pylist()
+            n = np.array([len(x) - span + 1 for x in around], np.int64)
+            row, at = pa.array(np.repeat(np.arange(len(n)), n)), np.concatenate([np.arange(x, dtype=np.int32) for x in n]) if len(n) else np.zeros(0, np.int32)
+            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x[i : i + span]) for x in around for i in range(len(x) - span + 1)), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*(common.column(batch, c).take(row) for c in ("d1", "d2", "many")), pa.array(at), pa.array(digests[:, 0]), pa.array(digests[:, 1])], ["d1", "d2", "many", "at", "w1", "w2"])
+
+    listed = common.stage(still.select("d1", "d2", "around", "many").mapInArrow(windows, "d1 long, d2 long, many boolean, at int, w1 long, w2 long"))
+    one = F.struct("d1", "d2", "at")
+    classes = listed.groupBy("w1", "w2").agg(F.min(one).alias("low"), F.max(one).alias("high"), F.max("many").alias("several")).where("low != high or several").select("w1", "w2")
+    hit = listed.join(classes, ["w1", "w2"], "left_semi").groupBy("d1", "d2").agg(F.sort_array(F.collect_set("at")).alias("starts"))
+    return hit.withColumn("ends", F.transform("starts", lambda x: x + F.lit(span)))
+
+
+def _members(keyed: DataFrame, blocks: np.ndarray, flagged: np.ndarray, span: int, depth: int) -> DataFrame:
+    """d1, d2, k1, k2, start of the suffixes whose surroundings may have repeated windows."""
+    shared = keyed.sparkSession.sparkContext.broadcast((blocks, flagged))
+
+    def lists(batches):
+        blocks, flagged = shared.value
+        for _, k1, k2, start, _, digests in _found(batches, blocks, span, depth):
+            keep = _has(flagged, digests[:, 0])
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (digests[:, 0], digests[:, 1], k1, k2, start)], ["d1", "d2", "k1", "k2", "start"])
 
-def _table(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["k1", "k2", "start", "end"])
+    return keyed.select("k1", "k2", "bytes").mapInArrow(lists, "d1 long, d2 long, k1 long, k2 long, start long")
 
 
 def repeated(docs: DataFrame, span: int = SPAN, depth: int = DEPTH, hot: int = HOT) -> DataFrame:
     """k1, k2 (a text's key), copies, starts, ends: the repeated ranges of every text that has any, not yet joined, and how
     many rows hold the text."""
     keyed = _keyed(docs)
-    blocks = common.stage(_blocks(keyed, span, depth))
-    large = blocks.where(F.col("n") > hot).orderBy(F.desc("n"), "key").limit(HOT_BLOCKS).select("key").toPandas()["key"].to_numpy(np.int64)
-    suffixes = _suffixes(keyed, _filter(blocks), large, span, depth)
-    ranges = _ranges_of_blocks(suffixes, span).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("r"))
+    blocks = _filter(common.stage(_blocks(keyed, span, depth)))
+    settled = common.stage(_settled(_surroundings(keyed, blocks, span, depth), span, hot))
+    flags, still = settled.where("around is null").select("d1", "d2", "starts", "ends"), settled.where("around is not null")
+    if still.limit(1).count():
+        flags = common.stage(flags.unionByName(_by_windows(still, span)))
+    members = _members(keyed, blocks, _filter(flags.select(F.col("d1").alias("key"))), span, depth)
+    moved = F.transform(F.arrays_zip("starts", "ends"), lambda x: F.struct((x["starts"] + F.col("start")).alias("start"), (x["ends"] + F.col("start")).alias("end")))
+    ranges = members.join(common.small(flags, SMALL), ["d1", "d2"]).groupBy("k1", "k2").agg(F.flatten(F.collect_list(moved)).alias("r"))
     copies = keyed.select("k1", "k2").groupBy("k1", "k2").agg(F.count("*").alias("copies")).where("copies > 1")
     both = ranges.join(copies, ["k1", "k2"], "full")
     return both.select("k1", "k2", F.coalesce("copies", F.lit(1)).alias("copies"), F.col("r.start").alias("starts"), F.col("r.end").alias("ends"))
