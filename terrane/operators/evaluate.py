@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .indicators import by_session, frame
+from .series import vwap
 
 
 def reactions_by_regime(labels: DataFrame, regimes: DataFrame) -> DataFrame:
@@ -56,14 +57,16 @@ def recency_center(members: DataFrame, half_life: float = 252.0, q: float = 0.5)
 
 
 def approach(bars: DataFrame) -> DataFrame:
-    """security_id, session and how price came there: velocity (ATRs over 5 sessions), down closes in a row, gap into the session, volume against its mean of 20."""
+    """security_id, session and how price came there: velocity (ATRs over 5 sessions), down closes in a row, gap into the session, volume against its mean of 20, and the last close's distance from
+    its week's volume-weighted price."""
     w = by_session()
     last = F.lag("close").over(w)
-    one = bars.withColumns({"down": (F.col("close") < last).cast("int"), "gap_into": (F.col("open") - last) / F.col("atr"), "velocity": (F.col("close") - F.lag("close", 5).over(w)) / F.col("atr"), "volume_ratio": F.col("volume") / F.avg("volume").over(frame(20))})
+    week = vwap(bars, "week").withColumn("from_vwap", (F.col("close") - F.col("vwap")) / F.col("atr"))
+    one = week.withColumns({"down": (F.col("close") < last).cast("int"), "gap_into": (F.col("open") - last) / F.col("atr"), "velocity": (F.col("close") - F.lag("close", 5).over(w)) / F.col("atr"), "volume_ratio": F.col("volume") / F.avg("volume").over(frame(20)), "vwap_dist": F.lag("from_vwap").over(w)})
     run = F.sum(1 - F.coalesce("down", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0))
     one = one.withColumn("run", run)
     down = F.sum(F.coalesce("down", F.lit(0))).over(Window.partitionBy("security_id", "run").orderBy("session").rowsBetween(Window.unboundedPreceding, 0))
-    return one.withColumn("down_run", down).select("security_id", "session", "velocity", "down_run", "gap_into", "volume_ratio")
+    return one.withColumn("down_run", down).select("security_id", "session", "velocity", "down_run", "gap_into", "volume_ratio", "vwap_dist")
 
 
 def ablation(preds: DataFrame) -> DataFrame:

@@ -11,10 +11,18 @@ from pyspark.sql import functions as F
 from .indicators import by_session, frame
 
 
-def liquidity_tier(bars: DataFrame, n: int = 60, large: float = 20_000.0, middle: float = 5_000.0) -> DataFrame:
-    """security_id, session, adv (mean traded value over n sessions), tier 1 to 3."""
-    value = F.avg(F.col("close") * F.col("volume")).over(frame(n))
-    return bars.select("security_id", "session", value.alias("adv")).withColumn("tier", F.when(F.col("adv") >= large, 1).when(F.col("adv") >= middle, 2).otherwise(3))
+def liquidity_tier(bars: DataFrame, n: int = 60, large: float = 20_000.0, middle: float = 5_000.0, least: float = 0.8, price: float = 1.0) -> DataFrame:
+    """security_id, session, adv and median_value (mean and median of the traded value of n sessions), traded (share of them with volume), tier 1 to 3: by the smaller of the two values; 3 with too few
+    sessions traded or too low a price."""
+    value = F.col("close") * F.col("volume")
+    w = frame(n)
+    sorted_ = F.array_sort(F.collect_list(value).over(w))
+    half = F.size("sorted")
+    middle_of = (F.get("sorted", F.floor((half - 1) / 2).cast("int")) + F.get("sorted", F.floor(half / 2).cast("int"))) / 2
+    out = bars.select("security_id", "session", "close", F.avg(value).over(w).alias("adv"), sorted_.alias("sorted"), F.avg((F.col("volume") > 0).cast("double")).over(w).alias("traded")).withColumn("median_value", middle_of)
+    low = F.least("adv", "median_value")
+    poor = (F.col("traded") < least) | (F.col("close") < price)
+    return out.select("security_id", "session", "adv", "median_value", "traded", F.when(poor, 3).when(low >= large, 1).when(low >= middle, 2).otherwise(3).alias("tier"))
 
 
 def volume_profile(bars: DataFrame, period: str = "quarter", bin_size: float = 0.25) -> DataFrame:
@@ -112,7 +120,8 @@ def zone_states(touches: DataFrame) -> DataFrame:
 
 
 def adaptive_intervals(errors: DataFrame, alpha: float = 0.1, gamma: float = 0.02, start: float = 0.1) -> DataFrame:
-    """security_id, session, alpha: alpha[t + 1] = clip(alpha[t] + gamma * (target - miss[t])), the level in force at each session before its outcome."""
+    """security_id, session, alpha, coverage: alpha[t + 1] = clip(alpha[t] + gamma * (target - miss[t])), the level in force at each session before its outcome; and the share of the last 252
+    sessions, this one included, whose interval held."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("session")
@@ -120,9 +129,10 @@ def adaptive_intervals(errors: DataFrame, alpha: float = 0.1, gamma: float = 0.0
         for miss in pdf["miss"]:
             out.append(now)
             now = min(max(now + gamma * (alpha - miss), 0.001), 0.5)
-        return pdf[["security_id", "session"]].assign(alpha=out)
+        return pdf[["security_id", "session", "miss"]].assign(alpha=out)
 
-    return errors.groupBy("security_id").applyInPandas(run, "security_id long, session date, alpha double")
+    held = 1 - F.avg("miss").over(frame(252))
+    return errors.groupBy("security_id").applyInPandas(run, "security_id long, session date, miss double, alpha double").select("security_id", "session", "alpha", held.alias("coverage"))
 
 
 def isotonic(preds: DataFrame, strata: list[str], p: str, y: str, least: int = 500) -> DataFrame:
@@ -194,19 +204,24 @@ def downgraded(score, level):
     return F.when(level == "amber", score * 0.85).when(level == "red", F.least(score * 0.7, F.lit(0.69))).otherwise(score)
 
 
-def option_levels(options: DataFrame) -> DataFrame:
-    """underlying, call_wall, put_wall, put_call_ratio, gamma_flip from rows (underlying, strike, kind = C or P, open_interest, gamma). Strikes are summed first."""
+def option_strikes(options: DataFrame) -> DataFrame:
+    """underlying, strike, coi, poi (open interest of calls and puts), gex from rows (underlying, strike, kind = C or P, open_interest, gamma)."""
     call = F.col("kind") == "C"
-    by = options.groupBy("underlying", "strike").agg(*(F.sum(F.when(c, F.col("open_interest")).otherwise(0.0)).alias(n) for n, c in (("coi", call), ("poi", ~call))), F.sum(F.col("gamma") * F.col("open_interest") * F.when(call, 1).otherwise(-1)).alias("gex"))
+    return options.groupBy("underlying", "strike").agg(*(F.sum(F.when(c, F.col("open_interest")).otherwise(0.0)).alias(n) for n, c in (("coi", call), ("poi", ~call))), F.sum(F.col("gamma") * F.col("open_interest") * F.when(call, 1).otherwise(-1)).alias("gex"))
+
+
+def option_levels(options: DataFrame) -> DataFrame:
+    """underlying, call_wall, put_wall, put_call_ratio, gamma_flip, from the sums by strike."""
     w = Window.partitionBy("underlying").orderBy("strike")
-    by = by.withColumn("cum", F.round(F.sum("gex").over(w.rowsBetween(Window.unboundedPreceding, 0)), 6))
+    by = option_strikes(options).withColumn("cum", F.round(F.sum("gex").over(w.rowsBetween(Window.unboundedPreceding, 0)), 6))
     by = by.withColumn("flip", F.when((F.col("cum") >= 0) & (F.lag("cum").over(w) < 0), F.col("strike")))
     return by.groupBy("underlying").agg(F.max_by("strike", F.struct("coi", -F.col("strike"))).alias("call_wall"), F.max_by("strike", F.struct("poi", -F.col("strike"))).alias("put_wall"), (F.sum("poi") / F.nullif(F.sum("coi"), F.lit(0.0))).alias("put_call_ratio"), F.min("flip").alias("gamma_flip"))
 
 
-def block_vwap(trades: DataFrame, size: float = 45.0) -> DataFrame:
-    """key, vwap, n of trades of at least ``size``."""
-    return trades.where(F.col("size") >= size).groupBy("key").agg((F.sum(F.col("price") * F.col("size")) / F.sum("size")).alias("vwap"), F.count("*").alias("n"))
+def block_vwap(trades: DataFrame, size: float = 45.0, notional: float = 2_000_000.0) -> DataFrame:
+    """key, vwap, n of trades of at least ``size``, or of a value of at least ``notional``."""
+    value = F.col("price") * F.col("size")
+    return trades.where((F.col("size") >= size) | (value >= notional)).groupBy("key").agg((F.sum(value) / F.sum("size")).alias("vwap"), F.count("*").alias("n"))
 
 
 def chunks(docs: DataFrame, size: int = 8000) -> DataFrame:

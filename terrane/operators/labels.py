@@ -126,15 +126,18 @@ def fdr(tests: DataFrame, p: str, group: str) -> DataFrame:
     return rows.withColumn("q", F.least(F.min(F.col(p) * F.col("m") / F.col("rank")).over(down), F.lit(1.0)))
 
 
-def cluster_bootstrap(rows: DataFrame, cluster: list[str], value: str, times: int = 2000, seed: int = 0) -> DataFrame:
-    """mean, low, high (95 %) of ``value`` by resampling clusters. Clusters are summed first; each gets a weight for each resample from a hash: a Poisson(1) draw."""
+def cluster_bootstrap(rows: DataFrame, cluster: list[str], value: str, times: int = 2000, seed: int = 0, null: float = 0.5) -> DataFrame:
+    """mean, low, high (95 %) of ``value`` by resampling clusters, and p: twice the smaller share of resamples on one side of ``null``. Clusters are summed first; each gets a weight for each resample
+    from a hash: a Poisson(1) draw, cut off at 6, which one in ten thousand exceeds."""
     sums = rows.groupBy(*cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
     u = draw(F.lit(str(seed)), [F.col(c).cast("string") for c in cluster] + [F.col("b").cast("string")], F.lit(1_000_000)) / 1_000_000
     cuts = (0.36787944, 0.73575888, 0.9196986, 0.98101184, 0.99634015, 0.99940582)
     weight = sum((F.when(u >= c, 1).otherwise(0) for c in cuts), F.lit(0))
     drawn = sums.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(times)))).withColumn("w", weight)
     means = drawn.groupBy("b").agg((F.sum(F.col("w") * F.col("s")) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))).alias("m"))
-    ci = means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+    side = lambda c: F.avg(c.cast("double"))
+    p = F.least(F.lit(1.0), 2 * F.least(side(F.col("m") <= null), side(F.col("m") >= null))).alias("p")
+    ci = means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), p)
     return sums.agg((F.sum("s") / F.sum("n")).alias("mean")).crossJoin(ci)
 
 

@@ -43,7 +43,7 @@ register(
 )
 register(
     "win_17_approach", lambda s, d: E.approach(ranged(s, d)),
-    query(f"SELECT security_id, session, round(velocity, 6) AS velocity, sum(dn) OVER (PARTITION BY security_id, run ORDER BY session ROWS UNBOUNDED PRECEDING)::BIGINT AS down_run, round(gap_into, 6) AS gap_into, round(vr, 6) AS volume_ratio FROM (SELECT *, sum(1 - dn) OVER (PARTITION BY security_id ORDER BY session ROWS UNBOUNDED PRECEDING) AS run, (close - lag(close, 5) OVER {O}) / atr AS velocity, (open - pc) / atr AS gap_into, volume / avg(volume) OVER {win(20)} AS vr FROM (SELECT *, coalesce(close < pc, false)::INT AS dn FROM atrs))", "atrs"),
+    query(f"SELECT security_id, session, round(velocity, 6) AS velocity, sum(dn) OVER (PARTITION BY security_id, run ORDER BY session ROWS UNBOUNDED PRECEDING)::BIGINT AS down_run, round(gap_into, 6) AS gap_into, round(vr, 6) AS volume_ratio, round(lag(fv) OVER {O}, 6) AS vwap_dist FROM (SELECT *, sum(1 - dn) OVER (PARTITION BY security_id ORDER BY session ROWS UNBOUNDED PRECEDING) AS run, (close - lag(close, 5) OVER {O}) / atr AS velocity, (open - pc) / atr AS gap_into, volume / avg(volume) OVER {win(20)} AS vr FROM (SELECT *, coalesce(close < pc, false)::INT AS dn, (close - sum((high + low + close) / 3 * volume) OVER v / sum(volume) OVER v) / atr AS fv FROM atrs WINDOW v AS (PARTITION BY security_id, date_trunc('week', session) ORDER BY session ROWS UNBOUNDED PRECEDING)))", "atrs"),
 )
 register("cmp_10_ablation", lambda s, d: E.ablation(LB.preds(s, d).select("as_of", F.col("p").alias("a"), F.lit(0.5).alias("b"), "y")), query("SELECT year(as_of) AS year, count(*) AS n, round(avg((0.5 - y) ** 2 - (p - y) ** 2), 6) AS delta FROM pr GROUP BY ROLLUP (year(as_of))", "zones", extra=LB.PRED))
 register("cmp_11_weekly_scores", lambda s, d: E.weekly_scores(LB.preds(s, d)), query("SELECT as_of, least(floor(p * 10), 9)::BIGINT AS bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS mean_y FROM pr GROUP BY ALL", "zones", extra=LB.PRED))
@@ -88,7 +88,7 @@ def _matrix(s, d):
     by_zone = [P.round_numbers(found, candidates(s, d).where("family = 'B'")), X.zone_history(LB.labelled(s, d))]
     by_security = [
         r.select(*SP, "atr"), P.price(r), P.volume(b), P.structure(r), P.vwaps(r), S.volatility(b).select(*SP, *SQ._vols), S.momentum(b).select(*SP, "roc10", "stochastic14", "obv_slope", "drawdown", "run_length"), S.trend(b),
-        S.bands(r).select(*SP, "sma20", "sma50", "sma200", "ema20"), S.factors(b, index), S.relative_strength(b, index), E.approach(r).select(*SP, "velocity", "down_run", "gap_into"), X.liquidity_tier(b).select(*SP, "tier"),
+        S.bands(r).select(*SP, "sma20", "sma50", "sma200", "ema20"), S.factors(b, index), S.relative_strength(b, index), E.approach(r).select(*SP, "velocity", "down_run", "gap_into", "vwap_dist"), X.liquidity_tier(b).select(*SP, "tier"),
     ]
     return E.feature_matrix(geometry, by_zone, by_security, [S.regimes(index), S.breadth(b).select("session", "breadth", "dispersion")])
 
@@ -102,7 +102,7 @@ def _matrix_sql():
     by_security = [
         group("win_2_wilder_atr", core.ORACLE, "atr"), group("cmp_13_price", ORACLE, "* EXCLUDE (security_id, session)"), group("cmp_13_volume", ORACLE, "* EXCLUDE (security_id, session)"), group("cmp_13_structure", ORACLE, "* EXCLUDE (security_id, session)"), group("cmp_13_vwaps", ORACLE, "* EXCLUDE (security_id, session)"),
         group("win_13_volatility", SQ.ORACLE, "* EXCLUDE (security_id, session)"), group("win_16_momentum", SQ.ORACLE, "roc10, stochastic14, obv_slope, drawdown, run_length"), group("win_16_trend", SQ.ORACLE, "rsi14, macd_hist, adx14"), group("win_12_bands", SQ.ORACLE, "sma20, sma50, sma200, ema20"), group("win_19_factors", SQ.ORACLE, "* EXCLUDE (security_id, session)"),
-        group("jon_17_relative_strength", SQ.ORACLE, "* EXCLUDE (security_id, session)"), group("win_17_approach", ORACLE, "velocity, down_run, gap_into"), group("flt_10_liquidity_tier", FQ.ORACLE, "tier"),
+        group("jon_17_relative_strength", SQ.ORACLE, "* EXCLUDE (security_id, session)"), group("win_17_approach", ORACLE, "velocity, down_run, gap_into, vwap_dist"), group("flt_10_liquidity_tier", FQ.ORACLE, "tier"),
     ]
     by_session = [group("win_18_regimes", SQ.ORACLE, "trend_z, vol_rank, regime"), group("agg_29_breadth", SQ.ORACLE, "breadth, dispersion")]
     sql = f"SELECT * FROM (SELECT security_id, as_of, zone_id, side, distance_atr, abs(distance_atr) AS distance, width_atr, n_sources, n_families FROM ({core.ORACLE['srt_1_nearest_zones']}))"

@@ -26,7 +26,10 @@ def lines(s, d):
     return s.read.parquet(f"{d}/lineitem.parquet")
 
 
-register("flt_10_liquidity_tier", lambda s, d: X.liquidity_tier(bars(s, d)), query("SELECT security_id, session, round(adv, 6) AS adv, CASE WHEN adv >= 20000 THEN 1 WHEN adv >= 5000 THEN 2 ELSE 3 END AS tier FROM (SELECT *, avg(close * volume) OVER (PARTITION BY security_id ORDER BY session ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS adv FROM bars)", "bars"))
+register(
+    "flt_10_liquidity_tier", lambda s, d: X.liquidity_tier(bars(s, d)),
+    query("SELECT security_id, session, round(adv, 6) AS adv, round(m, 6) AS median_value, round(traded, 6) AS traded, CASE WHEN traded < 0.8 OR close < 1 THEN 3 WHEN least(adv, m) >= 20000 THEN 1 WHEN least(adv, m) >= 5000 THEN 2 ELSE 3 END AS tier FROM (SELECT *, avg(close * volume) OVER w AS adv, median(close * volume) OVER w AS m, avg((volume > 0)::INT) OVER w AS traded FROM bars WINDOW w AS (PARTITION BY security_id ORDER BY session ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))", "bars"),
+)
 VP = {"vp": "SELECT security_id, period, bin, sum(v) AS volume FROM (SELECT security_id, CAST(date_trunc('quarter', session) AS DATE) AS period, unnest(range(floor(low / 0.25)::BIGINT, floor(high / 0.25)::BIGINT + 1)) AS bin, volume / (floor(high / 0.25) - floor(low / 0.25) + 1) AS v FROM bars) GROUP BY ALL"}
 register("agg_8_volume_profile", lambda s, d: X.volume_profile(bars(s, d)), query("SELECT security_id, period, bin, round(volume, 6) AS volume FROM vp", "bars", extra=VP))
 _GAUSS = sum(math.exp(-(i**2) / 2) for i in range(-3, 4))
@@ -77,7 +80,7 @@ _STATES = {
       FROM (SELECT e.zone, e.ts, e.n, e.i, e.outcome, s.state, s.touches, s.holds, s.breaks, s.state <> 'RETIRED' AND epoch(e.ts) - epoch(s.ts) <= 84 * 86400 AS live FROM st s JOIN ev e ON e.zone = s.zone AND e.i = s.i + 1)""",
 }
 register("cmp_5_zone_states", lambda s, d: X.zone_states(_touches(s, d)), "WITH RECURSIVE " + ", ".join(f"{k} AS ({v})" for k, v in _STATES.items()) + " SELECT zone, ts, n, state, touches, holds, breaks FROM st")
-register("win_22_adaptive_intervals", lambda s, d: X.adaptive_intervals(indicators.true_range(bars(s, d)).select("security_id", "session", (F.col("tr") > 0.3).cast("double").alias("miss"))), query("SELECT security_id, session, round(alpha, 6) AS alpha FROM aci", "ranged", extra={"aci": "SELECT security_id, k, session, 0.1::DOUBLE AS alpha, (tr > 0.3)::INT::DOUBLE AS miss FROM ranged WHERE k = 1 UNION ALL SELECT r.security_id, r.k, r.session, least(greatest(a.alpha + 0.02 * (0.1 - a.miss), 0.001), 0.5), (r.tr > 0.3)::INT::DOUBLE FROM aci a JOIN ranged r ON r.security_id = a.security_id AND r.k = a.k + 1"}))
+register("win_22_adaptive_intervals", lambda s, d: X.adaptive_intervals(indicators.true_range(bars(s, d)).select("security_id", "session", (F.col("tr") > 0.3).cast("double").alias("miss"))), query("SELECT security_id, session, round(alpha, 6) AS alpha, round(1 - avg(miss) OVER (PARTITION BY security_id ORDER BY session ROWS BETWEEN 251 PRECEDING AND CURRENT ROW), 6) AS coverage FROM aci", "ranged", extra={"aci": "SELECT security_id, k, session, 0.1::DOUBLE AS alpha, (tr > 0.3)::INT::DOUBLE AS miss FROM ranged WHERE k = 1 UNION ALL SELECT r.security_id, r.k, r.session, least(greatest(a.alpha + 0.02 * (0.1 - a.miss), 0.001), 0.5), (r.tr > 0.3)::INT::DOUBLE FROM aci a JOIN ranged r ON r.security_id = a.security_id AND r.k = a.k + 1"}))
 # The fit at i is the largest over j <= i of the smallest over k >= i of the mean outcome of j to k.
 ISO = LB.ALL | {
     "ip": "SELECT security_id, side, round(exp(-abs(distance_atr) / 2), 3) AS p, y_touch AS y FROM lbl",
@@ -102,11 +105,15 @@ register(
 register("fn_14_confidence", lambda s, d: lines(s, d).withColumn("event_risk", F.col("l_quantity") / 50).select("l_orderkey", "l_linenumber", "l_partkey", X.confidence({"l_discount": 4.0, "l_tax": 5.0}).alias("confidence")), "SELECT l_orderkey, l_linenumber, l_partkey, round(least(greatest(l_discount * 4 + l_tax * 5 - 0.3 * (l_quantity / 50), 0), 1), 6) AS confidence FROM lineitem")
 register("fn_15_downgrade", lambda s, d: lines(s, d).select("l_orderkey", "l_linenumber", "l_partkey", X.downgraded(F.col("l_quantity") / 50, F.when(F.col("l_returnflag") == "A", "amber").when(F.col("l_returnflag") == "R", "red").otherwise("green")).alias("confidence")), "SELECT l_orderkey, l_linenumber, l_partkey, round(CASE l_returnflag WHEN 'A' THEN l_quantity / 50 * 0.85 WHEN 'R' THEN least(l_quantity / 50 * 0.7, 0.69) ELSE l_quantity / 50 END, 6) AS confidence FROM lineitem")
 _opt = lambda s, d: lines(s, d).select((F.col("l_suppkey") % 20).alias("underlying"), (F.floor(F.col("l_extendedprice") / 5000) * 5.0).alias("strike"), F.when(F.col("l_linestatus") == "O", "C").otherwise("P").alias("kind"), F.col("l_quantity").alias("open_interest"), F.col("l_discount").alias("gamma"))
+register(
+    "agg_22_option_strikes", lambda s, d: X.option_strikes(_opt(s, d)),
+    "SELECT l_suppkey % 20 AS underlying, floor(l_extendedprice / 5000) * 5.0::DOUBLE AS strike, sum(CASE l_linestatus WHEN 'O' THEN l_quantity ELSE 0 END)::DOUBLE AS coi, sum(CASE l_linestatus WHEN 'O' THEN 0 ELSE l_quantity END)::DOUBLE AS poi, round(sum(l_discount * l_quantity * CASE l_linestatus WHEN 'O' THEN 1 ELSE -1 END), 6) AS gex FROM lineitem GROUP BY ALL",
+)
 register(
     "agg_22_option_levels", lambda s, d: X.option_levels(_opt(s, d)),
     "WITH o AS (SELECT l_suppkey % 20 AS underlying, floor(l_extendedprice / 5000) * 5.0::DOUBLE AS strike, l_linestatus = 'O' AS call, l_quantity AS oi, l_discount AS g FROM lineitem), b AS (SELECT underlying, strike, sum(CASE WHEN call THEN oi ELSE 0 END) AS coi, sum(CASE WHEN call THEN 0 ELSE oi END) AS poi, sum(g * oi * CASE WHEN call THEN 1 ELSE -1 END) AS gex FROM o GROUP BY ALL), c AS (SELECT *, round(sum(gex) OVER (PARTITION BY underlying ORDER BY strike ROWS UNBOUNDED PRECEDING), 6) AS cum FROM b), f AS (SELECT *, lag(cum) OVER (PARTITION BY underlying ORDER BY strike) AS pc FROM c) SELECT underlying, arg_max(strike, (coi, -strike)) AS call_wall, arg_max(strike, (poi, -strike)) AS put_wall, round(sum(poi) / nullif(sum(coi), 0), 6) AS put_call_ratio, min(strike) FILTER (cum >= 0 AND pc < 0) AS gamma_flip FROM f GROUP BY underlying",
 )
-register("agg_23_block_vwap", lambda s, d: X.block_vwap(lines(s, d).select(F.col("l_suppkey").alias("key"), F.col("l_quantity").alias("size"), F.col("l_extendedprice").alias("price"))), "SELECT l_suppkey AS key, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 6) AS vwap, count(*) AS n FROM lineitem WHERE l_quantity >= 45 GROUP BY l_suppkey")
+register("agg_23_block_vwap", lambda s, d: X.block_vwap(lines(s, d).select(F.col("l_suppkey").alias("key"), F.col("l_quantity").alias("size"), F.col("l_extendedprice").alias("price"))), "SELECT l_suppkey AS key, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 6) AS vwap, count(*) AS n FROM lineitem WHERE l_quantity >= 45 OR l_extendedprice * l_quantity >= 2000000 GROUP BY l_suppkey")
 register("fn_17_chunks", lambda s, d: X.chunks(s.read.parquet(f"{d}/documents.parquet"), 1000).select("doc_id", "chunk", F.md5(F.col("text").cast("binary")).alias("md5")), "SELECT doc_id, chunk, md5(substring(text, (chunk * 1000 + 1)::INT, 1000)) AS md5 FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 1000.0) AS BIGINT))) AS chunk FROM documents WHERE length(text) > 0)")
 register("fn_16_grounding", lambda s, d: X.grounded(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", F.array(*(F.lit(float(x)) for x in (129.38, 555.0, 1.0, 34.0))).alias("facts")), "facts").select("doc_id", "n_numbers", "ungrounded"), "SELECT doc_id, len(x) AS n_numbers, len(list_filter(x, lambda v: NOT (abs(v - 129.38) <= 129.38 * 0.005 OR abs(v - 555.0) <= 555 * 0.005 OR abs(v - 1.0) <= 0.005 OR abs(v - 34.0) <= 34 * 0.005))) AS ungrounded FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '-?[0-9]+(?:\\.[0-9]+)?'), lambda v: v::DOUBLE) AS x FROM documents)")
 _tf = lambda s, d: s.read.parquet(f"{d}/events.parquet").select((F.col("user_id") % 10).alias("key"), F.to_date("ts").alias("day"), "value", F.lit(1.0).alias("conf"))

@@ -112,7 +112,7 @@ register("agg_15_level_metrics", lambda s, d: labelled(s, d).groupBy("security_i
 _u = "('0x' || substr(md5('0|' || security_id || '|' || as_of || '|' || b), 1, 8))::BIGINT % 1000000 / 1000000.0"
 register(
     "agg_16_cluster_bootstrap", lambda s, d: L.cluster_bootstrap(labelled(s, d), ["security_id", "as_of"], "y_touch"),
-    query(f"SELECT (SELECT round(avg(y_touch), 6) FROM lbl) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM (SELECT b, sum(w * s)::DOUBLE / sum(w * n) AS m FROM (SELECT *, (u >= 0.36787944)::INT + (u >= 0.73575888)::INT + (u >= 0.9196986)::INT + (u >= 0.98101184)::INT + (u >= 0.99634015)::INT + (u >= 0.99940582)::INT AS w FROM (SELECT *, {_u} AS u FROM (SELECT security_id, as_of, sum(y_touch) AS s, count(y_touch) AS n FROM lbl GROUP BY ALL) CROSS JOIN (SELECT unnest(range(1, 2001)) AS b))) GROUP BY b)", "zones", extra=ALL),
+    query(f"SELECT (SELECT round(avg(y_touch), 6) FROM lbl) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(least(1, 2 * least(avg((m <= 0.5)::INT), avg((m >= 0.5)::INT))), 6) AS p FROM (SELECT b, sum(w * s)::DOUBLE / sum(w * n) AS m FROM (SELECT *, (u >= 0.36787944)::INT + (u >= 0.73575888)::INT + (u >= 0.9196986)::INT + (u >= 0.98101184)::INT + (u >= 0.99634015)::INT + (u >= 0.99940582)::INT AS w FROM (SELECT *, {_u} AS u FROM (SELECT security_id, as_of, sum(y_touch) AS s, count(y_touch) AS n FROM lbl GROUP BY ALL) CROSS JOIN (SELECT unnest(range(1, 2001)) AS b))) GROUP BY b)", "zones", extra=ALL),
 )
 register(
     "agg_17_fdr", lambda s, d: L.fdr(preds(s, d).select("security_id", F.concat("zone_id", F.lit("@"), F.col("as_of").cast("string")).alias("id"), F.round("p", 9).alias("p")), "p", "security_id").select("security_id", "id", "q"),
