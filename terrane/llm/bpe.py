@@ -1,13 +1,16 @@
 """Operator 10: byte-level BPE by distinct words, and decoding by an id-to-piece table.
 
-The text is cut into units at single spaces. A unit always starts at a token boundary of the vocabulary's
-own splitting rule, so a unit's ids do not depend on its neighbours: it is encoded once and its ids are put
-back by position. Counting over all documents finds the units that are frequent everywhere; that head of
-the table (at most ``HEAD`` rows) is encoded once for the whole job and broadcast. A unit outside the head
-is encoded once in each task that meets it, which spares a shuffle of every occurrence of rare words.
-
-Texts for which the cut would not be safe (see ``unsafe``) are encoded whole by the tokenizers library.
-Null text counts as empty and has no ids. Rows are kept one for one, repeated rows and ids included.
+The text is cut into units before every space that follows something other than white space. There a unit always starts at
+a token boundary of the vocabulary's own splitting rule, whatever the characters, so a unit's ids do not depend on its
+neighbours: it is encoded once and its ids are put back by position. Counting over all documents finds the units that are
+frequent everywhere; that head of the table (at most ``HEAD`` rows) is encoded once for the whole job and broadcast. A unit
+outside the head is encoded once in each task that meets it, which spares a shuffle of every occurrence of rare words.
+
+The table's keys are units without the space before them; the start of a text, which has none, is marked.
+
+A unit of characters whose class is certain is put together from its words' ids; others, and those that hold a special
+token, go to the tokenizers library as a whole, once each. Null text counts as empty and has no ids. Rows are kept one
+for one, repeated rows and ids included.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import hashlib
 import json
 import re
 from array import array
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -30,19 +34,19 @@ HEAD = 1 << 17
 #: Units, and words, that a task keeps before it starts afresh: bounds the memory of a Python worker.
 KEPT = 600_000
 
-#: The vocabulary's splitting rule for text that ``unsafe`` lets through.
+#: The vocabulary's splitting rule for text that ``_PLAIN`` lets through.
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ɏ]+|\s+(?!\S)|\s+")
 
-#: Only characters whose class (letter, digit, white space, other) is certain.
-_PLAIN = re.compile(r"[\t\n\x0b\x0c\r\x20-\x7eÀ-ɏ]*").fullmatch
-#: A unit must not start inside a run of white space, nor a special token hide in the text.
-_BREAKS = ("  ", "\n ", "\t ", "\r ", "\x0b ", "\x0c ", "<|")
-
-
-def unsafe(text: str) -> bool:
-    """Whether units of this text could differ from what the library's own splitting gives."""
-    return not _PLAIN(text) or any(x in text for x in _BREAKS)
-
+#: Only characters whose class (letter, digit, white space, other) is certain, and no special token.
+_PLAIN = re.compile(r"(?!.*<\|)[\t\n\x0b\x0c\r\x20-\x7eÀ-ɏ]*", re.DOTALL).fullmatch
+#: Where a space may follow white space, units are found by looking at each character.
+_BREAKS = tuple(f"{c} " for c in " \n\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
+_WIDE = re.compile(r"[^\S\x00-\x7f] ").search
+_CUT = re.compile(r"(?<=\S)(?= )").split
+#: Marks the key of a text's start: half a character, which no text holds.
+START = "\udfff"
+#: Units that are longer are not kept in the table.
+LONGEST = 128
 
 
 def vocabulary_path() -> str:
@@ -90,7 +94,6 @@ class Encoder:
         self.library.no_padding()
         self.ordinary = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.head, self.units, self.words = head or {}, dict(head or {}), {}
-        gc.disable()  # the tables hold no cycles, and walking them again and again costs half the time
 
     def _learn_words(self, words: set[str]) -> None:
         """Encode each new word once. Words hold no newline, so one parts them in a single call."""
@@ -108,22 +111,40 @@ class Encoder:
             self.words[word] = array("I", self.ordinary(word)).tobytes()
 
     def learn(self, found: set[str]) -> None:
-        """Add units to the table: a unit is put together from the ids of its words."""
-        new = [u for u in found if u not in self.units]
+        """Add the units of these keys to the table: a unit is put together from the ids of its words."""
+        new = [k for k in found if k not in self.units]
         if len(self.units) + len(new) > len(self.head) + KEPT:
             self.units = dict(self.head)
-            new = [u for u in found if u not in self.units]
+            new = [k for k in found if k not in self.units]
+        texts = [" " + k if k[:1] != START else k[1:] for k in new]
+        if not _PLAIN("".join(texts)):
+            odd = [i for i, t in enumerate(texts) if not _PLAIN(t)]
+            self.units.update((new[i], self.whole(texts[i])) for i in odd)
+            for i in reversed(odd):
+                del new[i], texts[i]
         for at in range(0, len(new), 100_000):
-            parts = [_WORD.findall(u) for u in new[at : at + 100_000]]
+            parts = [_WORD.findall(t) for t in texts[at : at + 100_000]]
             self._learn_words({w for p in parts for w in p})
             word = self.words.__getitem__
-            self.units.update(zip(new[at:], [b"".join(map(word, p)) for p in parts], strict=False))
+            self.units.update(zip(new[at:], [word(p[0]) if len(p) == 1 else b"".join(map(word, p)) for p in parts], strict=False))
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        cut = [None if unsafe(t) else units(t) for t in texts]
-        self.learn(set().union(*(u for u in cut if u)))
-        ids = self.units.__getitem__
-        return [self.whole(t) if u is None else b"".join(map(ids, u)) for t, u in zip(texts, cut, strict=True)]
+        walks = gc.isenabled()
+        gc.disable()  # the tables hold no cycles, and walking them again and again costs half the time
+        try:
+            cut = [keys(t) for t in texts]
+            found = set().union(*cut)
+            long = [k for k in found if len(k) > LONGEST]
+            self.learn(found.difference(long) if long else found)
+            self.units.update((k, array("I", self.ordinary(unit(k))).tobytes() if _PLAIN(unit(k)) else self.whole(unit(k))) for k in long)
+            known = self.units.__getitem__
+            out = [b"".join(map(known, k)) for k in cut]
+            for k in long:  # they hardly repeat, and the table would hold too much text
+                del self.units[k]
+            return out
+        finally:
+            if walks:
+                gc.enable()
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -132,9 +153,22 @@ class Encoder:
         return self.encode_many([text])[0]
 
 
-def units(text: str) -> list[str]:
-    """The first word without a space, then each space with what follows it."""
-    return text.replace(" ", "\0 ").split("\0")
+def keys(text: str) -> list[str]:
+    """The keys of the text's units: it is cut before every space that follows something other than white space."""
+    if any(x in text for x in _BREAKS) or not text.isascii() and _WIDE(text):
+        first, *others = _CUT(text)
+        return [START + first, *(u[1:] for u in others)]
+    out = text.split(" ")
+    if out[0] or len(out) == 1:
+        out[0] = START + out[0]
+    else:  # the space that the text begins with belongs to its first unit
+        out[:2] = [f"{START} {out[1]}"]
+    return out
+
+
+def unit(key: str) -> str:
+    """A key's unit of text."""
+    return key[1:] if key.startswith(START) else " " + key
 
 
 _ENCODERS: dict = {}
@@ -149,20 +183,26 @@ def encoder(path: str, head: dict[str, bytes] | None = None) -> Encoder:
     return _ENCODERS[key]
 
 
+def forget() -> None:
+    """Give back the units and words that the worker's encoder has learned."""
+    for enc in _ENCODERS.values():
+        enc.units, enc.words = dict(enc.head), {}
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def word_table(docs: DataFrame, path: str, head: int = HEAD) -> dict[str, bytes]:
-    """The ``head`` most frequent units over all documents, each encoded once."""
+    """The ``head`` most frequent units over all documents, each encoded once, by their keys; starts of texts are left out."""
 
     def count(batches):
-        seen: dict[str, int] = {}
+        seen: Counter[str] = Counter()
         for batch in batches:
             for part in common.pieces_of(batch):
                 for text in common.texts(part):
-                    if text and not unsafe(text):
-                        for unit in units(text):
-                            seen[unit] = seen.get(unit, 0) + 1
+                    seen.update(keys(text)[1:])
                 if len(seen) > KEPT:  # a unit met once so far costs more to ship than to encode again
                     yield _counted(seen)
-                    seen = {}
+                    seen = Counter()
         yield _counted(seen)
 
     common.light_batches(docs.sparkSession)
@@ -187,14 +227,14 @@ def encode_decode(docs: DataFrame, path: str | None = None, head: int = HEAD) ->
     """Each document's ids and the text they decode to: doc_id, n_tokens, ids (binary, little-endian unsigned
     32-bit), decoded. Empty table: no rows."""
     path = path or vocabulary_path()
-    return common.arrow_pass(docs.select("doc_id", "text"), {"doc_id": "long", "n_tokens": "long", "ids": "binary", "decoded": "string"}, _coder(docs, path, head, lambda ids, decoded: {"ids": ids, "decoded": decoded}))
+    return common.arrow_pass(docs.select("doc_id", "text"), {"doc_id": "long", "n_tokens": "long", "ids": "binary", "decoded": "string"}, _coder(docs, path, head, lambda ids, decoded: {"ids": ids, "decoded": decoded}), forget)
 
 
 def digests(docs: DataFrame, path: str | None = None, head: int = HEAD) -> DataFrame:
     """As ``encode_decode``, with digests in place of ids and text."""
     path = path or vocabulary_path()
     hexed = lambda ids, decoded: {"ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids], "decoded_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in decoded]}
-    return common.arrow_pass(docs.select("doc_id", "text"), {"doc_id": "long", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}, _coder(docs, path, head, hexed))
+    return common.arrow_pass(docs.select("doc_id", "text"), {"doc_id": "long", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}, _coder(docs, path, head, hexed), forget)
 
 
 _TABLES: dict = {}

@@ -22,9 +22,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of this machine's own only where none is named."""
+    """The folder that driver and executors share; one of this machine's own only where none is named and all run on this machine."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         place = tempfile.mkdtemp(prefix="terrane-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
@@ -40,8 +43,9 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_pass(df: DataFrame, ddl: dict[str, str], each: Callable[[pa.RecordBatch], dict]) -> DataFrame:
-    """One Arrow pass over every batch. ``each`` maps a batch to columns named as in ``ddl``."""
+def arrow_pass(df: DataFrame, ddl: dict[str, str], each: Callable[[pa.RecordBatch], dict], done: Callable[[], None] | None = None) -> DataFrame:
+    """One Arrow pass over every batch. ``each`` maps a batch to columns named as in ``ddl``; ``done`` is called at the end of a task, to give back what it
+    has kept: Python workers live on."""
     schema = pa.schema([(k, ARROW[v]) for k, v in ddl.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,6 +53,8 @@ def arrow_pass(df: DataFrame, ddl: dict[str, str], each: Callable[[pa.RecordBatc
             for part in pieces_of(batch):
                 out = each(part)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
+        if done:
+            done()
 
     light_batches(df.sparkSession)
     return df.mapInArrow(run, ", ".join(f"`{k}` {v}" for k, v in ddl.items()))

@@ -50,7 +50,7 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, end: int
         return {k: out[k] for k in ("doc_id", "doc_row", "piece", "start", "length", "ids_crc32")}
 
     ddl = {"doc_id": "long", "doc_row": "long", "piece": "int", "start": "long", "length": "long", "ids_crc32": "long"}
-    return common.arrow_pass(docs.select("doc_id", "text").withColumn("doc_row", F.monotonically_increasing_id()), ddl, each)
+    return common.arrow_pass(docs.select("doc_id", "text").withColumn("doc_row", F.monotonically_increasing_id()), ddl, each, bpe.forget)
 
 
 def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int, int, int]]:

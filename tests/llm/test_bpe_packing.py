@@ -8,7 +8,7 @@ import pytest
 
 from terrane.llm import bpe, packing
 
-ODD = [None, "", " ", "  a", "a  b", "a\n b", "a \n\nb", "it's 'll we've", "x_y __a 12a3", "<|endoftext|>a", "naïve ²³ ½ × ÷", "日本語 テスト", "a\x85b\x1cc", "ab\t\tc d", " lead", "trail ", "é" * 5000, "a\r\n b", "long words " * 3000, "a", "a"]
+ODD = [None, "", " ", "  a", "a  b", "a\n b", "a \n\nb", "it's 'll we've", "x_y __a 12a3", "<|endoftext|>a", "naïve ²³ ½ × ÷", "日本語 テスト", "a\x85b\x1cc", "ab\t\tc d", " lead", "trail ", "é" * 5000, "a\r\n b", "long words " * 3000, "a", "a", "“curly” — dash…", "Привет, мир!  как дела?", "a\u00a0 b \u2003 c", "x <|endoftext|> y<|endoftext|>z", "a\x00 b", " \x1c a", "😀 🇩🇪 e\u0301", "x" * 400 + " y"]
 
 
 @pytest.fixture(scope="module")
