@@ -72,7 +72,9 @@ def _edited(text: str, following: str):
 
 
 def _raw(text):
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+    """The key of a text as it is: 128 bits."""
+    text = F.coalesce(text, F.lit(""))
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit("raw"), text).alias("b"))
 
 
 def hashed(docs: DataFrame) -> DataFrame:
@@ -91,8 +93,8 @@ def collisions(docs: DataFrame, rows: DataFrame) -> DataFrame:
     own = rows.join(shared, ["h0", "h1"], "left_semi").select("h0", "h1", "t").distinct()
     edited = common.stage(rows.select(F.col("e0").alias("h0"), F.col("e1").alias("h1"), "t", "x").join(shared, ["h0", "h1"], "left_semi").distinct())
     keys = common.small(common.stage(own.select("t").unionAll(edited.select("t")).unionAll(edited.select("x")).distinct()), 1_000_000)
-    texts = docs.select(_raw(F.col("text")).alias("t"), F.coalesce("text", F.lit("")).alias("text")).join(keys, "t", "left_semi").groupBy("t").agg(F.min("text").alias("text"))
-    forms = own.join(texts, "t").select("h0", "h1", "t", F.lit(None).cast("long").alias("x"), canonical(F.col("text")).alias("form"))
+    texts = docs.select(_raw(F.col("text")).alias("t"), F.coalesce("text", F.lit("")).alias("text")).join(keys, "t", "left_semi").groupBy("t").agg(F.first("text").alias("text"))
+    forms = own.join(texts, "t").select("h0", "h1", "t", F.lit(None).cast("struct<a:bigint,b:bigint>").alias("x"), canonical(F.col("text")).alias("form"))
     if edited.limit(1).count():
         following = texts.select(F.col("t").alias("x"), F.col("text").alias("next_text"))
         forms = forms.unionByName(edited.join(texts, "t").join(following, "x").select("h0", "h1", "t", "x", canonical(_edited("text", "next_text")).alias("form")))
