@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -65,13 +66,27 @@ def weak(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, s
         out += [(*m.span("v"), "weak_secret") for m in WEAK_SECRET.finditer(text)]
         out += [(*m.span(), "endpoint") for m in ENDPOINT.finditer(text)]
     out += [(*m.span(), "weak_secret") for m in KEYLESS.finditer(text) if _mixed(m[0])]
+    starts, ends = _union(taken)
     clear = []
     for part in sorted(set(out)):
-        if not any(part[0] < e and s < part[1] for s, e, _ in taken) and not any(part[0] < e and s < part[1] and k == part[2] for s, e, k in clear[-3:]):
+        before = bisect_left(starts, part[1]) - 1  # the last base stretch that starts before the part's end
+        if (before < 0 or ends[before] <= part[0]) and not any(part[0] < e and s < part[1] and k == part[2] for s, e, k in clear[-3:]):
             clear.append(part)
     return clear
 
 
+def _union(spans: list[tuple[int, int, str]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that the spans (sorted by start) cover."""
+    starts, ends = [], []
+    for s, e, _ in spans:
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
 def _mixed(x: str) -> bool:
     return any(c.isdigit() for c in x) and any(c.islower() for c in x) and any(c.isupper() for c in x)
 

@@ -146,3 +146,12 @@ def test_empty_tables(spark):
     empty = table(spark, TEXTS).limit(0)
     assert secrets.report(empty).collect() == [] and pii.report(empty).collect() == []
     assert secrets.redact(empty).collect() == []
+
+
+def test_union_covers_what_the_spans_cover():
+    r = random.Random(8)
+    for _ in range(200):
+        spans = sorted((s := r.randint(0, 40), s + r.randint(1, 9), "hex") for _ in range(r.randint(0, 9)))
+        covered = {i for s, e, _ in spans for i in range(s, e)}
+        starts, ends = secrets._union(spans)
+        assert {i for s, e in zip(starts, ends, strict=True) for i in range(s, e)} == covered and all(e < s for e, s in zip(ends, starts[1:], strict=False))
