@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import ann, bpe, fingerprint, jaccard, langid, packing, pii, repeats, secrets, toxicity
+from . import ann, bpe, codes, fingerprint, jaccard, langid, packing, phrases, pii, repeats, secrets, tokens, toxicity
 from .common import documents
 
 QUERIES = {
@@ -19,6 +19,9 @@ QUERIES = {
     "op9_toxicity": lambda spark, d: toxicity.report(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
     "pipeline": corpus_pipeline.run,
     "op10_bpe_encode_decode": lambda spark, d: bpe.digests(documents(spark, d)),
+    "op11_phrase_collocations": lambda spark, d: phrases.report(documents(spark, d)),
+    "op12_token_counts": lambda spark, d: tokens.report(documents(spark, d)),
+    "op13_vector_codes": lambda spark, d: codes.report(spark.read.parquet(f"{d}/embeddings.parquet")),
 }
 
 #: None of these can be said in SQL.
