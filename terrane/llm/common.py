@@ -84,10 +84,11 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def small(df: DataFrame, most_rows: int) -> DataFrame:
-    """``df`` marked for broadcast if it is staged and has at most ``most_rows`` rows; otherwise as it is,
-    for a shuffled join."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+def small(df: DataFrame, most: int, weight=None) -> DataFrame:
+    """``df`` marked for broadcast if it is staged and has at most ``most`` rows, or a total ``weight`` (a column, for rows of unbounded width) of at most that;
+    otherwise as it is, for a shuffled join."""
+    size = df.limit(most + 1).count() if weight is None else df.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
 
 
 def id_hash_mod(column_name: str, divisor: int):

@@ -6,6 +6,8 @@ shingles, its first shared one then stands at a place ``pos`` in both sets with
 need only be listed under its first ``n - ceil(0.8 n) + 1``. The order puts the shingles that very many documents share
 last (by counts over all documents), so a common passage lists nobody but those made of little else.
 
+A set is told by 128 bits: the first 64 are its node, and in the rare case that two sets share these, both get nodes that tell them apart. Texts are fetched by 128 bits as well.
+
 A tile is what one shingle lists, in bands of sizes; linked sets lie in the same or neighbouring bands. Signatures are
 parity bitmaps: the bits that differ bound the symmetric difference from below, so ``(|A| + |B| - differing bits) / 2``
 bounds the overlap from above. What passes is decided on the sorted sets.
@@ -13,6 +15,7 @@ bounds the overlap from above. What passes is decided on the sorted sets.
 A group of near copies is never spelt out as pairs. In each of ``ROUNDS`` rounds a node is compared with at most two centres
 of its tiles that are in other components than its own. The centre is the node with the fewest shingles before the tile's own:
 rarer ones are what tells a copy from the text that it was made from, so the centre is what most of the group is close to.
+Rounds go on, up to ``MOST_ROUNDS``, while they find links and the pairs left in the tiles are more than ``PAIRS`` times their listings.
 Then nodes of one tile that are still in different components, and whose places and sizes let them reach the threshold, are
 compared, all of them: no two linked sets stay apart.
 
@@ -42,8 +45,9 @@ HOT = 1 << 19
 BLOCK = 1_500_000
 #: Times that a shingle must occur in a block to be passed on.
 REPEATS = 2
-#: Rounds of comparisons with centres, at most.
+#: Rounds of comparisons with centres; more of them where many pairs are left.
 ROUNDS = 3
+MOST_ROUNDS, PAIRS = 8, 20
 #: Listings of one shingle that one task looks through for a second node.
 TILE = 1_000_000
 
@@ -111,8 +115,14 @@ def signature(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
+def text_keys() -> list:
+    """128 bits of the text, as two columns."""
+    text = F.coalesce("text", F.lit(""))
+    return [F.xxhash64(text).alias("text_key"), F.xxhash64(F.lit("second"), text).alias("text_key2")]
+
+
 def sketches(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: int = WORDS) -> DataFrame:
-    """A row for each document: doc_id, doc_row, text_key, n, node; and bits, prefix, slot of the first document with its set in a
+    """A row for each document: doc_id, text_key, text_key2, n, node, check; and bits, prefix, slot of the first document with its set in a
     task, null for the others. ``slot`` spreads the listings of shingles with over ``TILE`` of them; null: there are none."""
     shingles, counts = frequent
     ranked = np.argsort(shingles, kind="stable")
@@ -124,28 +134,30 @@ def sketches(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: in
         seen = set()
         for batch in batches:
             for part in common.pieces_of(batch):
-                out = {"n": [], "node": [], "bits": [], "prefix": [], "slot": []}
+                out = {"n": [], "node": [], "check": [], "bits": [], "prefix": [], "slot": []}
                 for text in common.texts(part):
                     s = shingle_set(text, words)
                     n = len(s)
-                    node = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+                    whole = xxhash.xxh3_128_intdigest(s.tobytes())
+                    node = (whole >> 64) - (1 << 63)
                     out["n"].append(n)
                     out["node"].append(node)
-                    if not n or node in seen:
+                    out["check"].append((whole & ((1 << 64) - 1)) - (1 << 63))
+                    if not n or whole in seen:
                         for c in ("bits", "prefix", "slot"):
                             out[c].append(None)
                         continue
-                    seen.add(node)
+                    seen.add(whole)
                     order = _ordered(s, hot, rank)[: n - (NUM * n + DEN - 1) // DEN + 1]
                     slots = [heavy.get(x, 0) for x in order.tolist()] if heavy else ()
                     out["bits"].append(signature(s))
                     out["prefix"].append(order)
                     out["slot"].append([x and 1 + node % x for x in slots] if any(slots) else None)
-                yield pa.RecordBatch.from_arrays([*(common.column(part, c) for c in ("doc_id", "doc_row", "text_key")), *(pa.array(v, common.ARROW[ddl[c]]) for c, v in out.items())], [*ddl])
+                yield pa.RecordBatch.from_arrays([*(common.column(part, c) for c in ("doc_id", "text_key", "text_key2")), *(pa.array(v, common.ARROW[ddl[c]]) for c, v in out.items())], [*ddl])
 
-    ddl = {"doc_id": "long", "doc_row": "long", "text_key": "long", "n": "long", "node": "long", "bits": "array<long>", "prefix": "array<long>", "slot": "array<long>"}
+    ddl = {"doc_id": "long", "text_key": "long", "text_key2": "long", "n": "long", "node": "long", "check": "long", "bits": "array<long>", "prefix": "array<long>", "slot": "array<long>"}
     common.light_batches(docs.sparkSession)
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("doc_row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
+    rows = docs.select("doc_id", *text_keys(), "text")
     return rows.mapInArrow(run, ", ".join(f"{k} {v}" for k, v in ddl.items()))
 
 
@@ -186,20 +198,19 @@ def _may_link(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """node, shingles of the wanted nodes, from one text of each. Copies are left out within each task before anything is shuffled."""
-    keys = common.small(common.stage(nodes.join(wanted, "node", "left_semi").select("text_key")), 1_000_000)
-    chosen = docs.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")).join(keys, "text_key", "left_semi")
+    keys = common.small(common.stage(nodes.join(wanted, "node", "left_semi").select("text_key", "text_key2", "node")), 1_000_000)
+    chosen = docs.select("text", *text_keys()).join(keys, ["text_key", "text_key2"]).select("node", "text")
 
     def run(batches):
         seen = set()
         for batch in batches:
             for part in common.pieces_of(batch):
                 new = {}
-                for key, text in zip(common.column(part, "text_key").to_pylist(), common.texts(part), strict=True):
-                    if key not in seen:
-                        seen.add(key)
-                        new[key] = shingle_set(text, words)
-                node = [xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in new.values()]
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([*new.values()], pa.list_(pa.int64()))], ["node", "shingles"])
+                for node, text in zip(common.column(part, "node").to_pylist(), common.texts(part), strict=True):
+                    if node not in seen:
+                        seen.add(node)
+                        new[node] = shingle_set(text, words)
+                yield pa.RecordBatch.from_arrays([pa.array([*new], pa.int64()), pa.array([*new.values()], pa.list_(pa.int64()))], ["node", "shingles"])
 
     return chosen.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
 
@@ -265,29 +276,48 @@ def _rest(listed: DataFrame) -> DataFrame:
     return met.select("a", "b").distinct()
 
 
+def _many(listed: DataFrame) -> bool:
+    """Whether the tiles hold more than ``PAIRS`` times as many pairs as listings."""
+    tiles = listed.groupBy("shingle", "band").agg(F.count("*").cast("double").alias("n"))
+    total = tiles.agg(F.sum(F.col("n") * F.col("n")).alias("pairs"), F.sum("n").alias("n")).first()
+    return (total.pairs or 0) > PAIRS * (total.n or 0)
+
+
+def _nodes(sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sketches and their nodes, where different sets have different nodes: sets that share their first 64 bits are named anew by all 128."""
+    while True:
+        facts = (F.first("n").alias("n"), F.first(F.struct("text_key", "text_key2")).alias("k"), F.first("bits", ignorenulls=True).alias("bits"), F.min("check").alias("low"), F.max("check").alias("high"))
+        nodes = common.stage(sketched.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("low_id"), *facts).select("node", "n", "low_id", "k.*", "bits", "low", "high"))
+        clash = nodes.where("low != high").select("node", F.lit(True).alias("clash"))
+        if not clash.limit(1).count():
+            return sketched, nodes.drop("low", "high")
+        sketched = common.stage(sketched.join(clash, "node", "left").withColumn("node", F.when(F.col("clash"), F.xxhash64("node", "check")).otherwise(F.col("node"))).drop("clash"))
+
+
 def cluster(docs: DataFrame, words: int = WORDS, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, doc_row, n_shingles, component_id, node, label for every row of ``docs``. The label tells components apart, which
+    """doc_id, text_key, text_key2, n_shingles, component_id, node, label for every row of ``docs``. The label tells components apart, which
     the smallest id does not where ids repeat or are null."""
-    sketched = common.stage(sketches(docs, frequent_shingles(docs, words), words))
-    facts = (F.first("n").alias("n"), F.first("text_key").alias("text_key"), F.first("bits", ignorenulls=True).alias("bits"))
-    nodes = common.stage(sketched.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("low_id"), *facts))
+    sketched, nodes = _nodes(common.stage(sketches(docs, frequent_shingles(docs, words), words)))
     listed = common.stage(listings(sketched))
-    links, label, turn = None, None, 0
-    while turn <= rounds:
+    links, label, turn, last = None, None, 0, False
+    while True:
         listed = _split(listed, label)
-        more = common.stage(linked(docs, nodes, _stars(listed, turn) if turn < rounds else _rest(listed), words))
-        if more.limit(1).count():
+        last = last or (turn >= rounds and not (turn < MOST_ROUNDS and _many(listed)))
+        more = common.stage(linked(docs, nodes, _rest(listed) if last else _stars(listed, turn), words))
+        found = more.limit(1).count() > 0
+        if found:
             links = more if links is None else common.stage(links.unionByName(more))
             label = components(links)
-            turn += 1
-        else:  # centres that link nothing have done what they can
-            turn = rounds if turn < rounds else rounds + 1
+        if last:
+            break
+        turn, last = turn + 1, not found  # centres that link nothing have done what they can
     label = label if label is not None else nodes.select("node", F.col("node").alias("label"))
     named = nodes.join(label, "node", "left").select("node", "low_id", F.coalesce("label", "node").alias("label"))
     lowest = named.groupBy("label").agg(F.min("low_id").alias("component_id"))
     by_node = named.join(lowest, "label").select("node", "component_id", "label")
-    rows = sketched.select("doc_id", "doc_row", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"))
-    return rows.join(by_node, "node", "left").select("doc_id", "doc_row", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "node", "label")
+    rows = sketched.select("doc_id", "text_key", "text_key2", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"))
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    return rows.join(by_node, "node", "left").select("doc_id", "text_key", "text_key2", "n_shingles", component, "node", "label")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -295,11 +325,23 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that share a component with an earlier row: of each component the row with
-    the smallest id stays (the first of them, if it repeats). Texts without words stay."""
+    """``docs`` with one row of each component: that with the smallest id, of several texts with that id that with the smallest digest, and of rows that
+    agree in both any one. Texts without words stay.
+
+    Rows are found again by id and digest of the text, not by a number: what a number is drawn for may differ from one reading of ``docs`` to the next."""
     docs, back = common.shielded(docs)
-    groups = common.stage(cluster(docs).where("n_shingles > 0"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc_row"))
-    kept = groups.groupBy("label").agg(first.alias("k")).select(F.col("k.doc_row").alias("doc_row"))
-    gone = common.small(common.stage(groups.join(kept, "doc_row", "left_anti").select("doc_row")), 2_000_000)
-    return back(docs.withColumn("doc_row", F.monotonically_increasing_id()).join(gone, "doc_row", "left_anti"))
+    key = ["doc_id", "text_key", "text_key2"]
+    groups = common.stage(cluster(docs).where("n_shingles > 0").groupBy(*key, "label").agg(F.count("*").alias("n")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), *key))
+    kept = groups.groupBy("label").agg(first.alias("k")).select(*(F.col(f"k.{c}").alias(f"k_{c}") for c in key))
+    same = F.col("doc_id").eqNullSafe(F.col("k_doc_id")) & (F.col("text_key") == F.col("k_text_key")) & (F.col("text_key2") == F.col("k_text_key2"))
+    marks = groups.join(kept, same, "left").where("k_text_key is null or n > 1").select(*(F.col(c).alias(f"m_{c}") for c in key), F.col("k_text_key").isNotNull().alias("repeated"))
+    marks = common.stage(marks)
+    several = marks.where("repeated").limit(1).count() > 0
+    marks = common.small(marks, 1_000_000)
+    same = F.col("doc_id").eqNullSafe(F.col("m_doc_id")) & (F.col("text_key") == F.col("m_text_key")) & (F.col("text_key2") == F.col("m_text_key2"))
+    marked = docs.select("*", *text_keys()).join(marks, same, "left")
+    out = marked.where("m_text_key is null").select(*docs.columns)
+    if several:
+        out = out.unionByName(marked.where("repeated").dropDuplicates(key).select(*docs.columns))
+    return back(out)

@@ -10,7 +10,7 @@ score is that share, weighted by how far the spans' scores lie above those of th
 
 A text that is null or has no letter is ``und`` with score 0. With nothing to learn from, every text is
 ``und``. Ties go to the language that sorts first. Rows are kept one for one, repeated rows included. Text
-is judged whole. Only text is used for a prediction.
+is judged whole. Only text is used for a prediction. Letters are what Unicode calls so: fractions, raised digits and numerals are none. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -67,11 +67,18 @@ def split(runs: list[str]) -> list[str]:
     for run in runs:
         if len(run) <= LONGEST and run.isascii():
             out.append(run)
-        else:
+        elif run.isalpha():
             out += _PIECE.findall(run)
+        else:  # numbers such as fractions and numerals are no letters
+            out += [p for letters in _letters(run).split() for p in _PIECE.findall(letters)]
     return out
 
 
+def _letters(run: str) -> str:
+    """The run with a space in the place of each character that is no letter."""
+    return "".join(c if c.isalpha() else " " for c in run)
+
+
 def script(word: str) -> int:
     return int(np.searchsorted(SCRIPTS, ord(word[0]), "right"))
 
@@ -180,7 +187,9 @@ class Model:
 
     def label(self, text: str) -> list[tuple[int, int, str]]:
         """Spans of a text as (start, end, language)."""
-        found = [(m.start() + p.start(), m.start() + p.end()) for m in _WORD.finditer(text) for p in _PIECE.finditer(m[0])]
+        runs = ((m.start(), m[0] if m[0].isalpha() else _letters(m[0])) for m in _WORD.finditer(text))
+        parts = ((at + k.start(), k[0]) for at, run in runs for k in re.finditer(r"\S+", run))
+        found = [(at + p.start(), at + p.end()) for at, run in parts for p in _PIECE.finditer(run)]
         if not found or not self.langs:
             return []
         words = [text[a:b] for a, b in found]

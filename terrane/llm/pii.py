@@ -33,19 +33,26 @@ TRUST = 0.8
 #: A pattern speaks for an instance from this confidence on.
 VOICE = 0.5
 
-# The base patterns.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+# The base patterns, written so that a text of any length is read once: what stands before an @ is found from the @ back, runs of digits are
+# entered at their first digit only and not given back.
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _DIGIT = re.compile("[0-9]").search
-#: What looks like an identifier: groups of digits with at least five in all, or letters and digits mixed, or an @.
-_TOKEN = re.compile(r"(?<![A-Za-z0-9@+])(?:\+?\(?[0-9]+(?:[\x20()./-]{1,3}[0-9]+)*(?![._/+-]?[A-Za-z0-9@])|\+?[A-Za-z0-9@][A-Za-z0-9@._/+-]*(?:(?<=[0-9@])|[0-9@])[A-Za-z0-9@._/+-]*)")
+#: What may be an identifier (``identifier`` decides, once for each run): groups of digits, or a whole run of the signs of one.
+_TOKEN = re.compile(r"(?<![A-Za-z0-9@+])(?:\+?\(?[0-9]++(?:[\x20()./-]{1,3}+[0-9]++)*(?![._/+-]?[A-Za-z0-9@])|\+?[A-Za-z0-9@][A-Za-z0-9@._/+-]*+)")
 _LEFT = re.compile(r"(?:([^\W\d_]{2,24})[^\w\n]{1,3})?([^\W\d_]{2,24})[^\w\n]{1,4}\Z")
 _RIGHT = re.compile(r"[^\w\n]{1,4}([^\W\d_]{2,24})(?!\w)(?:[^\w\n]{1,3}([^\W\d_]{2,24})(?!\w))?")
 
 
+def _small(part: str) -> bool:
+    """At most 255, without leading zeros."""
+    return len(part) < 3 or (len(part) == 3 and part <= "255")
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -54,13 +61,27 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> list[tuple[int, int, str]]:
+    """Leftmost, non-overlapping: an @ with a local part before it, cut off at the end of the match before, and a domain of two labels or more after it."""
+    out, free, at = [], 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > free and text[start - 1] in LOCAL:
+            start -= 1
+        if start < at and (m := DOMAIN.match(text, at + 1)):
+            free = m.end()
+            out.append((start, free, "email"))
+        at = text.find("@", at + 1)
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind), by kind as listed and then by start."""
     out = []
     if "@" in text:
-        out += [(*m.span(), "email") for m in EMAIL.finditer(text)]
+        out += emails(text)
     if _DIGIT(text):
-        out += [(*m.span(), "ip") for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [(*m.span(), "ip") for m in IP.finditer(text) if all(_small(p.lstrip("0")) for p in m[0].split("."))]
         for m in CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 16 <= len(digits) <= 19 and luhn(digits):

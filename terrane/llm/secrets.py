@@ -67,11 +67,13 @@ def weak(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, s
         out += [(*m.span(), "endpoint") for m in ENDPOINT.finditer(text)]
     out += [(*m.span(), "weak_secret") for m in KEYLESS.finditer(text) if _mixed(m[0])]
     starts, ends = _union(taken)
-    clear = []
+    clear, last = [], {}
     for part in sorted(set(out)):
         before = bisect_left(starts, part[1]) - 1  # the last base stretch that starts before the part's end
-        if (before < 0 or ends[before] <= part[0]) and not any(part[0] < e and s < part[1] and k == part[2] for s, e, k in clear[-3:]):
+        # Parts of one kind are kept in order and do not overlap, so the last of them ends last.
+        if (before < 0 or ends[before] <= part[0]) and part[0] >= last.get(part[2], 0):
             clear.append(part)
+            last[part[2]] = part[1]
     return clear
 
 
@@ -158,21 +160,34 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span's text replaced by ``[kind]``. Spans are a function of the text, so they are
-    joined back by its digest; overlapping spans are replaced as one. n_chars, if there, is counted anew."""
+    joined back by its digest; overlapping spans are replaced as one. n_chars, if there, is counted anew. Texts are put together in one walk over their spans."""
     docs, back = common.shielded(docs)
     hits = find(docs).where(F.size("spans") > 0).groupBy("text_key").agg(F.first("spans").alias("redact_spans"))
-    hits = common.small(common.stage(hits), 200_000)
-    keyed = docs.withColumn("text_key", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-
-    def cut(done, s):
-        start = F.greatest(s["start"], done["at"])
-        kept = F.substring(F.col("text"), done["at"] + 1, F.greatest(start - done["at"], F.lit(0)).cast("int"))
-        grown = F.when(s["end"] <= done["at"], done["out"]).otherwise(F.concat(done["out"], kept, F.when(s["start"] < done["at"], "").otherwise(F.concat(F.lit("["), s["kind"], F.lit("]")))))
-        return F.struct(F.greatest(s["end"], done["at"]).cast("int").alias("at"), grown.alias("out"))
-
-    whole = F.aggregate("redact_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut, lambda d: F.concat(d["out"], F.substring(F.col("text"), d["at"] + 1, F.length("text"))))
-    text = F.when(F.col("redact_spans").isNull(), F.col("text")).otherwise(whole)
-    out = keyed.join(hits, "text_key", "left").withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("redact_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return back(out)
+    hits = common.small(common.stage(hits), 1_000_000, F.size("redact_spans") + 2)
+    keyed = docs.withColumn("text_key", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).join(hits, "text_key", "left").drop("text_key")
+    text_at, chars_at = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def run(batches):
+        for batch in batches:
+            for part in common.pieces_of(batch):
+                columns = part.columns[:-1]
+                spans = part.column(part.num_columns - 1).to_pylist()
+                if any(s is not None for s in spans):
+                    texts = [t if s is None else redacted(t, s) for t, s in zip(columns[text_at].to_pylist(), spans, strict=True)]
+                    columns[text_at] = pa.array(texts, columns[text_at].type)
+                    if chars_at is not None:
+                        old = columns[chars_at].to_pylist()
+                        columns[chars_at] = pa.array([n if s is None else len(t) for n, t, s in zip(old, texts, spans, strict=True)], columns[chars_at].type)
+                yield pa.RecordBatch.from_arrays(columns, part.schema.names[:-1])
+
+    return back(keyed.select(*docs.columns, "redact_spans").mapInArrow(run, docs.schema))
+
+
+def redacted(text: str, spans: list[dict]) -> str:
+    """The text with each stretch of spans (in order of their starts) replaced by the kind of its first one."""
+    out, at = [], 0
+    for s in spans:
+        if s["start"] >= at:
+            out += [text[at : s["start"]], f"[{s['kind']}]"]
+        at = max(at, s["end"])
+    return "".join([*out, text[at:]])

@@ -83,6 +83,45 @@ def test_keep_one_tells_components_apart(spark):
     assert len(alike) == 1 and got == Counter([rows[0], rows[1], rows[4], alike[0]])
 
 
+def test_keep_one_of_frames_without_an_order(spark):
+    """Rows that come out of a shuffle, a join and a coalesce: every group keeps one row, and clean documents stay."""
+    from pyspark.sql import functions as F
+
+    words = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64(F.col("g"), i), F.lit(5000)).cast("string"))))
+    base = spark.range(900).select("id", F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(F.floor(F.col("id") / 30)).alias("g")).select("id", words.alias("text"))
+    want = {t: min(i) for t, i in ((r.text, r.ids) for r in base.groupBy("text").agg(F.collect_list("id").alias("ids")).collect())}
+    shuffled = base.groupBy("id").agg(F.first("text").alias("text")).withColumnRenamed("id", "doc_id")
+    joined = base.select("id").repartition(7).join(base, "id").withColumnRenamed("id", "doc_id")
+    for docs in (shuffled, joined, shuffled.coalesce(2)):
+        got = [(r.text, r.doc_id) for r in jaccard.keep_one(docs).collect()]
+        assert sorted(got) == sorted(want.items())
+
+
+def test_sets_that_share_64_bits(spark):
+    """Nodes that clash are told apart by the other 64 bits."""
+    rows = [(i, i, i, 2, 5 if i < 3 else 9, i % 2 if i < 3 else 0, [1], [i], None) for i in range(5)]
+    ddl = "doc_id long, text_key long, text_key2 long, n long, node long, check long, bits array<long>, prefix array<long>, slot array<long>"
+    sketched, nodes = jaccard._nodes(spark.createDataFrame(rows, ddl))
+    node = {r.doc_id: r.node for r in sketched.collect()}
+    assert node[0] == node[2] != node[1] and node[3] == node[4] == 9 and nodes.count() == 3
+
+
+def test_a_large_group_of_near_copies(spark):
+    """Copies with a word or two changed, around a passage that many others share."""
+    r = random.Random(4)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(1500):
+        w = list(base)
+        for _ in range(r.randint(0, 2)):
+            w[r.randrange(60)] = f"x{r.randrange(50)}"
+        rows.append((i, " ".join(w)))
+    passage = " ".join(f"p{i}" for i in range(12))
+    rows += [(2000 + i, passage + " " + " ".join(f"q{r.randrange(300)}" for _ in range(30))) for i in range(300)]
+    got = jaccard.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain(rows)
+
+
 def test_empty(spark):
     assert jaccard.report(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

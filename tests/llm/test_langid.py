@@ -79,3 +79,12 @@ def test_all_languages_are_learned(spark):
     rows = [(k * 70 + i, f"{own[i]} {own[i]}z", names[i]) for k in range(6) for i in range(70)]
     m = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert m.langs == names and [v[0] for v in m.verdicts([f"{w} {w}z" for w in own])] == names
+
+
+def test_numbers_are_no_letters(model):
+    """Fractions, raised digits, circled numbers and numerals are not letters; beside letters they only part them."""
+    for text in ("½", "²", "①", "Ⅷ", "x²"[1:], "〇", "½ ² 3", "٣"):
+        assert model.verdicts([text]) == [("und", 0.0)] and model.label(text) == []
+    assert langid.split(["ab½cd", "é²", "²"]) == ["ab", "cd", "é"]
+    assert model.verdicts(["the½thing and that"])[0][0] != "und"
+    assert [text[a:b] for text in ["½the thing²"] for a, b, _ in model.label(text)] == ["the thing"]

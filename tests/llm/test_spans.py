@@ -155,3 +155,87 @@ def test_union_covers_what_the_spans_cover():
         covered = {i for s, e, _ in spans for i in range(s, e)}
         starts, ends = secrets._union(spans)
         assert {i for s, e in zip(starts, ends, strict=True) for i in range(s, e)} == covered and all(e < s for e, s in zip(ends, starts[1:], strict=False))
+
+
+def test_texts_of_a_million_signs_take_seconds():
+    """Runs of every kind that patterns could enter again and again; and a part of an address with thousands of zeros."""
+    import time
+
+    n = 1_000_000
+    texts = ["0" * 5000 + ".1.1.1", "a." * (n // 2), "9" * n, "1.2" * (n // 3), "z" * n + "@", "x@" * (n // 2), "1-" * (n // 2) + "a", "1 " * (n // 2), "+" + "1)" * (n // 2), "a9" * (n // 2), "(1-1" * (n // 4), "f" * n, "+1 (" * (n // 4)]
+    for t in texts:
+        began = time.time()
+        base = pii.base_spans(t)
+        pii.occurrences(t, base)
+        assert time.time() - began < 10, t[:20]
+    assert pii.base_spans(texts[0]) == [(0, 5006, "ip")]
+
+
+def test_base_pii_of_random_strings():
+    """Base spans are those of the plain patterns, also where matches touch."""
+    r = random.Random(8)
+    parts = ["a", "b.c", "@", "@", ".", "_", "1", "12", "255", "256", "0", "+", "-", " ", "(", "4111 1111 1111 1111", "é", "%", "x@y.z", "1.1.1.1"]
+    for _ in range(20_000):
+        t = "".join(r.choices(parts, k=r.randint(1, 14)))
+        want = [(*m.span(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+        want += [(*m.span(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+        want += [(*m.span(), "card") for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 16 <= len(d := re.sub("[ -]", "", m[0])) <= 19 and pii.luhn(d)]
+        want += [(*m.span(), "phone") for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= sum(c.isdigit() for c in m[0]) <= 15]
+        assert pii.base_spans(t) == want, t
+
+
+def plain_found(texts):
+    """(row, start, end) of what context discovers, with plain dictionaries."""
+    seen = [(i, *o) for i, t in enumerate(texts) for o in pii.occurrences(t, pii.base_spans(t))]
+    edges = {}
+    for _, _, _, instance, seed, patterns in seen:
+        for p in patterns.split("\t") if patterns else ():
+            edges[p, instance] = edges.get((p, instance), False) or seed
+    score = {k: float(v) for k, v in edges.items()}
+
+    def confidence():
+        by = {}
+        for (p, _), s in score.items():
+            by.setdefault(p, []).append(s)
+        return {p: sum(s) / (len(s) + pii.SHRINK) for p, s in by.items()}
+
+    word = lambda p: ":".join(p.split(":")[:2])
+    for _ in range(pii.ROUNDS):
+        good = {p: c for p, c in confidence().items() if c >= pii.VOICE}
+        best = {}
+        for (p, x), seed in edges.items():
+            if not seed and p in good:
+                best[x, word(p)] = max(best.get((x, word(p)), 0), min(good[p], 0.999))
+        for (p, x), seed in edges.items():
+            rest = 1.0
+            for (y, w), c in best.items():
+                if y == x and w != word(p):
+                    rest *= 1 - c
+            score[p, x] = 1.0 if seed else 1 - rest
+    trusted = {p for p, c in confidence().items() if c >= pii.TRUST}
+    return sorted({(i, s, e) for i, s, e, _, seed, patterns in seen if not seed and trusted & set(patterns.split("\t"))})
+
+
+def test_found_spans_against_plain_dictionaries(spark):
+    r = random.Random(6)
+    said = ["call", "phone number", "my card is", "mail me at", "see", "order number", "ticket"]
+    things = lambda: r.choice([f"+1 201 555 {r.randint(1000, 9999)}", f"a{r.randint(1, 40)}@mail.com", f"{r.randint(10000, 99999)}", f"AB{r.randint(10, 40)}X", "10.0.0.1", "word"])
+    texts = [". ".join(f"please {r.choice(said)} {things()} {r.choice(['now', 'or later', 'today please'])}" for _ in range(r.randint(1, 5))) for _ in range(150)]
+    got = {x.doc_id: [s for s in x.spans.split(",") if s.startswith("found:")] for x in pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = plain_found(texts)
+    assert len(want) > 20 and sorted((i, *map(int, s.split(":")[1:])) for i, ss in got.items() for s in ss) == want
+
+
+def test_parts_of_one_kind_do_not_overlap_whatever_lies_between():
+    for n in range(1, 9):
+        text = "password: " + "Ab1" * 4 + "".join(f"/user=u{i}xx" for i in range(n)) + "/token=abcdefg"
+        for kind in secrets.KINDS[3:]:
+            mine = [s for s in secrets.weak(text, []) if s[2] == kind]
+            assert all(a[1] <= b[0] for a, b in zip(mine, mine[1:], strict=False)), (n, kind)
+
+
+def test_redact_long_text(spark):
+    """Thousands of spans in one text, in one walk."""
+    text = "x token=abcdefghijkl0 " * 40_000
+    got = secrets.redact(spark.createDataFrame([(1, text, len(text), {"a": 1}), (2, None, 5, None)], "doc_id long, text string, n_chars long, spans map<string,int>")).orderBy("doc_id").collect()
+    assert got[0].text == "x [assign] " * 40_000 and got[0].n_chars == len(got[0].text) and got[0].spans == {"a": 1} and tuple(got[1]) == (2, None, 5, None)
