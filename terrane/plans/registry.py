@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import core, data, evaluate, features, files, labels, series, shapes, stream
+from . import core, data, evaluate, features, files, labels, series, shapes, stream, trades
 
-QUERIES: dict = {**core.QUERIES, **series.QUERIES, **data.QUERIES, **labels.QUERIES, **stream.QUERIES, **features.QUERIES, **evaluate.QUERIES, **shapes.QUERIES, **files.QUERIES}
-ORACLE: dict[str, str] = {**core.ORACLE, **series.ORACLE, **data.ORACLE, **labels.ORACLE, **stream.ORACLE, **features.ORACLE, **evaluate.ORACLE, **shapes.ORACLE, **files.ORACLE}
+_MODULES = (core, series, data, labels, stream, features, evaluate, shapes, files, trades)
+QUERIES: dict = {name: run for m in _MODULES for name, run in m.QUERIES.items()}
+ORACLE: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}

@@ -86,7 +86,7 @@ register(
     query("SELECT security_id, session, unnest(['p','r1','s1','r2','s2','r3','s3','h3','h4','l3','l4']) AS source, round(unnest([p, 2*p-low, 2*p-high, p+(high-low), p-(high-low), high+2*(p-low), low-2*(high-p), close+(high-low)*1.1/4, close+(high-low)*1.1/2, close-(high-low)*1.1/4, close-(high-low)*1.1/2]), 6) AS level FROM (SELECT *, (high + low + close) / 3 AS p FROM bars)", "bars"),
 )
 register("fn_6_volatility_envelope", lambda s, d: S.volatility(bars(s, d)).select("security_id", "session", *(S.envelope(F.col("close"), F.col("sigma20"), k).alias(n) for n, k in (("up1", 1.0), ("low1", -1.0), ("up2", 2.0), ("low2", -2.0)))), query(f"SELECT security_id, session, " + ", ".join(f"round(close * exp({k} * sg * sqrt(5.0)), 6) AS {n}" for n, k in (("up1", 1), ("low1", -1), ("up2", 2), ("low2", -2))) + f" FROM (SELECT *, stddev_samp(ret) OVER {win(20)} AS sg FROM (SELECT *, ln(close / lag(close) OVER {O}) AS ret FROM bars))", "bars"))
-register("fn_20_spread_proxy", lambda s, d: S.trading_spread(bars(s, d).where("high > low")), query("SELECT security_id, session, round(greatest(2 * (exp(a) - 1) / (1 + exp(a)), 0), 6) AS spread FROM (SELECT *, (sqrt(2 * beta) - sqrt(beta)) / (3 - 2 * sqrt(2.0)) - sqrt(gamma / (3 - 2 * sqrt(2.0))) AS a FROM (SELECT *, ln(high / low) ** 2 + ln(h1 / l1) ** 2 AS beta, ln(greatest(high, h1) / least(low, l1)) ** 2 AS gamma FROM (SELECT *, lag(high) OVER o AS h1, lag(low) OVER o AS l1 FROM bars WHERE high > low WINDOW o AS (PARTITION BY security_id ORDER BY session)))) WHERE a IS NOT NULL", "bars"))
+register("fn_20_spread_proxy", lambda s, d: S.trading_spread(bars(s, d)), query("SELECT security_id, session, round(greatest(2 * (exp(a) - 1) / (1 + exp(a)), 0), 6) AS spread FROM (SELECT *, (sqrt(2 * beta) - sqrt(beta)) / (3 - 2 * sqrt(2.0)) - sqrt(gamma / (3 - 2 * sqrt(2.0))) AS a FROM (SELECT *, ln(high / low) ** 2 + ln(h1 / l1) ** 2 AS beta, ln(greatest(high, h1) / least(low, l1)) ** 2 AS gamma FROM (SELECT *, lag(high) OVER o AS h1, lag(low) OVER o AS l1 FROM bars WINDOW o AS (PARTITION BY security_id ORDER BY session)))) WHERE a IS NOT NULL", "bars"))
 register(
     "agg_26_return_metrics", lambda s, d: S.drawdown_metrics(bars(s, d)),
     query(f"SELECT security_id, round(avg(ret) / stddev_samp(ret) * sqrt(252.0), 6) AS sharpe, round(avg(ret) / sqrt(avg(least(ret, 0) ** 2)) * sqrt(252.0), 6) AS sortino, round(min(dd), 6) AS max_drawdown, round(avg((ret > 0)::INT), 6) AS hit_rate, round(sum(greatest(ret, 0)) / abs(sum(least(ret, 0))), 6) AS profit_factor FROM (SELECT security_id, close / lag(close) OVER {O} - 1 AS ret, close / max(close) OVER {RUN} - 1 AS dd FROM bars) GROUP BY security_id", "bars").replace("avg(least(ret, 0) ** 2)", "avg(CASE WHEN ret IS NOT NULL THEN least(ret, 0) ** 2 END)").replace("sum(greatest(ret, 0))", "sum(CASE WHEN ret IS NOT NULL THEN greatest(ret, 0) END)").replace("sum(least(ret, 0))", "sum(CASE WHEN ret IS NOT NULL THEN least(ret, 0) END)"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions.ladder import ladder_steps, rungs_within, short_number
 from terrane.functions.quantiles import quantiles
-from terrane.operators import features, fits, indicators, labels, shapes, spine, touch
+from terrane.operators import features, fits, indicators, labels, shapes, spine, touch, trades
 from terrane.plans.core import candidates
 from terrane.operators import zones
 
@@ -168,3 +168,38 @@ def test_zones_do_not_depend_on_partitions(spark, sf):
         assert rows(1) == rows(16)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def _trade(spark, bars, side="support", lower=99.0, upper=100.0, atr=2.0):
+    """reason, steps of fill and exit, fill and exit of one zone over these (open, high, low, close)."""
+    z = spark.createDataFrame([(1, DAY, "z", side, lower, upper, atr, 10)], "security_id long, as_of date, zone_id string, side string, lower double, upper double, atr double, k long")
+    b = spark.createDataFrame([(1, 11 + i, *map(float, x), DAY) for i, x in enumerate(bars)], "security_id long, k long, open double, high double, low double, close double, available_at date")
+    r = trades.zone_trades(z, b).first()
+    return (r.reason, r.t_fill, r.t_exit, r.fill, r.exit)
+
+
+def test_zone_trades_by_hand(spark):
+    """Near edge 100, stop 99 - 0.5 = 98.5, target a gain of 1."""
+    flat, dip = (103, 104, 102, 103), (101, 101, 99.5, 100.2)
+    run = lambda *bars, **kw: _trade(spark, bars, **kw)
+    assert run(*[flat] * 5) == ("unfilled", None, None, None, None)
+    assert run(flat, flat) == ("open", None, None, None, None)
+    assert run(dip, (100.5, 101.2, 100, 101), flat, flat, flat) == ("target", 1, 2, 100.0, 101.0)
+    assert run(dip, (100.5, 101.2, 98, 99), flat, flat, flat) == ("stop", 1, 2, 100.0, 98.5)  # both in one session: the worse
+    assert run(dip, (98, 98.2, 97, 98), flat, flat, flat) == ("stop", 1, 2, 100.0, 98.0)  # opens beyond the stop
+    assert run(dip, (102, 103, 101.5, 102), flat, flat, flat) == ("target", 1, 2, 100.0, 102.0)  # opens beyond the target
+    assert run((99.7, 100, 99.4, 99.9), (100, 100.5, 99.6, 100), *[(100, 100.4, 99.6, 100.1)] * 3) == ("expiry", 1, 5, 99.7, 100.1)  # a gap over the limit fills at the open
+    assert run((98, 99, 97.5, 98.6), *[flat] * 4) == ("stop", 1, 1, 98.0, 98.0)  # a gap over limit and stop
+    assert run((101.5, 102, 99.5, 100.1), *[(100, 100.4, 99.6, 100.1)] * 4) == ("expiry", 1, 5, 100.0, 100.1)  # the high may have come before the fill
+    assert run((101.5, 102, 99.5, 101.3), *[flat] * 4) == ("target", 1, 1, 100.0, 101.0)  # the close cannot
+    assert run((99.8, 101, 99.5, 100), *[flat] * 4) == ("target", 1, 1, 99.8, 100.8)
+    assert run(flat, flat, flat, flat, dip) == ("expiry", 5, 5, 100.0, 100.2)
+    assert run(dip, (100, 100.5, 99.5, 100)) == ("open", 1, None, 100.0, None)
+    assert run((98, 99.5, 97.5, 98.8), (98.5, 99, 97.9, 98.2), flat, flat, flat, side="resistance") == ("target", 1, 2, 99.0, 98.0)
+
+
+def test_one_trade_at_a_time_by_hand(spark):
+    rows = [("a", 0, 1, 3), ("b", 0, 3, 4), ("c", 0, 4, 5), ("d", 2, 2, 3), ("e", 4, 1, None), ("f", 9, 1, 2)]  # filled at 1, 3, 4, 4, 5, 10
+    t = spark.createDataFrame([(1, DAY + datetime.timedelta(k), z, k, f, x) for z, k, f, x in rows] + [(2, DAY, "g", 0, 2, 2), (2, DAY, "h", 0, 3, 3), (2, DAY, "u", 0, None, None)], "security_id long, as_of date, zone_id string, k long, t_fill long, t_exit long")
+    got = sorted((r.security_id, r.zone_id) for r in trades.one_at_a_time(t).collect())
+    assert got == [(1, "a"), (1, "c"), (1, "f"), (2, "g"), (2, "h")]  # c is open to 5, so e waits, and f is the next
