@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .indicators import by_session, frame
+from .labels import bca_interval
 from .series import vwap
 
 
@@ -75,6 +76,13 @@ def ablation(preds: DataFrame) -> DataFrame:
     return preds.rollup(F.year("as_of").alias("year")).agg(F.count("*").alias("n"), F.avg(d).alias("delta"))
 
 
+def ablation_interval(deltas: DataFrame, times: int = 2000) -> DataFrame:
+    """year (null: all), n, clusters, mean, low, high of ``delta`` (security_id, as_of, year, delta): the difference of two Brier scores with its interval, by resampling a security's dates."""
+    cluster = ["security_id", "as_of"]
+    whole = bca_interval(deltas, cluster, "delta", times=times).withColumn("year", F.lit(None).cast("int"))
+    return bca_interval(deltas, cluster, "delta", ["year"], times=times).unionByName(whole)
+
+
 def weekly_scores(preds: DataFrame, bins: int = 10) -> DataFrame:
     """as_of, bin, n, mean_p, mean_y of forecasts against what happened."""
     return preds.groupBy("as_of", F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg("y").alias("mean_y"))

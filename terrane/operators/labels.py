@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ladder import draw
 from ..functions.quantiles import quantiles
 from ..params import DEFAULT, Params
+from .touch import mixed
 
 KEY = ("security_id", "as_of", "zone_id")
 
@@ -126,21 +131,96 @@ def fdr(tests: DataFrame, p: str, group: str) -> DataFrame:
     return rows.withColumn("q", F.least(F.min(F.col(p) * F.col("m") / F.col("rank")).over(down), F.lit(1.0)))
 
 
+#: Where the draws of a Poisson(1) number change, cut off at 6, which one in ten thousand exceeds; in parts of 2**31.
+POISSON = tuple(int(x * 2**31) for x in (0.36787944, 0.73575888, 0.9196986, 0.98101184, 0.99634015, 0.99940582))
+
+
+def resampled(sums: DataFrame, by: list[str], cluster: list[str], times: int, seed: int = 0) -> DataFrame:
+    """by, b, s, n: of each group the sums of ``sums`` (s and n of each cluster) in each of ``times`` resamples, of which each gives every cluster a Poisson(1) weight. A cluster's row
+    never becomes ``times`` rows: a task adds up weights times sums in one array of resamples for each group, a chunk of clusters at a time, and passes on one row for each
+    resample; with more than 500 groups it passes on what it has and starts afresh."""
+    key = F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in cluster)).cast("binary")
+    start = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % (1 << 31)
+    numbers, cuts = mixed(np.arange(1, times + 1, dtype=np.int64)), np.array(POISSON)
+    chunk = max(1, (1 << 20) // times)
+
+    def passed_on(kept):
+        for group, (s, n) in kept.items():
+            yield pd.DataFrame({c: pd.Series([x] * times, dtype=object) for c, x in zip(by, group, strict=True)} | {"b": np.arange(1, times + 1), "s": s, "n": n})
+
+    def add(batches):
+        kept: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+        for pdf in batches:
+            for group, rows in pdf.groupby(by, dropna=False, sort=False) if by else [((), pdf)]:
+                s, n = kept.setdefault(tuple(None if x != x else x for x in group), (np.zeros(times), np.zeros(times)))
+                for at in range(0, len(rows), chunk):
+                    part = rows.iloc[at : at + chunk]
+                    w = np.searchsorted(cuts, mixed(part["start"].to_numpy(np.int64)[:, None] ^ numbers), "right").astype(float)
+                    s += part["s"].to_numpy(float) @ w
+                    n += part["n"].to_numpy(float) @ w
+            if len(kept) > 500:
+                yield from passed_on(kept)
+                kept = {}
+        yield from passed_on(kept)
+
+    types = dict(sums.dtypes)
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in by), "b long, s double, n double"])
+    drawn = sums.select(*by, start.alias("start"), F.col("s").cast("double").alias("s"), F.col("n").cast("double").alias("n"))
+    return drawn.mapInPandas(add, schema).groupBy(*by, "b").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+
+
 def cluster_bootstrap(rows: DataFrame, cluster: list[str], value: str, times: int = 2000, seed: int = 0, null: float = 0.5) -> DataFrame:
-    """mean, low, high (95 %) of ``value`` by resampling clusters, and p: twice the smaller share of resamples on one side of ``null``. Clusters are summed first; each gets a weight for each resample
-    from a hash: a Poisson(1) draw, cut off at 6, which one in ten thousand exceeds."""
+    """mean, low, high (95 %) of ``value`` by resampling clusters, and p: twice the smaller share of resamples on one side of ``null``. Clusters are summed first."""
     sums = rows.groupBy(*cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    u = draw(F.lit(str(seed)), [F.col(c).cast("string") for c in cluster] + [F.col("b").cast("string")], F.lit(1_000_000)) / 1_000_000
-    cuts = (0.36787944, 0.73575888, 0.9196986, 0.98101184, 0.99634015, 0.99940582)
-    weight = sum((F.when(u >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    drawn = sums.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(times)))).withColumn("w", weight)
-    means = drawn.groupBy("b").agg((F.sum(F.col("w") * F.col("s")) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))).alias("m"))
+    means = resampled(sums, [], cluster, times, seed).select((F.col("s") / F.nullif("n", F.lit(0.0))).alias("m"))
     side = lambda c: F.avg(c.cast("double"))
     p = F.least(F.lit(1.0), 2 * F.least(side(F.col("m") <= null), side(F.col("m") >= null))).alias("p")
     ci = means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), p)
     return sums.agg((F.sum("s") / F.sum("n")).alias("mean")).crossJoin(ci)
 
 
+def bca_interval(rows: DataFrame, cluster: list[str], value: str, by: list[str] | None = None, times: int = 2000, seed: int = 0, level: float = 0.95) -> DataFrame:
+    """``by``, n, clusters, mean, low, high: the bias-corrected and accelerated interval of the mean of ``value``, by resampling clusters, for each group of ``by``.
+
+    The correction comes from the share of resamples under the mean, the acceleration from the means without one cluster each: these follow from the total minus a cluster's own
+    sums, so their moments are one more aggregation. Where all resamples agree, or nothing can be left out, the interval is the mean itself."""
+    by = by or []
+    sums = rows.groupBy(*by, *cluster).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count(value).alias("n")).where("n > 0")
+    total = sums.groupBy(*by).agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"), F.count("*").alias("clusters"))
+    joined = (lambda a, b: a.join(b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]).drop(*(f"_{c}" for c in by))) if by else (lambda a, b: a.crossJoin(b))
+    renamed = lambda df: df.select(*(F.col(c).alias(f"_{c}") for c in by), *(c for c in df.columns if c not in by))
+    without = (F.col("ts") - F.col("s")) / F.nullif(F.col("tn") - F.col("n"), F.lit(0)) - F.col("ts") / F.col("tn")
+    off = joined(sums, renamed(total)).withColumn("d", without)
+    power = lambda k: F.sum(F.pow("d", F.lit(float(k))))
+    moments = off.groupBy(*by).agg(F.count("d").alias("c"), power(1).alias("d1"), power(2).alias("d2"), power(3).alias("d3"))
+    drawn = resampled(sums, by, cluster, times, seed).select(*by, (F.col("s") / F.nullif("n", F.lit(0.0))).alias("m"))
+    against = joined(drawn, renamed(total.select(*by, (F.col("ts") / F.col("tn")).alias("mean"))))
+    under = against.groupBy(*by).agg(F.avg(F.when(F.col("m") < F.col("mean"), 1.0).when(F.col("m") == F.col("mean"), 0.5).otherwise(0.0)).alias("under"), F.sort_array(F.collect_list("m")).alias("means"))
+    facts = joined(joined(total, renamed(moments)), renamed(under))
+
+    def finish(batches):
+        normal = NormalDist()
+        for pdf in batches:
+            low, high = [], []
+            for r in pdf.itertuples():
+                mean, means = r.ts / r.tn, np.asarray(r.means)
+                centre = r.d1 / r.c if r.c else 0.0
+                second, third = r.d2 - r.c * centre**2, r.d3 - 3 * centre * r.d2 + 3 * centre**2 * r.d1 - r.c * centre**3
+                if not 0 < r.under < 1 or not second > 1e-300:
+                    low.append(mean)
+                    high.append(mean)
+                    continue
+                z0, a = normal.inv_cdf(r.under), -third / (6 * second**1.5)
+                for out, z in ((low, normal.inv_cdf((1 - level) / 2)), (high, normal.inv_cdf((1 + level) / 2))):
+                    at = normal.cdf(z0 + (z0 + z) / (1 - a * (z0 + z)))
+                    out.append(float(np.quantile(means, at)))
+            yield pdf[[*by]].assign(n=pdf["tn"], clusters=pdf["clusters"], mean=pdf["ts"] / pdf["tn"], low=low, high=high)
+
+    types = dict(rows.dtypes)
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in by), "n long, clusters long, mean double, low double, high double"])
+    return facts.mapInPandas(finish, schema)
+
+
 def drift(ref: DataFrame, cur: DataFrame, value: str, bins: int = 10, amber: float = 0.1, red: float = 0.25) -> DataFrame:
     """psi over bins of equal mass of the reference; of the two distribution functions the largest distance (ks) and the area between them (w1); and the level that psi stands for."""
     edges = F.broadcast(quantiles(ref, value, [i / bins for i in range(1, bins)]))

@@ -11,7 +11,7 @@ from ..operators import zones as Z
 from ..sources.derived import bars
 from . import series as SQ
 from .core import R, candidates, rounded, zones_and_state
-from .sql import query
+from .sql import _mixed, query
 
 QUERIES, ORACLE = {}, {}
 
@@ -109,10 +109,17 @@ register(
     query("SELECT security_id, sum(n)::BIGINT AS n, round(sum(b) / sum(n), 6) AS brier, round(sum(ll) / sum(n), 6) AS log_loss, round(sum(abs(sp - sy)) / sum(n), 6) AS ece, round((sum(spy) - sum(sp) * sum(sy) / sum(n)) / nullif(sum(spp) - sum(sp) ** 2 / sum(n), 0), 6) AS slope FROM (SELECT security_id, bin, count(*) AS n, sum(p) AS sp, sum(y) AS sy, sum(p * p) AS spp, sum(p * y) AS spy, sum((p - y) ** 2) AS b, sum(-(y * ln(greatest(least(p, 1 - 1e-6), 1e-6)) + (1 - y) * ln(1 - greatest(least(p, 1 - 1e-6), 1e-6)))) AS ll FROM (SELECT *, len(list_filter(e, lambda x: x < p)) AS bin FROM pr CROSS JOIN (SELECT quantile_cont(p, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM pr)) GROUP BY GROUPING SETS ((security_id, bin), (bin))) GROUP BY security_id", "zones", extra=PRED),
 )
 register("agg_15_level_metrics", lambda s, d: labelled(s, d).groupBy("security_id").agg(F.count("*").alias("zones"), F.avg("y_touch").alias("touch_rate"), F.avg("y_hold").alias("hold_rate"), F.avg(F.coalesce("y_hold", F.lit(0))).alias("precision")), query("SELECT security_id, count(*) AS zones, round(avg(y_touch), 6) AS touch_rate, round(avg(y_hold), 6) AS hold_rate, round(avg(coalesce(y_hold, 0)), 6) AS precision FROM lbl GROUP BY security_id", "zones", extra=ALL))
-_u = "('0x' || substr(md5('0|' || security_id || '|' || as_of || '|' || b), 1, 8))::BIGINT % 1000000 / 1000000.0"
+_start = "('0x' || substr(md5('0|' || security_id || '|' || as_of), 1, 8))::BIGINT % 2147483648"
+_weight = " + ".join(f"(x >= {c})::INT" for c in L.POISSON)
 register(
     "agg_16_cluster_bootstrap", lambda s, d: L.cluster_bootstrap(labelled(s, d), ["security_id", "as_of"], "y_touch"),
-    query(f"SELECT (SELECT round(avg(y_touch), 6) FROM lbl) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(least(1, 2 * least(avg((m <= 0.5)::INT), avg((m >= 0.5)::INT))), 6) AS p FROM (SELECT b, sum(w * s)::DOUBLE / sum(w * n) AS m FROM (SELECT *, (u >= 0.36787944)::INT + (u >= 0.73575888)::INT + (u >= 0.9196986)::INT + (u >= 0.98101184)::INT + (u >= 0.99634015)::INT + (u >= 0.99940582)::INT AS w FROM (SELECT *, {_u} AS u FROM (SELECT security_id, as_of, sum(y_touch) AS s, count(y_touch) AS n FROM lbl GROUP BY ALL) CROSS JOIN (SELECT unnest(range(1, 2001)) AS b))) GROUP BY b)", "zones", extra=ALL),
+    query(
+        f"""SELECT (SELECT round(avg(y_touch), 6) FROM lbl) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high,
+        round(least(1, 2 * least(avg((m <= 0.5)::INT), avg((m >= 0.5)::INT))), 6) AS p FROM (
+          SELECT b, sum(w * s)::DOUBLE / sum(w * n) AS m FROM (SELECT *, {_weight} AS w FROM (
+            SELECT *, {_mixed(f"xor({_start}, {_mixed('b')})")} AS x FROM (SELECT security_id, as_of, sum(y_touch) AS s, count(y_touch) AS n FROM lbl GROUP BY ALL)
+            CROSS JOIN (SELECT unnest(range(1, 2001)) AS b))) GROUP BY b)""", "zones", extra=ALL,
+    ),
 )
 register(
     "agg_17_fdr", lambda s, d: L.fdr(preds(s, d).select("security_id", F.concat("zone_id", F.lit("@"), F.col("as_of").cast("string")).alias("id"), F.round("p", 9).alias("p")), "p", "security_id").select("security_id", "id", "q"),

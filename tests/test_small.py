@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions.ladder import ladder_steps, rungs_within, short_number
 from terrane.functions.quantiles import quantiles
-from terrane.operators import features, fits, indicators, labels, shapes, spine, touch, trades
+from terrane.operators import features, fits, histories, indicators, labels, profiles, shapes, spine, touch, trades
 from terrane.plans.core import candidates
 from terrane.operators import zones
 
@@ -203,3 +203,104 @@ def test_one_trade_at_a_time_by_hand(spark):
     t = spark.createDataFrame([(1, DAY + datetime.timedelta(k), z, k, f, x) for z, k, f, x in rows] + [(2, DAY, "g", 0, 2, 2), (2, DAY, "h", 0, 3, 3), (2, DAY, "u", 0, None, None)], "security_id long, as_of date, zone_id string, k long, t_fill long, t_exit long")
     got = sorted((r.security_id, r.zone_id) for r in trades.one_at_a_time(t).collect())
     assert got == [(1, "a"), (1, "c"), (1, "f"), (2, "g"), (2, "h")]  # c is open to 5, so e waits, and f is the next
+
+
+def _bca(rows, times=2000, level=0.95):
+    """mean, low, high of (cluster, y) rows, in plain Python with the library's draws."""
+    import hashlib
+
+    by = {}
+    for c, y in rows:
+        if y is not None:
+            s, n = by.get(c, (0.0, 0))
+            by[c] = (s + y, n + 1)
+    mix = lambda x: int(touch.mixed(np.array([x], dtype=np.int64))[0])
+    start = {c: int(hashlib.md5(f"0|{c}".encode()).hexdigest()[:8], 16) % 2**31 for c in by}
+    ts, tn = sum(s for s, _ in by.values()), sum(n for _, n in by.values())
+    means = []
+    for b in range(1, times + 1):
+        w = {c: sum(mix(start[c] ^ mix(b)) >= x for x in labels.POISSON) for c in by}
+        means.append(sum(w[c] * by[c][0] for c in by) / sum(w[c] * by[c][1] for c in by))
+    mean, normal = ts / tn, statistics.NormalDist()
+    under = sum(1.0 if m < mean else 0.5 if m == mean else 0.0 for m in means) / times
+    left = [(ts - s) / (tn - n) for s, n in by.values()]
+    centre = sum(left) / len(left)
+    a = sum((centre - x) ** 3 for x in left) / (6 * sum((centre - x) ** 2 for x in left) ** 1.5)
+    z0 = normal.inv_cdf(under)
+    at = [normal.cdf(z0 + (z0 + normal.inv_cdf(q)) / (1 - a * (z0 + normal.inv_cdf(q)))) for q in ((1 - level) / 2, (1 + level) / 2)]
+    return (mean, *(float(np.quantile(means, q)) for q in at))
+
+
+def test_bca_interval_against_plain(spark):
+    r = np.random.default_rng(4)
+    rows = [(g, f"c{r.integers(25)}", None if r.random() < 0.05 else float(r.exponential() if g == "a" else r.integers(2))) for g in ("a", "b", None) for _ in range(200)]
+    df = spark.createDataFrame(rows, "g string, c string, y double").repartition(3)
+    for by in ([], ["g"]):
+        got = {x.g if by else "all": (x.mean, x.low, x.high) for x in labels.bca_interval(df, ["c"], "y", by, times=300).collect()}
+        for g in (("a", "b", None) if by else ("all",)):
+            want = _bca([(c, y) for h, c, y in rows if not by or h == g], 300)
+            assert got[g] == pytest.approx(want, rel=1e-9) and want[1] < want[0] < want[2]
+    one = labels.bca_interval(spark.createDataFrame([("c", 1.0), ("c", 0.0)], "c string, y double"), ["c"], "y").first()
+    assert (one.mean, one.low, one.high, one.clusters) == (0.5, 0.5, 0.5, 1)
+    assert labels.bca_interval(df.where("false"), ["c"], "y", ["g"]).count() == 0
+
+
+def _zone_rows(spark, rows):
+    """Zones of one security: (week, zone, side, center, sources)."""
+    made = [(1, DAY + datetime.timedelta(7 * w), z, side, c, 1.0, src) for w, z, side, c, src in rows]
+    return spark.createDataFrame(made, "security_id long, as_of date, zone_id string, side string, center double, atr double, sources string")
+
+
+def test_history_of_a_zone_that_moved_twice(spark):
+    """Weeks 0, 1, 3, 4 of one zone under changing names; another zone in between; a split into two."""
+    z = _zone_rows(spark, [(0, "a", "support", 10.0, "x,y"), (1, "b", "support", 10.2, "x"), (1, "q", "support", 12.0, "x"), (3, "c", "support", 10.4, "x,z"), (4, "d", "support", 10.5, "z"), (4, "e", "support", 10.3, "x"), (30, "f", "support", 10.5, "z")])
+    links = labels.match_zones(z)
+    got = {(r.as_of, r.zone_id): (r.root_as_of, r.root_zone) for r in histories.chains(z, links).collect()}
+    week = lambda n: DAY + datetime.timedelta(7 * n)
+    root = (week(0), "a")
+    assert got == {(week(0), "a"): root, (week(1), "b"): root, (week(3), "c"): root, (week(4), "d"): root, (week(4), "e"): root, (week(1), "q"): (week(1), "q"), (week(30), "f"): (week(30), "f")}
+    outcome = {"a": (1, 1, 0, 0.9), "b": (0, None, None, None), "c": (1, 0, 1, 0.1), "d": (1, 1, 0, 2.0), "e": (0, None, None, None), "q": (1, 1, 0, 1.0), "f": (0, None, None, None)}
+    lab = spark.createDataFrame([(1, r.as_of, r.zone_id, *outcome[r.zone_id][:3], datetime.datetime.combine(r.as_of, datetime.time(20)) + datetime.timedelta(30 if r.zone_id == "c" else 5)) for r in z.collect()], "security_id long, as_of date, zone_id string, y_touch long, y_hold long, y_break long, available_at timestamp")
+    re_ = spark.createDataFrame([(1, r.as_of, r.zone_id, outcome[r.zone_id][3]) for r in z.collect() if outcome[r.zone_id][3] is not None], "security_id long, as_of date, zone_id string, reaction double")
+    h = {(r.as_of, r.zone_id): r for r in histories.chain_history(histories.chains(z, links), lab, re_).collect()}
+    assert [h[week(0), "a"][c] for c in ("weeks", "touches", "state", "last_touch_age", "hold_ratio")] == [0, 0, "UNTESTED", None, None]
+    c = h[week(3), "c"]
+    assert (c.weeks, c.touches, c.holds, c.breaks, c.age, c.last_touch_age, c.touch_gap, c.state, c.reaction_mean) == (2, 1, 1, 0, 21, 21, None, "CONFIRMED", 0.9)
+    d = h[week(4), "d"]  # the outcome of c is known only after that week
+    assert (d.weeks, d.touches, d.breaks, d.age, d.state) == (2, 1, 0, 28, "CONFIRMED") and d.decay63 == pytest.approx(math.exp(-28 / 63))
+
+
+def test_chains_of_many_weeks(spark):
+    z = _zone_rows(spark, [(w, f"z{w}", "support", 10.0, "x") for w in range(70)])
+    got = {r.root_zone for r in histories.chains(z, labels.match_zones(z)).collect()}
+    assert got == {"z0"}
+
+
+def test_turning_points_count_once(spark):
+    """Two dates see the point at session 13; a zone of the earlier one holds it. The point at 30 lies in no horizon."""
+    dates = spark.createDataFrame([(1, DAY, 10), (1, DAY + datetime.timedelta(2), 12), (2, DAY, 10)], "security_id long, as_of date, k long")
+    z = spark.createDataFrame([(1, 10, "resistance", 99.0, 100.0, 2.0), (1, 12, "support", 99.0, 100.0, 2.0), (2, 10, "support", 1.0, 900.0, 2.0)], "security_id long, k long, side string, lower double, upper double, atr double")
+    points = spark.createDataFrame([(1, 13, "high", 100.4), (1, 13, "low", 98.4), (1, 14, "high", 100.6), (1, 30, "high", 99.5), (2, 11, "low", 50.0), (2, 11, "high", 50.0)], "security_id long, t long, side string, level double")
+    got = {(r.security_id, r.t, r.side): (r.as_of, r.hit) for r in histories.captured(points, z, dates).collect()}
+    later = DAY + datetime.timedelta(2)
+    assert got == {(1, 13, "high"): (later, 1), (1, 13, "low"): (later, 0), (1, 14, "high"): (later, 0), (2, 11, "low"): (DAY, 1), (2, 11, "high"): (DAY, 0)}
+    table = {(r.security_id, r.regime): (r.points, r.hits) for r in histories.recall(histories.captured(points, z, dates), spark.createDataFrame([(DAY, "bull")], "as_of date, regime string")).collect()}
+    assert table[None, None] == (5, 2) and table[1, "none"] == (3, 1) and table[None, "bull"] == (2, 1)
+
+
+def test_trailing_profiles_by_hand(spark):
+    """Ten sessions at 10 to 11 with volume 8, then ten at 12 without a range; dates at sessions 9 to 19; bins of 0.5."""
+    day = lambda k: datetime.date(2026, 1, 1) + datetime.timedelta(k)
+    bars = spark.createDataFrame([(1, k, 10.0, 11.0, 8.0) if k < 10 else (1, k, 12.0, 12.0, 3.0) for k in range(20)] + [(2, 0, 5.0, 5.0, 0.0)], "security_id long, k long, low double, high double, volume double")
+    state = spark.createDataFrame([(1, day(k), k, 5.0) for k in range(9, 20)] + [(1, day(100), 18, 5.0), (2, day(0), 0, 5.0), (1, day(8), 8, None)], "security_id long, as_of date, k long, atr double")
+    got = {}
+    for r in profiles.trailing_profile(bars, state, (5, 10)).collect():
+        got.setdefault((r.as_of, r.window), {})[r.bin] = r.volume
+    for k, d in [(k, day(k)) for k in range(9, 20)] + [(18, day(100))]:
+        for n in (5, 10):
+            old, new = sum(k - n < j < 10 for j in range(k + 1)), sum(k - n < j and j >= 10 for j in range(k + 1))
+            want = ({20: 4.0 * old, 21: 4.0 * old} if old else {}) | ({24: 3.0 * new} if new else {})
+            assert {b: v for b, v in got[d, n].items() if v} == want
+    levels_ = {(r.as_of, r.window): (r.poc, r.val, r.vah, r.total) for r in profiles.trailing_levels(profiles.trailing_profile(bars, state, (5, 10))).collect()}
+    assert levels_[day(9), 10] == (10.25, 10.0, 11.0, 80.0) and levels_[day(19), 10] == (12.25, 12.0, 12.5, 30.0)
+    assert levels_[day(12), 10] == (10.25, 10.0, 11.0, 65.0)
