@@ -32,7 +32,7 @@ LEAST, WORDS, TOP = 30, 4, 2000
 #: A candidate goes if a longer one that holds it has COVER percent of its occurrences.
 COVER = 80
 #: Words that a task counts before it passes them on; bytes that are looked at once.
-BLOCK, SECTION = 3_000_000, 1 << 21
+BLOCK, SECTION = 500_000, 1 << 19
 #: Bytes of text to a bucket of the shuffle, fewest buckets, and most bits of a bitmap of frequent fingerprints (64 MB).
 BUCKET_BYTES, BUCKETS, BITMAP = 32 << 20, 2048, 1 << 29
 
@@ -233,7 +233,7 @@ def frequent(docs: DataFrame, sizes: tuple[int, ...], log: int, least: int, know
 
     whole = np.zeros(1 << (width - 3), np.uint8)
     share = 1 << (width - log - 3)
-    for row in common.arrow_pass(found.select("bucket", "prints"), {"bucket": "long", "bits": "binary"}, bits).toLocalIterator():  # at most BITMAP bits in all
+    for row in common.arrow_pass(found.select("bucket", "prints"), {"bucket": "long", "bits": "binary"}, bits).collect():  # at most BITMAP bits in all
         whole[row.bucket * share : (row.bucket + 1) * share] = np.frombuffer(bytes(row.bits), np.uint8)
     return Frequent(whole, width)
 
@@ -309,8 +309,8 @@ def counted(docs: DataFrame, often: dict[int, object], least: int = LEAST) -> Da
         text = [w.decode("utf-8", "surrogatepass") for w in words.number]
         for (lang, n), found in grams.items():
             rows, times = _distinct(found)
-            for at in range(0, len(rows), 50_000):
-                phrases = [" ".join([text[i] for i in r]) for r in rows[at : at + 50_000].tolist()]
+            for at in range(0, len(rows), 20_000):
+                phrases = [" ".join([text[i] for i in r]) for r in rows[at : at + 20_000].tolist()]
                 k = len(phrases)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * k, pa.string()), pa.array(phrases, pa.string()), pa.array([n] * k, pa.int64()), pa.array(times[at : at + k], pa.int64())], ["lang", "phrase", "words", "f"])
 

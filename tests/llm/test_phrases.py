@@ -48,7 +48,7 @@ def corpus(seed=3, n=120):
     return rows + [(None, "en"), ("", None), (" .,", "de"), *rows[:7]]
 
 
-@pytest.mark.parametrize("section,block", [(1 << 21, 3_000_000), (64, 200)])
+@pytest.mark.parametrize("section,block", [(1 << 19, 500_000), (64, 200)])
 def test_like_brute_force(spark, monkeypatch, section, block):
     rows = corpus()
     monkeypatch.setattr(phrases, "SECTION", section)
