@@ -99,13 +99,17 @@ register("agg_27_deflated_sharpe", _deflated)
 FEATURES = ["distance", "width_atr", "n_sources", "n_families", "sigma20", "drawdown"]
 
 
-def _modelled(s, d):
+def _features(s, d):
+    """Zones with y_touch and the features of a model."""
     series, _, found = zones_and_state(s, d)
     y = LB.L.barrier_labels(LB.zoned(s, d)[1], series).select("security_id", "as_of", "zone_id", "y_touch")
     facts = S.momentum(S.volatility(bars(s, d))).select("security_id", F.col("session").alias("as_of"), "sigma20", "drawdown")
     rows = found.join(y, ["security_id", "as_of", "zone_id"], "left").join(facts, ["security_id", "as_of"], "left")
-    rows = rows.select("security_id", "as_of", "zone_id", "y_touch", F.abs("distance_atr").alias("distance"), "width_atr", "n_sources", "n_families", "sigma20", "drawdown")
-    return T.outcome_models(rows, FEATURES, "y_touch", "year(as_of) < 1997").select("security_id", "as_of", "zone_id", "y_touch", "p_linear", "p_trees", "p")
+    return rows.select("security_id", "as_of", "zone_id", "y_touch", F.abs("distance_atr").alias("distance"), "width_atr", "n_sources", "n_families", "sigma20", "drawdown")
+
+
+def _modelled(s, d):
+    return T.outcome_models(_features(s, d), FEATURES, "y_touch", "year(as_of) < 1997").select("security_id", "as_of", "zone_id", "y_touch", "p_linear", "p_trees", "p")
 
 
 register("cmp_8_models", _modelled)

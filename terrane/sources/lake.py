@@ -51,6 +51,28 @@ def read_trials(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, column: str, lower: str, upper: str, partitions: int, **options: str) -> DataFrame:
-    """A SQL table, read in ranges of ``column``; single-precision columns become double."""
-    df = spark.read.jdbc(url, table, column=column, lowerBound=lower, upperBound=upper, numPartitions=partitions, properties=options)
+    """A SQL table, read in ranges of ``column`` (a number, date or timestamp, as are the bounds); single-precision columns become double."""
+    bounds = {"partitionColumn": column, "lowerBound": lower, "upperBound": upper, "numPartitions": str(partitions)}
+    df = spark.read.format("jdbc").options(url=url, dbtable=table, **bounds, **options).load()
     return df.select(*(F.col(c).cast("double").alias(c) if t == "float" else F.col(c) for c, t in df.dtypes))
+
+
+def pull_jdbc(spark: SparkSession, url: str, table: str, column: str, partitions: int, after: str | None = None, **options: str) -> DataFrame | None:
+    """The rows of a SQL table whose ``column`` (a number, date or timestamp) is above ``after`` (a SQL literal; all rows without it), read in ``partitions`` ranges between the bounds that the
+    database itself reports for them; null keys come with the first range. A pull is resumed with the largest key of the one before, and asks the database for new keys alone.
+    None if there are none."""
+    source = table if after is None else f"(SELECT * FROM {table} WHERE {column} > {after}) new_rows"
+    bounds = spark.read.jdbc(url, f"(SELECT MIN({column}) AS lo, MAX({column}) AS hi FROM {source.replace(' new_rows', ' old_rows')}) bounds", properties=options).first()
+    low, high = bounds[0], bounds[1]
+    if low is None:
+        return None if after is not None else read_whole(spark, url, table, options)
+    if low == high:
+        return read_whole(spark, url, source, options)
+    return read_jdbc(spark, url, source, column, str(low), str(high), partitions, **options)
+
+
+def read_whole(spark: SparkSession, url: str, source: str, options: dict[str, str]) -> DataFrame | None:
+    """A SQL table in one range: its keys are all the same or null. None if it is empty."""
+    df = spark.read.jdbc(url, source, properties=options)
+    df = df.select(*(F.col(c).cast("double").alias(c) if t == "float" else F.col(c) for c, t in df.dtypes))
+    return df if df.limit(1).count() else None

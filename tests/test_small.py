@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions.ladder import ladder_steps, rungs_within, short_number
 from terrane.functions.quantiles import quantiles
-from terrane.operators import features, fits, histories, indicators, labels, profiles, shapes, spine, touch, trades
+from terrane.operators import evidence, features, fits, histories, indicators, labels, membership, profiles, shapes, spine, survival, touch, trades
 from terrane.plans.core import candidates
 from terrane.operators import zones
 
@@ -304,3 +304,42 @@ def test_trailing_profiles_by_hand(spark):
     levels_ = {(r.as_of, r.window): (r.poc, r.val, r.vah, r.total) for r in profiles.trailing_levels(profiles.trailing_profile(bars, state, (5, 10))).collect()}
     assert levels_[day(9), 10] == (10.25, 10.0, 11.0, 80.0) and levels_[day(19), 10] == (12.25, 12.0, 12.5, 30.0)
     assert levels_[day(12), 10] == (10.25, 10.0, 11.0, 65.0)
+
+
+def test_overlaps_by_hand(spark):
+    d = lambda m: datetime.date(2026, m, 1)
+    rows = [("A", 1, d(1), d(4)), ("B", 1, d(4), d(6)), ("A", 2, d(1), d(4)), ("A", 2, d(3), d(7)), ("B", 2, d(2), d(5)), ("C", 2, d(4), None), ("B", 3, d(1), d(1)), ("A", 3, d(1), None), ("B", 3, d(2), None)]
+    m = spark.createDataFrame(rows, "index_id string, security_id long, start date, end date")
+    got = sorted((r.security_id, r.start, r.end, r.indices) for r in membership.overlaps(m).collect())
+    assert got == [(2, d(2), d(4), 2), (2, d(4), d(5), 3), (2, d(5), d(7), 2), (3, d(2), None, 2)]  # touching is no overlap, and a spell twice is one
+    days = {(r.security_id, r.index_a, r.index_b): r.days for r in membership.shared_time(m, F.lit(d(3))).collect()}
+    assert days == {(2, "A", "B"): 28, (2, "A", "C"): 0, (2, "B", "C"): 0, (3, "A", "B"): 28}
+
+
+def test_time_to_break_by_counts(spark):
+    """Person-periods by hand, and a model without a say of features that comes near the counted hazards."""
+    lab = [(1, DAY, f"z{i}", 1, b, t, k, False) for i, (b, t, k) in enumerate([(1, 1, 1), (1, 1, 3), (0, 2, None), (1, 4, 5), (0, 5, None)] * 60)] + [(1, DAY, "gap", 1, 0, 1, None, True), (1, DAY, "none", 0, None, None, None, False)]
+    rows = spark.createDataFrame(lab, "security_id long, as_of date, zone_id string, y_touch long, y_break long, t_touch long, t_break long, label_gap boolean").withColumn("x", F.rand(3))
+    table = {r.step: r for r in survival.hazard_table(survival.person_periods(rows), ["security_id"]).collect()}
+    counts = {1: (300, 60), 2: (180, 60), 3: (120, 60), 4: (60, 0)}
+    assert {k: (r.at_risk, r.breaks) for k, r in table.items()} == counts
+    assert table[3].survival == pytest.approx(0.8 * (2 / 3) * 0.5) and table[4].survival == table[3].survival and table[2].p_break == pytest.approx(0.8 / 3)
+    got = survival.time_to_break(rows, ["x"], "true").where("zone_id = 'z0'").orderBy("step").collect()
+    assert all(a.p_survival > b.p_survival for a, b in zip(got, got[1:])) and got[0].t_break_q50 == 3
+    assert [g.p_hazard for g in got[:3]] == pytest.approx([0.2, 1 / 3, 0.5], abs=0.08)
+
+
+def test_sections_and_evidence_by_hand(spark):
+    text = "intro\n# One\nalpha beta\n# Two\ngamma " + "x" * 30
+    docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "# Only"), (5, "\n\n")], "doc_id long, text string")
+    found = evidence.sections(docs, "# ", r"# \w+")
+    got = sorted((r.doc_id, r.section, r["name"], r.start, r.text) for r in found.collect())
+    assert got == [(1, 0, "", 0, "intro\n"), (1, 1, "# One", 6, "# One\nalpha beta\n"), (1, 2, "# Two", 23, "# Two\ngamma " + "x" * 30), (4, 0, "# Only", 0, "# Only"), (5, 0, "", 0, "\n\n")]
+    c = evidence.section_chunks(found, 20)
+    assert [(r.start, r.text) for r in c.where("doc_id = 1 and section = 2").orderBy("chunk").collect()] == [(23, text[23:43]), (43, text[43:63]), (63, text[63:])]
+    rows = [(1, 1, 0, "risk", 0.5, 0.5, "alpha", None), (1, 2, 1, "risk", 0.5, 0.5, "xx", None), (1, 1, 0, "risk", 0.5, 0.5, "gamma", "evidence"), (1, 1, 0, "risk", 0.5, 0.5, "", "evidence"), (1, 1, 0, "risk", 0.5, 0.5, None, "evidence"), (1, 1, 0, "risk", 1.5, 0.5, "alpha", "value"), (1, 1, 0, "risk", None, 0.5, "alpha", "value"), (1, 1, 0, "risk", 0.5, 2.0, "alpha", "confidence"), (1, 1, 0, "mood", 0.5, 0.5, "alpha", "unknown feature"), (1, 1, 9, "risk", 0.5, 0.5, "alpha", "no chunk")]
+    asked = spark.createDataFrame([(*r[:7],) for r in rows], "doc_id long, section long, chunk long, feature string, value double, confidence double, evidence string")
+    ranges = spark.createDataFrame([("risk", 0.0, 1.0)], "feature string, low double, high double")
+    told = evidence.checked(asked, c, ranges).collect()
+    assert sorted((str(r.evidence), str(r.value), str(r.feature), r.chunk, str(r.confidence), str(r.reason)) for r in told) == sorted((str(r[6]), str(r[4]), r[3], r[2], str(r[5]), str(r[7])) for r in rows)
+    assert all((text[r.start : r.end] == r.evidence) if r.reason is None else r.start is None for r in told)

@@ -139,3 +139,26 @@ def test_late_rows_are_counted(spark, tmp_path):
     q = stream.bars(live, "1 hour").writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert stream.too_late(q) == 1 and t(2) not in {r.start for r in spark.sql("select * from late").collect()}
+
+
+def test_paged_pull_of_a_sql_table(spark):
+    """Written to an embedded database, pulled in four ranges by number and by date, and resumed with new keys alone."""
+    import datetime
+
+    from pyspark.sql import functions as F
+
+    url, driver = "jdbc:derby:memory:bars;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    rows = spark.range(1000).select(F.expr("nullif(id + 1, -1)").alias("ID"), F.expr("nullif(date_add(DATE '2026-01-01', CAST(id % 90 AS INT)), DATE '1900-01-01')").alias("DAY_"), (F.col("id") / 8).cast("float").alias("PX"))
+    rows.write.jdbc(url, "BARS", mode="overwrite", properties={"driver": driver})
+    want = sorted(tuple(r) for r in rows.select("ID", "DAY_", F.col("PX").cast("double")).collect())
+    for column in ("ID", "DAY_"):
+        got = lake.pull_jdbc(spark, url, "BARS", column, 4, driver=driver)
+        sizes = got.rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect()
+        assert sorted(tuple(r) for r in got.collect()) == want and dict(got.dtypes)["PX"] == "double" and len(sizes) == 4 and min(sizes) > 150
+    last = got.agg(F.max("ID")).first()[0]
+    assert lake.pull_jdbc(spark, url, "BARS", "ID", 4, after=str(last), driver=driver) is None
+    spark.createDataFrame([(1001, datetime.date(2026, 5, 1), 1.5), (1002, datetime.date(2026, 5, 1), 2.5), (1003, datetime.date(2026, 5, 2), 3.5)], "ID long, DAY_ date, PX float").write.jdbc(url, "BARS", mode="append", properties={"driver": driver})
+    assert sorted(r.ID for r in lake.pull_jdbc(spark, url, "BARS", "ID", 2, after=str(last), driver=driver).collect()) == [1001, 1002, 1003]
+    assert sorted(r.ID for r in lake.pull_jdbc(spark, url, "BARS", "DAY_", 2, after="DATE('2026-05-01')", driver=driver).collect()) == [1003]
+    spark.createDataFrame([(None, None, 9.0)], "ID long, DAY_ date, PX float").write.jdbc(url, "BARS", mode="append", properties={"driver": driver})
+    assert lake.pull_jdbc(spark, url, "BARS", "ID", 4, driver=driver).count() == 1004
