@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..streaming import bars as S
+from ..streaming import approach as AP
 from ..streaming import states as T
 from . import features as FQ
 from .core import rounded
@@ -43,6 +44,33 @@ register("str_4_touches", _alerts, f"SELECT DISTINCT z.key, z.zone_id FROM event
 register("str_5_zone_states", lambda s, d: T.run_once(_touches(s, d), T.zone_states).where("n is not null"), FQ.ORACLE["cmp_5_zone_states"])
 
 
+_SENTINEL = "TIMESTAMP '2025-01-01 00:00:00'"
+
+
+def _approaches(s, d):
+    """Events as closed sessions of their user's zone; a row of another zone at the end moves the watermark past all that is due."""
+    e = s.read.parquet(f"{d}/events.parquet")
+    rows = e.select(F.col("user_id").cast("long").alias("zone"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("long").alias("n"), (F.col("value") / 10).cast("double").alias("distance"))
+    last = s.sql(f"SELECT -1L AS zone, {_SENTINEL} AS ts, 0L AS n, 0.0D AS distance")
+    before = s.conf.get("spark.sql.streaming.stateStore.providerClass")
+    s.conf.set("spark.sql.streaming.stateStore.providerClass", AP.PROVIDER)
+    try:
+        return T.run_once(rows.unionByName(last), AP.approaches, 3).where("zone >= 0")
+    finally:
+        s.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+register(
+    "str_5_approaches", _approaches,
+    f"""WITH r AS (SELECT user_id::BIGINT AS zone, ts, event_id AS n, abs(value / 10) <= 1 AS near FROM events),
+    v AS (SELECT *, sum(near::INT) OVER (PARTITION BY zone ORDER BY ts, n ROWS UNBOUNDED PRECEDING) AS visit FROM r),
+    f AS (SELECT *, sum((NOT near)::INT) OVER (PARTITION BY zone, visit ORDER BY ts, n ROWS UNBOUNDED PRECEDING) AS far FROM v),
+    g AS (SELECT *, lag(far) OVER (PARTITION BY zone ORDER BY ts, n) AS before FROM f)
+    SELECT zone, ts, CASE WHEN near THEN 'APPROACHING' ELSE 'UNTESTED' END AS state FROM g WHERE CASE WHEN near THEN visit = 1 OR before >= 5 ELSE visit > 0 AND far = 5 END
+    UNION ALL SELECT zone, max(ts) + INTERVAL 84 DAY, 'RETIRED' FROM r GROUP BY zone""",
+)
+
+
 def _restated(s, d):
     """The day's bars of all ticks, streamed against bars of which every close of a click differs and those of errors are not known."""
     bars = S.bars(ticks(s, d)).select("key", F.col("start").alias("ts"), "start", "close")

@@ -162,3 +162,50 @@ def test_paged_pull_of_a_sql_table(spark):
     assert sorted(r.ID for r in lake.pull_jdbc(spark, url, "BARS", "DAY_", 2, after="DATE('2026-05-01')", driver=driver).collect()) == [1003]
     spark.createDataFrame([(None, None, 9.0)], "ID long, DAY_ date, PX float").write.jdbc(url, "BARS", mode="append", properties={"driver": driver})
     assert lake.pull_jdbc(spark, url, "BARS", "ID", 4, driver=driver).count() == 1004
+
+
+def test_approaches_of_late_and_missing_sessions(spark):
+    """The stream, fed out of order and with gaps, equals the table; zones retire by gap and at the end."""
+    import datetime
+
+    from terrane.streaming import approach
+
+    r = random.Random(5)
+    start = datetime.datetime(2026, 1, 1)
+    rows = []
+    for zone in range(8):
+        day = 0
+        for n in range(60):
+            day += r.choice([1, 1, 1, 2, 5] + ([90] if zone > 5 and n == 30 else []))
+            rows.append((zone, start + datetime.timedelta(days=day, hours=r.randint(0, 23)), n, r.choice([0.2, 1.0, -0.5, 1.5, -3.0, 2.0, 2.0, 2.0])))
+    rows.append((9, start, 0, 9.0))
+    end = (99, datetime.datetime(2030, 1, 1), 0, 0.0)
+    late = "3 days"
+    shuffled = sorted(rows, key=lambda x: x[1] + datetime.timedelta(hours=r.randint(0, 70)))
+    schema = "zone long, ts timestamp, n long, distance double"
+    folder = states.shared_folder(spark)
+    for part in (*(shuffled[i : i + 60] for i in range(0, len(shuffled), 60)), [end]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        time.sleep(1.1)  # files are taken in the order of their time
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", approach.PROVIDER)
+    try:
+        live = approach.approaches(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), late)
+        live.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    got = sorted((x.zone, x.ts, x.state) for x in spark.read.parquet(f"{folder}/out").where("zone < 99").collect())
+    table = approach.approach_table(spark.createDataFrame(rows, schema), F.lit("2029-12-29").cast("timestamp"))
+    want = sorted((x.zone, x.ts, x.state) for x in table.collect())
+    assert got == want and sum(s == "RETIRED" for _, _, s in got) == 9 and sum(s == "UNTESTED" for _, _, s in got) > 3
+    plain = []
+    for zone in range(8):
+        state, out, last = "UNTESTED", 0, None
+        for _, ts, _, distance in sorted(x for x in rows if x[0] == zone):
+            if last and ts - last > datetime.timedelta(84):
+                break
+            last = ts
+            state, out, changed = approach.moved(state, out, distance)
+            plain += [(zone, ts, state)] if changed else []
+        plain.append((zone, last + datetime.timedelta(84), "RETIRED"))
+    assert got == sorted([*plain, (9, start + datetime.timedelta(84), "RETIRED")])
