@@ -55,7 +55,7 @@ def _approaches(s, d):
     before = s.conf.get("spark.sql.streaming.stateStore.providerClass")
     s.conf.set("spark.sql.streaming.stateStore.providerClass", AP.PROVIDER)
     try:
-        return T.run_once(rows.unionByName(last), AP.approaches, 3).where("zone >= 0")
+        return T.run_once(rows.unionByName(last), AP.approaches).where("zone >= 0")
     finally:
         s.conf.set("spark.sql.streaming.stateStore.providerClass", before)
 

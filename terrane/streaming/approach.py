@@ -15,16 +15,17 @@ from ..operators.features import UNMATCHED
 OUT = "zone long, ts timestamp, state string"
 #: How near is near, in ATRs, and the closed sessions outside after which a zone counts as untested again.
 NEAR, OUTSIDE = 1.0, 5
-_DAY = 86_400_000
+#: A day in microseconds, as times are kept; timers and watermarks have milliseconds.
+_DAY = 86_400_000_000
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _ms(ts) -> int:
-    return int(pd.Timestamp(ts).tz_localize("UTC").value // 1_000_000) if pd.Timestamp(ts).tzinfo is None else int(pd.Timestamp(ts).value // 1_000_000)
+def _micros(ts) -> int:
+    return pd.Timestamp(ts).value // 1000
 
 
-def _ts(ms: int) -> datetime.datetime:
-    return datetime.datetime(1970, 1, 1) + datetime.timedelta(milliseconds=ms)
+def _ts(micros: int) -> datetime.datetime:
+    return datetime.datetime(1970, 1, 1) + datetime.timedelta(microseconds=micros)
 
 
 class Approach(StatefulProcessor):
@@ -34,34 +35,34 @@ class Approach(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.kept = handle.getValueState("kept", "state string, outside long, last long")
-        self.waiting = handle.getListState("waiting", "ms long, n long, distance double")
+        self.waiting = handle.getListState("waiting", "at long, n long, distance double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         times = set()
         for pdf in rows:
             for ts, n, distance in zip(pdf["ts"], pdf["n"], pdf["distance"], strict=True):
-                self.waiting.appendValue((_ms(ts), int(n), float(distance)))
-                times.add(_ms(ts))
+                self.waiting.appendValue((_micros(ts), int(n), float(distance)))
+                times.add(_micros(ts) // 1000 + 1)
         for ms in times:
             self.handle.registerTimer(max(ms, timerValues.getCurrentWatermarkInMs() + 1))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
+        now = timerValues.getCurrentWatermarkInMs() * 1000
         waiting = sorted(self.waiting.get()) if self.waiting.exists() else []
         due = [x for x in waiting if x[0] <= now]
         state, outside, last = self.kept.get() if self.kept.exists() else ("UNTESTED", 0, None)
         out = []
-        for ms, _, distance in due:
-            if state != "RETIRED" and last is not None and ms - last > UNMATCHED * _DAY:
+        for at, _, distance in due:
+            if state != "RETIRED" and last is not None and at - last > UNMATCHED * _DAY:
                 state = "RETIRED"
                 out.append((_ts(last + UNMATCHED * _DAY), state))
             if state == "RETIRED":
                 continue
-            last = ms
+            last = at
             state, outside, changed = moved(state, outside, distance)
             if changed:
-                out.append((_ts(ms), state))
+                out.append((_ts(at), state))
         if len(due) < len(waiting):
             self.waiting.put([x for x in waiting if x[0] > now])
         elif waiting:
@@ -72,7 +73,7 @@ class Approach(StatefulProcessor):
                 state = "RETIRED"
                 out.append((_ts(over), state))
             elif due:
-                self.handle.registerTimer(over)
+                self.handle.registerTimer(over // 1000 + 1)
         if last is not None:
             self.kept.update((state, outside, last))
         if out:
