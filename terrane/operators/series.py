@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .indicators import by_session, frame, smoothed
+from .search import first_hit
 
 
 def resample(bars: DataFrame, period: str) -> DataFrame:
@@ -33,20 +34,15 @@ def prior_extremes(bars: DataFrame, periods: tuple[str, ...] = ("week", "month",
     return out.withColumns({"high_252": F.max("high").over(frame(252)), "low_252": F.min("low").over(frame(252)), "high_ytd": F.max("high").over(ytd), "low_ytd": F.min("low").over(ytd)})
 
 
-def gaps(bars: DataFrame, block: int = 64) -> DataFrame:
-    """security_id, session, kind, edge, filled_at: gap edges, and the first later session that trades back to the edge (null while open).
-    ``bars`` has k. A gap is compared with the extremes of later blocks of ``block`` sessions, and only then with the sessions of its own and of the first
-    block that reaches it."""
+def gaps(bars: DataFrame) -> DataFrame:
+    """security_id, session, kind, edge, filled_at: gap edges, and the first later session that trades back to the edge (null while open). ``bars`` has k."""
     last_high, last_low = F.lag("high").over(by_session()), F.lag("low").over(by_session())
-    g = bars.withColumn("g", F.when(F.col("low") > last_high, F.struct(F.lit("up").alias("kind"), last_high.alias("edge"))).when(F.col("high") < last_low, F.struct(F.lit("down").alias("kind"), last_low.alias("edge"))))
-    found = g.where("g is not null").select("security_id", "session", "k", "g.kind", "g.edge", F.floor(F.col("k") / block).alias("block"))
-    reached = F.when(F.col("kind") == "up", F.col("low") <= F.col("edge")).otherwise(F.col("high") >= F.col("edge"))
-    later = bars.select("security_id", F.floor(F.col("k") / block).alias("at"), F.col("session").alias("later"), F.col("k").alias("later_k"), "high", "low")
-    blocks = later.groupBy("security_id", "at").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    first = found.join(blocks, "security_id").where((F.col("at") > F.col("block")) & reached).groupBy("security_id", "session").agg(F.min("at").alias("at"))
-    first = first.unionByName(found.select("security_id", "session", F.col("block").alias("at")))
-    filled = found.join(first, ["security_id", "session"]).join(later, ["security_id", "at"]).where((F.col("later_k") > F.col("k")) & reached).groupBy("security_id", "session").agg(F.min("later").alias("filled_at"))
-    return found.join(filled, ["security_id", "session"], "left").drop("k", "block")
+    up = F.when(F.col("low") > last_high, F.struct(F.lit("up").alias("kind"), last_high.alias("edge")))
+    g = bars.withColumn("g", up.when(F.col("high") < last_low, F.struct(F.lit("down").alias("kind"), last_low.alias("edge"))))
+    found = g.where("g is not null").select("security_id", "session", F.col("session").alias("id"), "k", "g.kind", "g.edge")
+    reached = F.when(F.col("kind") == "up", F.col("_low") <= F.col("edge")).otherwise(F.col("_high") >= F.col("edge"))
+    filled = first_hit(found.drop("session"), bars, reached).withColumnRenamed("reached_at", "filled_at")
+    return found.join(filled, ["security_id", "id"], "left").drop("id", "k")
 
 
 def bands(ranged: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .indicators import by_session, frame
+from .search import first_hit
 
 #: Retracements of the dominant swing.
 RATIOS = (0.236, 0.382, 0.5, 0.618, 0.786)
@@ -13,17 +14,12 @@ RATIOS = (0.236, 0.382, 0.5, 0.618, 0.786)
 
 def first_outside(rows: DataFrame, bars: DataFrame, low: str, high: str, block: int = 64) -> DataFrame:
     """``rows`` (security_id, session, k, floor, ceiling) with reached_at: the first later session whose ``low`` column is under floor or whose ``high`` column is
-    over ceiling; null while there is none. A row is compared with the extremes of later blocks of ``block`` sessions, and then with the
-    sessions of its own and of the first block that goes outside."""
+    over ceiling; null while there is none."""
+    keys = ["session", "floor", "ceiling"]
+    asked = rows.select("security_id", F.struct(*keys).alias("id"), "k", "floor", "ceiling").distinct()
     outside = (F.col("_low") < F.col("floor")) | (F.col("_high") > F.col("ceiling"))
-    asked = rows.select("security_id", "session", "k", "floor", "ceiling", F.floor(F.col("k") / block).alias("_own"))
-    later = bars.select("security_id", F.floor(F.col("k") / block).alias("_block"), F.col("session").alias("_later"), F.col("k").alias("_k"), F.col(low).alias("_low"), F.col(high).alias("_high"))
-    blocks = later.groupBy("security_id", "_block").agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"))
-    first = asked.join(blocks, "security_id").where((F.col("_block") > F.col("_own")) & outside).groupBy("security_id", "session", "floor", "ceiling").agg(F.min("_block").alias("_block"))
-    both = asked.join(first, ["security_id", "session", "floor", "ceiling"], "left").withColumn("_block", F.explode(F.array_distinct(F.array("_own", F.coalesce("_block", "_own")))))
-    met = both.join(later, ["security_id", "_block"]).where((F.col("_k") > F.col("k")) & outside)
-    found = met.groupBy("security_id", "session", "floor", "ceiling").agg(F.min("_later").alias("reached_at"))
-    return rows.join(found, ["security_id", "session", "floor", "ceiling"], "left")
+    found = first_hit(asked, bars, outside, low, high, block).select("security_id", *(F.col(f"id.{c}").alias(c) for c in keys), "reached_at")
+    return rows.join(found, ["security_id", *keys], "left")
 
 
 def consolidations(ranged: DataFrame, n: int = 10, widest: float = 2.0) -> DataFrame:

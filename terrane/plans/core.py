@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import indicators, levels, pit, touch, zones
 from ..params import DEFAULT
 from ..sources.derived import bars
+from ..sources.staging import stage
 from .sql import query
 
 
@@ -15,9 +16,15 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t in ("int", "smallint") else F.col(c) for c, t in df.dtypes))
 
 
+_RANGED: dict[tuple[str, str], DataFrame] = {}
+
+
 def ranged(spark, d) -> DataFrame:
-    """Bars with ranges. Several branches of a plan read them, so they are kept."""
-    return indicators.wilder_atr(bars(spark, d)).persist()
+    """Bars with ranges. Several branches of a plan and several queries of a session read them, so they are written once, into the shared folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _RANGED:
+        _RANGED[key] = stage(indicators.wilder_atr(bars(spark, d)))
+    return _RANGED[key]
 
 
 def state_of(series: DataFrame) -> DataFrame:
