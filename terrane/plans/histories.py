@@ -68,7 +68,7 @@ CHAINS = {
       UNION ALL SELECT c.security_id, c.as_of, c.zone_id, l.prior_as_of, l.prior_zone FROM cw c JOIN lk l ON l.security_id = c.security_id AND l.as_of = c.back AND l.zone_id = c.back_zone""",
     "ch": "SELECT security_id, as_of, zone_id, min(back) AS root_as_of, arg_min(back_zone, back) AS root_zone FROM cw GROUP BY ALL",
 }
-register("win_21_chains", _chains, query("SELECT security_id, as_of, zone_id, root_as_of, root_zone FROM ch", "zones", extra=CHAINS))
+register("win_21_chains", _chains, query("SELECT security_id, as_of, zone_id, root_as_of, root_zone FROM ch", "zones", extra=CHAINS, once=("lk",)))
 
 
 def chain_history(s, d):
@@ -90,7 +90,7 @@ register(
     query(
         """SELECT security_id, as_of, zone_id, weeks, touches, holds, breaks, round(holds::DOUBLE / nullif(touches, 0), 6) AS hold_ratio, breaks AS flips, age, round(exp(-age / 63), 6) AS decay63,
         round(exp(-age / 252), 6) AS decay252, as_of - last_touch AS last_touch_age, round((last_touch - first_touch) / nullif(touches - 1, 0)::DOUBLE, 6) AS touch_gap, round(reaction_mean, 6) AS reaction_mean,
-        round(reaction_sd, 6) AS reaction_sd, CASE WHEN breaks > 0 THEN 'BROKEN' WHEN holds > 0 THEN 'CONFIRMED' WHEN touches > 0 THEN 'TESTED' ELSE 'UNTESTED' END AS state FROM hi""", "zones", extra=HISTORY,
+        round(reaction_sd, 6) AS reaction_sd, CASE WHEN breaks > 0 THEN 'BROKEN' WHEN holds > 0 THEN 'CONFIRMED' WHEN touches > 0 THEN 'TESTED' ELSE 'UNTESTED' END AS state FROM hi""", "zones", extra=HISTORY, once=("lk", "ev", "ch"),
     ),
 )
 _delta = lambda s, d: LB.preds(s, d).select("security_id", "as_of", F.year("as_of").alias("year"), (F.pow(0.5 - F.col("y"), 2) - F.pow(F.col("p") - F.col("y"), 2)).alias("delta"))

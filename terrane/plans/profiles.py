@@ -40,6 +40,6 @@ register(
     "agg_8_trailing_levels", lambda s, d: P.trailing_levels(trailing(s, d)),
     query(
         """SELECT security_id, as_of, "window"::BIGINT AS "window", round(total / 1000000, 6) AS total, round((poc + 0.5::DOUBLE) * width, 6) AS poc, round(lo * width, 6) AS val, round((hi + 1) * width, 6) AS vah
-        FROM tw QUALIFY row_number() OVER (PARTITION BY security_id, as_of, "window" ORDER BY hi - lo DESC) = 1""", "state", extra=LEVELS,
+        FROM tw QUALIFY row_number() OVER (PARTITION BY security_id, as_of, "window" ORDER BY hi - lo DESC) = 1""", "state", extra=LEVELS, once=("tp",),
     ),
 )

@@ -71,8 +71,8 @@ NEEDS = {
 }
 
 
-def query(select: str, *ctes: str, extra: dict[str, str] | None = None) -> str:
-    """``WITH RECURSIVE`` the named expressions and all that they need, then ``select``."""
+def query(select: str, *ctes: str, extra: dict[str, str] | None = None, once: tuple[str, ...] = ()) -> str:
+    """``WITH RECURSIVE`` the named expressions and all that they need, then ``select``. ``once``: names of ``extra`` that a recursion reads, to be computed once."""
     order: list[str] = []
 
     def add(name: str) -> None:
@@ -83,5 +83,5 @@ def query(select: str, *ctes: str, extra: dict[str, str] | None = None) -> str:
 
     for name in ctes:
         add(name)
-    parts = [f"{n} AS ({CTES[n]})" for n in order] + [f"{k} AS ({v})" for k, v in (extra or {}).items()]
+    parts = [f"{n} AS ({CTES[n]})" for n in order] + [f"{k} AS {'MATERIALIZED ' * (k in once)}({v})" for k, v in (extra or {}).items()]
     return f"WITH RECURSIVE {', '.join(parts)} {select}" if parts else select
