@@ -25,6 +25,15 @@ def label_window(zones: DataFrame, bars: DataFrame, horizon: int = DEFAULT.horiz
     return steps.join(b, ["security_id", "bar_k"]).drop("bar_k")
 
 
+def calendar_window(zones: DataFrame, bars: DataFrame, sessions: DataFrame, horizon: int = DEFAULT.horizon) -> DataFrame:
+    """``zones`` x the next sessions of the calendar: step, session, open, high, low, close, and label_gap: whether a session of the window has no bar. Steps count the market's sessions, so a
+    bar that a security misses leaves a hole with null prices instead of moving the window on. ``sessions``: as_of, step, session of ``pit.next_sessions``."""
+    b = bars.select("security_id", "session", "open", "high", "low", "close")
+    rows = zones.join(sessions.where(F.col("step") <= horizon), "as_of").join(b, ["security_id", "session"], "left")
+    w = Window.partitionBy(*KEY)
+    return rows.withColumn("label_gap", (F.count("close").over(w) < horizon))
+
+
 def barrier_labels(zones: DataFrame, bars: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Touch, break and reaction of each zone over the horizon. Prices of resistance zones are mirrored first, so one rule serves both sides.
 
@@ -84,29 +93,39 @@ def match_zones(zones: DataFrame, weeks: int = 12, within: float = DEFAULT.ident
     return pairs.withColumn("n", F.row_number().over(w)).where("n = 1").select("security_id", "as_of", "zone_id", "prior_as_of", "prior_zone", "jaccard")
 
 
-def reaction_table(labelled: DataFrame) -> DataFrame:
-    """Hold rates by distance bucket, number of families and regime, and coarser from the right: grouping sets in one pass."""
-    return labelled.where("y_touch = 1").rollup("bucket", "n_families", "regime").agg(F.count("*").alias("n"), F.avg(F.col("y_hold").cast("double")).alias("hold_rate"), F.grouping_id().alias("coarse"))
+STRATA = ("bucket", "n_families", "regime")
 
 
-def matched_control(real: DataFrame, placebo: DataFrame) -> DataFrame:
-    """``reaction_table`` of real zones beside that of placebos, and lift: how much more often real zones hold."""
-    keys = ["bucket", "n_families", "regime", "coarse"]
-    b = reaction_table(placebo).select(*(F.col(c).alias(f"_{c}") for c in keys), F.col("n").alias("n_placebo"), F.col("hold_rate").alias("placebo_rate"))
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
-    return reaction_table(real).join(b, same, "left").select("bucket", "n_families", "regime", "coarse", "n", "hold_rate", "n_placebo", "placebo_rate", (F.col("hold_rate") - F.col("placebo_rate")).alias("lift"))
+def by_family(labelled: DataFrame) -> DataFrame:
+    """``labelled`` (with sources) once for each family among a zone's sources: A for swings, B for round numbers."""
+    family = F.array_distinct(F.transform(F.split("sources", ","), lambda x: F.when(x.startswith("round"), "B").otherwise("A")))
+    return labelled.withColumn("family", F.explode(family))
 
 
-def historical_frequency(labelled: DataFrame, alpha: float = 5.0, least: int = 200) -> DataFrame:
-    """bucket, n_families, regime, n, level, rate: the hold rate of the cell, smoothed towards the overall rate; where it has fewer than ``least`` touches that of the bucket and families, and where
-    these have fewer, of the bucket. ``level`` 3 to 1 tells which."""
-    cells = labelled.where("y_touch = 1").groupBy("bucket", "n_families", "regime").agg(F.count("*").alias("n3"), F.sum("y_hold").alias("h3"))
-    sums = {f"{x}{k}": F.sum(f"{x}3").over(Window.partitionBy(*keys)) for k, keys in ((2, ("bucket", "n_families")), (1, ("bucket",))) for x in "nh"}
+def reaction_table(labelled: DataFrame, keys: tuple[str, ...] = STRATA) -> DataFrame:
+    """Hold rates by ``keys`` (distance bucket, number of families and regime), and coarser from the right: grouping sets in one pass."""
+    return labelled.where("y_touch = 1").rollup(*keys).agg(F.count("*").alias("n"), F.avg(F.col("y_hold").cast("double")).alias("hold_rate"), F.grouping_id().alias("coarse"))
+
+
+def matched_control(real: DataFrame, placebo: DataFrame, keys: tuple[str, ...] = STRATA) -> DataFrame:
+    """``reaction_table`` of real zones beside that of placebos, and lift: how much more often real zones hold."""
+    all_keys = [*keys, "coarse"]
+    b = reaction_table(placebo, keys).select(*(F.col(c).alias(f"_{c}") for c in all_keys), F.col("n").alias("n_placebo"), F.col("hold_rate").alias("placebo_rate"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in all_keys]
+    joined = reaction_table(real, keys).join(b, same, "left")
+    return joined.select(*all_keys, "n", "hold_rate", "n_placebo", "placebo_rate", (F.col("hold_rate") - F.col("placebo_rate")).alias("lift"))
+
+
+def historical_frequency(labelled: DataFrame, alpha: float = 5.0, least: int = 200, fine: tuple[str, ...] = STRATA, middle: tuple[str, ...] = ("bucket", "n_families"), coarse: tuple[str, ...] = ("bucket",)) -> DataFrame:
+    """The ``fine`` keys, n, level, rate: the hold rate of the cell, smoothed towards the overall rate; where it has fewer than ``least`` touches that of its ``middle`` keys, and where
+    these have fewer, of its ``coarse`` ones. ``level`` 3 to 1 tells which."""
+    cells = labelled.where("y_touch = 1").groupBy(*fine).agg(F.count("*").alias("n3"), F.sum("y_hold").alias("h3"))
+    sums = {f"{x}{k}": F.sum(f"{x}3").over(Window.partitionBy(*keys)) for k, keys in ((2, middle), (1, coarse)) for x in "nh"}
     rows = cells.withColumns(sums)
     base = F.broadcast(rows.agg((F.sum("h3") / F.sum("n3")).alias("base")))  # one row
     smooth = lambda k: (F.col(f"h{k}") + alpha * F.col("base")) / (F.col(f"n{k}") + alpha)
     pick = lambda f: F.when(F.col("n3") >= least, f(3)).when(F.col("n2") >= least, f(2)).otherwise(f(1))
-    return rows.crossJoin(base).select("bucket", "n_families", "regime", F.col("n3").alias("n"), pick(F.lit).alias("level"), pick(smooth).alias("rate"))
+    return rows.crossJoin(base).select(*fine, F.col("n3").alias("n"), pick(F.lit).alias("level"), pick(smooth).alias("rate"))
 
 
 def calibration(preds: DataFrame, p: str, y: str, stratum: str, bins: int = 10) -> DataFrame:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import evaluate as E
 from ..operators import histories as H
 from ..operators import labels as L
-from ..operators import levels
+from ..operators import levels, pit
 from . import labels as LB
-from .core import rounded, zones_and_state
+from .core import CALENDAR, _calendar, rounded, zones_and_state
 from .sql import query
 
 QUERIES, ORACLE = {}, {}
@@ -96,3 +96,58 @@ register(
 _delta = lambda s, d: LB.preds(s, d).select("security_id", "as_of", F.year("as_of").alias("year"), (F.pow(0.5 - F.col("y"), 2) - F.pow(F.col("p") - F.col("y"), 2)).alias("delta"))
 register("cmp_10_ablation_interval", lambda s, d: E.ablation_interval(_delta(s, d)))
 register("agg_16_bca", lambda s, d: L.bca_interval(LB.labelled(s, d), ["security_id", "as_of"], "y_touch", ["side"]))
+
+
+def _calendar_window(s, d):
+    series, z = LB.zoned(s, d)
+    steps = pit.next_sessions(_calendar(s, d), z.select("as_of").distinct(), 5)
+    return L.calendar_window(z, series, steps).select("security_id", "as_of", "zone_id", "step", "session", "open", "high", "low", "close", "label_gap")
+
+
+register(
+    "jon_10_calendar_window", _calendar_window,
+    query(
+        """SELECT security_id, as_of, zone_id, step, session, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, count(close) OVER (PARTITION BY security_id, as_of, zone_id) < 5 AS label_gap
+        FROM zones z JOIN ns USING (as_of) LEFT JOIN (SELECT security_id, session, open, high, low, close FROM bars) b USING (security_id, session)""", "zones",
+        extra={"calendar": CALENDAR, "ns": """SELECT as_of, n AS step, session FROM (SELECT a.as_of, c.session, row_number() OVER (PARTITION BY as_of ORDER BY c.session) AS n
+          FROM (SELECT DISTINCT as_of FROM zones) a JOIN calendar c ON c.session > a.as_of AND c.session <= a.as_of + 40) WHERE n <= 5"""},
+    ),
+)
+FAMILY = ("family", "bucket", "regime")
+
+
+def _by_family(s, d):
+    names = zones_and_state(s, d)[2].select(*L.KEY, "sources")
+    return L.by_family(LB.labelled_by_regime(s, d).join(names, list(L.KEY)))
+
+
+def _placebos_by_family(s, d):
+    """Placebos have the families of the zone that they stand for."""
+    names = zones_and_state(s, d)[2].select("security_id", "as_of", F.col("zone_id").alias("of"), "sources")
+    rows = LB.placebo_labelled(s, d).join(LB.regimes(s, d), "as_of").withColumn("of", F.substring_index("zone_id", "#", 1))
+    return L.by_family(rows.join(names, ["security_id", "as_of", "of"]))
+
+
+_fam = "unnest(list_distinct(list_transform(string_split(n.sources, ','), lambda x: CASE WHEN starts_with(x, 'round') THEN 'B' ELSE 'A' END))) AS family"
+_names = "(SELECT security_id, as_of, zone_id, sources FROM zones) n"
+BY_FAMILY = LB.CONTROL | {
+    "fl": f"SELECT l.*, reg.regime, {_fam} FROM lbl l JOIN reg USING (as_of) JOIN {_names} ON n.security_id = l.security_id AND n.as_of = l.as_of AND n.zone_id = l.zone_id WHERE y_touch = 1",
+    "fp": f"SELECT l.*, reg.regime, {_fam} FROM lbl_p l JOIN reg USING (as_of) JOIN {_names} ON n.security_id = l.security_id AND n.as_of = l.as_of AND n.zone_id = string_split(l.zone_id, '#')[1] WHERE y_touch = 1",
+    **{f"r{x}": f"SELECT family, bucket, regime, grouping(family, bucket, regime) AS coarse, count(*) AS n, avg(y_hold) AS hold_rate FROM {x} GROUP BY ROLLUP (family, bucket, regime)" for x in ("fl", "fp")},
+}
+register(
+    "agg_11_by_family", lambda s, d: L.matched_control(_by_family(s, d), _placebos_by_family(s, d), FAMILY),
+    query(
+        """SELECT a.family, a.bucket, a.regime, a.coarse, a.n, round(a.hold_rate, 6) AS hold_rate, b.n AS n_placebo, round(b.hold_rate, 6) AS placebo_rate, round(a.hold_rate - b.hold_rate, 6) AS lift
+        FROM rfl a LEFT JOIN rfp b ON a.family IS NOT DISTINCT FROM b.family AND a.bucket IS NOT DISTINCT FROM b.bucket AND a.regime IS NOT DISTINCT FROM b.regime AND a.coarse = b.coarse""", "zones", extra=BY_FAMILY,
+    ),
+)
+register(
+    "agg_12_by_family", lambda s, d: L.historical_frequency(_by_family(s, d), fine=FAMILY, middle=("family", "bucket")),
+    query(
+        """SELECT family, bucket, regime, n, CASE WHEN n >= 200 THEN 3 WHEN n2 >= 200 THEN 2 ELSE 1 END AS level,
+        round(CASE WHEN n >= 200 THEN (h + 5 * base) / (n + 5) WHEN n2 >= 200 THEN (h2 + 5 * base) / (n2 + 5) ELSE (h1 + 5 * base) / (n1 + 5) END, 6) AS rate FROM (
+          SELECT *, sum(n) OVER (PARTITION BY family, bucket) AS n2, sum(h) OVER (PARTITION BY family, bucket) AS h2, sum(n) OVER (PARTITION BY bucket) AS n1, sum(h) OVER (PARTITION BY bucket) AS h1,
+          sum(h) OVER () / sum(n) OVER () AS base FROM (SELECT family, bucket, regime, count(*) AS n, sum(y_hold) AS h FROM fl GROUP BY ALL))""", "zones", extra=BY_FAMILY,
+    ),
+)

@@ -343,3 +343,12 @@ def test_sections_and_evidence_by_hand(spark):
     told = evidence.checked(asked, c, ranges).collect()
     assert sorted((str(r.evidence), str(r.value), str(r.feature), r.chunk, str(r.confidence), str(r.reason)) for r in told) == sorted((str(r[6]), str(r[4]), r[3], r[2], str(r[5]), str(r[7])) for r in rows)
     assert all((text[r.start : r.end] == r.evidence) if r.reason is None else r.start is None for r in told)
+
+
+def test_a_missing_session_inside_the_window_shows(spark):
+    day = lambda i: DAY + datetime.timedelta(i)
+    z = spark.createDataFrame([(1, DAY, "z"), (2, DAY, "z")], "security_id long, as_of date, zone_id string")
+    bars = spark.createDataFrame([(s, day(i), 1.0, 1.0, 1.0, float(i)) for s in (1, 2) for i in range(8) if (s, i) != (2, 3)], "security_id long, session date, open double, high double, low double, close double")
+    steps = spark.createDataFrame([(DAY, i, day(i)) for i in range(1, 7)], "as_of date, step long, session date")
+    got = {(r.security_id, r.step): (r.close, r.label_gap) for r in labels.calendar_window(z, bars, steps).collect()}
+    assert got == {(s, i): (None if (s, i) == (2, 3) else float(i), s == 2) for s in (1, 2) for i in range(1, 6)}
