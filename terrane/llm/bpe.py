@@ -187,8 +187,6 @@ def forget() -> None:
     """Give back the units and words that the worker's encoder has learned."""
     for enc in _ENCODERS.values():
         enc.units, enc.words = dict(enc.head), {}
-    gc.collect()
-    pa.default_memory_pool().release_unused()
 
 
 def word_table(docs: DataFrame, path: str, head: int = HEAD) -> dict[str, bytes]:
@@ -206,7 +204,7 @@ def word_table(docs: DataFrame, path: str, head: int = HEAD) -> dict[str, bytes]
         yield _counted(seen)
 
     common.light_batches(docs.sparkSession)
-    counted = docs.select("text").mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(common.light(count), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "unit").limit(head)
     encoded = common.arrow_pass(top, {"unit": "string", "ids": "binary"}, lambda b: _encoded(b, path))
     return {r.unit: bytes(r.ids) for r in encoded.collect()}

@@ -143,7 +143,7 @@ def _moved(rows: DataFrame, books: np.ndarray) -> np.ndarray:
         found = [(i, limb, value) for i, x in enumerate(total.ravel().tolist()) if x for limb, value in _limbs(x)]
         yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], pa.int64()) for j in range(3)], ["cell", "limb", "value"])
 
-    sums = rows.select("embedding").mapInArrow(add, "cell long, limb long, value long").groupBy("cell", "limb").agg(F.sum("value").alias("value"))
+    sums = rows.select("embedding").mapInArrow(common.light(add), "cell long, limb long, value long").groupBy("cell", "limb").agg(F.sum("value").alias("value"))
     total = np.zeros(parts * k * (size + 1), object)
     for r in sums.collect():  # a few numbers for each number of the codebooks
         total[r.cell] += r.value << (_LIMB * r.limb)
@@ -171,7 +171,7 @@ def encode(vectors: DataFrame, books: np.ndarray) -> DataFrame:
 
     common.light_batches(vectors.sparkSession)
     types = dict(rows.dtypes)
-    return rows.mapInArrow(run, f"vec_id {types['vec_id']}, label {types['label']}, code string, error long")
+    return rows.mapInArrow(common.light(run), f"vec_id {types['vec_id']}, label {types['label']}, code string, error long")
 
 
 def digest(books: np.ndarray) -> str:

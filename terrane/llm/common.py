@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -57,7 +60,25 @@ def arrow_pass(df: DataFrame, ddl: dict[str, str], each: Callable[[pa.RecordBatc
             done()
 
     light_batches(df.sparkSession)
-    return df.mapInArrow(run, ", ".join(f"`{k}` {v}" for k, v in ddl.items()))
+    return df.mapInArrow(light(run), ", ".join(f"`{k}` {v}" for k, v in ddl.items()))
+
+
+def light(run: Callable) -> Callable:
+    """``run`` (batches to batches), after whose end the worker's memory goes back to the system: workers live on, two beside each executor's heap, and what one task has freed would be
+    kept for the next one."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def light_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:

@@ -101,7 +101,7 @@ def frequent_shingles(docs: DataFrame, words: int = WORDS, most: int = HOT) -> t
         yield _counted(block)
 
     common.light_batches(docs.sparkSession)
-    counted = docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(common.light(count), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "shingle").limit(most).toPandas().sort_values(["n", "shingle"])
     return top["shingle"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
 
@@ -158,7 +158,7 @@ def sketches(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: in
     ddl = {"doc_id": "long", "text_key": "long", "text_key2": "long", "n": "long", "node": "long", "check": "long", "bits": "array<long>", "prefix": "array<long>", "slot": "array<long>"}
     common.light_batches(docs.sparkSession)
     rows = docs.select("doc_id", *text_keys(), "text")
-    return rows.mapInArrow(run, ", ".join(f"{k} {v}" for k, v in ddl.items()))
+    return rows.mapInArrow(common.light(run), ", ".join(f"{k} {v}" for k, v in ddl.items()))
 
 
 def _ordered(s: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -212,7 +212,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) -> D
                         new[node] = shingle_set(text, words)
                 yield pa.RecordBatch.from_arrays([pa.array([*new], pa.int64()), pa.array([*new.values()], pa.list_(pa.int64()))], ["node", "shingles"])
 
-    return chosen.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
+    return chosen.mapInArrow(common.light(run), "node long, shingles array<long>").dropDuplicates(["node"])
 
 
 def linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int = WORDS) -> DataFrame:

@@ -141,6 +141,10 @@ class Model:
         out[~allowed.any(1)] = 0
         return out.astype(np.float32)
 
+    def forget(self) -> None:
+        """Give back the words that a task has met."""
+        self.words, self.rows = {}, self.rows[:0].copy()
+
     def learn(self, found: set[str]) -> None:
         """Score the words that are not in the table yet; it starts afresh when it holds ``KEPT`` words."""
         kept, once = (max(1, x * USUAL // max(USUAL, len(self.langs))) for x in (KEPT, ONCE))
@@ -245,7 +249,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in cells], pa.string()), pa.array([c[1] for c in cells], pa.int64()), pa.array([c[2] for c in cells], pa.int64())], ["lang", "cell", "n"])
 
     chosen = rows.where(F.col("lang").isin(langs) & part).select("lang", "text")
-    cells = chosen.mapInArrow(count, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
+    cells = chosen.mapInArrow(common.light(count), "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((len(langs), width))
     counts[[langs.index(k) for k in cells["lang"]], cells["cell"]] = cells["n"]
     return Model(langs, counts[:, :BUCKETS], counts[:, BUCKETS:])
@@ -260,7 +264,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         return {"doc_id": common.column(batch, "doc_id"), "held_out": common.column(batch, "held_out"), "lang_pred": [g[0] for g in got], "score": [g[1] for g in got]}
 
     rows = docs.select("doc_id", "text", F.coalesce(common.id_hash_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"))
-    return common.arrow_pass(rows, {"doc_id": "long", "held_out": "boolean", "lang_pred": "string", "score": "double"}, each)
+    return common.arrow_pass(rows, {"doc_id": "long", "held_out": "boolean", "lang_pred": "string", "score": "double"}, each, lambda: shared.value.forget())
 
 
 def spans(docs: DataFrame, model: Model) -> DataFrame:
@@ -271,7 +275,7 @@ def spans(docs: DataFrame, model: Model) -> DataFrame:
         rows = [(d, *s) for d, t in zip(common.column(batch, "doc_id").to_pylist(), common.texts(batch), strict=True) for s in shared.value.label(t)]
         return {n: [r[i] for r in rows] for i, n in enumerate(("doc_id", "start", "end", "lang"))}
 
-    return common.arrow_pass(docs.select("doc_id", "text"), {"doc_id": "long", "start": "long", "end": "long", "lang": "string"}, each)
+    return common.arrow_pass(docs.select("doc_id", "text"), {"doc_id": "long", "start": "long", "end": "long", "lang": "string"}, each, lambda: shared.value.forget())
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -290,5 +294,6 @@ def keep_known(docs: DataFrame, model: Model | None = None) -> DataFrame:
             for part in common.pieces_of(batch):
                 keep = [g[0] != "und" for g in shared.value.verdicts([t or "" for t in part.column(at).to_pylist()])]
                 yield part.filter(pa.array(keep, pa.bool_()))
+        shared.value.forget()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.light(run), docs.schema)

@@ -215,7 +215,7 @@ def frequent(docs: DataFrame, sizes: tuple[int, ...], log: int, least: int, know
         return pa.table({"bucket": pa.array([table["bucket"][0].as_py()], pa.int64()), "n": pa.array([len(often)], pa.int64()), "prints": pa.array([often.tobytes()], pa.binary())})
 
     common.light_batches(spark)
-    blocks = docs.select("text", "lang").mapInArrow(count, "bucket long, prints binary, counts binary")
+    blocks = docs.select("text", "lang").mapInArrow(common.light(count), "bucket long, prints binary, counts binary")
     found = common.stage(blocks.groupBy("bucket").applyInArrow(add, "bucket long, n long, prints binary").where("n > 0"))
     total = found.agg(F.sum("n")).first()[0] or 0
     width = max(log + 3, 16)
@@ -315,7 +315,7 @@ def counted(docs: DataFrame, often: dict[int, object], least: int = LEAST) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * k, pa.string()), pa.array(phrases, pa.string()), pa.array([n] * k, pa.int64()), pa.array(times[at : at + k], pa.int64())], ["lang", "phrase", "words", "f"])
 
     common.light_batches(docs.sparkSession)
-    rows = docs.select("text", "lang").mapInArrow(count, "lang string, phrase string, words long, f long")
+    rows = docs.select("text", "lang").mapInArrow(common.light(count), "lang string, phrase string, words long, f long")
     return rows.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 

@@ -127,7 +127,7 @@ def _blocks(keyed: DataFrame, span: int, depth: int) -> DataFrame:
                     keys, n = np.unique(_keys(texts, *picked(texts, span, depth)[:2], depth), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["key", "n"])
 
-    return keyed.select("k1", "k2", "bytes").mapInArrow(lists, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
+    return keyed.select("k1", "k2", "bytes").mapInArrow(common.light(lists), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
 
 
 def _filter(blocks: DataFrame, most_bits: int = FILTER_BITS) -> np.ndarray:
@@ -196,7 +196,7 @@ def _surroundings(keyed: DataFrame, bitmap: np.ndarray, span: int, depth: int) -
             own = pa.array([around[i] if o else None for i, o in zip(at, once, strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns), own], ["key", "d1", "d2", "k1", "k2", "start", "around"])
 
-    return keyed.select("k1", "k2", "bytes").mapInArrow(lists, "key long, d1 long, d2 long, k1 long, k2 long, start long, around binary")
+    return keyed.select("k1", "k2", "bytes").mapInArrow(common.light(lists), "key long, d1 long, d2 long, k1 long, k2 long, start long, around binary")
 
 
 def _runs(flags: np.ndarray, span: int) -> tuple[list[int], list[int]]:
@@ -260,7 +260,7 @@ def _settled(surroundings: DataFrame, span: int, hot: int) -> DataFrame:
         types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.bool_()]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
-    return surroundings.repartition("key").sortWithinPartitions("key", "d1", "d2").mapInArrow(merge, "d1 long, d2 long, starts array<int>, ends array<int>, around binary, many boolean")
+    return surroundings.repartition("key").sortWithinPartitions("key", "d1", "d2").mapInArrow(common.light(merge), "d1 long, d2 long, starts array<int>, ends array<int>, around binary, many boolean")
 
 
 def _by_windows(still: DataFrame, span: int) -> DataFrame:
@@ -274,7 +274,7 @@ def _by_windows(still: DataFrame, span: int) -> DataFrame:
             digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x[i : i + span]) for x in around for i in range(len(x) - span + 1)), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([*(common.column(batch, c).take(row) for c in ("d1", "d2", "many")), pa.array(at), pa.array(digests[:, 0]), pa.array(digests[:, 1])], ["d1", "d2", "many", "at", "w1", "w2"])
 
-    listed = common.stage(still.select("d1", "d2", "around", "many").mapInArrow(windows, "d1 long, d2 long, many boolean, at int, w1 long, w2 long"))
+    listed = common.stage(still.select("d1", "d2", "around", "many").mapInArrow(common.light(windows), "d1 long, d2 long, many boolean, at int, w1 long, w2 long"))
     one = F.struct("d1", "d2", "at")
     classes = listed.groupBy("w1", "w2").agg(F.min(one).alias("low"), F.max(one).alias("high"), F.max("many").alias("several")).where("low != high or several").select("w1", "w2")
     hit = listed.join(classes, ["w1", "w2"], "left_semi").groupBy("d1", "d2").agg(F.sort_array(F.collect_set("at")).alias("starts"))
@@ -291,7 +291,7 @@ def _members(keyed: DataFrame, blocks: np.ndarray, flagged: np.ndarray, span: in
             keep = _has(flagged, digests[:, 0])
             yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (digests[:, 0], digests[:, 1], k1, k2, start)], ["d1", "d2", "k1", "k2", "start"])
 
-    return keyed.select("k1", "k2", "bytes").mapInArrow(lists, "d1 long, d2 long, k1 long, k2 long, start long")
+    return keyed.select("k1", "k2", "bytes").mapInArrow(common.light(lists), "d1 long, d2 long, k1 long, k2 long, start long")
 
 
 def repeated(docs: DataFrame, span: int = SPAN, depth: int = DEPTH, hot: int = HOT) -> DataFrame:
@@ -379,4 +379,4 @@ def cut(docs: DataFrame, span: int = SPAN) -> DataFrame:
             yield pa.RecordBatch.from_arrays(out, names=columns).filter(keep)
 
     rows = _with_ranges(docs, span).select(*columns, "bytes", "starts", "ends", "copies")
-    return back(rows.mapInArrow(run, docs.schema))
+    return back(rows.mapInArrow(common.light(run), docs.schema))

@@ -180,7 +180,7 @@ def redact(docs: DataFrame) -> DataFrame:
                         columns[chars_at] = pa.array([n if s is None else len(t) for n, t, s in zip(old, texts, spans, strict=True)], columns[chars_at].type)
                 yield pa.RecordBatch.from_arrays(columns, part.schema.names[:-1])
 
-    return back(keyed.select(*docs.columns, "redact_spans").mapInArrow(run, docs.schema))
+    return back(keyed.select(*docs.columns, "redact_spans").mapInArrow(common.light(run), docs.schema))
 
 
 def redacted(text: str, spans: list[dict]) -> str:

@@ -12,7 +12,6 @@ and ids included. Empty table: no rows.
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 
@@ -93,8 +92,6 @@ _COUNTERS: dict[str, Counter] = {}
 def forget() -> None:
     for c in _COUNTERS.values():
         c.known = {}
-    gc.collect()
-    pa.default_memory_pool().release_unused()
 
 
 def count(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
