@@ -172,6 +172,14 @@ def sequences(bars: DataFrame, n: int = 120) -> DataFrame:
     return bars.where("atr is not null").withColumn("steps", F.collect_list(item).over(by_session().rowsBetween(-(n - 1), 0))).where(F.size("steps") == n).select("security_id", F.col("session").alias("as_of"), "steps")
 
 
+def labelled_sequences(windows: DataFrame, zones: DataFrame, labels: DataFrame, regimes: DataFrame) -> DataFrame:
+    """``sequences`` for each zone that has labels: security_id, as_of, zone_id, steps; what does not change over the window (side, distance_atr, width_atr, n_sources, n_families, regime, null
+    where there is none); and the labels (y_touch, y_hold, y_break, t_touch, label_gap). ``regimes``: as_of, regime. Windows are joined last, as they are wide."""
+    key = ["security_id", "as_of", "zone_id"]
+    static = zones.select(*key, "side", "distance_atr", "width_atr", "n_sources", "n_families").join(labels.select(*key, "y_touch", "y_hold", "y_break", "t_touch", "label_gap"), key)
+    return static.join(regimes.select("as_of", "regime"), "as_of", "left").join(windows, ["security_id", "as_of"])
+
+
 def folds(rows: DataFrame, horizon: int = 7, embargo: int = 5) -> DataFrame:
     """Walk-forward folds: ``rows`` once for each fold (a year after the first) that uses them, with fold, role and weight.
 

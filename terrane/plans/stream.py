@@ -34,13 +34,17 @@ register("str_3_flow_imbalance", lambda s, d: S.imbalance(s.read.parquet(f"{d}/e
 ZONES = "SELECT * FROM (VALUES ('click', 'c1', 1.0, 2.0), ('click', 'c2', 50.0, 51.0), ('view', 'v1', 0.5, 0.7)) t(key, zone_id, lower, upper)"
 
 
-def _alerts(s, d):
-    """The zones that a stream of all ticks reports as touched."""
+def _alerts(s, d, files=1):
+    """What a stream of all ticks, in ``files`` batches that come in any order, reports as touched."""
     zones = s.sql(ZONES).select("key", "zone_id", *(F.col(c).cast("double").alias(c) for c in ("lower", "upper")))
-    return T.run_once(ticks(s, d), lambda live: S.alerts(live, zones)).select("key", "zone_id").distinct()
+    return T.run_once(ticks(s, d), lambda live: S.alerts(live, zones), files)
 
 
-register("str_4_touches", _alerts, f"SELECT DISTINCT z.key, z.zone_id FROM events JOIN ({ZONES}) z ON event_type = z.key AND value BETWEEN lower AND upper")
+register("str_4_touches", lambda s, d: _alerts(s, d, 4).select("key", "zone_id"), f"SELECT DISTINCT z.key, z.zone_id FROM events JOIN ({ZONES}) z ON event_type = z.key AND value BETWEEN lower AND upper")
+register(
+    "str_4_first_touches", _alerts,
+    f"SELECT key, zone_id, ts, round(price, 6) AS price FROM (SELECT z.key, z.zone_id, ts, value AS price, row_number() OVER (PARTITION BY z.key, z.zone_id ORDER BY ts, value) AS n FROM events JOIN ({ZONES}) z ON event_type = z.key AND value BETWEEN lower AND upper) WHERE n = 1",
+)
 register("str_5_zone_states", lambda s, d: T.run_once(_touches(s, d), T.zone_states).where("n is not null"), FQ.ORACLE["cmp_5_zone_states"])
 
 

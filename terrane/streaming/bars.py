@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def bars(ticks: DataFrame, size: str = "1 day", late: str = "10 minutes") -> DataFrame:
@@ -24,10 +26,21 @@ def imbalance(flow: DataFrame, size: str = "30 minutes", late: str = "10 minutes
     return agg.select("key", F.col("window.start").alias("start"), F.try_divide(F.col("bid") - F.col("ask"), F.col("bid") + F.col("ask")).alias("imbalance"))
 
 
-def alerts(ticks: DataFrame, zones: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """The first touch of each current zone (key, zone_id, lower, upper) within the watermark: a join of the stream with a static table."""
-    hit = ticks.withWatermark("ts", late).join(zones.withColumnRenamed("key", "z_key"), (F.col("key") == F.col("z_key")) & F.col("price").between(F.col("lower"), F.col("upper")))
-    return hit.select("key", "zone_id", "ts", "price").dropDuplicatesWithinWatermark(["key", "zone_id"])
+def alerts(ticks: DataFrame, zones: DataFrame) -> DataFrame:
+    """key, zone_id, ts, price of the first touch of each zone (key, zone_id, lower, upper): a join of the stream with a static table. A zone is reported once in the life of the stream; that it was
+    is kept for each zone of the table that has been touched, and never expires. Of the touches of one batch the earliest counts, at the lower price if there are several; what
+    arrives in a later batch comes after it."""
+
+    def first(key, batches, state: GroupState):
+        best = min(((r.ts, r.price) for pdf in batches for r in pdf.nsmallest(1, ["ts", "price"]).itertuples()), default=None)
+        if best and not state.exists:
+            state.update((True,))
+            yield pd.DataFrame([(*key, *best)], columns=["key", "zone_id", "ts", "price"])
+
+    types = dict(ticks.dtypes) | {"zone_id": dict(zones.dtypes)["zone_id"]}
+    hit = ticks.join(zones.withColumnRenamed("key", "z_key"), (F.col("key") == F.col("z_key")) & F.col("price").between(F.col("lower"), F.col("upper")))
+    out = ", ".join(f"{c} {types[c]}" for c in ("key", "zone_id", "ts", "price"))
+    return hit.select("key", "zone_id", "ts", "price").groupBy("key", "zone_id").applyInPandasWithState(first, out, "reported boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def route_restated(stream: DataFrame, known: DataFrame, good: str, aside: str, checkpoint: str, tolerance: float = 1e-6):

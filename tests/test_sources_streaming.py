@@ -99,6 +99,19 @@ def test_stream_alerts(spark, sf, tmp_path):
     assert sorted(g[:2] for g in got) == [("click", "c"), ("error", "e")] and all(t in seen[k] for k, _, t in got)
 
 
+def test_alerts_come_once_in_the_life_of_a_stream(spark, tmp_path):
+    """Weeks and batches later a touched zone is not reported again; one that was not touched before is; of one batch's touches the earliest counts, at the lower price."""
+    at = lambda day, minute=0: datetime.datetime(2024, 1, day, 12, minute)
+    zones = spark.sql("select * from values ('k', 'a', 1.0D, 2.0D), ('k', 'b', 5.0D, 6.0D), ('m', 'a', 1.0D, 2.0D) t(key, zone_id, lower, upper)")
+    parts = [[("k", at(1, 9), 1.5), ("k", at(1, 3), 1.75), ("k", at(1, 3), 1.25), ("k", at(1), 3.0)], [("k", at(20), 1.5), ("k", at(20), 5.5), ("m", None, None)], [("m", at(25), 2.0), ("k", at(28), 1.0)]]
+    in_parts(spark, parts, "key string, ts timestamp, price double", f"{tmp_path}/in")
+    live = spark.readStream.schema("key string, ts timestamp, price double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = stream.alerts(live, zones).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [("k", "a", at(1, 3), 1.25), ("k", "b", at(20), 5.5), ("m", "a", at(25), 2.0)]
+
+
 def test_restated_bars_go_aside(spark, tmp_path):
     new = spark.sql("select 'k' as key, x as start, y as close from values (1, 1.0D), (2, 2.5D), (3, 3.0D), (4, null) t(x, y)")
     new.write.parquet(f"{tmp_path}/in")
