@@ -2,10 +2,15 @@
 
 A word's embedding is the sum of two rows of hashed tables, which two words hardly ever share both. Filters
 of several widths run over the whole text, the maximum over all places of each filter is kept, and a
-logistic layer joins them. Training is plain numpy (Adagrad; only the places that won the maximum get a
-gradient) over a bounded sample of the labelled rows: ``SAMPLE`` rows of each label expected, chosen by a hash
-of the id. Part of the sample is held back to set a threshold for each language; a text's language is
-told from its own words (a naive Bayes over the same hashed words), never from the lang column.
+logistic layer joins them. Every labelled row that may be learned from is: three quarters, by a hash of the id, train the
+network, the others set a threshold for each language; a text's language is told from its own words (a naive Bayes over
+the same hashed words, learned from all of these rows), never from the lang column.
+
+The rows are dealt to shards of about ``SHARD`` characters, as many as it takes. In each round every shard trains the
+network it was sent over its own rows once (numpy, Adagrad; only the places that won the maximum get a gradient), and Spark
+averages what the shards have changed, row of the tables by row, over the shards that changed it. The sums are of integers, so
+they do not depend on the order. Thresholds come from counts of the held rows by language and by steps of their logits. The
+driver holds one network and the sums, whose sizes do not grow with the rows.
 
 ``score`` is the logistic of the distance to the threshold, so 0.5 is the threshold in every language. Null
 text counts as empty; an empty text has no filter's maximum and scores by the bias alone. With no
@@ -16,6 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +30,22 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE = 3000
+#: Characters of training text in a shard: bounds what one task holds and trains on in a round.
+SHARD = 24_000_000
 BUCKETS = 1 << 16
 WIDTH = 16
 FILTERS = 8
 SIZES = (1, 2, 3)
+#: Rounds: times that every training row is learned from.
 EPOCHS = 8
 BATCH = 32
 RATE = 0.15
-#: Share of the sample that sets the thresholds.
+#: Share of the labelled rows that sets the thresholds; the others train.
 HELD = 0.25
+#: Steps of a logit in which held rows are counted.
+STEPS = 256
+#: Changes are summed as integers of this unit.
+UNIT = 2.0**-32
 #: Words in one matrix product: bounds the memory of a task.
 CHUNK = 60_000
 KEPT = 300_000
@@ -126,16 +138,13 @@ class Network:
         e, starts, _, real = self._joined(docs)
         return np.maximum(np.maximum.reduceat(self._convolved(e, real), starts, axis=0), 0)
 
-    def train(self, docs: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 0) -> None:
-        r = np.random.default_rng(seed)
-        squares = {k: np.full_like(getattr(self, k), 1e-3) for k in ("table", "filters", "shift", "out", "bias")}
-        weight = np.where(labels > 0, 0.5 / max(1e-9, labels.mean()), 0.5 / max(1e-9, 1 - labels.mean()))
-        for _ in range(epochs):
-            order = r.permutation(len(docs))
-            for at in range(0, len(order), BATCH):
-                rows = order[at : at + BATCH]
-                self._step([docs[i] for i in rows], labels[rows], weight[rows], squares)
-        self.trained = True
+    def squares(self) -> dict[str, np.ndarray]:
+        return {k: np.full_like(getattr(self, k), 1e-3) for k in PARTS}
+
+    def epoch(self, docs: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, squares: dict[str, np.ndarray], order: np.ndarray) -> None:
+        for at in range(0, len(order), BATCH):
+            rows = order[at : at + BATCH]
+            self._step([docs[i] for i in rows], labels[rows], weight[rows], squares)
 
     def _step(self, docs, labels, weight, squares) -> None:
         e, starts, h, real = self._joined(docs)
@@ -173,27 +182,26 @@ class Network:
             squares["table"][unique] += total * total
             self.table[unique] -= RATE * total / np.sqrt(squares["table"][unique])
 
-    def learn_languages(self, docs: list[np.ndarray], langs: list[str | None]) -> None:
-        self.langs = sorted({k for k in langs if k})
-        counts = np.full((BUCKETS, len(self.langs)), 0.1)
-        for d, k in zip(docs, langs, strict=True):
-            if k:
-                counts[:, self.langs.index(k)] += np.bincount(np.unique(d & (BUCKETS - 1)), minlength=BUCKETS)
-        self.lang_table = np.log(counts / counts.sum(0)).astype(np.float32)
+    def learn_languages(self, counts: dict[str, np.ndarray]) -> None:
+        """``counts``: documents by bucket of their words, for each language."""
+        self.langs = sorted(counts)
+        if counts:
+            table = np.stack([counts[k] for k in self.langs], 1) + 0.1
+            self.lang_table = np.log(table / table.sum(0)).astype(np.float32)
 
     def languages(self, docs: list[np.ndarray]) -> np.ndarray:
         if not self.langs:
             return np.zeros(len(docs), int)
         return np.array([int(self.lang_table[d & (BUCKETS - 1)].sum(0).argmax()) for d in docs], int)
 
-    def calibrate(self, docs: list[np.ndarray], labels: np.ndarray) -> None:
-        """For each language, and for all together (-1), the threshold with the fewest errors, both kinds of
-        error weighing alike only as often as they occur."""
-        logits, langs = self.logits(docs), self.languages(docs)
+    def calibrate(self, counts: list[tuple[int, int, int, int]]) -> None:
+        """``counts``: language, step of the logit, clean rows, toxic rows. For each language, and for all together (-1), the threshold with the fewest errors,
+        both kinds of error weighing alike only as often as they occur."""
+        lang, step, clean, toxic = np.array(sorted(counts), np.int64).T
         for k in (-1, *range(len(self.langs))):
-            mine = np.ones(len(docs), bool) if k < 0 else langs == k
-            if k < 0 or labels[mine].sum() >= 5:
-                self.thresholds[k] = _threshold(logits[mine], labels[mine])
+            mine = (lang == k) | (k < 0)
+            if k < 0 or toxic[mine].sum() >= 5:
+                self.thresholds[k] = _threshold(step[mine], clean[mine], toxic[mine])
 
     def scores(self, docs: list[np.ndarray]) -> np.ndarray:
         if not self.trained:
@@ -202,47 +210,199 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(docs).astype(np.float64) - t, -30, 30)))
 
 
-def _threshold(logits: np.ndarray, labels: np.ndarray) -> float:
+def _threshold(steps: np.ndarray, clean: np.ndarray, toxic: np.ndarray) -> float:
     """The middle of the widest gap among the cuts with the fewest errors."""
-    order = np.argsort(logits)
-    x, y = logits[order].astype(np.float64), labels[order]
+    steps, where = np.unique(steps, return_inverse=True)
+    clean, toxic = (np.bincount(where, n, len(steps)) for n in (clean, toxic))
+    x = (steps + 0.5) / STEPS
     cuts = np.concatenate([[x[0] - 2], (x[1:] + x[:-1]) / 2, [x[-1] + 2]])
-    errors = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([np.cumsum((1 - y)[::-1])[::-1], [0]])
+    errors = np.concatenate([[0], np.cumsum(toxic)]) + np.concatenate([np.cumsum(clean[::-1])[::-1], [0]])
     room = np.concatenate([[1.0], np.diff(x), [1.0]])
     good = np.flatnonzero(errors == errors.min())
     return float(cuts[good[room[good].argmax()]])
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, toxic, text, lang of about ``sample`` rows of each label: of an id with several texts one, chosen by its hash. The texts are whole."""
-    known = labels.select("doc_id", "toxic").where((common.id_hash_mod("doc_id", 5) != 0) & F.col("toxic").isin(0, 1)).distinct()
-    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    share = F.create_map(*(F.lit(x) for k in (0, 1) for x in (k, min(1.0, sample / max(1, sizes.get(k, 0))))))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000)) < share[F.col("toxic")] * 1_000_000)
-    chosen = common.small(common.stage(chosen), 8 * sample)
+#: The network's parameters, as ``packed`` puts them in rows of ``WIDTH``.
+PARTS = ("table", "filters", "shift", "out", "bias")
+
+
+def packed(parts: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([np.resize(np.append(p := parts[k].ravel(), np.zeros(-p.size % WIDTH, np.float32)), (-(-p.size // WIDTH), WIDTH)) for k in PARTS])
+
+
+def unpacked(flat: np.ndarray, like: Network) -> dict[str, np.ndarray]:
+    out, at = {}, 0
+    for k in PARTS:
+        p = getattr(like, k)
+        out[k] = flat[at : at - (-p.size // WIDTH)].ravel()[: p.size].reshape(p.shape).copy()
+        at -= -p.size // WIDTH
+    return out
+
+
+def _known(labels: DataFrame) -> DataFrame:
+    """doc_id, toxic of all labels to learn from, once each."""
+    return labels.select("doc_id", "toxic").where((common.id_hash_mod("doc_id", 5) != 0) & F.col("toxic").isin(0, 1)).distinct()
+
+
+def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, toxic, text, lang of every row to learn from: of an id with several texts one, chosen by its hash. The texts are whole."""
+    known = common.small(common.stage(_known(labels)), 1 << 18)
     one = F.min_by(F.struct("text", "lang"), F.struct(F.xxhash64("text", "lang"), "text", "lang")).alias("one")
-    return docs.select("doc_id", "text", "lang").join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(one).select("doc_id", "toxic", "one.*")
+    return docs.select("doc_id", "text", "lang").join(known, "doc_id").groupBy("doc_id", "toxic").agg(one).select("doc_id", "toxic", "one.*")
+
+
+#: Its name while it drew a sample.
+training_sample = training_rows
+
+
+class Shard:
+    """Training rows in the order of their ids' crc32: their hashed words, labels, whether they are held for the thresholds, languages."""
 
+    ddl = {"shard": "long", "words": "binary", "lengths": "binary", "toxic": "binary", "held": "binary", "langs": "array<string>"}
+
+    def __init__(self, batch: pa.RecordBatch, row: int):
+        cell = lambda c, kind: np.frombuffer(common.column(batch, c)[row].as_buffer() or b"", kind)
+        ends = np.cumsum(cell("lengths", "<i8"))
+        self.number = common.column(batch, "shard")[row].as_py()
+        self.docs = np.split(cell("words", "<u4"), ends[:-1])
+        self.toxic, self.held = cell("toxic", "<f4"), cell("held", "?")
+        self.langs = common.column(batch, "langs")[row].as_py()
+
+    def part(self, mask: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        return [self.docs[i] for i in np.flatnonzero(mask)], self.toxic[mask]
+
+
+def shards(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row for each shard, columns as ``Shard.ddl``; an id's shard follows from its hash."""
+    rows = common.stage(training_rows(docs, labels).select("doc_id", "toxic", "lang", "text", F.length("text").alias("chars")))
+    total = rows.agg(F.sum("chars")).first()[0] or 0
+    count = max(1, -(-total // SHARD))
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     def each(batch: pa.RecordBatch) -> dict:
         words = [hashed(t) for t in common.texts(batch)]
-        return {c: common.column(batch, c) for c in ("doc_id", "toxic", "lang")} | {"words": [w.astype("<u4").tobytes() for w in words]}
+        return {c: common.column(batch, c) for c in ("shard", "doc_id", "toxic", "lang")} | {"words": [w.astype("<u4").tobytes() for w in words]}
+
+    def joined(table: pa.Table) -> pa.Table:
+        ids, toxic = table["doc_id"].to_pylist(), table["toxic"].to_pylist()
+        crc = [zlib.crc32(str(i).encode()) for i in ids]
+        order = sorted(range(len(ids)), key=lambda i: (crc[i], ids[i], toxic[i]))
+        words = [table["words"][i].as_buffer() for i in order]
+        cells = {
+            "shard": table["shard"][0].as_py(), "words": b"".join(words), "lengths": np.array([w.size // 4 for w in words], "<i8").tobytes(),
+            "toxic": np.array([toxic[i] for i in order], "<f4").tobytes(), "held": np.array([crc[i] < HELD * 2**32 for i in order]).tobytes(),
+            "langs": [table["lang"][i].as_py() for i in order],
+        }
+        return pa.table({k: pa.array([cells[k]], common.ARROW[v]) for k, v in Shard.ddl.items()})
+
+    at = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(count)).alias("shard")
+    hashes = common.arrow_pass(rows.select(at, "doc_id", "toxic", "lang", "text"), {"shard": "long", "doc_id": "long", "toxic": "int", "lang": "string", "words": "binary"}, each)
+    return common.stage(hashes.groupBy("shard").applyInArrow(joined, ", ".join(f"{k} {v}" for k, v in Shard.ddl.items())))
+
+
+def by_shard(made: DataFrame, ddl: dict[str, str], each) -> DataFrame:
+    """The columns that ``each`` makes of every shard."""
+
+    schema = pa.schema([(k, common.ARROW[v]) for k, v in ddl.items()])
 
-    rows = common.arrow_pass(training_sample(docs, labels, sample), {"doc_id": "long", "toxic": "int", "lang": "string", "words": "binary"}, each).collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.toxic))
-    net = Network()
-    words, toxic = [np.frombuffer(r.words, "<u4") for r in rows], np.array([r.toxic for r in rows], np.float32)
-    if len(set(toxic.tolist())) < 2:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                out = each(Shard(batch, i))
+                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
+
+    common.light_batches(made.sparkSession)
+    return made.mapInArrow(common.light(run), ", ".join(f"`{k}` {v}" for k, v in ddl.items()))
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Network:
+    made, net, context = shards(docs, labels), Network(), docs.sparkSession.sparkContext
+    sizes = by_shard(made, {"held": "boolean", "toxic": "int"}, lambda s: {"held": s.held, "toxic": s.toxic.astype(int)})
+    sizes = {(r.held, r.toxic): r.n for r in sizes.groupBy("held", "toxic").agg(F.count("*").alias("n")).collect()}
+    if not all(sizes.get((False, k), 0) + sizes.get((True, k), 0) for k in (0, 1)):
         return net
-    held = np.arange(len(rows)) < HELD * len(rows)
-    pick = lambda xs, mask: [x for x, m in zip(xs, mask, strict=True) if m]
-    net.learn_languages(words, [r.lang for r in rows])
-    net.train(pick(words, ~held), toxic[~held])
-    net.calibrate(pick(words, held) or words, toxic[held] if held.any() else toxic)
+    aside = all(sizes.get((False, k)) for k in (0, 1))  # else too few to hold any back: all rows train
+    n = [sizes.get((False, k), 0) + (0 if aside else sizes.get((True, k), 0)) for k in (0, 1)]
+    weigh = np.array([0.5 * sum(n) / n[0], 0.5 * sum(n) / n[1]], np.float32)
+    net.learn_languages(_languages(made))
+    squares = net.squares()
+    for k in range(EPOCHS):
+        sent = context.broadcast((net, squares))
+        _round(made, net, squares, sent, k, weigh, aside)
+        sent.destroy()
+    net.trained = True
+    sent = context.broadcast(net)
+    every = not aside or not any(sizes.get((True, k)) for k in (0, 1))
+    net.calibrate(_held_counts(made, sent, every))
+    sent.destroy()
     return net
 
 
+def _languages(made: DataFrame) -> dict[str, np.ndarray]:
+    """Documents by bucket of their words, for each language."""
+
+    def each(s: Shard) -> dict:
+        out = {"lang": [], "bucket": [], "n": []}
+        counts: dict[str, np.ndarray] = {}
+        for d, k in zip(s.docs, s.langs, strict=True):
+            if k:
+                counts.setdefault(k, np.zeros(BUCKETS, np.int64))[np.unique(d & (BUCKETS - 1))] += 1
+        for k, c in counts.items():
+            rows = np.append(np.flatnonzero(c), -1)  # the last: a language may have no words
+            out["lang"] += [k] * len(rows)
+            out["bucket"].append(rows)
+            out["n"].append(np.append(c[rows[:-1]], 0))
+        return {"lang": out["lang"], **{c: np.concatenate(out[c] or [np.zeros(0, np.int64)]) for c in ("bucket", "n")}}
+
+    table = by_shard(made, {"lang": "string", "bucket": "long", "n": "long"}, each).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts: dict[str, np.ndarray] = {}
+    for part in table.to_batches():
+        lang, bucket, n = (common.column(part, c).to_numpy(zero_copy_only=False) for c in ("lang", "bucket", "n"))
+        for k in set(lang.tolist()):
+            mine = (lang == k) & (bucket >= 0)
+            counts.setdefault(k, np.zeros(BUCKETS))[bucket[mine]] = n[mine]
+    return counts
+
+
+def _round(made: DataFrame, net: Network, squares: dict[str, np.ndarray], sent, number: int, weigh: np.ndarray, aside: bool) -> None:
+    """Every shard trains over its rows once; ``net`` and ``squares`` take the mean of the changes."""
+    columns = [f"{c}{i}" for c in "vs" for i in range(WIDTH)]
+
+    def each(s: Shard) -> dict:
+        start, begun = sent.value
+        mine, own = Network.__new__(Network), {k: v.copy() for k, v in begun.items()}
+        mine.__dict__ |= start.__dict__ | {k: getattr(start, k).copy() for k in PARTS}
+        docs, labels = s.part(~s.held if aside else np.ones(len(s.held), bool))
+        r = np.random.default_rng(s.number)
+        for _ in range(number + 1):
+            order = r.permutation(len(docs))
+        mine.epoch(docs, labels, weigh[labels.astype(int)], own, order)
+        moved = np.hstack([packed({k: getattr(mine, k) for k in PARTS}), packed(own)]).astype(np.float64)
+        moved -= np.hstack([packed({k: getattr(start, k) for k in PARTS}), packed(begun)])
+        rows = np.flatnonzero(moved.any(1))
+        return {"row": rows} | dict(zip(columns, np.rint(moved[rows] / UNIT).astype(np.int64).T, strict=True))
+
+    moved = by_shard(made, {"row": "long"} | {c: "long" for c in columns}, each)
+    mean = moved.groupBy("row").agg(*((F.sum(c) / F.count("*") * UNIT).cast("float").alias(c) for c in columns)).toArrow()
+    rows = mean["row"].to_numpy()
+    for parts, c in (({k: getattr(net, k) for k in PARTS}, "v"), (squares, "s")):
+        flat = packed(parts)
+        flat[rows] += np.stack([mean[f"{c}{i}"].to_numpy() for i in range(WIDTH)], 1) if len(rows) else 0
+        for k, v in unpacked(flat, net).items():
+            parts[k][...] = v
+
+
+def _held_counts(made: DataFrame, sent, every: bool) -> list[tuple[int, int, int, int]]:
+    """Language as its words tell it, step of the logit, clean and toxic rows of the held rows, or of all."""
+
+    def each(s: Shard) -> dict:
+        docs, toxic = s.part(s.held | every)
+        logits = sent.value.logits(docs).astype(np.float64)
+        return {"lang": sent.value.languages(docs), "step": np.floor(np.clip(logits, -1000, 1000) * STEPS).astype(np.int64), "toxic": toxic.astype(int)}
+
+    rows = by_shard(made, {"lang": "long", "step": "long", "toxic": "int"}, each)
+    return [tuple(r) for r in rows.groupBy("lang", "step").agg(F.sum(1 - F.col("toxic")), F.sum("toxic")).collect()]
+
+
 def score(docs: DataFrame, net: Network) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     shared = docs.sparkSession.sparkContext.broadcast(net)

@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 import pytest
 
@@ -72,3 +74,27 @@ def test_training_rows_are_whole_and_one_for_an_id(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (3, 1)], "doc_id long, toxic int")
     got = toxicity.training_sample(docs, labels).collect()
     assert sorted((r.doc_id, r.toxic) for r in got) == [(1, 1), (2, 0)] and [r.text for r in got if r.doc_id == 1] == [long]
+
+
+def many(spark):
+    rows = [(i, "bad word" if i % 2 else "good word", "en", i % 2) for i in range(14_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    return df.select("doc_id", "text", "lang"), df.select("doc_id", "toxic")
+
+
+def test_every_labelled_row_is_learned_from(spark):
+    docs, labels = many(spark)
+    want = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(14_000))
+    assert toxicity.training_sample(docs, labels).count() == want > 2 * 3000
+
+
+def test_shards_learn_together_whatever_the_layout(spark, monkeypatch):
+    docs, labels = many(spark)
+    monkeypatch.setattr(toxicity, "SHARD", 25_000)
+    monkeypatch.setattr(toxicity, "EPOCHS", 2)
+    made = toxicity.shards(docs, labels).collect()
+    assert len(made) == 4 and sum(len(r.lengths) // 8 for r in made) == toxicity.training_rows(docs, labels).count()
+    a, b = toxicity.train(docs, labels), toxicity.train(docs.repartition(7), labels.repartition(3))
+    assert all(np.array_equal(getattr(a, k), getattr(b, k)) for k in toxicity.PARTS) and a.thresholds == b.thresholds
+    got = toxicity.score(docs.limit(200), a).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in got)
