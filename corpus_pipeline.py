@@ -16,25 +16,34 @@ from pyspark.sql import DataFrame, SparkSession
 
 from terrane.llm import common, jaccard, langid, packing, repeats, secrets
 
+#: Bytes of an Arrow batch, and units that a worker of the last stage keeps: less than in the operators alone, as by then executors have filled their heaps.
+BATCH = 1 << 20
+KEPT = 150_000
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.light_batches(spark, size=BATCH)
     return langid.keep_known(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.light_batches(spark, size=BATCH)
     return jaccard.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.light_batches(spark, size=BATCH)
     return repeats.cut(docs)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.light_batches(spark, size=BATCH)
     return secrets.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    common.light_batches(spark, size=BATCH)
+    return packing.pack(docs, kept=KEPT)
 
 
 STAGES = [

@@ -94,11 +94,12 @@ class Encoder:
         self.library.no_padding()
         self.ordinary = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.head, self.units, self.words = head or {}, dict(head or {}), {}
+        self.kept = KEPT
 
     def _learn_words(self, words: set[str]) -> None:
         """Encode each new word once. Words hold no newline, so one parts them in a single call."""
         new = [w for w in words if w not in self.words]
-        if len(self.words) + len(new) > KEPT:
+        if len(self.words) + len(new) > self.kept:
             self.words, new = {}, list(words)
         plain = [w for w in new if "\n" not in w and not w.isspace()]
         ids = np.asarray(self.ordinary("\n".join(plain)), "<u4")
@@ -113,7 +114,7 @@ class Encoder:
     def learn(self, found: set[str]) -> None:
         """Add the units of these keys to the table: a unit is put together from the ids of its words."""
         new = [k for k in found if k not in self.units]
-        if len(self.units) + len(new) > len(self.head) + KEPT:
+        if len(self.units) + len(new) > len(self.head) + self.kept:
             self.units = dict(self.head)
             new = [k for k in found if k not in self.units]
         texts = [" " + k if k[:1] != START else k[1:] for k in new]

@@ -32,13 +32,15 @@ SIZE = 1024
 END = 2
 
 
-def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, end: int = END) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and doc_row (unique for each input row)."""
+def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, end: int = END, kept: int = bpe.KEPT) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 and doc_row (unique for each input row). ``kept``: units that a worker keeps."""
     path, mark = path or bpe.vocabulary_path(), np.uint32(end).astype("<u4").tobytes()
 
     def each(batch: pa.RecordBatch) -> dict:
         out = defaultdict(list)
-        ids = bpe.encoder(path).encode_many(common.texts(batch))
+        encoder = bpe.encoder(path)
+        encoder.kept = kept
+        ids = encoder.encode_many(common.texts(batch))
         for doc, row, raw in zip(common.column(batch, "doc_id").to_pylist(), common.column(batch, "doc_row").to_pylist(), ids, strict=True):
             raw += mark
             n = len(raw) // 4
@@ -147,9 +149,9 @@ def numbered(df: DataFrame, key: str) -> DataFrame:
     return df.join(starts, ["part", key]).withColumn("number", F.col("before") + F.row_number().over(own) - 1).drop("part", "before")
 
 
-def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, end: int = END, kept: int = bpe.KEPT) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: each piece's place."""
-    made = common.stage(pieces(docs, path, size, end).withColumn("part", F.spark_partition_id()))
+    made = common.stage(pieces(docs, path, size, end, kept).withColumn("part", F.spark_partition_id()))
     counts = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}
     by_length = defaultdict(list)
     for length, first, _, sequence, offset in plan(counts, size):

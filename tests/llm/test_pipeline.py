@@ -48,3 +48,18 @@ def test_run(spark, tmp_path):
     empty = tmp_path / "empty"
     docs_of(spark).limit(0).write.parquet(f"{empty}/documents.parquet")
     assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
+def test_stages_go_in_light_batches_and_keep_few_units(spark, monkeypatch):
+    docs, name, made = docs_of(spark), "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before = spark.conf.get(name, None)
+    monkeypatch.setattr(corpus_pipeline, "KEPT", 50)
+    whole = packing.pack
+    monkeypatch.setattr(packing, "pack", lambda *a, **k: made.append(k["kept"]) or whole(*a, **k))
+    try:
+        spark.conf.unset(name)
+        got = corpus_pipeline.packed(spark, docs, "").drop("sequence_id", "offset").collect()
+        assert int(spark.conf.get(name)) == corpus_pipeline.BATCH and made == [50]
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    assert sorted(got) == sorted(whole(docs).drop("sequence_id", "offset").collect())
