@@ -62,4 +62,4 @@ def round_numbers(zones: DataFrame, rungs: DataFrame) -> DataFrame:
     """security_id, as_of, zone_id, rungs_in, nearest_rung (ATRs from the center), coarsest (smallest rank within the zone): the round numbers (security_id, as_of, level, rank) of a zone's date."""
     met = zones.select("security_id", "as_of", "zone_id", "center", "lower", "upper", "atr").join(rungs.select("security_id", "as_of", "level", "rank"), ["security_id", "as_of"], "left")
     inside = F.col("level").between(F.col("lower"), F.col("upper"))
-    return met.groupBy("security_id", "as_of", "zone_id").agg(F.sum(inside.cast("long")).alias("rungs_in"), F.min(_in_atrs(F.abs(F.col("level") - F.col("center")))).alias("nearest_rung"), F.min(F.when(inside, F.col("rank"))).cast("long").alias("coarsest"))
+    return met.groupBy("security_id", "as_of", "zone_id").agg(F.count_if(inside).alias("rungs_in"), F.min(_in_atrs(F.abs(F.col("level") - F.col("center")))).alias("nearest_rung"), F.min(F.when(inside, F.col("rank"))).cast("long").alias("coarsest"))
