@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import pit
 from .indicators import by_session
+from .series import log_return
 
 
 def action_gain() -> F.Column:
@@ -108,7 +109,7 @@ def coverage_by_year(members: DataFrame, bars: DataFrame) -> DataFrame:
 def split_state(bars: DataFrame, splits: DataFrame) -> DataFrame:
     """security_id, ex_date, ratio, state: whether the price series already holds the split. The step of log price over the ex-date is compared
     with no step and with the split's own."""
-    step = bars.select("security_id", "session", F.log(F.col("close") / F.lag("close").over(by_session())).alias("step"))
+    step = bars.select("security_id", "session", log_return().alias("step"))
     both = splits.join(step, (splits.security_id == step.security_id) & (splits.ex_date == step.session), "left").select(splits.security_id, "ex_date", "ratio", "step")
     near0, near1 = F.abs("step"), F.abs(F.col("step") + F.log("ratio"))
     return both.withColumn("state", F.when(F.col("step").isNull(), "unknown").when(near0 < 0.25 * F.abs(F.log("ratio")), "applied").when(near1 < 0.25 * F.abs(F.log("ratio")), "not_applied").otherwise("ambiguous"))
