@@ -46,7 +46,7 @@ def test_bars_reach_zero(spark, low):
     assert at == {k: v / 100 for k, v in CLOSES.items()} and bars.where("low = 0").count() > 1 and bars.where("low < 0").count() > 1
 
 
-NAMES = """win_13_volatility win_20_vol_decile agg_29_breadth win_19_factors cmp_13_feature_matrix win_16_momentum jon_17_relative_strength win_18_regimes fn_20_spread_proxy win_15_split_state fn_6_volatility_envelope""".split()
+NAMES = """win_13_volatility win_20_vol_decile agg_29_breadth win_19_factors cmp_13_feature_matrix win_16_momentum jon_17_relative_strength win_18_regimes fn_20_spread_proxy win_15_split_state fn_6_volatility_envelope srt_4_cross_rank""".split()
 
 
 @pytest.mark.parametrize("name", NAMES)
