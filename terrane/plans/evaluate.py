@@ -10,6 +10,7 @@ from ..operators import panel as P
 from ..operators import series as S
 from ..operators import zones as Z
 from ..sources.derived import bars
+from ..sources.staging import stage
 from . import core
 from . import labels as LB
 from . import series as SQ
@@ -81,16 +82,18 @@ register(
 
 
 def _matrix(s, d):
-    b, r = bars(s, d), ranged(s, d)
-    series, _, found = zones_and_state(s, d)
+    """All groups read the bars that ``ranged`` wrote, and each is written before they are joined: as one plan they are too much for a small driver."""
+    r, _, found = zones_and_state(s, d)
+    found = stage(found)
     geometry = found.select("security_id", "as_of", "zone_id", "side", "distance_atr", F.abs("distance_atr").alias("distance"), "width_atr", "n_sources", "n_families")
-    index = S.market(b)
+    index = S.market(r)
     by_zone = [P.round_numbers(found, candidates(s, d).where("family = 'B'")), X.zone_history(LB.labelled(s, d))]
     by_security = [
-        r.select(*SP, "atr"), P.price(r), P.volume(b), P.structure(r), P.vwaps(r), S.volatility(b).select(*SP, *SQ._vols), S.momentum(b).select(*SP, "roc10", "stochastic14", "obv_slope", "drawdown", "run_length"), S.trend(b),
-        S.bands(r).select(*SP, "sma20", "sma50", "sma200", "ema20"), S.factors(b, index), S.relative_strength(b, index), E.approach(r).select(*SP, "velocity", "down_run", "gap_into", "vwap_dist"), X.liquidity_tier(b).select(*SP, "tier"),
+        r.select(*SP, "atr"), P.price(r), P.volume(r), P.structure(r), P.vwaps(r), S.volatility(r).select(*SP, *SQ._vols), S.momentum(r).select(*SP, "roc10", "stochastic14", "obv_slope", "drawdown", "run_length"), S.trend(r),
+        S.bands(r).select(*SP, "sma20", "sma50", "sma200", "ema20"), S.factors(r, index), S.relative_strength(r, index), E.approach(r).select(*SP, "velocity", "down_run", "gap_into", "vwap_dist"), X.liquidity_tier(r).select(*SP, "tier"),
     ]
-    return E.feature_matrix(geometry, by_zone, by_security, [S.regimes(index), S.breadth(b).select("session", "breadth", "dispersion")])
+    by_session = [S.regimes(index), S.breadth(r).select("session", "breadth", "dispersion")]
+    return E.feature_matrix(geometry, *([stage(g) for g in groups] for groups in (by_zone, by_security, by_session)))
 
 
 def _matrix_sql():
